@@ -15,7 +15,7 @@ LENGTHS = "lengths AS (SELECT source AS file, n_chars AS length FROM documents)"
 READS = f"""reads AS (
   SELECT source AS file, doc_id AS rec, 'd' || CAST(doc_id AS VARCHAR) AS read_id,
          regexp_replace(translate(text, '{LOWER + UPPER}', '{BASES * 2}'), '[^ACGT]', 'N', 'g') AS seq,
-         regexp_replace(translate(text, '{LOWER}', '{QUALITIES}'), '[^+-D]', '#', 'g') AS qual
+         regexp_replace(translate(text, '{LOWER}', '{QUALITIES}'), '[^+-D]', '5', 'g') AS qual
   FROM documents)"""
 
 # per-read values, base by base

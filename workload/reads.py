@@ -140,9 +140,9 @@ def per_position_quality(spark, sf):
     return rd.per_position_quality(views.reads(spark, sf)).withColumn("mean_q", F.round("mean_q", 6))
 
 
-@query(f"WITH {SCORED} SELECT file, read_id FROM scored WHERE len >= 500 AND len <= 20000 AND q >= 10 AND q <= 12.5")
+@query(f"WITH {SCORED} SELECT file, read_id FROM scored WHERE len >= 500 AND len <= 20000 AND q >= 16.5 AND q <= 17")
 def filter_reads(spark, sf):
-    kept = rd.filter_reads(views.reads(spark, sf), min_len=500, max_len=20000, min_qual=10, max_qual=12.5)
+    kept = rd.filter_reads(views.reads(spark, sf), min_len=500, max_len=20000, min_qual=16.5, max_qual=17)
     return kept.select("file", "read_id")
 
 
@@ -176,10 +176,10 @@ _SPAN = """cut AS (
     f"""WITH {SCORED}, {_SPAN}
 SELECT file, read_id, md5(substr(seq, head + 1, length(seq) - head - tail)) AS seq,
        md5(substr(qual, head + 1, length(qual) - head - tail)) AS qual
-FROM cut WHERE q >= 12 AND length(seq) - head - tail >= 1"""
+FROM cut WHERE q >= 16.6 AND length(seq) - head - tail >= 1"""
 )
 def trim_by_quality(spark, sf):
-    kept = rd.filter_trim(views.reads(spark, sf), quality=12, cutoff=22, trim_approach="trim-by-quality")
+    kept = rd.filter_trim(views.reads(spark, sf), quality=16.6, cutoff=22, trim_approach="trim-by-quality")
     return kept.select("file", "read_id", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
 
 
@@ -192,11 +192,11 @@ def inverse_short_reads(spark, sf):
 
 
 @query(
-    f"""WITH {SCORED}, f AS (SELECT file, q >= 11 AND len - 30 >= 200 AND len - 30 <= 30000 AS ok FROM scored)
+    f"""WITH {SCORED}, f AS (SELECT file, q >= 16.5 AND len - 30 >= 200 AND len - 30 <= 30000 AS ok FROM scored)
 SELECT file, count(*) AS input_reads, count(*) FILTER (ok) AS output_reads,
        count(*) - count(*) FILTER (ok) AS filtered_reads FROM f GROUP BY file"""
 )
 def filter_report(spark, sf):
     return rd.filter_report(
-        views.reads(spark, sf), headcrop=10, tailcrop=20, minlength=200, maxlength=30000, quality=11
+        views.reads(spark, sf), headcrop=10, tailcrop=20, minlength=200, maxlength=30000, quality=16.5
     )

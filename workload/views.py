@@ -51,7 +51,7 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("rec"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("read_id"),
         F.regexp_replace(F.translate("text", LOWER + UPPER, BASES * 2), "[^ACGT]", "N").alias("seq"),
-        F.regexp_replace(F.translate("text", LOWER, QUALITIES), "[^+-D]", "#").alias("qual"),
+        F.regexp_replace(F.translate("text", LOWER, QUALITIES), "[^+-D]", "5").alias("qual"),
     )
 
 
