@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the table comes as fewer splits, as a small one does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
     return table(spark, sf, "events").select(
@@ -41,11 +47,7 @@ def lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    # one file of texts is one split here; on a cluster the splits of a table spread as they are
-    tasks = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < tasks:
-        docs = docs.repartition(tasks, "doc_id")
+    docs = spread(table(spark, sf, "documents"))
     return docs.select(
         F.col("source").alias("file"),
         F.col("doc_id").alias("rec"),
@@ -59,7 +61,7 @@ _KIND = "(CASE WHEN l_linenumber IN (1, 7) THEN 'B' WHEN l_linenumber IN (3, 5)
 
 
 def alignments(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "lineitem").selectExpr(
+    items = spread(table(spark, sf, "lineitem")).selectExpr(
         "l_linestatus file",
         "concat(l_orderkey, '/', l_linenumber, '/', l_partkey) qname",
         f"{_KIND} kind",
