@@ -18,7 +18,11 @@ MORE = ", …"
 def _in_order(df: DataFrame, order: str, name: str, *fields: str, value: Column | None = None) -> DataFrame:
     """Array of ``value`` (or of all ``fields``) per file, in header order."""
     value = F.struct(*fields) if value is None else value
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))), True)
+    # by comparator, as records with a map inside have no order of their own
+    items = F.array_sort(
+        F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))),
+        lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0),
+    )
     return df.groupBy("file").agg(F.transform(items, lambda x: x["v"]).alias(name))
 
 

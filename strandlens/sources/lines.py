@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,8 @@ from strandlens.session import BROADCAST_MAX_ROWS
 
 Paths = str | Sequence[str]
 
+HEADS_PER_TASK = 64
+
 LINE_SCHEMA = "file string, line_no bigint, value string"
 
 
@@ -94,8 +97,8 @@ def read_heads(
     files = spark.read.text(path_list(paths)).inputFiles()
     check_names(files)
     names = spark.createDataFrame([(f,) for f in files], "file string")
-    if len(files) > 1:
-        names = names.repartition(min(len(files), 4096), "file")
+    tasks = min(-(-len(files) // HEADS_PER_TASK), 4096)
+    names = names.repartition(tasks, "file") if tasks > 1 else names.coalesce(1)
 
     def heads(batches):
         import pandas as pd
@@ -103,8 +106,9 @@ def read_heads(
         for batch in batches:
             for name in batch["file"]:
                 rows = list(_head(name, prefix, max_lines, stop))
+                label = re.sub("^file:/+", "file:/", name)  # as _metadata.file_path spells it
                 yield pd.DataFrame(
-                    {"file": [name] * len(rows), "line_no": [r[0] for r in rows], "value": [r[1] for r in rows]}
+                    {"file": [label] * len(rows), "line_no": [r[0] for r in rows], "value": [r[1] for r in rows]}
                 )
 
     return names.mapInPandas(heads, LINE_SCHEMA)
