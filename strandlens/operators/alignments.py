@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from strandlens.functions import alignments as sam
 from strandlens.functions import cigar as cg
 from strandlens.functions import reads as fn
-from strandlens.operators.distribution import LENGTH_BIN, histogram_of_tally, order_statistics, tally
+from strandlens.operators.distribution import LENGTH_BIN, histograms_of_tally, order_statistics, tally
+from strandlens.operators.joins import join_on
 
 
 def tag(name: str) -> Column:
@@ -60,13 +61,10 @@ def alignment_measures(aln: DataFrame, by: Sequence[str] = ("file",)) -> DataFra
 
 
 def alignment_tally(aln: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
-    """Flags of all records, lengths and identities of aligned ones, from one scan."""
+    """Flags of all records; lengths, identities and MAPQ of aligned ones; from one scan."""
     counted = ~sam.has_any(F.col("flag"), sam.UNMAPPED | sam.SECONDARY)
-    return tally(
-        alignment_measures(aln, by),
-        {"flag": F.col("flag"), "length": F.when(counted, F.col("length")), "identity": F.when(counted, F.col("identity"))},
-        by,
-    )
+    measures = {name: F.when(counted, F.col(name)) for name in ("length", "identity", "mapq")}
+    return tally(alignment_measures(aln, by), {"flag": F.col("flag"), **measures}, by)
 
 
 def alignment_stats_of_tally(counts: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
@@ -95,7 +93,7 @@ def alignment_stats_of_tally(counts: DataFrame, by: Sequence[str] = ("file",)) -
         of("identity", F.col("mean")).alias("mean_identity"),
         of("identity", F.col("quantiles")[0]).alias("median_identity"),
     )
-    return classes.join(shape, list(by), "left")
+    return join_on(classes, shape, by, "left")
 
 
 def alignment_stats(aln: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
@@ -108,7 +106,7 @@ def alignment_length_histogram(
 ) -> DataFrame:
     """Aligned lengths in bins; ``scaled`` counts bases instead of records."""
     counts = tally(alignment_measures(aligned(aln), by), {"length": F.col("length")}, by)
-    return histogram_of_tally(counts, bin_width, by, scaled)
+    return histograms_of_tally(counts, {"length": bin_width}, by, scaled).drop("metric")
 
 
 def mapq_histogram(aln: DataFrame, by: Sequence[str] = ("file",), scaled: bool = False) -> DataFrame:

@@ -19,6 +19,7 @@ from strandlens.functions import cigar as cg
 from strandlens.functions.regions import quantize_label
 from strandlens.operators.alignments import filter_alignments
 from strandlens.operators.distribution import order_statistics
+from strandlens.operators.joins import join_on
 
 TILE = 1 << 16
 
@@ -138,7 +139,7 @@ def coverage_by_contig(
     """``(*by, contig, length, mean_depth)`` for every contig of ``refs``; needs no sweep."""
     keys = [*by, "contig"]
     bases = blocks.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
-    return refs.select(*keys, "length").join(bases, keys, "left").select(
+    return join_on(refs.select(*keys, "length"), bases, keys, "left").select(
         *keys,
         "length",
         F.coalesce(F.coalesce(F.col("bases"), F.lit(0)) / F.nullif(F.col("length"), F.lit(0)), F.lit(0.0)).alias("mean_depth"),
@@ -153,10 +154,9 @@ def depth_histogram(
     return depth.groupBy(*keys, "depth").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
-def median_depth(depth: DataFrame, by: Sequence[str] = ("file",), per_contig: bool = True) -> DataFrame:
-    """``(*by[, contig], median_depth, min_depth, max_depth)`` over bases; give depth with zeros."""
-    keys = [*by, "contig"] if per_contig else list(by)
-    counts = depth_histogram(depth, by, per_contig).select(
+def depth_statistics(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, median_depth, min_depth, max_depth)`` over the bases of a depth histogram."""
+    counts = hist.select(
         *keys, F.lit("depth").alias("metric"), F.col("depth").cast("double").alias("value"), F.col("bases").alias("n")
     )
     return order_statistics(counts, keys).select(
@@ -167,6 +167,12 @@ def median_depth(depth: DataFrame, by: Sequence[str] = ("file",), per_contig: bo
     )
 
 
+def median_depth(depth: DataFrame, by: Sequence[str] = ("file",), per_contig: bool = True) -> DataFrame:
+    """``(*by[, contig], median_depth, min_depth, max_depth)``; give depth with its zeros."""
+    keys = [*by, "contig"] if per_contig else list(by)
+    return depth_statistics(depth_histogram(depth, by, per_contig), keys)
+
+
 def coverage_summary(by_contig: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
     """``(*by, mean_depth, mean_depth_unweighted)``: weighted by length, and plain mean of contigs.
 
@@ -206,7 +212,7 @@ def window_coverage(
     frames = cut_at_tiles(
         refs.where(F.col("length") > 0).select(*keys, zero.alias("start"), F.col("length").alias("end")), window
     )
-    return frames.join(covered, [*keys, "tile"], "left").select(
+    return join_on(frames, covered, [*keys, "tile"], "left").select(
         *keys, "start", "end", (F.coalesce("bases", zero) / (F.col("end") - F.col("start"))).alias("mean_depth")
     )
 
@@ -252,8 +258,7 @@ def gc_coverage(
     )
     blocks = aligned_blocks(aln, by, False, min_mapq, exclude_flags)
     return (
-        window_coverage(blocks, refs, window, by)
-        .join(gc, [*keys, "start"])
+        join_on(window_coverage(blocks, refs, window, by), gc, [*keys, "start"])
         .groupBy(*by, F.round(100.0 * F.col("gc") / F.col("bases"), 1).alias("gc_pct"))
         .agg(F.count("*").alias("windows"), F.avg("mean_depth").alias("mean_depth"))
     )

@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlens.operators.joins import join_on
+
 # The reported percentiles.
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
@@ -115,7 +117,7 @@ def order_statistics(
     )
     inner = Window.partitionBy(*keys, "bucket")
     fine = (
-        rows.join(wanted, [*keys, "bucket"])
+        join_on(rows, wanted, [*keys, "bucket"])
         .withColumn(
             "first_rank",
             F.col("below_n")
@@ -199,34 +201,44 @@ def length_percentiles(
     )
 
 
-def histogram_of_tally(
+def histograms_of_tally(
     counts: DataFrame,
-    bin_width: float,
+    widths: Mapping[str, float],
     by: Sequence[str] = ("file",),
     scaled: bool = False,
 ) -> DataFrame:
-    """``(*by, start, end, count)`` from bin 0 to the last one in use, empty bins included.
+    """``(*by, metric, start, end, count)`` from bin 0 to the last one in use, empty bins included.
 
-    ``scaled`` counts each value with its own weight (bases instead of reads).
+    One histogram per metric in ``widths``; other metrics are left out only after counting, for
+    the tally not to be filtered. ``scaled`` counts each value with its own weight (bases
+    instead of reads).
     """
-    if bin_width <= 0:
-        raise ValueError(f"bin_width must be > 0, got {bin_width}")
+    keys = [*by, "metric"]
+    for width in widths.values():
+        if width <= 0:
+            raise ValueError(f"bin_width must be > 0, got {width}")
+    width = F.lit(None).cast("double")
+    for name, w in widths.items():
+        width = F.when(F.col("metric") == name, F.lit(float(w))).otherwise(width)
     weight = F.col("n") * F.col("value").cast("bigint") if scaled else F.col("n")
+    place = F.when(F.col("value") < 0, F.lit(0)).otherwise(F.floor(F.col("value") / width))
     binned = (
-        counts.withColumn("idx", F.when(F.col("value") < 0, F.lit(0)).otherwise(F.floor(F.col("value") / bin_width)))
-        .groupBy(*by, "idx")
-        .agg(F.sum(weight).alias("count"))
+        counts.withColumn("idx", F.when(width.isNotNull(), place))
+        .groupBy(*keys, "idx")
+        .agg(F.sum(weight).alias("count"), F.max(width).alias("width"))
+        .where(F.col("width").isNotNull())
     )
-    last = binned.groupBy(*by).agg(F.max("idx").alias("last"))
-    empty = last.select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("idx"), F.lit(0).cast("bigint").alias("count"))
+    last = binned.groupBy(*keys).agg(F.max("idx").alias("last"), F.max("width").alias("width"))
+    zero = F.lit(0).cast("bigint")
+    empty = last.select(*keys, F.explode(F.sequence(zero, "last")).alias("idx"), zero.alias("count"), "width")
     return (
         binned.unionByName(empty)
-        .groupBy(*by, "idx")
-        .agg(F.sum("count").alias("count"))
+        .groupBy(*keys, "idx")
+        .agg(F.sum("count").alias("count"), F.max("width").alias("width"))
         .select(
-            *by,
-            (F.col("idx") * float(bin_width)).alias("start"),
-            ((F.col("idx") + 1) * float(bin_width)).alias("end"),
+            *keys,
+            (F.col("idx") * F.col("width")).alias("start"),
+            ((F.col("idx") + 1) * F.col("width")).alias("end"),
             "count",
         )
     )
@@ -235,7 +247,8 @@ def histogram_of_tally(
 def histogram(
     df: DataFrame, value: str, bin_width: float, by: Sequence[str] = ("file",), scaled: bool = False
 ) -> DataFrame:
-    return histogram_of_tally(tally(df, {"value": F.col(value)}, by), bin_width, by, scaled)
+    counts = tally(df, {"value": F.col(value)}, by)
+    return histograms_of_tally(counts, {"value": bin_width}, by, scaled).drop("metric")
 
 
 def length_histogram(
@@ -250,6 +263,9 @@ def qscore_histogram(
     return histogram(df, qscore, bin_width, by)
 
 
-def histogram_array(hist: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-    """One row per input with the bins as an ordered array; for report sinks only."""
-    return hist.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("start", "end", "count"))).alias(name))
+def histogram_arrays(hists: DataFrame, by: Sequence[str], names: Mapping[str, str]) -> DataFrame:
+    """One row per input with the bins of each metric as an ordered array; for report sinks only."""
+    bins = F.struct("start", "end", "count")
+    return hists.groupBy(*by).agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("metric") == m, bins))).alias(name) for m, name in names.items()]
+    )

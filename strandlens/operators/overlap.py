@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlens.functions.regions import region_name
 from strandlens.operators.depth import TILE, base_depth, tiles_of
+from strandlens.operators.joins import join_on
 from strandlens.session import BROADCAST_MAX_ROWS, is_small
 
 BIN = 1 << 14
@@ -127,7 +128,7 @@ def targeted_coverage(
     every = _per_input(spans.withColumnsRenamed({"start": "r_start", "end": "r_end"}), inputs, by)
     width = F.col("r_end") - F.col("r_start")
     zero = F.lit(0).cast("bigint")
-    return every.join(found, keys, "left").select(
+    return join_on(every, found, keys, "left").select(
         *by,
         "contig",
         F.col("r_start").alias("start"),

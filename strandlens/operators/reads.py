@@ -15,7 +15,7 @@ from strandlens.operators.distribution import (
     LENGTH_BIN,
     PERCENTILES,
     QSCORE_BIN,
-    histogram_of_tally,
+    histograms_of_tally,
     order_statistics,
     tally,
 )
@@ -73,18 +73,22 @@ def read_stats(reads: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
 
 
 def read_length_histogram(reads: DataFrame, bin_width: float = LENGTH_BIN, by: Sequence[str] = ("file",)) -> DataFrame:
-    return histogram_of_tally(tally(reads, {"length": fn.read_length(F.col("seq"))}, by), bin_width, by)
+    counts = tally(reads, {"length": fn.read_length(F.col("seq"))}, by)
+    return histograms_of_tally(counts, {"length": bin_width}, by).drop("metric")
 
 
 def read_qscore_histogram(reads: DataFrame, bin_width: float = QSCORE_BIN, by: Sequence[str] = ("file",)) -> DataFrame:
+    return histograms_of_tally(qscore_tally(reads, by), {"qscore": bin_width}, by).drop("metric")
+
+
+def qscore_tally(reads: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
     scored = reads.select(*by, fn.mean_qscore(F.col("qual")).alias("qscore"))
-    return histogram_of_tally(tally(scored, {"qscore": F.col("qscore")}, by), bin_width, by)
+    return tally(scored, {"qscore": F.col("qscore")}, by)
 
 
 def qscore_stats(reads: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
     """``(*by, mean_qscore, median_qscore)``."""
-    scored = reads.select(*by, fn.mean_qscore(F.col("qual")).alias("qscore"))
-    stats = order_statistics(tally(scored, {"qscore": F.col("qscore")}, by), by)
+    stats = order_statistics(qscore_tally(reads, by), by)
     return stats.select(*by, F.col("mean").alias("mean_qscore"), F.col("quantiles")[0].alias("median_qscore"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlens.operators.distribution import order_statistics, tally
+from strandlens.operators.joins import join_on
 
 SECONDS_PER_HOUR = 3600.0
 
@@ -34,7 +35,7 @@ def run_stats(runs: DataFrame, by: Sequence[str] = ("file",), files: DataFrame |
         of("start_time", (F.col("high") - F.col("low")) / SECONDS_PER_HOUR).alias("run_duration_hours"),
     )
     if files is not None:
-        out = files.select(*by).join(out, list(by), "left").fillna(0, ["total_reads", "total_yield"])
+        out = join_on(files.select(*by), out, by, "left").fillna(0, ["total_reads", "total_yield"])
     return out
 
 
@@ -60,7 +61,11 @@ def yield_per_hour(runs: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
         .groupBy(*by, (F.col("start_time") / SECONDS_PER_HOUR).alias("h"))
         .agg(F.sum("length").alias("bp"), F.count("*").alias("reads"))
     )
-    span = timed.groupBy(*by).agg(F.min("h").alias("first"), F.max("h").alias("last"))
+    # all columns of the sums are read here too, so that both uses share one scan and shuffle
+    span = timed.groupBy(*by).agg(
+        F.min("h").alias("first"), F.max("h").alias("last"), F.sum("reads").alias("all_reads"), F.count("bp").alias("starts")
+    )
+    span = span.where((F.col("last") > F.col("first")) & (F.col("all_reads") > 1) & (F.col("starts") > 1))
     step = F.floor(F.col("h") - F.col("first"))
     # keep to the window borders first + k where the subtraction was rounded across one
     window = (
@@ -69,7 +74,7 @@ def yield_per_hour(runs: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
         .otherwise(step)
     )
     return (
-        timed.join(span.where(F.col("last") > F.col("first")), list(by))
+        join_on(timed, span, by)
         .groupBy(*by, (F.col("first") + window).alias("window_start_hours"))
         .agg(F.sum("bp").cast("bigint").alias("yield_bp"), F.sum("reads").alias("read_count"))
     )

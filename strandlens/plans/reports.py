@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlens.functions import reads as fn
 from strandlens.functions.alignments import DEPTH_EXCLUDE
 from strandlens.functions.regions import parse_location
 from strandlens.operators import alignments as al
@@ -20,6 +21,8 @@ from strandlens.operators import genes, overlap
 from strandlens.operators import reads as rd
 from strandlens.operators import runs as rn
 from strandlens.operators import variants as vr
+from strandlens.operators.joins import join_on
+from strandlens.session import scratch_dir
 
 
 def _list(df: DataFrame, by: Sequence[str], name: str, *fields: str) -> DataFrame:
@@ -37,41 +40,68 @@ def read_report(
     counts = rd.read_tally(rd.read_metrics(reads, by), by)
     stats = rd.read_stats_of_tally(counts, by)
     shares = F.struct(*ds.PERCENTILES).alias("length_percentiles")
-    out = stats.select(*[c for c in stats.columns if c not in ds.PERCENTILES], shares)
-    for metric, width in (("length", length_bin), ("qscore", qscore_bin)):
-        hist = ds.histogram_of_tally(counts.where(F.col("metric") == metric), width, by)
-        out = out.join(ds.histogram_array(hist, by, f"{metric}_histogram"), list(by), "left")
-    return out
+    hists = ds.histograms_of_tally(counts, {"length": length_bin, "qscore": qscore_bin}, by)
+    arrays = ds.histogram_arrays(hists, by, {"length": "length_histogram", "qscore": "qscore_histogram"})
+    return join_on(stats.select(*[c for c in stats.columns if c not in ds.PERCENTILES], shares), arrays, by, "left")
 
 
 def read_length_distribution(reads: DataFrame, by: Sequence[str] = ("file",), bin_width: float = ds.LENGTH_BIN) -> DataFrame:
-    report = read_report(reads, by, length_bin=bin_width)
-    return report.select(*by, F.col("length_percentiles").alias("percentiles"), F.col("length_histogram").alias("histogram"))
+    """``(*by, percentiles, histogram)``; qualities are not looked at."""
+    counts = ds.tally(reads, {"length": fn.read_length(F.col("seq"))}, by)
+    stats = ds.order_statistics(counts, by, tuple(ds.PERCENTILES.values()))
+    shares = F.struct(*[F.col("quantiles")[i].alias(name) for i, name in enumerate(ds.PERCENTILES)])
+    hists = ds.histogram_arrays(ds.histograms_of_tally(counts, {"length": bin_width}, by), by, {"length": "histogram"})
+    return join_on(stats.select(*by, shares.alias("percentiles")), hists, by, "left")
 
 
 def qscore_distribution(
     reads: DataFrame, by: Sequence[str] = ("file",), bin_width: float = ds.QSCORE_BIN, per_position: bool = False
 ) -> DataFrame:
-    report = read_report(reads, by, qscore_bin=bin_width)
-    out = report.select(*by, "mean_qscore", "median_qscore", F.col("qscore_histogram").alias("histogram"))
+    """``(*by, mean_qscore, median_qscore, histogram, per_position_mean)``; the last one is null unless asked for."""
+    counts = rd.qscore_tally(reads, by)
+    stats = ds.order_statistics(counts, by).select(
+        *by, F.col("mean").alias("mean_qscore"), F.col("quantiles")[0].alias("median_qscore")
+    )
+    hists = ds.histogram_arrays(ds.histograms_of_tally(counts, {"qscore": bin_width}, by), by, {"qscore": "histogram"})
+    out = join_on(stats, hists, by, "left")
     if not per_position:
         return out.withColumn("per_position_mean", F.lit(None).cast("array<double>"))
     cycles = _list(rd.per_position_quality(reads, by), by, "c", "cycle", "mean_q")
     means = cycles.select(*by, F.transform("c", lambda x: x["mean_q"]).alias("per_position_mean"))
-    return out.join(means, list(by), "left")
+    return join_on(out, means, by, "left")
 
 
 def run_report(runs: DataFrame, by: Sequence[str] = ("file",), files: DataFrame | None = None) -> DataFrame:
     """Run statistics with yield per hour; the list is empty when times are missing or all equal."""
     windows = _list(rn.yield_per_hour(runs, by), by, "yield_per_hour", "window_start_hours", "yield_bp", "read_count")
-    out = rn.run_stats(runs, by, files).join(windows, list(by), "left")
-    return _empty_if_null(out, "yield_per_hour")
+    return _empty_if_null(join_on(rn.run_stats(runs, by, files), windows, by, "left"), "yield_per_hour")
 
 
 def _empty_if_null(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(name, F.array().cast(df.schema[name].dataType)))
 
 
+_BINS = "array<struct<start:double,end:double,count:bigint>>"
+
+
+def _bin(start: str | Column, end: Column, count: str | Column) -> Column:
+    column = [F.col(c) if isinstance(c, str) else c for c in (start, end, count)]
+    return F.struct(column[0].cast("double").alias("start"), column[1].cast("double").alias("end"), column[2].alias("count"))
+
+
+def stage_alignments(aln: DataFrame, by: Sequence[str] = ("file",), with_seq: bool = False) -> DataFrame:
+    """The columns that statistics need, written once to the shared scratch folder as Parquet.
+
+    For text input that several reports will pass over: the text is then parsed once, and each
+    pass reads just its columns. Sequences, most of the volume, go along only for GC.
+    """
+    columns = [*by, "contig", "pos", "flag", "mapq", "cigar", "tlen", *(["seq"] if with_seq else [])]
+    tags = F.map_filter("tags", lambda k, _: k.isin("NM", "MD", "de")).alias("tags")
+    path = scratch_dir(aln.sparkSession, "alignments")
+    aln.select(*columns, tags).write.parquet(path)
+    return aln.sparkSession.read.parquet(path)
+
+
 def alignment_report(
     aln: DataFrame,
     by: Sequence[str] = ("file",),
@@ -81,24 +111,30 @@ def alignment_report(
     include_flags: bool = False,
     length_bin: float = ds.LENGTH_BIN,
 ) -> DataFrame:
-    """Alignment statistics; histograms are null unless asked for, and then not computed either."""
+    """Alignment statistics; histograms are null unless asked for, and then not computed either.
+
+    All but the base-weighted MAPQ histogram come from one tally of the alignments.
+    """
     counts = al.alignment_tally(aln, by)
     out = al.alignment_stats_of_tally(counts, by)
-    bins = "array<struct<start:double,end:double,count:bigint>>"
-
-    def add(name: str, wanted: bool, hist: DataFrame | None, kind: str = bins, fields=("start", "end", "count")):
-        nonlocal out
+    parts: dict[str, DataFrame | None] = dict.fromkeys(
+        ["length_histogram", "length_histogram_scaled", "mapq_histogram", "mapq_histogram_scaled", "flag_histogram"]
+    )
+    for name, wanted, weighted in (("length_histogram", include_hist, False), ("length_histogram_scaled", include_hist and scaled, True)):
         if wanted:
-            out = out.join(_list(hist, by, name, *fields), list(by), "left")
-        else:
-            out = out.withColumn(name, F.lit(None).cast(kind))
-
-    lengths = counts.where(F.col("metric") == "length")
-    add("length_histogram", include_hist, ds.histogram_of_tally(lengths, length_bin, by))
-    add("length_histogram_scaled", include_hist and scaled, ds.histogram_of_tally(lengths, length_bin, by, True))
-    add("mapq_histogram", include_mapq, al.mapq_histogram(aln, by))
-    add("mapq_histogram_scaled", include_mapq and scaled, al.mapq_histogram(aln, by, True))
-    add("flag_histogram", include_flags, al.flag_histogram(aln, by), "array<struct<flag:int,count:bigint>>", ("flag", "count"))
+            hist = ds.histograms_of_tally(counts, {"length": length_bin}, by, weighted)
+            parts[name] = ds.histogram_arrays(hist, by, {"length": name})
+    listed = {"mapq_histogram": ("mapq", include_mapq), "flag_histogram": ("flag", include_flags)}
+    for name, (metric, wanted) in listed.items():
+        if wanted:
+            item = F.when(F.col("metric") == metric, _bin("value", F.col("value") + 1, "n"))
+            parts[name] = counts.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias(name))
+    if include_mapq and scaled:
+        parts["mapq_histogram_scaled"] = _list(
+            al.mapq_histogram(aln, by, True), by, "mapq_histogram_scaled", "start", "end", "count"
+        )
+    for name, part in parts.items():
+        out = out.withColumn(name, F.lit(None).cast(_BINS)) if part is None else join_on(out, part, by, "left")
     return out
 
 
@@ -117,61 +153,59 @@ def coverage_report(
 ) -> DataFrame:
     """Mean and median depth per input and contig, low contigs, depth distribution.
 
-    Windows and quantized runs are null unless asked for. Without ``with_distribution`` there
+    Windows and quantized runs are added when asked for. Without ``with_distribution`` there
     is no sweep, and medians and distribution are null.
     """
+    by_contig = [*by, "contig"]
     blocks = dp.aligned_blocks(aln, by, fast_mode, min_mapq, exclude_flags)
     contigs = dp.coverage_by_contig(blocks, refs, by)
     out = dp.coverage_summary(contigs, by)
     if with_distribution:
-        depth = dp.base_depth(blocks, by, tile, refs, merge=False)
-        contigs = contigs.join(dp.median_depth(depth, by).select(*by, "contig", "median_depth"), [*by, "contig"], "left")
-        out = out.join(dp.median_depth(depth, by, per_contig=False).select(*by, "median_depth"), list(by), "left")
-        hist = dp.depth_histogram(depth, by).select(
-            *by, F.col("depth").cast("double").alias("start"), F.col("depth").cast("double").alias("end"), F.col("bases").alias("count")
+        per_contig = dp.depth_histogram(dp.base_depth(blocks, by, tile, refs, merge=False), by, per_contig=True)
+        overall = per_contig.groupBy(*by, "depth").agg(F.sum("bases").alias("bases"))
+        contigs = join_on(contigs, dp.depth_statistics(per_contig, by_contig).drop("min_depth", "max_depth"), by_contig, "left")
+        out = join_on(out, dp.depth_statistics(overall, by).drop("min_depth", "max_depth"), by, "left")
+        bins = overall.groupBy(*by).agg(
+            F.sort_array(F.collect_list(_bin("depth", F.col("depth"), "bases"))).alias("coverage_distribution")
         )
-        out = out.join(_list(hist, by, "coverage_distribution", "start", "end", "count"), list(by), "left")
+        out = join_on(out, bins, by, "left")
     else:
         contigs = contigs.withColumn("median_depth", F.lit(None).cast("double"))
         out = out.withColumns(
-            {
-                "median_depth": F.lit(None).cast("double"),
-                "coverage_distribution": F.lit(None).cast("array<struct<start:double,end:double,count:bigint>>"),
-            }
+            {"median_depth": F.lit(None).cast("double"), "coverage_distribution": F.lit(None).cast(_BINS)}
         )
     low = dp.low_coverage(contigs, low_cov_threshold, by)
-    out = out.join(
-        _list(contigs, by, "coverage_by_contig", "contig", "length", "mean_depth", "median_depth"), list(by), "left"
-    ).join(_list(low, by, "low_coverage_regions", "contig", "start", "end", "mean_depth"), list(by), "left")
-    out = _empty_if_null(out, "low_coverage_regions")
+    lists = {
+        "coverage_by_contig": (contigs, ("contig", "length", "mean_depth", "median_depth")),
+        "low_coverage_regions": (low, ("contig", "start", "end", "mean_depth")),
+    }
     if window is not None:
-        frames = dp.window_coverage(blocks, refs, window, by)
-        out = out.join(_list(frames, by, "windows", "contig", "start", "end", "mean_depth"), list(by), "left")
+        lists["windows"] = (dp.window_coverage(blocks, refs, window, by), ("contig", "start", "end", "mean_depth"))
     if quantize is not None:
-        runs = dp.quantized_coverage(blocks, refs, quantize, by, tile)
-        out = out.join(_list(runs, by, "quantized", "contig", "start", "end", "label"), list(by), "left")
-    return out
+        lists["quantized"] = (dp.quantized_coverage(blocks, refs, quantize, by, tile), ("contig", "start", "end", "label"))
+    for name, (rows, fields) in lists.items():
+        out = join_on(out, _list(rows, by, name, *fields), by, "left")
+    return _empty_if_null(out, "low_coverage_regions")
 
 
 def error_report(aln: DataFrame, refs: DataFrame, by: Sequence[str] = ("file",), tile: int = dp.TILE) -> DataFrame:
     """Error rates with depth, GC, mismatch and insert size distributions; empty ones are null."""
-    blocks = dp.aligned_blocks(aln, by)
-    depth = dp.depth_histogram(dp.base_depth(blocks, by, tile, merge=False), by)
+    depth = dp.depth_histogram(dp.base_depth(dp.aligned_blocks(aln, by), by, tile, merge=False), by)
     cycles = _list(al.mismatch_by_cycle(aln, by), by, "c", "cycle", "rate")
-
-    def spot(name: str) -> list[Column]:
-        return [F.col(name).cast("double").alias("start"), F.col(name).cast("double").alias("end")]
-
+    out = join_on(
+        al.error_rates(aln, by),
+        cycles.select(*by, F.transform("c", lambda x: x["rate"]).alias("mismatch_by_cycle")),
+        by,
+        "left",
+    )
     bins = {
-        "coverage_histogram": depth.select(*by, *spot("depth"), F.col("bases").alias("count")),
-        "gc_coverage": dp.gc_coverage(aln, refs, by=by).select(*by, *spot("gc_pct"), F.col("windows").alias("count")),
-        "insert_size_histogram": al.insert_size_histogram(aln, by).select(*by, *spot("insert_size"), "count"),
+        "coverage_histogram": (depth, "depth", "bases"),
+        "gc_coverage": (dp.gc_coverage(aln, refs, by=by), "gc_pct", "windows"),
+        "insert_size_histogram": (al.insert_size_histogram(aln, by), "insert_size", "count"),
     }
-    out = al.error_rates(aln, by).join(
-        cycles.select(*by, F.transform("c", lambda x: x["rate"]).alias("mismatch_by_cycle")), list(by), "left"
-    )
-    for name, rows in bins.items():
-        out = out.join(_list(rows, by, name, "start", "end", "count"), list(by), "left")
+    for name, (rows, at, count) in bins.items():
+        listed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(_bin(at, F.col(at), count))).alias(name))
+        out = join_on(out, listed, by, "left")
     return out
 
 
@@ -183,8 +217,15 @@ def alignment_summary(
     include_error_profile: bool = False,
     alignment_options: dict | None = None,
     coverage_options: dict | None = None,
+    stage: bool = True,
 ) -> DataFrame:
-    """``(*by, alignment, coverage, errors)`` as structs; a part not asked for is null and not computed."""
+    """``(*by, alignment, coverage, errors)`` as structs; a part not asked for is null and not computed.
+
+    The parts pass over the alignments several times, so their columns are staged first unless
+    ``stage`` is off (for input that is a narrow Parquet table already).
+    """
+    if stage:
+        aln = stage_alignments(aln, by, with_seq=include_error_profile)
     out = _nest(alignment_report(aln, by, **(alignment_options or {})), by, "alignment")
     parts = {
         "coverage": (include_coverage, lambda: coverage_report(aln, refs, by, **(coverage_options or {}))),
@@ -192,7 +233,7 @@ def alignment_summary(
     }
     for name, (wanted, build) in parts.items():
         if wanted:
-            out = out.join(_nest(build(), by, name), list(by), "left")
+            out = join_on(out, _nest(build(), by, name), by, "left")
         else:
             out = out.withColumn(name, F.lit(None).cast("string"))
     return out

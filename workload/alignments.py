@@ -311,11 +311,16 @@ def overlap_join(spark, sf):
 
 
 @query(
-    f"""WITH {ALL_BASES}, {_ALIGNED}, {n50_sql('kept', 'len')}, c AS (SELECT file, avg(depth) AS d, median(depth) AS m FROM allbase GROUP BY file),
-e AS (SELECT file, (sum(nm) - sum(ins) - sum(del)) / sum(len) AS mismatch FROM aln WHERE flag & 2308 = 0 GROUP BY file),
+    f"""WITH {ALL_BASES}, {_ALIGNED}, {n50_sql('kept', 'len')},
+h AS (SELECT file, max(len) // 2000 + 1 AS length_bins, count(DISTINCT mapq) AS mapqs FROM kept GROUP BY file),
+c AS (SELECT file, avg(depth) AS d, median(depth) AS m, count(DISTINCT depth) AS depths FROM allbase GROUP BY file),
+l AS (SELECT file, count(*) FILTER (d < 5) AS low_contigs, max(m) AS best FROM (
+        SELECT file, contig, avg(depth) AS d, median(depth) AS m FROM allbase GROUP BY ALL) GROUP BY file),
+e AS (SELECT file, (sum(nm) - sum(ins) - sum(del)) / sum(len) AS mismatch, max(size) AS cycles FROM aln WHERE flag & 2308 = 0 GROUP BY file),
 x AS (SELECT file, {_CLASSES} FROM aln GROUP BY file)
-SELECT file, total_reads, mapped, n50, round(d, 6) AS mean_depth, m AS median_depth, round(mismatch, 9) AS mismatch_rate
-FROM x JOIN n50 USING (file) JOIN c USING (file) JOIN e USING (file)"""
+SELECT file, total_reads, mapped, n50, length_bins, mapqs, round(d, 6) AS mean_depth, m AS median_depth, depths, low_contigs,
+       best, round(mismatch, 9) AS mismatch_rate, cycles
+FROM x JOIN n50 USING (file) JOIN h USING (file) JOIN c USING (file) JOIN l USING (file) JOIN e USING (file)"""
 )
 def alignment_summary(spark, sf):
     out = reports.alignment_summary(
@@ -324,12 +329,22 @@ def alignment_summary(spark, sf):
         include_error_profile=True,
         coverage_options={"low_cov_threshold": 5, "tile": views.TILE},
     )
+
+    def size(path):
+        return F.size(path).cast("bigint")
+
     return out.select(
         "file",
         "alignment.total_reads",
         "alignment.mapped",
         "alignment.n50",
+        size("alignment.length_histogram").alias("length_bins"),
+        size("alignment.mapq_histogram").alias("mapqs"),
         F.round("coverage.mean_depth", 6).alias("mean_depth"),
         "coverage.median_depth",
+        size("coverage.coverage_distribution").alias("depths"),
+        size("coverage.low_coverage_regions").alias("low_contigs"),
+        F.array_max(F.transform("coverage.coverage_by_contig", lambda c: c["median_depth"])).alias("best"),
         F.round("errors.mismatch_rate", 9).alias("mismatch_rate"),
+        size("errors.mismatch_by_cycle").alias("cycles"),
     )
