@@ -24,9 +24,9 @@ def read_fastq(spark: SparkSession, paths: Paths, check_names: bool = True) -> D
     sequence or quality is used.
     """
     chunks = read_lines(spark, paths, "\n@", FASTQ_NAMES if check_names else ())
-    line = F.split("value", "\r?\n")
+    line = F.split("value", "\n")
     lines = chunks.select("file", "block", F.col("id").alias("rec"), line.alias("l"))
-    at = {i: F.get("l", F.lit(i)) for i in range(4)}
+    at = {i: F.rtrim(F.get("l", F.lit(i)), F.lit("\r")) for i in range(4)}
     has_head = F.coalesce(F.startswith(at[2], F.lit("+")), F.lit(False))
     whole = has_head & (F.size("l") >= 4)
     # only the first piece of a file still has its own @

@@ -71,13 +71,13 @@ def read_gff3(spark: SparkSession, paths: Paths, check_names: bool = True) -> Da
     return lines.where((text != "") & ~F.startswith(text, F.lit("##")) & (F.size(p) >= 9)).select(
         "file",
         "line_no",
-        p[0].alias("seqid"),
-        p[1].alias("source"),
-        p[2].alias("type"),
-        safe_int(p[3]).alias("start"),
-        safe_int(p[4]).alias("end"),
-        p[5].alias("score"),
-        p[6].alias("strand"),
-        p[7].alias("phase"),
-        gff_attrs(p[8]).alias("attrs"),
+        F.get(p, F.lit(0)).alias("seqid"),
+        F.get(p, F.lit(1)).alias("source"),
+        F.get(p, F.lit(2)).alias("type"),
+        safe_int(F.get(p, F.lit(3))).alias("start"),
+        safe_int(F.get(p, F.lit(4))).alias("end"),
+        F.get(p, F.lit(5)).alias("score"),
+        F.get(p, F.lit(6)).alias("strand"),
+        F.get(p, F.lit(7)).alias("phase"),
+        gff_attrs(F.get(p, F.lit(8))).alias("attrs"),
     )

@@ -34,6 +34,11 @@ def read_lines(spark: SparkSession, paths: Paths, line_sep: str | None = None, a
     )
 
 
+def file_label(name: str) -> str:
+    """A listed file name as ``_metadata.file_path`` spells it."""
+    return re.sub("^file:/+", "file:/", name)
+
+
 def check_names(files: Sequence[str], allowed: Iterable[str] = ()) -> None:
     """Refuses names that Spark would read wrongly, or that are not of the expected kind."""
     allowed = tuple(allowed)
@@ -106,9 +111,8 @@ def read_heads(
         for batch in batches:
             for name in batch["file"]:
                 rows = list(_head(name, prefix, max_lines, stop))
-                label = re.sub("^file:/+", "file:/", name)  # as _metadata.file_path spells it
-                yield pd.DataFrame(
-                    {"file": [label] * len(rows), "line_no": [r[0] for r in rows], "value": [r[1] for r in rows]}
-                )
+                if rows:
+                    label = [file_label(name)] * len(rows)
+                    yield pd.DataFrame({"file": label, "line_no": [r[0] for r in rows], "value": [r[1] for r in rows]})
 
     return names.mapInPandas(heads, LINE_SCHEMA)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlens.sources.lines import Paths, path_list
+from strandlens.sources.lines import Paths, file_label, path_list
 
 # Formats by file name ending.
 FORMATS = {
@@ -29,7 +29,7 @@ def file_manifest(
 
     ``status`` is ok, empty, too_large, bad_extension or missing.
     """
-    name = F.lower("path")
+    name = F.lower("file")
     fmt = F.lit(None).cast("string")
     for label, endings in FORMATS.items():
         fmt = F.when(_ends(name, endings), label).otherwise(fmt)
@@ -40,20 +40,19 @@ def file_manifest(
         status = status.when(~_ends(name, allowed), "bad_extension")
     listed = path_list(paths)
     present = [p for p in listed if _exists(spark, p)]
-    gone = spark.createDataFrame(
-        [(p, "missing") for p in listed if p not in present], "file string, status string"
-    )
+    gone = spark.createDataFrame([(p, "missing") for p in listed if p not in present], "file string, status string")
     if not present:
         return gone.selectExpr(
             "file", "cast(null as bigint) length", "cast(null as timestamp) modified", "cast(null as string) format", "status"
         )
-    files = spark.read.format("binaryFile").load(present)
-    out = files.select(
-        F.col("path").alias("file"),
-        "length",
-        F.col("modificationTime").alias("modified"),
-        fmt.alias("format"),
-        status.otherwise("ok").alias("status"),
+    found = spark.read.format("binaryFile").load(present)
+    # Spark makes no rows for files without bytes, so these are taken from its listing
+    names = spark.createDataFrame([(file_label(f),) for f in found.inputFiles()], "file string")
+    sized = found.select(F.col("_metadata.file_path").alias("file"), "length", F.col("modificationTime").alias("modified"))
+    out = (
+        names.join(sized, "file", "left")
+        .withColumn("length", F.coalesce("length", F.lit(0)))
+        .select("file", "length", "modified", fmt.alias("format"), status.otherwise("ok").alias("status"))
     )
     return out.unionByName(gone, allowMissingColumns=True) if len(present) < len(listed) else out
 

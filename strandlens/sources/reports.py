@@ -39,7 +39,7 @@ def _bins(text: Column) -> Column:
     """``[[start, end, count], …]`` to bins; null where the block is absent, empty where it is empty."""
     return F.transform(
         F.filter(F.from_json(text, _BINS), lambda b: F.size(b) >= 3),
-        lambda b: F.struct(b[0].alias("start"), b[1].alias("end"), b[2].cast("bigint").alias("count")),
+        lambda b: F.struct(F.get(b, F.lit(0)).alias("start"), F.get(b, F.lit(1)).alias("end"), F.get(b, F.lit(2)).cast("bigint").alias("count")),
     )
 
 
@@ -164,7 +164,7 @@ def ingest_histogram_tsv(spark: SparkSession, paths: Paths) -> DataFrame:
     """``(file, start, end, count)``; lines without three numbers, such as the header, are dropped."""
     p = F.col("p")
     rows = _cells(spark, paths).where(F.size(p) >= 3).select(
-        "file", safe_float(p[0]).alias("start"), safe_float(p[1]).alias("end"), safe_float(p[2]).cast("bigint").alias("count")
+        "file", safe_float(F.get(p, F.lit(0))).alias("start"), safe_float(F.get(p, F.lit(1))).alias("end"), safe_float(F.get(p, F.lit(2))).cast("bigint").alias("count")
     )
     return rows.dropna()
 
@@ -172,19 +172,19 @@ def ingest_histogram_tsv(spark: SparkSession, paths: Paths) -> DataFrame:
 def ingest_coverage_summary(spark: SparkSession, paths: Paths) -> DataFrame:
     """``(file, contig, length, bases, mean_depth)``; total and region rows are kept as written."""
     p = F.col("p")
-    rows = _cells(spark, paths).where((F.size(p) >= 4) & ~F.startswith(p[0], F.lit("chrom")))
+    rows = _cells(spark, paths).where((F.size(p) >= 4) & ~F.startswith(F.get(p, F.lit(0)), F.lit("chrom")))
     return rows.select(
         "file",
-        p[0].alias("contig"),
-        p[1].cast("bigint").alias("length"),
-        p[2].cast("double").alias("bases"),
-        p[3].cast("double").alias("mean_depth"),
+        F.get(p, F.lit(0)).alias("contig"),
+        F.get(p, F.lit(1)).cast("bigint").alias("length"),
+        F.get(p, F.lit(2)).cast("double").alias("bases"),
+        F.get(p, F.lit(3)).cast("double").alias("mean_depth"),
     )
 
 
 def _region_cells(spark: SparkSession, paths: Paths) -> DataFrame:
     p = F.col("p")
-    return _cells(spark, paths).where(~F.startswith(p[0], F.lit("#")) & (F.size(p) >= 4))
+    return _cells(spark, paths).where(~F.startswith(F.get(p, F.lit(0)), F.lit("#")) & (F.size(p) >= 4))
 
 
 def ingest_region_depth(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -192,9 +192,9 @@ def ingest_region_depth(spark: SparkSession, paths: Paths) -> DataFrame:
     p = F.col("p")
     return _region_cells(spark, paths).select(
         "file",
-        p[0].alias("contig"),
-        p[1].cast("bigint").alias("start"),
-        p[2].cast("bigint").alias("end"),
+        F.get(p, F.lit(0)).alias("contig"),
+        F.get(p, F.lit(1)).cast("bigint").alias("start"),
+        F.get(p, F.lit(2)).cast("bigint").alias("end"),
         F.element_at(p, -1).cast("double").alias("mean_depth"),
     )
 
@@ -214,15 +214,15 @@ def ingest_region_thresholds(
         "file",
         "block",
         "id",
-        p[0].alias("contig"),
-        p[1].cast("bigint").alias("start"),
-        p[2].cast("bigint").alias("end"),
+        F.get(p, F.lit(0)).alias("contig"),
+        F.get(p, F.lit(1)).cast("bigint").alias("start"),
+        F.get(p, F.lit(2)).cast("bigint").alias("end"),
         F.transform(F.slice(p, -n, n), lambda x: x.cast("double")).alias("v"),
     )
     last = rows.groupBy("file", "contig", "start", "end").agg(F.max_by("v", F.struct("block", "id")).alias("v"))
     width = F.lit(1.0) if unit == "fraction" else F.col("end") - F.col("start")
     return last.select(
-        "file", "contig", "start", "end", *[(F.col("v")[i] * 100.0 / width).alias(f"pct_coverage_{t}x") for i, t in enumerate(thresholds)]
+        "file", "contig", "start", "end", *[(F.get("v", F.lit(i)) * 100.0 / width).alias(f"pct_coverage_{t}x") for i, t in enumerate(thresholds)]
     )
 
 
@@ -291,15 +291,15 @@ def ingest_variant_stats(
     Read from the lines SN and TSTV, the latter with or without a sample column. A ratio that
     is no number is computed from the counts: null if both are 0, infinite if only tv is.
     """
-    cells = _cells(spark, paths).where(~F.startswith(F.col("p")[0], F.lit("#")) & (F.size("p") >= 4))
+    cells = _cells(spark, paths).where(~F.startswith(F.get("p", F.lit(0)), F.lit("#")) & (F.size("p") >= 4))
     p = F.col("p")
-    key = F.when(p[0] == "SN", F.lower(p[2]))
+    key = F.when(F.get(p, F.lit(0)) == "SN", F.lower(F.get(p, F.lit(2))))
     wide = F.size(p) >= 5
-    ts = safe_int(F.when(wide, F.get(p, F.lit(2))).otherwise(p[1]))
-    tv = safe_int(F.when(wide, F.get(p, F.lit(3))).otherwise(p[2]))
-    text = F.when(wide, F.get(p, F.lit(4))).otherwise(p[3])
+    ts = safe_int(F.when(wide, F.get(p, F.lit(2))).otherwise(F.get(p, F.lit(1))))
+    tv = safe_int(F.when(wide, F.get(p, F.lit(3))).otherwise(F.get(p, F.lit(2))))
+    text = F.when(wide, F.get(p, F.lit(4))).otherwise(F.get(p, F.lit(3)))
     counted = F.when(tv > 0, ts / tv).when((ts == 0) & (tv == 0), F.lit(None)).when(ts > 0, F.lit(float("inf"))).otherwise(0.0)
-    ratio = F.when((p[0] == "TSTV") & ts.isNotNull() & tv.isNotNull(), F.struct(F.coalesce(safe_float(text), counted).alias("ratio")))
+    ratio = F.when((F.get(p, F.lit(0)) == "TSTV") & ts.isNotNull() & tv.isNotNull(), F.struct(F.coalesce(safe_float(text), counted).alias("ratio")))
     # Parts of the SN keys, in the order they are tried.
     names = {
         "number of records": "total_records",
@@ -313,7 +313,7 @@ def ingest_variant_stats(
     field = F.lit(None).cast("string")
     for part, name in reversed(list(names.items())):
         field = F.when(F.contains(key, F.lit(part)), name).otherwise(field)
-    rows = cells.select("file", F.struct("block", "id").alias("place"), field.alias("field"), p[3].alias("v"), ratio.alias("ratio"))
+    rows = cells.select("file", F.struct("block", "id").alias("place"), field.alias("field"), F.get(p, F.lit(3)).alias("v"), ratio.alias("ratio"))
 
     def latest(name: str) -> Column:
         value = F.when(F.col("field") == name, F.col("v") if name == "sample_name" else safe_int(F.col("v")).cast("string"))

@@ -21,16 +21,16 @@ def read_sam(spark: SparkSession, paths: Paths, check_names: bool = True) -> Dat
     )
     return lines.where((F.col("value") != "") & ~F.startswith("value", F.lit("@"))).select(
         "file",
-        f[0].alias("qname"),
-        f[1].try_cast("int").alias("flag"),
-        f[2].alias("contig"),
-        (f[3].try_cast("bigint") - 1).alias("pos"),
-        f[4].try_cast("int").alias("mapq"),
-        f[5].alias("cigar"),
-        f[6].alias("rnext"),
-        (f[7].try_cast("bigint") - 1).alias("pnext"),
-        f[8].try_cast("bigint").alias("tlen"),
-        f[9].alias("seq"),
-        f[10].alias("qual"),
+        F.get(f, F.lit(0)).alias("qname"),
+        F.get(f, F.lit(1)).try_cast("int").alias("flag"),
+        F.get(f, F.lit(2)).alias("contig"),
+        (F.get(f, F.lit(3)).try_cast("bigint") - 1).alias("pos"),
+        F.get(f, F.lit(4)).try_cast("int").alias("mapq"),
+        F.get(f, F.lit(5)).alias("cigar"),
+        F.get(f, F.lit(6)).alias("rnext"),
+        (F.get(f, F.lit(7)).try_cast("bigint") - 1).alias("pnext"),
+        F.get(f, F.lit(8)).try_cast("bigint").alias("tlen"),
+        F.get(f, F.lit(9)).alias("seq"),
+        F.get(f, F.lit(10)).alias("qual"),
         map_last_wins(tags).alias("tags"),
     )

@@ -24,11 +24,11 @@ def read_vcf(spark: SparkSession, paths: Paths, check_names: bool = True) -> Dat
     )
     return lines.where((F.col("value") != "") & ~F.startswith("value", F.lit("#"))).select(
         "file",
-        f[0].alias("chrom"),
-        f[1].try_cast("bigint").alias("pos"),
-        f[2].alias("id"),
-        f[3].alias("ref"),
-        F.split(f[4], ",").alias("alts"),
+        F.get(f, F.lit(0)).alias("chrom"),
+        F.get(f, F.lit(1)).try_cast("bigint").alias("pos"),
+        F.get(f, F.lit(2)).alias("id"),
+        F.get(f, F.lit(3)).alias("ref"),
+        F.split(F.get(f, F.lit(4)), ",").alias("alts"),
         F.get(f, F.lit(5)).try_cast("double").alias("qual"),
         F.get(f, F.lit(6)).alias("filter"),
         map_last_wins(info).alias("info"),
