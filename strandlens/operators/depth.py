@@ -22,6 +22,7 @@ from strandlens.operators.distribution import order_statistics
 from strandlens.operators.joins import join_on
 
 TILE = 1 << 16
+FRAMES = 1 << 12
 
 
 def aligned_blocks(
@@ -209,9 +210,12 @@ def window_coverage(
     covered = cut_at_tiles(blocks.where(F.col("start") < F.col("end")), window).groupBy(*keys, "tile").agg(
         F.sum(F.col("end") - F.col("start")).alias("bases")
     )
-    frames = cut_at_tiles(
-        refs.where(F.col("length") > 0).select(*keys, zero.alias("start"), F.col("length").alias("end")), window
+    # contigs are cut coarsely first, so that their many small frames are made by many tasks
+    tasks = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    coarse = cut_at_tiles(
+        refs.where(F.col("length") > 0).select(*keys, zero.alias("start"), F.col("length").alias("end")), window * FRAMES
     )
+    frames = cut_at_tiles(coarse.repartition(tasks, *keys, "tile").drop("tile"), window)
     return join_on(frames, covered, [*keys, "tile"], "left").select(
         *keys, "start", "end", (F.coalesce("bases", zero) / (F.col("end") - F.col("start"))).alias("mean_depth")
     )

@@ -111,9 +111,9 @@ def per_position_quality(reads: DataFrame, by: Sequence[str] = ("file",)) -> Dat
                 seen: dict[tuple, int] = {}
                 rows = zip(*(table[b].to_pylist() for b in by))
                 codes = np.array([seen.setdefault(r, len(seen)) for r in rows], np.int64)
-            for group in np.unique(codes):
-                member = np.flatnonzero(codes == group)
-                part = table.take(pa.array(member))
+            groups = np.unique(codes)
+            for group in groups:
+                part = table if len(groups) == 1 else table.filter(pa.array(codes == group))
                 data, starts, ends = byte_view(part["qual"].combine_chunks())
                 if len(data) == 0:
                     continue

@@ -114,7 +114,9 @@ def _stats_sql(table: str, carried: str) -> str:
     return f"""SELECT file, count(DISTINCT pos) AS total_records, {n('snp')} AS snps, {n('indel')} AS indels, {n('mnp')} AS mnps,
        {n('other')} AS others, count(*) FILTER (change = 'ts') AS ts, count(*) FILTER (change = 'tv') AS tv,
        count(*) FILTER ({carried} = 1) AS singletons,
-       round(count(*) FILTER (change = 'ts') / nullif(count(*) FILTER (change = 'tv'), 0), 9) AS ts_tv_ratio
+       CASE WHEN count(*) FILTER (change = 'tv') > 0
+              THEN round(count(*) FILTER (change = 'ts') / count(*) FILTER (change = 'tv'), 9)
+            WHEN count(*) FILTER (change = 'ts') > 0 THEN CAST('Infinity' AS DOUBLE) END AS ts_tv_ratio
 FROM {table} GROUP BY file"""
 
 

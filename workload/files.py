@@ -505,7 +505,8 @@ def stats_error_rates(spark, sf):
 @query(
     """SELECT p_brand AS src, count(*) AS total_records, count(*) FILTER (p_size % 2 = 0) AS snps,
        count(*) FILTER (p_size % 2 = 1) AS indels, CAST(0 AS BIGINT) AS mnps, CAST(NULL AS BIGINT) AS singletons, 'S_' || p_brand AS sample_name,
-       round(count(*) / nullif(count(*) FILTER (p_size % 3 = 0), 0), 9) AS ts_tv_ratio
+       CASE WHEN count(*) FILTER (p_size % 3 = 0) = 0 THEN CAST('Infinity' AS DOUBLE)
+            ELSE round(count(*) / count(*) FILTER (p_size % 3 = 0), 9) END AS ts_tv_ratio
 FROM part GROUP BY p_brand"""
 )
 def variant_stats_ingest(spark, sf):
