@@ -34,8 +34,7 @@ def gc_content(seq: Column) -> Column:
     return gc_count(seq) / F.nullif(F.length(seq), F.lit(0))
 
 
-@F.arrow_udf(DoubleType())
-def _mean_qscore(qual: pa.Array) -> pa.Array:
+def _scores(qual: pa.Array) -> pa.Array:
     data, starts, ends = byte_view(qual)
     sizes = ends - starts
     full = sizes > 0
@@ -47,9 +46,18 @@ def _mean_qscore(qual: pa.Array) -> pa.Array:
     return pa.array(out, mask=~full)
 
 
-def mean_qscore(qual: Column) -> Column:
-    """Quality of the mean error probability, ``-10 log10(mean(10^(-q/10)))``."""
-    return _mean_qscore(qual)
+_mean_qscore = F.arrow_udf(_scores, DoubleType())
+_mean_qscore_pinned = F.arrow_udf(_scores, DoubleType()).asNondeterministic()
+
+
+def mean_qscore(qual: Column, pinned: bool = False) -> Column:
+    """Quality of the mean error probability, ``-10 log10(mean(10^(-q/10)))``.
+
+    ``pinned`` keeps the optimizer from copying it: a filter on a column made of it stays above
+    the projection, where it would else be pushed below and have the reads' own expressions
+    (such as the parsing of text) evaluated once more.
+    """
+    return (_mean_qscore_pinned if pinned else _mean_qscore)(qual)
 
 
 def crop(c: Column, headcrop: int = 0, tailcrop: int = 0) -> Column:

@@ -138,15 +138,6 @@ def per_position_quality(reads: DataFrame, by: Sequence[str] = ("file",)) -> Dat
     )
 
 
-def filter_reads_length(reads: DataFrame, min_len: int | None = None, max_len: int | None = None) -> DataFrame:
-    size = F.length("seq")
-    return reads.where(_between(size, min_len, max_len))
-
-
-def filter_reads_quality(reads: DataFrame, min_qual: float | None = None, max_qual: float | None = None) -> DataFrame:
-    return reads.where(_between(fn.mean_qscore(F.col("qual")), min_qual, max_qual))
-
-
 def filter_reads(
     reads: DataFrame,
     min_len: int | None = None,
@@ -154,9 +145,20 @@ def filter_reads(
     min_qual: float | None = None,
     max_qual: float | None = None,
 ) -> DataFrame:
-    """Length and quality limits together; lengths are checked first, they cost nothing."""
-    kept = filter_reads_length(reads, min_len, max_len)
-    return kept if min_qual is None and max_qual is None else filter_reads_quality(kept, min_qual, max_qual)
+    """Reads within limits of length and of mean quality, both ends included."""
+    keep = _between(F.length("seq"), min_len, max_len)
+    if min_qual is None and max_qual is None:
+        return reads.where(keep)
+    keep = keep & _between(fn.mean_qscore(F.col("qual"), pinned=True), min_qual, max_qual)
+    return reads.withColumn("_keep", keep).where("_keep").drop("_keep")
+
+
+def filter_reads_length(reads: DataFrame, min_len: int | None = None, max_len: int | None = None) -> DataFrame:
+    return filter_reads(reads, min_len, max_len)
+
+
+def filter_reads_quality(reads: DataFrame, min_qual: float | None = None, max_qual: float | None = None) -> DataFrame:
+    return filter_reads(reads, min_qual=min_qual, max_qual=max_qual)
 
 
 def _between(value: Column, low: float | None, high: float | None) -> Column:
@@ -203,7 +205,7 @@ def trim_reads(
         cut = {c: fn.crop(F.col(c), headcrop, tailcrop) for c in ("seq", "qual")}
     trimmed = reads.withColumns({f"trimmed_{c}": e for c, e in cut.items()})
     long_enough = _between(F.length("trimmed_seq"), minlength, maxlength)
-    good = _between(fn.mean_qscore(F.col("qual")), quality, None) if quality > 0 else F.lit(True)
+    good = _between(fn.mean_qscore(F.col("qual"), pinned=True), quality, None) if quality > 0 else F.lit(True)
     return trimmed.withColumn("passed", long_enough & good)
 
 
