@@ -161,6 +161,28 @@ def mismatch_cycles(cigar: Column, md: Column, reverse: Column) -> Column:
     return _cycles(cigar, md, reverse)
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def _gap_cycles(cigar: pa.Array, reverse: pa.Array) -> pa.Array:
+    n = len(cigar)
+    row, op, length, _, read_at = _walk(cigar)
+    read_len = np.bincount(row, weights=np.where(_ON_READ[op], length, 0), minlength=n).astype(np.int64)
+    back = np.asarray(reverse.fill_null(False).cast(pa.uint8())).astype(bool)
+    gap = ((op == ord("I")) | (op == ord("D"))) & (length > 0)
+    row, op, at = row[gap], op[gap], read_at[gap]
+    inserted = op == ord("I")
+    count = np.where(inserted, length[gap], 1)
+    # inserted bases one by one; a deletion between two bases once
+    row, at, inserted = np.repeat(row, count), np.repeat(at, count), np.repeat(inserted, count)
+    at = at + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    forward = np.where(inserted, at + 1, at)
+    return _lists(row, n, pa.array(np.where(back[row], read_len[row] - at, forward)))
+
+
+def gap_cycles(cigar: Column, reverse: Column) -> Column:
+    """1-based cycles of inserted bases, and for each deletion the cycle right before it."""
+    return _gap_cycles(cigar, reverse)
+
+
 def read_length_of_cigar(summary: Column) -> Column:
     """Bases of the read that are not soft-clipped."""
     return summary["aligned"] + summary["ins_bases"]

@@ -159,40 +159,43 @@ def error_rates(aln: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
 
 
 def mismatch_by_cycle(aln: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
-    """``(*by, cycle, mismatches, reads, rate)`` for each cycle any read reaches.
+    """``(*by, cycle, mismatches, reads, rate)`` for each cycle any read with MD reaches."""
+    return _by_cycle(aln, by, False).withColumnRenamed("events", "mismatches")
 
-    Only mismatch positions are exploded; the reads at a cycle come from the read lengths.
-    """
+
+def errors_by_cycle(aln: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
+    """``(*by, cycle, errors, reads, rate)``: mismatches, inserted bases and deletions together."""
+    return _by_cycle(aln, by, True).withColumnRenamed("events", "errors")
+
+
+def _by_cycle(aln: DataFrame, by: Sequence[str], with_gaps: bool) -> DataFrame:
+    """Only the cycles of events are exploded; the reads at a cycle come from the read lengths."""
+    back = sam.has_any(F.col("flag"), sam.REVERSE)
+    cycles = cg.mismatch_cycles(F.col("cigar"), tag("MD"), back)
+    if with_gaps:
+        cycles = F.concat(cycles, cg.gap_cycles(F.col("cigar"), back))
     rows = (
         _for_errors(aln)
-        .select(
-            *by,
-            cg.cigar_summary(F.col("cigar")).alias("c"),
-            cg.mismatch_cycles(F.col("cigar"), tag("MD"), sam.has_any(F.col("flag"), sam.REVERSE)).alias("cycles"),
-            tag("MD").alias("md"),
-        )
-        .where(F.col("md").isNotNull())
+        .where(tag("MD").isNotNull())
+        .select(*by, cg.cigar_summary(F.col("cigar")).alias("c"), cycles.alias("cycles"))
         .withColumn("size", cg.read_length_of_cigar(F.col("c")) + F.col("c")["soft_clip"])
     )
-    # one read gives its mismatches (cycle, 1, 0) and its own end (length, 0, 1)
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    # one read gives its events (cycle, 1, 0) and its own end (length, 0, 1)
     marks = F.concat(
-        F.transform("cycles", lambda c: F.struct(c.alias("cycle"), F.lit(1).cast("bigint").alias("m"), F.lit(0).cast("bigint").alias("ends"))),
-        F.array(F.struct(F.col("size").alias("cycle"), F.lit(0).cast("bigint").alias("m"), F.lit(1).cast("bigint").alias("ends"))),
+        F.transform("cycles", lambda c: F.struct(c.alias("cycle"), one.alias("events"), zero.alias("ends"))),
+        F.array(F.struct(F.col("size").alias("cycle"), zero.alias("events"), one.alias("ends"))),
     )
     seen = rows.select(*by, F.inline(marks)).where(F.col("cycle") > 0)
-    per_cycle = seen.groupBy(*by, "cycle").agg(F.sum("m").alias("mismatches"), F.sum("ends").alias("ends"))
+    sums = (F.sum("events").alias("events"), F.sum("ends").alias("ends"))
+    per_cycle = seen.groupBy(*by, "cycle").agg(*sums)
     last = per_cycle.groupBy(*by).agg(F.max("cycle").alias("last"))
-    zero = F.lit(0).cast("bigint")
-    every = last.select(
-        *by, F.explode(F.sequence(F.lit(1).cast("bigint"), "last")).alias("cycle"), zero.alias("mismatches"), zero.alias("ends")
-    )
-    full = per_cycle.unionByName(every).groupBy(*by, "cycle").agg(
-        F.sum("mismatches").alias("mismatches"), F.sum("ends").alias("ends")
-    )
+    every = last.select(*by, F.explode(F.sequence(one, "last")).alias("cycle"), zero.alias("events"), zero.alias("ends"))
+    full = per_cycle.unionByName(every).groupBy(*by, "cycle").agg(*sums)
     # rows here are cycles, at most the length of the longest read per input
     longest_first = Window.partitionBy(*by).orderBy(F.desc("cycle")).rowsBetween(Window.unboundedPreceding, 0)
     return full.withColumn("reads", F.sum("ends").over(longest_first)).select(
-        *by, "cycle", "mismatches", "reads", (F.col("mismatches") / F.col("reads")).alias("rate")
+        *by, "cycle", "events", "reads", (F.col("events") / F.col("reads")).alias("rate")
     )
 
 

@@ -24,7 +24,7 @@ PRESETS: dict[str, dict[str, dict[str, Any]]] = {
         "with_hist_scaled": {"include_hist": True, "scaled": True},
         "with_flags_and_mapq": {"include_hist": True, "include_mapq": True, "include_flags": True},
     },
-    "coverage_report": {
+    "coverage_tables": {
         "window_1kb": {"window": 1000},
         "fast_quantized": {"fast_mode": True, "quantize": "0:1:10:30:100:"},
     },

@@ -146,15 +146,12 @@ def coverage_report(
     min_mapq: int = 0,
     exclude_flags: int = DEPTH_EXCLUDE,
     fast_mode: bool = False,
-    window: int | None = None,
-    quantize: str | None = None,
     with_distribution: bool = True,
     tile: int = dp.TILE,
 ) -> DataFrame:
     """Mean and median depth per input and contig, low contigs, depth distribution.
 
-    Windows and quantized runs are added when asked for. Without ``with_distribution`` there
-    is no sweep, and medians and distribution are null.
+    Without ``with_distribution`` there is no sweep, and medians and distribution are null.
     """
     by_contig = [*by, "contig"]
     blocks = dp.aligned_blocks(aln, by, fast_mode, min_mapq, exclude_flags)
@@ -179,25 +176,42 @@ def coverage_report(
         "coverage_by_contig": (contigs, ("contig", "length", "mean_depth", "median_depth")),
         "low_coverage_regions": (low, ("contig", "start", "end", "mean_depth")),
     }
-    if window is not None:
-        lists["windows"] = (dp.window_coverage(blocks, refs, window, by), ("contig", "start", "end", "mean_depth"))
-    if quantize is not None:
-        lists["quantized"] = (dp.quantized_coverage(blocks, refs, quantize, by, tile), ("contig", "start", "end", "label"))
     for name, (rows, fields) in lists.items():
         out = join_on(out, _list(rows, by, name, *fields), by, "left")
     return _empty_if_null(out, "low_coverage_regions")
 
 
+def coverage_tables(
+    aln: DataFrame,
+    refs: DataFrame,
+    by: Sequence[str] = ("file",),
+    window: int | None = None,
+    quantize: str | None = None,
+    min_mapq: int = 0,
+    exclude_flags: int = DEPTH_EXCLUDE,
+    fast_mode: bool = False,
+    tile: int = dp.TILE,
+) -> dict[str, DataFrame]:
+    """Coverage ``windows`` and ``quantized`` runs, as asked for.
+
+    These grow with the genome, so they are tables and not lists in a report.
+    """
+    blocks = dp.aligned_blocks(aln, by, fast_mode, min_mapq, exclude_flags)
+    tables = {}
+    if window is not None:
+        tables["windows"] = dp.window_coverage(blocks, refs, window, by)
+    if quantize is not None:
+        tables["quantized"] = dp.quantized_coverage(blocks, refs, quantize, by, tile)
+    return tables
+
+
 def error_report(aln: DataFrame, refs: DataFrame, by: Sequence[str] = ("file",), tile: int = dp.TILE) -> DataFrame:
     """Error rates with depth, GC, mismatch and insert size distributions; empty ones are null."""
     depth = dp.depth_histogram(dp.base_depth(dp.aligned_blocks(aln, by), by, tile, merge=False), by)
-    cycles = _list(al.mismatch_by_cycle(aln, by), by, "c", "cycle", "rate")
-    out = join_on(
-        al.error_rates(aln, by),
-        cycles.select(*by, F.transform("c", lambda x: x["rate"]).alias("mismatch_by_cycle")),
-        by,
-        "left",
-    )
+    out = al.error_rates(aln, by)
+    for name, rates in (("mismatch_by_cycle", al.mismatch_by_cycle(aln, by)), ("error_by_position", al.errors_by_cycle(aln, by))):
+        cycles = _list(rates, by, "c", "cycle", "rate")
+        out = join_on(out, cycles.select(*by, F.transform("c", lambda x: x["rate"]).alias(name)), by, "left")
     bins = {
         "coverage_histogram": (depth, "depth", "bases"),
         "gc_coverage": (dp.gc_coverage(aln, refs, by=by), "gc_pct", "windows"),
@@ -285,6 +299,20 @@ def target_regions(
     return found.select(line, "contig", "start", "end", "name")
 
 
+def combine_regions(*lists: DataFrame) -> DataFrame:
+    """Regions of several requests as one list; on equal coordinates the later request names the region."""
+    if not lists:
+        raise ValueError("At least one region list is required")
+    numbered = [
+        df.select(F.struct(F.lit(i).alias("list"), F.col("line_no").alias("line")).alias("line_no"), "contig", "start", "end", "name")
+        for i, df in enumerate(lists)
+    ]
+    out = numbered[0]
+    for df in numbered[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def targeted_coverage_report(
     aln: DataFrame,
     regions: DataFrame,

@@ -10,6 +10,7 @@ from strandlens.operators import alignments as al
 from strandlens.operators import depth as dp
 from strandlens.operators import overlap as ov
 from strandlens.plans import reports
+from strandlens.plans.presets import preset
 from strandlens.sources.headers import sam_header_lines, sam_references
 from strandlens.sources.sam import read_sam
 
@@ -45,7 +46,7 @@ def random_alignments(n, seed, contigs=("c1", "c2"), span=3000):
     rng = random.Random(seed)
     rows, truth = [], []
     for i in range(n):
-        ops, md, run, reads, blocks, nm = [], "", 0, [], [], 0
+        ops, md, run, reads, blocks, nm, gaps = [], "", 0, [], [], 0, []
         pos = rng.randint(0, span)
         ref = pos
         if rng.random() < 0.3:
@@ -73,7 +74,9 @@ def random_alignments(n, seed, contigs=("c1", "c2"), span=3000):
                 ops.append((gap, kind))
                 if kind == "D":
                     md, run, nm = md + f"{run}^" + "C" * gap, 0, nm + gap
+                    gaps.append((query, None))
                 if kind == "I":
+                    gaps += [(query + k + 1, query + k) for k in range(gap)]
                     query, nm = query + gap, nm + gap
                 else:
                     ref += gap
@@ -88,7 +91,8 @@ def random_alignments(n, seed, contigs=("c1", "c2"), span=3000):
             (f"f{i % 2}", f"r{i}", flag, contig, pos, rng.randint(0, 60), cigar, "*", -1, 0, "A" * query, "I" * query, {"NM": str(nm), "MD": md})
         )
         cycles = [query - p if flag & 16 else p + 1 for p in reads]
-        truth.append((rows[-1], blocks, sorted(cycles), ops))
+        around = [(f if not flag & 16 else query - (f if b is None else b)) for f, b in gaps]
+        truth.append((rows[-1], blocks, sorted(cycles), (ops, sorted(around))))
     return rows, truth
 
 
@@ -101,14 +105,16 @@ def test_cigar_functions_against_walk(spark):
         cg.block_array(F.col("cigar"), F.col("pos")).alias("b"),
         cg.cigar_summary(F.col("cigar")).alias("s"),
         cg.mismatch_cycles(F.col("cigar"), al.tag("MD"), F.col("flag").bitwiseAND(16) != 0).alias("m"),
+        cg.gap_cycles(F.col("cigar"), F.col("flag").bitwiseAND(16) != 0).alias("g"),
         cg.cigar_ops(F.col("cigar")).alias("ops"),
     )
     got = {r.qname: r for r in out.collect()}
     assert got["none"].b == [] and got["none"].m == [] and got["none"].s.aligned == 0 and got["null"].m == []
-    for row, blocks, cycles, ops in truth:
+    for row, blocks, cycles, (ops, gaps) in truth:
         r = got[row[1]]
         assert [(b.start, b.end) for b in r.b] == blocks, row
         assert sorted(r.m) == cycles, row
+        assert sorted(r.g) == gaps, row
         assert [(o.len, o.op) for o in r.ops] == ops
 
         def total(letters):
@@ -219,6 +225,30 @@ def test_target_modes(spark):
     assert reports.target_regions(spark, location="c1:10-20", one_based=True).collect()[0].start == 9
 
 
+def test_region_lists_and_coverage_tables(spark):
+    a, b = (reports.target_regions(spark, location=x) for x in ("c1:0-10:a", "c1:0-10:b"))
+    rows, truth = random_alignments(60, 8, span=100)
+    aln = spark.createDataFrame(rows, SCHEMA)
+    out = reports.targeted_coverage_report(aln, reports.combine_regions(a, b)).collect()
+    assert {r.region_name for r in out} == {"c1:0-10:b"} and len(out) == 2
+    with pytest.raises(ValueError):
+        reports.combine_regions()
+    refs = spark.createDataFrame([("f0", "c1", 1005)], "file string, contig string, length bigint")
+    tables = reports.coverage_tables(aln, refs, **preset("coverage_tables", "window_1kb"))
+    assert [(r.start, r.end) for r in tables["windows"].orderBy("start").collect()] == [(0, 1000), (1000, 1005)]
+    runs = reports.coverage_tables(aln, refs, **preset("coverage_tables", "fast_quantized"))["quantized"]
+    assert sum(r.end - r.start for r in runs.where("contig = 'c1' and file = 'f0'").collect()) == 1005
+    report = reports.alignment_report(aln, **preset("alignment_report", "with_flags_and_mapq")).orderBy("file").collect()[0]
+    mine = [t[0] for t in truth if t[0][0] == "f0"]
+    assert {int(b.start): b["count"] for b in report.flag_histogram} == Counter(r[2] for r in mine)
+    assert sum(b["count"] for b in report.mapq_histogram) == sum(not r[2] & 260 for r in mine)
+    assert report.length_histogram_scaled is None
+    scaled = reports.alignment_report(aln, **preset("alignment_report", "with_hist_scaled")).orderBy("file").collect()[0]
+    assert sum(b["count"] for b in scaled.length_histogram_scaled) == sum(b["count"] for b in scaled.mapq_histogram_scaled)
+    with pytest.raises(ValueError, match="window"):
+        dp.window_coverage(dp.aligned_blocks(aln), refs, 0)
+
+
 def test_one_deep_spot_keeps_tiles_small(spark):
     """All reads at one place: the sweep sees each border once."""
     blocks = spark.range(200_000).select(F.lit("f").alias("file"), F.lit("c").alias("contig"), (F.col("id") % 3).alias("start"), F.lit(50).cast("bigint").alias("end"))

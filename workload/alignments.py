@@ -110,22 +110,36 @@ def error_rates(spark, sf):
     return out.select("file", *[F.round(c, 9).alias(c) for c in out.columns if c != "file"])
 
 
-# mismatch places from the numbers behind the MD tags: kind A has two, kind C one
-@query(
-    f"""WITH {ALN}, p AS (SELECT * FROM aln WHERE flag & 2308 = 0),
-m AS (
-  SELECT file, size, flag, k + q - 1 AS spot FROM p WHERE kind = 'A'
-  UNION ALL SELECT file, size, flag, k + q + CASE WHEN q % 2 = 0 THEN q % 7 ELSE q + 6 + 2 END FROM p WHERE kind = 'A'
-  UNION ALL SELECT file, size, flag, q FROM p WHERE kind = 'C'),
-hits AS (SELECT file, CASE WHEN flag & 16 <> 0 THEN size - spot ELSE spot + 1 END AS cycle, count(*) AS n FROM m GROUP BY ALL),
+# places of mismatches and gaps from the numbers behind the cigars and MD tags, forward and reverse:
+# kind A has two mismatches, a deletion and two inserted bases, kind C one mismatch
+_MISMATCHES = """SELECT file, k + q AS fwd, size - (k + q - 1) AS back, flag FROM p WHERE kind = 'A'
+  UNION ALL SELECT file, k + q + x + 1, size - (k + q + x), flag
+    FROM (SELECT *, CASE WHEN q % 2 = 0 THEN q % 7 ELSE q + 8 END AS x FROM p) WHERE kind = 'A'
+  UNION ALL SELECT file, q + 1, size - q, flag FROM p WHERE kind = 'C'"""
+_GAPS = """UNION ALL SELECT file, k + q AS fwd, size - (k + q) AS back, flag FROM p WHERE kind = 'A'
+  UNION ALL SELECT file, k + 2 * q + 6, size - (k + 2 * q + 5), flag FROM p WHERE kind = 'A'
+  UNION ALL SELECT file, k + 2 * q + 7, size - (k + 2 * q + 6), flag FROM p WHERE kind = 'A'"""
+
+
+def _cycle_sql(places: str, name: str) -> str:
+    return f"""WITH {ALN}, p AS (SELECT * FROM aln WHERE flag & 2308 = 0), m AS ({places}),
+hits AS (SELECT file, CASE WHEN flag & 16 <> 0 THEN back ELSE fwd END AS cycle, count(*) AS n FROM m GROUP BY ALL),
 reach AS (SELECT file, unnest(range(1, size + 1)) AS cycle FROM p),
 total AS (SELECT file, cycle, count(*) AS reads FROM reach GROUP BY ALL)
-SELECT file, cycle, coalesce(n, 0) AS mismatches, reads, round(coalesce(n, 0) / reads, 9) AS rate
+SELECT file, cycle, coalesce(n, 0) AS {name}, reads, round(coalesce(n, 0) / reads, 9) AS rate
 FROM total LEFT JOIN hits USING (file, cycle)"""
-)
+
+
+@query(_cycle_sql(_MISMATCHES, "mismatches"))
 def mismatch_by_cycle(spark, sf):
     out = al.mismatch_by_cycle(views.alignments(spark, sf))
-    return out.select("file", "cycle", "mismatches", F.col("reads").cast("bigint").alias("reads"), F.round("rate", 9).alias("rate"))
+    return out.withColumn("rate", F.round("rate", 9))
+
+
+@query(_cycle_sql(f"{_MISMATCHES} {_GAPS}", "errors"))
+def errors_by_cycle(spark, sf):
+    out = al.errors_by_cycle(views.alignments(spark, sf))
+    return out.withColumn("rate", F.round("rate", 9))
 
 
 @query(
