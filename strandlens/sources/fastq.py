@@ -17,11 +17,12 @@ from strandlens.sources.lines import Paths, read_lines
 FASTQ_NAMES = (".fastq", ".fq", ".fastq.gz", ".fq.gz")
 
 
-def read_fastq(spark: SparkSession, paths: Paths, check_names: bool = True) -> DataFrame:
+def read_fastq(spark: SparkSession, paths: Paths, check_names: bool = True, tasks: int | None = None) -> DataFrame:
     """``(file, rec, read_id, seq, qual)``; ``rec`` rises in file order within a split.
 
     ``read_id`` is the header line without ``@``. Wrong records raise an error when their
-    sequence or quality is used.
+    sequence or quality is used. A ``.gz`` file is one split; for a few large ones ``tasks``
+    spreads the reads before any work on them.
     """
     chunks = read_lines(spark, paths, "\n@", FASTQ_NAMES if check_names else ())
     line = F.split("value", "\n")
@@ -54,9 +55,8 @@ def read_fastq(spark: SparkSession, paths: Paths, check_names: bool = True) -> D
         "file", "rec", "head", F.col("next").alias("tail")
     )
     mended = met.where(both).select("file", "rec", "head", "tail").unionByName(rejoined)
-    return _checked(
-        complete.unionByName(mended.select("file", "rec", "head.read_id", "head.seq", F.col("tail").alias("qual")))
-    )
+    reads = complete.unionByName(mended.select("file", "rec", "head.read_id", "head.seq", F.col("tail").alias("qual")))
+    return _checked(reads if tasks is None else reads.repartition(tasks, "file", "rec"))
 
 
 def _checked(reads: DataFrame) -> DataFrame:

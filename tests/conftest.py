@@ -14,7 +14,7 @@ from strandlens import configure  # noqa: E402
 def spark():
     session = (
         configure(SparkSession.builder.master("local[8]").appName("tests"))
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

@@ -49,6 +49,7 @@ def test_fastq_gzip_members_crlf_and_no_last_newline(spark, tmp_path):
     (tmp_path / "c.fq").write_bytes(fastq(c, "\r\n").encode())
     (tmp_path / "d.fastq").write_text(fastq(d)[:-1])
     assert load(spark, str(tmp_path)) == sorted(a + b + c + d)
+    assert read_fastq(spark, str(tmp_path), tasks=5).count() == 200
 
 
 def test_fastq_odd_records(spark, write):

@@ -13,6 +13,7 @@ from strandlens.operators import headers as hd
 from strandlens.operators import intervals as iv
 from strandlens.operators import runs as rn
 from strandlens.operators import variants as vr
+from strandlens.operators.overlap import attach_region_names, attach_thresholds
 from strandlens.plans.reports import run_report
 from strandlens.session import scratch_dir
 from strandlens.sources import fastq, headers, intervals, manifest, reports, runlog, sam, sinks, vcf
@@ -441,8 +442,6 @@ def region_depth_ingest(spark, sf):
     regions = views.regions(spark, sf)
     text = regions.select(lines("contig, start, end, CASE WHEN line_no % 2 = 0 THEN concat('r', line_no) END, line_no % 91"))
     back = reports.ingest_region_depth(spark, write_lines(text, "regiondepth"))
-    from strandlens.operators.overlap import attach_region_names
-
     named = attach_region_names(back, regions)
     lines_of = regions.select("contig", "start", "end", "line_no", (F.col("line_no") % 91).cast("double").alias("mean_depth"))
     return named.distinct().join(lines_of, ["contig", "start", "end", "mean_depth"]).select(
@@ -472,6 +471,22 @@ def stats_sections_ingest(spark, sf):
     return out.where(F.col("section").isin("COV", "IS", "GCD")).select(src().alias("src"), "section", "key_num", "value")
 
 
+@query(
+    f"""WITH {REGIONS}, {_NAMES}
+SELECT contig, "start", "end", region_name, CAST(max(line_no) % 91 + 0.5 AS DOUBLE) AS mean_depth,
+       CASE WHEN max(line_no) % 3 > 0 THEN CAST(100.0 * (max(line_no) % 11) / 10 AS DOUBLE) END AS pct_coverage_1x
+FROM (SELECT *, s AS "start", e AS "end" FROM regions) JOIN names USING (contig, "start", "end") GROUP BY ALL"""
+)
+def target_report_ingest(spark, sf):
+    """Depth and threshold files of the same regions put together; some regions have no thresholds."""
+    regions = views.regions(spark, sf)
+    rows = regions.groupBy("contig", "start", "end").agg(F.max("line_no").alias("k"))
+    depth = reports.ingest_region_depth(spark, write_lines(rows.select(lines("contig, start, end, k % 91 + 0.5")), "tdepth"))
+    shares = rows.where("k % 3 > 0").select(lines("contig, start, end, (k % 11) / 10"))
+    found = reports.ingest_region_thresholds(spark, write_lines(shares, "tshares"), (1,)).drop("file")
+    return attach_thresholds(attach_region_names(depth, regions), found).drop("file")
+
+
 def _stats_text(spark, sf) -> str:
     items = views.table(spark, sf, "lineitem").withColumn("src", F.col("l_returnflag"))
 
