@@ -26,7 +26,7 @@ def read_length(seq: Column) -> Column:
 
 
 def gc_count(seq: Column) -> Column:
-    return (F.length(seq) - F.length(F.translate(seq, "GCgc", ""))).cast("bigint")
+    return F.regexp_count(seq, F.lit("[GCgc]")).cast("bigint")
 
 
 def gc_content(seq: Column) -> Column:

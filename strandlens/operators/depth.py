@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strandlens.functions import alignments as sam
 from strandlens.functions import cigar as cg
+from strandlens.functions.reads import gc_count
 from strandlens.functions.regions import quantize_label
 from strandlens.operators.alignments import filter_alignments
 from strandlens.operators.distribution import order_statistics
@@ -255,7 +256,7 @@ def gc_coverage(
         kept.withColumn("start", F.floor(F.col("pos") / window) * window)
         .groupBy(*keys, "start")
         .agg(
-            F.sum(F.length("seq") - F.length(F.translate("seq", "GCgc", ""))).alias("gc"),
+            F.sum(gc_count(F.col("seq"))).alias("gc"),
             F.sum(F.length("seq")).alias("bases"),
         )
         .where(F.col("bases") > 0)

@@ -99,6 +99,40 @@ def _per_input(spans: DataFrame, inputs: DataFrame | None, by: Sequence[str]) ->
     return spans.withColumn("_input", F.explode(listed)).select(*[F.col("_input")[b].alias(b) for b in by], *spans.columns)
 
 
+def _region_sums(
+    blocks: DataFrame,
+    regions: DataFrame,
+    by: Sequence[str],
+    inputs: DataFrame | None,
+    thresholds: Sequence[int],
+    tile: int,
+    bin_size: int,
+    broadcast_rows: int,
+) -> DataFrame:
+    """``(*by, contig, start, end, covered, total, low, high, at_{t} …)`` of every region and input."""
+    if by and inputs is None:
+        raise ValueError("inputs is needed to report regions without reads per input")
+    keys = [*by, "contig", "r_start", "r_end"]
+    spans, inside = _region_runs(blocks, regions, by, tile, bin_size, broadcast_rows)
+    sums = {
+        "covered": F.sum("bases"),
+        "total": F.sum(F.col("bases") * F.col("depth")),
+        "high": F.max("depth"),
+        **{f"at_{t}": F.sum(F.when(F.col("depth") >= t, F.col("bases")).otherwise(0)) for t in thresholds},
+    }
+    found = inside.groupBy(*keys).agg(*[c.alias(name) for name, c in sums.items()], F.min("depth").alias("low"))
+    every = _per_input(spans.withColumnsRenamed({"start": "r_start", "end": "r_end"}), inputs, by)
+    zero = F.lit(0).cast("bigint")
+    return join_on(every, found, keys, "left").select(
+        *by,
+        "contig",
+        F.col("r_start").alias("start"),
+        F.col("r_end").alias("end"),
+        "low",
+        *[F.coalesce(name, zero).alias(name) for name in sums],
+    )
+
+
 def targeted_coverage(
     blocks: DataFrame,
     regions: DataFrame,
@@ -114,29 +148,17 @@ def targeted_coverage(
     ``inputs`` (``*by``) lists the inputs to report on, those with no read in any region
     included; needed unless ``by`` is empty. Depth is swept only in tiles that regions touch.
     """
-    if by and inputs is None:
-        raise ValueError("inputs is needed to report regions without reads per input")
-    keys = [*by, "contig", "r_start", "r_end"]
-    spans, inside = _region_runs(blocks, regions, by, tile, bin_size, broadcast_rows)
-    found = inside.groupBy(*keys).agg(
-        F.sum("bases").alias("covered"),
-        F.sum(F.col("bases") * F.col("depth")).alias("total"),
-        F.min("depth").alias("low"),
-        F.max("depth").alias("high"),
-        *[F.sum(F.when(F.col("depth") >= t, F.col("bases")).otherwise(0)).alias(f"at_{t}") for t in thresholds],
-    )
-    every = _per_input(spans.withColumnsRenamed({"start": "r_start", "end": "r_end"}), inputs, by)
-    width = F.col("r_end") - F.col("r_start")
-    zero = F.lit(0).cast("bigint")
-    return join_on(every, found, keys, "left").select(
+    sums = _region_sums(blocks, regions, by, inputs, thresholds, tile, bin_size, broadcast_rows)
+    width = F.col("end") - F.col("start")
+    return sums.select(
         *by,
         "contig",
-        F.col("r_start").alias("start"),
-        F.col("r_end").alias("end"),
-        (F.coalesce("total", zero) / width).alias("mean_depth"),
+        "start",
+        "end",
+        (F.col("total") / width).alias("mean_depth"),
         F.when(F.col("covered") == width, F.col("low")).otherwise(0).cast("bigint").alias("min_depth"),
-        F.coalesce("high", zero).alias("max_depth"),
-        *[(100.0 * F.coalesce(f"at_{t}", zero) / width).alias(f"pct_coverage_{t}x") for t in thresholds],
+        F.col("high").alias("max_depth"),
+        *[(100.0 * F.col(f"at_{t}") / width).alias(f"pct_coverage_{t}x") for t in thresholds],
     )
 
 
@@ -149,9 +171,18 @@ def threshold_coverage(
 
 
 def bedcov(
-    blocks: DataFrame, regions: DataFrame, by: Sequence[str] = ("file",), inputs: DataFrame | None = None, **options
+    blocks: DataFrame,
+    regions: DataFrame,
+    by: Sequence[str] = ("file",),
+    inputs: DataFrame | None = None,
+    tile: int = TILE,
+    bin_size: int = BIN,
+    broadcast_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
-    """``(*by, contig, start, end, bases)``: sum of depth over each region."""
-    report = targeted_coverage(blocks, regions, by, inputs, thresholds=(), **options)
-    width = F.col("end") - F.col("start")
-    return report.select(*by, "contig", "start", "end", F.round(F.col("mean_depth") * width).cast("bigint").alias("bases"))
+    """``(*by, contig, start, end, bases)``: sum of depth over each region.
+
+    Taken from the runs of depth, not from the blocks: a bin holds at most one run per base,
+    however many reads lie there.
+    """
+    sums = _region_sums(blocks, regions, by, inputs, (), tile, bin_size, broadcast_rows)
+    return sums.select(*by, "contig", "start", "end", F.col("total").alias("bases"))

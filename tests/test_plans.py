@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from strandlens.operators import depth as dp
 from strandlens.operators import overlap as ov
 from strandlens.operators import reads as rd
+from strandlens.sources.fastq import read_fastq
 from workload import views
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +50,15 @@ def test_large_region_list_is_not_broadcast(spark):
     assert "ResolvedHint (strategy=broadcast)" in small._jdf.queryExecution().analyzed().toString()
 
 
+def test_whole_fastq_records_are_not_shuffled(spark, write):
+    reads = read_fastq(spark, write("a.fastq", "@a\nAC\n+\nII\n" * 50))
+    plan = reads._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange (\w+)\(([^,]+), ([^,)]+)", plan)
+    assert exchanges and all(kind == "hashpartitioning" and first.startswith("file") for kind, first, _ in exchanges)
+    whole = plan[: plan.index("\n", plan.index("FileScan"))]
+    assert "Exchange" not in whole.split("Union", 1)[1]
+
+
 def test_quality_filter_is_evaluated_once(spark):
     reads = views.reads(spark, SF)
     plan = final_plan(rd.filter_trim(reads, quality=10, headcrop=5).select(F.md5("seq").alias("s"), F.md5("qual").alias("q")))

@@ -146,7 +146,7 @@ def gff3_round_trip(spark, sf):
 def _run_logs(spark, sf) -> DataFrame:
     """Run logs read back from files of two layouts, several files per label."""
     runs = views.runs(spark, sf)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = spark.sparkContext.defaultParallelism
     rows = runs.select(
         F.col("file").alias("src"), F.pmod(F.col("event_id"), F.lit(parts)).alias("part"), F.lit(1).alias("ord"),
         F.expr(
