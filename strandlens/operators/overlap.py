@@ -23,13 +23,15 @@ def overlap_join(
     on: Sequence[str] = ("contig",),
     bin_size: int = BIN,
     broadcast_rows: int = BROADCAST_MAX_ROWS,
+    left_salts: int = 1,
 ) -> DataFrame:
     """All pairs of half-open intervals that overlap, as an equi-join over fixed bins.
 
     Both sides have ``on``, ``start`` and ``end``; the right one's come out as ``r_start`` and
     ``r_end``. A pair that shares several bins is kept in the first one. ``right`` is broadcast
     only if it was counted to be small; otherwise both sides are shuffled, and bins with many
-    right rows are split over several tasks.
+    right rows are split over several tasks. ``left_salts`` splits the left side of every bin
+    too, for left rows that pile up and cannot be counted together before.
     """
     on = list(on)
     keyed = right.withColumnsRenamed({"start": "r_start", "end": "r_end"}).withColumn(
@@ -40,18 +42,30 @@ def overlap_join(
     if is_small(keyed, broadcast_rows):
         keyed = F.broadcast(keyed)
     else:
-        # the bins in use prune the left side, and tell over how many salts a full bin is split
-        split = keyed.groupBy(*keys).agg(F.ceil(F.count("*") / ROWS_PER_SALT).cast("int").alias("_salts"))
-        keyed = keyed.join(split, keys).withColumn(
-            "_salt", F.pmod(F.xxhash64("r_start", "r_end"), F.col("_salts")).cast("int")
-        ).drop("_salts")
-        probe = probe.join(split, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-        keys = [*keys, "_salt"]
+        # the bins in use prune the left side, and tell over how many salts a full bin is split;
+        # few enough, as for most genomes, they are broadcast, so that no full bin is shuffled unsplit
+        bins = keyed.groupBy(*keys).agg(F.ceil(F.count("*") / ROWS_PER_SALT).cast("int").alias("_salts"))
+        if is_small(bins, broadcast_rows):
+            bins = F.broadcast(bins)
+        every_left = F.explode(F.sequence(F.lit(0), F.lit(left_salts - 1)))
+        keyed = (
+            keyed.join(bins, keys)
+            .withColumn("_salt", F.pmod(F.xxhash64("r_start", "r_end"), F.col("_salts")).cast("int"))
+            .withColumn("_left", every_left)
+            .drop("_salts")
+        )
+        probe = (
+            probe.withColumn("_left", F.pmod(F.spark_partition_id(), F.lit(left_salts)))
+            .join(bins, keys)
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+            .drop("_salts")
+        )
+        keys = [*keys, "_salt", "_left"]
     return (
         probe.join(keyed, keys)
         .where((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")))
         .where(F.floor(F.greatest("start", "r_start") / bin_size) == F.col("_bin"))
-        .drop("_bin", *(["_salt"] if "_salt" in keys else []))
+        .drop("_bin", "_salt", "_left")
     )
 
 

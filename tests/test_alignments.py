@@ -167,12 +167,23 @@ def test_depth_and_targets_against_counting(spark, tile):
             assert (r.min_depth, r.max_depth) == (min(values), max(values))
             assert r.pct_coverage_10x == pytest.approx(100 * sum(v >= 10 for v in values) / len(values))
         assert {r.region_name for r in out if (r.contig, r.start, r.end) == ("c1", 10, 20)} == {"again"}
-    pairs = ov.overlap_join(blocks.withColumn("k", F.monotonically_increasing_id()), bed, bin_size=32, broadcast_rows=0)
+    joins = [ov.overlap_join(blocks, bed, bin_size=32, broadcast_rows=n, left_salts=k) for n, k in ((0, 1), (0, 3), (150, 2), (1000, 1))]
     want = sum(
         not row[2] & 1796 and row[5] >= 10 and row[3] == c and s < e2 and s2 < e
         for row, bs, _, _ in truth for s, e in bs for _, c, s2, e2, _ in regions if s2 < e2
     )
-    assert pairs.where("r_start < r_end").count() == want
+    assert [j.where("r_start < r_end").count() for j in joins] == [want] * 4
+
+
+def test_full_bins_are_split(spark, monkeypatch):
+    monkeypatch.setattr(ov, "ROWS_PER_SALT", 10)
+    left = spark.range(40).selectExpr("'c' contig", "id start", "id + 5 end").repartition(4)
+    right = spark.range(300).selectExpr("'c' contig", "id % 50 start", "id % 50 + 1 + id % 3 end", "id n")
+    want = sum(s < b % 50 + 1 + b % 3 and b % 50 < s + 5 for s in range(40) for b in range(300))
+    for rows, salts in ((0, 1), (0, 4), (2, 4)):
+        pairs = ov.overlap_join(left, right, bin_size=64, broadcast_rows=rows, left_salts=salts)
+        assert pairs.columns == ["contig", "start", "end", "r_start", "r_end", "n"]
+        assert pairs.count() == want
 
 
 def test_pooled_inputs(spark):
