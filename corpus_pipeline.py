@@ -1,18 +1,70 @@
-"""A corpus from raw documents: toxic ones go, near copies go, secrets are masked, sources are mixed, text is encoded."""
+"""A corpus from raw documents: toxic ones go, near copies go, secrets are masked, sources are mixed, texts are encoded.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlens.llm import bpe, mixing, ngram_join, secrets, toxicity
+from strandlens.llm.common import table, written
+
+SECRET_MARK = "<secret>"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject. It learns from the labels of these documents."""
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model, keep_row=True).where("predicted = 0").select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark; ``n_chars`` follows the text."""
+    found = secrets.scan_secrets(docs, redact=SECRET_MARK, keep_row=True)
+    changed = ~F.col("redacted").eqNullSafe(F.col("row.text"))
+    new = {"text": F.col("redacted"), "n_chars": F.when(changed, F.length("redacted").cast("bigint")).otherwise(F.col("row.n_chars"))}
+    return found.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes of its words, to the nearest whole number."""
+    mixed = mixing.mix_sources(docs, keep_row=True)
+    copies = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text (little-endian 32-bit numbers), their number, and digests of ids and decoded bytes."""
+    return bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
+
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("source_mixing", mix),
+    ("byte_bpe", encode),
+]
+
+# a learnt classifier, novelty by compression and seeded selection have no form in SQL
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each result is written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

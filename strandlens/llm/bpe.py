@@ -335,24 +335,30 @@ def _slices(batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[pa.Reco
         yield batch.slice(at, rows)
 
 
-def digest_documents(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``encode_documents`` reduced to counts and SHA-256 digests of ids and decoded bytes, per document."""
+def digest_documents(
+    docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """``encode_documents`` reduced to counts and SHA-256 digests of ids and decoded bytes, per document.
+
+    ``with_ids`` keeps the binary ``ids``.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_ranks = codec(ranks_path)
         for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
+            counts, of_ids, of_bytes, kept = [], [], [], []
             for part in _slices(batch):
                 for got, _ in with_ranks.encode_texts([t or "" for t in part.column("text").to_pylist()]):
                     counts.append(len(got) // 4)
                     of_ids.append(hashlib.sha256(got).hexdigest())
                     of_bytes.append(hashlib.sha256(with_ranks.decode(got)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                    if with_ids:
+                        kept.append(got)
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.binary())] if with_ids else []), names)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     )

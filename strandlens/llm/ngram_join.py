@@ -20,9 +20,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlens.llm.common import broadcast_if_small, written
@@ -106,14 +105,15 @@ def _sized(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_hash"),
                         pa.array(keys, mask=sizes == 0),
                         pa.array(sizes.astype(np.int64)),
                         _lists(hashes[show].view(np.int64), at),
                     ],
-                    ["doc_id", "key", "n_shingles", "shown"],
+                    ["doc_id", "text_hash", "key", "n_shingles", "shown"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, key bigint, n_shingles bigint, shown array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash bigint, key bigint, n_shingles bigint, shown array<bigint>")
 
 
 def _spare(n: Column) -> Column:
@@ -257,7 +257,7 @@ def _pivot_pairs(sets: DataFrame) -> DataFrame:
     )
     met = tiles.join(pivots.where("sets > 1"), ["h", "band"]).select("key", "n", "signature", F.explode("pivots").alias("p"))
     fits = (F.col("key") != F.col("p.key")) & _may_link(F.col("n"), F.col("signature"), F.col("p.n"), F.col("p.signature"))
-    return met.where(fits).select("key", F.col("p.key").alias("other")).distinct()
+    return written(met.where(fits).select("key", F.col("p.key").alias("other")).distinct(), "ngram-pairs")
 
 
 def _across(sets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -276,46 +276,40 @@ def _across(sets: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _all_pairs(sets: DataFrame) -> DataFrame:
     """Pairs of different components that share a tile and pass the bound; large tiles go in blocks."""
-    tiles = written(_tiles(sets, _spare(F.col("n")) + 1, "root"), "ngram-tiles")
+    tiles = _tiles(sets, _spare(F.col("n")) + 1, "root").drop("own")
     sizes = tiles.groupBy("h", "band").agg(F.count(F.lit(1)).alias("sets"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
     blocks = tiles.join(sizes.select("h", "band", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")), ["h", "band"]).withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     )
     # a block meets itself and every other one: each set is sent once per pair of blocks
-    sent = blocks.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "n", "signature", "root", "h", "band", "block", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high")
+    sent = written(
+        blocks.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "key", "n", "signature", "root", "h", "band", "block", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high")
+        ),
+        "ngram-tiles",
     )
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        key, n, root, block = (rows[c].to_numpy() for c in ("key", "n", "root", "block"))
-        bits = np.stack(rows["signature"].to_numpy()).view(np.uint64)
-        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
-        found = []
-        for i in range(len(rows)):
-            if block[i] != low:
-                continue
-            others = np.flatnonzero((root != root[i]) & ((block == high) if low != high else (key > key[i])))
-            if not len(others):
-                continue
-            mine = n[i] - np.bitwise_count(bits[i] & ~bits[others]).sum(axis=1, dtype=np.int64)
-            theirs = n[others] - np.bitwise_count(bits[others] & ~bits[i]).sum(axis=1, dtype=np.int64)
-            good = others[(100 + PERCENT) * np.minimum(mine, theirs) >= PERCENT * (n[i] + n[others])]
-            found += [(min(key[i], key[j]), max(key[i], key[j])) for j in good]
-        return pd.DataFrame(found, columns=["key", "other"], dtype="int64")
-
-    return sent.groupBy("h", "band", "low", "high").applyInPandas(compare, "key bigint, other bigint").distinct()
+    at = ["h", "band", "low", "high"]
+    left = sent.where("block = low")
+    right = sent.where("block = high").select(*at, *(F.col(c).alias(f"other_{c}") for c in ("key", "n", "signature", "root")))
+    met = left.join(right, at).where(
+        (F.col("root") != F.col("other_root")) & ((F.col("low") < F.col("high")) | (F.col("key") < F.col("other_key")))
+    )
+    bound = _may_link(F.col("n"), F.col("signature"), F.col("other_n"), F.col("other_signature"))
+    pair = F.least("key", "other_key").alias("key"), F.greatest("key", "other_key").alias("other")
+    return written(met.where(bound).select(*pair).distinct(), "ngram-pairs")
 
 
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of word n-grams of 0.8 or more.
 
     Returns ``doc_id``, ``n_shingles`` (distinct n-grams of the whole text, A-Z as a-z; all words as one if
-    there are fewer) and ``component_id`` (smallest id reachable by links, its own included), one row per
-    row of ``docs``. Null, empty and blank texts have no shingles and are linked with nothing. Repeated
+    there are fewer), ``component_id`` (smallest id reachable by links, its own included), ``text_hash``
+    (64 bits of the text) and ``root`` (a number of the component, null without shingles), one row per row
+    of ``docs``. Null, empty and blank texts have no shingles and are linked with nothing. Repeated
     rows are in one component; null ids are kept and never the smallest, unless all are null; an empty
     table gives no rows; other columns are not read, whatever their names.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     sized = written(_sized(docs, words), "ngram-sized")
     chosen = written(_classes_with_partners(sized), "ngram-classes")
     sets = written(_sets_of(docs, chosen, words), "ngram-sets")
@@ -329,7 +323,36 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     smallest = sized.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("own"))
     joined = smallest.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     of_root = joined.groupBy("root").agg(F.min("own").alias("component_id"))
-    of_key = joined.select("key", "root").join(of_root, "root").select("key", "component_id")
-    found = sized.where("n_shingles > 0").join(of_key, "key").select("doc_id", "n_shingles", "component_id")
-    empty = sized.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.unionByName(empty)
+    of_key = joined.select("key", "root").join(of_root, "root").select("key", "root", "component_id")
+    names = "doc_id", "n_shingles", "component_id", "text_hash", "root"
+    found = sized.where("n_shingles > 0").join(of_key, "key").select(*names)
+    empty = sized.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("bigint")})
+    return found.union(empty.select(*names))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """Rows of ``docs`` without near copies: of each component the row of the smallest id stays.
+
+    Rows without shingles all stay. Of repeated rows one stays; null ids come last, then the text's
+    hash decides. All columns are kept as they are.
+    """
+    found = written(ngram_components(docs, doc_id, text, words), "ngram-components")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = found.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first")).select("first.*")
+    empty = found.where("root IS NULL").select("doc_id", "text_hash").distinct()
+    counts = found.where("root IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("t"))
+    copied = first.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).join(counts.where("rows > 1"), same).select("d", "t")
+    copied = written(copied, "ngram-copied")
+    stay = first.select("doc_id", "text_hash").union(empty).select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text"))
+
+    row = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("hash"))
+    known = broadcast_if_small(written(stay, "ngram-stay"))
+    kept = row.join(known, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_text")), "left_semi")
+    if copied.isEmpty():
+        return kept.select("row.*")
+    # repeated rows have equal texts and ids: the first one by all columns that can be ordered is as good as any
+    again = F.col("id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("t"))
+    number = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0)))
+    once = kept.join(copied, again, "left_semi").withColumn("number", number).where("number = 1").select("row.*")
+    return kept.join(copied, again, "left_anti").select("row.*").union(once)

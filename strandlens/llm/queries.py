@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlens.llm import bpe, html, mixing, ngram_join, secrets, sharding, toxicity, urls
+from strandlens.llm import ann, bpe, exact_topk, html, mixing, ngram_join, secrets, sharding, toxicity, urls
 from strandlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +71,8 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+    found = ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query("op4_sharding")
@@ -102,3 +103,26 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op8_va_file_topk",
+    """
+    WITH rows AS (
+        SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0
+            AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    pairs AS (
+        SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS BIGINT) AS score
+        FROM rows q JOIN rows r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM pairs QUALIFY rank <= 5
+    """,
+)
+def va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search_scaled(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
+@query("op7_nn_descent")
+def nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_neighbours(table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
