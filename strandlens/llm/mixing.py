@@ -40,7 +40,8 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarra
             low = mid
         else:
             high = mid
-    out = given(high)
+    # just above the last divisor, so that equal quotients are left for the ordered part
+    out = given(high * (1 + 1e-9))
     heap = [(-weights[i] / (2 * out[i] + 1), i) for i in np.flatnonzero(out < caps)]
     heapq.heapify(heap)
     for _ in range(seats - int(out.sum())):

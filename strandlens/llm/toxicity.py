@@ -16,7 +16,7 @@ from strandlens.llm.words import chained, hashed_words, slices
 
 BUCKETS = 1 << 20
 TRAIN_PER_CLASS = 10_000
-TRAIN_PARTS = 2
+TRAIN_PARTS = 1
 MAX_CLASS_WEIGHT = 5.0
 EPOCHS = 3
 GRAMS = ((0,), (0, 1), (0, 2))
@@ -29,7 +29,7 @@ class Ftrl:
 
     alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 3.0
     l2: float = 1.0
 
 
@@ -108,8 +108,8 @@ def fit_toxicity(
 ) -> Model:
     """Fits on at most ``per_class`` labelled documents of each class, the first by a hash of the id.
 
-    Held out documents are not among them. That bound is the only one: a part (half of the sample) is
-    learnt in one task, and the weights of the parts are averaged. Labels that are null are ignored; of an id labelled twice the
+    Held out documents are not among them. That bound is the only one: a part (all of the sample by default) is
+    learnt in one task, and the weights of the parts, if there are more, are averaged. Labels that are null are ignored; of an id labelled twice the
     higher label counts; a null id is held out. Without labels the model scores everything alike.
     """
     rate = rate or Ftrl()
