@@ -11,7 +11,7 @@ from strandlens.functions import alignments as sam
 from strandlens.functions import cigar as cg
 from strandlens.functions import reads as fn
 from strandlens.operators.distribution import LENGTH_BIN, histograms_of_tally, order_statistics, tally
-from strandlens.operators.joins import join_on
+from strandlens.operators.joins import join_on, with_inputs
 
 
 def tag(name: str) -> Column:
@@ -19,9 +19,10 @@ def tag(name: str) -> Column:
 
 
 def reads_from_alignments(aln: DataFrame) -> DataFrame:
-    """Reads as sequenced: secondary and supplementary records dropped, reverse ones turned back."""
+    """Reads as sequenced: secondary and supplementary records and those without a sequence dropped, reverse ones turned back."""
     back = sam.has_any(F.col("flag"), sam.REVERSE)
-    return aln.where(~sam.has_any(F.col("flag"), sam.SECONDARY | sam.SUPPLEMENTARY)).select(
+    sequenced = ~sam.has_any(F.col("flag"), sam.SECONDARY | sam.SUPPLEMENTARY) & F.col("seq").isNotNull()
+    return aln.where(sequenced).select(
         "file",
         F.monotonically_increasing_id().alias("rec"),
         F.col("qname").alias("read_id"),
@@ -96,9 +97,13 @@ def alignment_stats_of_tally(counts: DataFrame, by: Sequence[str] = ("file",)) -
     return join_on(classes, shape, by, "left")
 
 
-def alignment_stats(aln: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
-    """Record counts by class; mean and median length and identity, N50 of aligned records."""
-    return alignment_stats_of_tally(alignment_tally(aln, by), by)
+def alignment_stats(aln: DataFrame, by: Sequence[str] = ("file",), files: DataFrame | None = None) -> DataFrame:
+    """Record counts by class; mean and median length and identity, N50 of aligned records.
+
+    ``files`` adds zero counts for inputs without a record.
+    """
+    counts = ["total_reads", "mapped", "unmapped", "primary", "secondary", "supplementary"]
+    return with_inputs(alignment_stats_of_tally(alignment_tally(aln, by), by), by, files, counts)
 
 
 def alignment_length_histogram(

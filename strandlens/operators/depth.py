@@ -253,7 +253,8 @@ def gc_coverage(
     keys = [*by, "contig"]
     kept = filter_alignments(aln, min_mapq, exclude_flags)
     gc = (
-        kept.withColumn("start", F.floor(F.col("pos") / window) * window)
+        kept.where(F.col("seq").isNotNull())
+        .withColumn("start", F.floor(F.col("pos") / window) * window)
         .groupBy(*keys, "start")
         .agg(
             F.sum(gc_count(F.col("seq"))).alias("gc"),

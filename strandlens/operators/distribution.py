@@ -23,10 +23,9 @@ PERCENTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p
 
 LENGTH_BIN = 2000
 QSCORE_BIN = 1.0
-EXACT_MAX_READS = 200_000
 
 # width of the coarse buckets per metric; any other metric has buckets of width 1
-_WIDTH = {"length": 1000.0, "qscore": 0.001, "identity": 0.01, "depth": 16.0, "start_time": 3600.0}
+_WIDTH = {"length": 1000.0, "gc": 1000.0, "qscore": 0.001, "identity": 0.01, "depth": 16.0, "start_time": 3600.0}
 
 
 def tally(df: DataFrame, measures: Mapping[str, Column], by: Sequence[str] = ("file",)) -> DataFrame:
@@ -179,25 +178,13 @@ def n50(df: DataFrame, length: str = "length", by: Sequence[str] = ("file",), fr
     return stats.select(*by, F.col("nx").cast("bigint").alias("n50"))
 
 
-def length_percentiles(
-    df: DataFrame,
-    length: str = "length",
-    by: Sequence[str] = ("file",),
-    strict: bool = False,
-    exact_max_reads: int = EXACT_MAX_READS,
-) -> DataFrame:
-    """``(*by, read_count, p1 … p99)``, exact at any size.
-
-    ``strict`` gives nulls for inputs of more than ``exact_max_reads`` reads.
-    """
+def length_percentiles(df: DataFrame, length: str = "length", by: Sequence[str] = ("file",)) -> DataFrame:
+    """``(*by, read_count, p1 … p99)``, exact at any size."""
     stats = order_statistics(tally(df, {"length": F.col(length)}, by), by, tuple(PERCENTILES.values()))
     return stats.select(
         *by,
         F.col("n").alias("read_count"),
-        *[
-            F.when(F.lit(not strict) | (F.col("n") <= exact_max_reads), F.col("quantiles")[i]).alias(name)
-            for i, name in enumerate(PERCENTILES)
-        ],
+        *[F.col("quantiles")[i].alias(name) for i, name in enumerate(PERCENTILES)],
     )
 
 

@@ -18,3 +18,10 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     return left.join(renamed, reduce(lambda a, b: a & b, same), how).drop(*[f"_r_{k}" for k in keys])
+
+
+def with_inputs(stats: DataFrame, by: Sequence[str], files: DataFrame | None, counts: Sequence[str]) -> DataFrame:
+    """``stats`` with a row for every input in ``files``: zero ``counts`` and nulls for one without records."""
+    if files is None:
+        return stats
+    return join_on(files.select(*by).distinct(), stats, by, "left").fillna(0, list(counts))

@@ -97,10 +97,11 @@ def attach_thresholds(region_depth: DataFrame, thresholds: DataFrame, by: Sequen
 def _region_runs(
     blocks: DataFrame, regions: DataFrame, by: Sequence[str], tile: int, bin_size: int, broadcast_rows: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Distinct regions, and the runs of depth inside each as ``(*by, contig, r_start, r_end, bases, depth)``."""
-    spans = regions.where(F.col("start") < F.col("end")).select("contig", "start", "end").distinct()
-    depth = base_depth(blocks, by, tile, only_tiles=region_tiles(spans, tile), merge=False)
-    pairs = overlap_join(depth, spans, ("contig",), bin_size, broadcast_rows)
+    """Distinct regions, empty ones too, and the runs of depth inside each as ``(*by, contig, r_start, r_end, bases, depth)``."""
+    spans = regions.select("contig", "start", "end").distinct()
+    wide = spans.where(F.col("start") < F.col("end"))
+    depth = base_depth(blocks, by, tile, only_tiles=region_tiles(wide, tile), merge=False)
+    pairs = overlap_join(depth, wide, ("contig",), bin_size, broadcast_rows)
     inside = pairs.withColumn("bases", F.least("end", "r_end") - F.greatest("start", "r_start"))
     return spans, inside.select(*by, "contig", "r_start", "r_end", "bases", "depth")
 
@@ -160,19 +161,21 @@ def targeted_coverage(
     """Mean, minimum and maximum depth of each region, and the percent of its bases at each threshold.
 
     ``inputs`` (``*by``) lists the inputs to report on, those with no read in any region
-    included; needed unless ``by`` is empty. Depth is swept only in tiles that regions touch.
+    included; needed unless ``by`` is empty. Depth is swept only in tiles that regions touch. A region
+    without a base (its end not above its start) has no mean and no percentages, and depths of 0.
     """
     sums = _region_sums(blocks, regions, by, inputs, thresholds, tile, bin_size, broadcast_rows)
     width = F.col("end") - F.col("start")
+    bases = F.when(width > 0, width)
     return sums.select(
         *by,
         "contig",
         "start",
         "end",
-        (F.col("total") / width).alias("mean_depth"),
-        F.when(F.col("covered") == width, F.col("low")).otherwise(0).cast("bigint").alias("min_depth"),
+        (F.col("total") / bases).alias("mean_depth"),
+        F.when(F.col("covered") == bases, F.col("low")).otherwise(0).cast("bigint").alias("min_depth"),
         F.col("high").alias("max_depth"),
-        *[(100.0 * F.col(f"at_{t}") / width).alias(f"pct_coverage_{t}x") for t in thresholds],
+        *[(100.0 * F.col(f"at_{t}") / bases).alias(f"pct_coverage_{t}x") for t in thresholds],
     )
 
 

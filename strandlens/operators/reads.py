@@ -19,6 +19,7 @@ from strandlens.operators.distribution import (
     order_statistics,
     tally,
 )
+from strandlens.operators.joins import with_inputs
 
 # Trimming strategies.
 TRIM_APPROACHES = ("fixed-crop", "trim-by-quality")
@@ -64,12 +65,14 @@ def read_stats_of_tally(counts: DataFrame, by: Sequence[str] = ("file",)) -> Dat
     )
 
 
-def read_stats(reads: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
+def read_stats(reads: DataFrame, by: Sequence[str] = ("file",), files: DataFrame | None = None) -> DataFrame:
     """Counts, lengths, N50, qualities, GC proportion and length percentiles per input.
 
-    One scan of the reads and one shuffle of their distinct lengths and qualities.
+    One scan of the reads and one shuffle of their distinct lengths and qualities. ``files`` adds zero
+    rows for inputs without a read.
     """
-    return read_stats_of_tally(read_tally(read_metrics(reads, by), by), by)
+    stats = read_stats_of_tally(read_tally(read_metrics(reads, by), by), by)
+    return with_inputs(stats, by, files, ["read_count", "total_bases"])
 
 
 def read_length_histogram(reads: DataFrame, bin_width: float = LENGTH_BIN, by: Sequence[str] = ("file",)) -> DataFrame:
@@ -201,12 +204,14 @@ def trim_reads(
             raise ValueError(f"trim-by-quality needs a cutoff of 0 to 93, got {cutoff!r}")
         start, size = fn.quality_span(F.col("qual"), cutoff)
         cut = {c: F.substring(F.col(c), start, size) for c in ("seq", "qual")}
+        left = F.greatest(F.least(size, F.length("seq") - start + 1), F.lit(0))
     else:
         cut = {c: fn.crop(F.col(c), headcrop, tailcrop) for c in ("seq", "qual")}
-    trimmed = reads.withColumns({f"trimmed_{c}": e for c, e in cut.items()})
-    long_enough = _between(F.length("trimmed_seq"), minlength, maxlength)
+        left = F.greatest(F.length("seq") - (headcrop + tailcrop), F.lit(0))
+    # the length of what is left, not of a substring: the optimizer would copy the cutting into the filter
+    long_enough = _between(left, minlength, maxlength)
     good = _between(fn.mean_qscore(F.col("qual"), pinned=True), quality, None) if quality > 0 else F.lit(True)
-    return trimmed.withColumn("passed", long_enough & good)
+    return reads.withColumns({**{f"trimmed_{c}": e for c, e in cut.items()}, "passed": long_enough & good})
 
 
 def filter_trim(reads: DataFrame, *, inverse: bool = False, **options) -> DataFrame:
@@ -221,12 +226,15 @@ def filter_trim(reads: DataFrame, *, inverse: bool = False, **options) -> DataFr
     )
 
 
-def filter_report(reads: DataFrame, by: Sequence[str] = ("file",), *, inverse: bool = False, **options) -> DataFrame:
-    """``(*by, input_reads, output_reads, filtered_reads)`` in one pass."""
+def filter_report(
+    reads: DataFrame, by: Sequence[str] = ("file",), *, inverse: bool = False, files: DataFrame | None = None, **options
+) -> DataFrame:
+    """``(*by, input_reads, output_reads, filtered_reads)`` in one pass; ``files`` adds inputs without a read."""
     kept = F.col("passed") != F.lit(inverse)
-    return (
+    out = (
         trim_reads(reads, **options)
         .groupBy(*by)
         .agg(F.count("*").alias("input_reads"), F.count_if(kept).alias("output_reads"))
         .withColumn("filtered_reads", F.col("input_reads") - F.col("output_reads"))
     )
+    return with_inputs(out, by, files, ["input_reads", "output_reads", "filtered_reads"])

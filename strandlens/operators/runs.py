@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlens.operators.distribution import order_statistics, tally
-from strandlens.operators.joins import join_on
+from strandlens.operators.joins import join_on, with_inputs
 
 SECONDS_PER_HOUR = 3600.0
 
@@ -34,9 +34,7 @@ def run_stats(runs: DataFrame, by: Sequence[str] = ("file",), files: DataFrame |
         of("channel", F.col("distinct")).alias("active_channels"),
         of("start_time", (F.col("high") - F.col("low")) / SECONDS_PER_HOUR).alias("run_duration_hours"),
     )
-    if files is not None:
-        out = join_on(files.select(*by), out, by, "left").fillna(0, ["total_reads", "total_yield"])
-    return out
+    return with_inputs(out, by, files, ["total_reads", "total_yield"])
 
 
 def active_channels(runs: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:

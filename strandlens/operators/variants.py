@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlens.functions import variants as fn
+from strandlens.operators.joins import with_inputs
+from strandlens.operators.overlap import overlap_join
+
+ENDLESS = 1 << 40
 
 
 def with_allele_counts(variants: DataFrame) -> DataFrame:
@@ -17,29 +22,46 @@ def with_allele_counts(variants: DataFrame) -> DataFrame:
     return variants.withColumn("alt_counts", fn.allele_counts(F.col("alts"), F.col("format"), F.col("samples")))
 
 
-def region_filter(variants: DataFrame, regions: str) -> DataFrame:
-    """Records inside ``chr``, ``chr:pos``, ``chr:from-`` or ``chr:from-to`` items, comma-separated.
-
-    Positions are 1-based and both ends belong to the region.
-    """
-    condition: Column | None = None
+def _parsed_regions(regions: str, contigs: Sequence[str]) -> list[tuple[str, int, int]]:
+    """``(contig, start, end)`` of each item, half-open and 0-based."""
+    found = []
     for item in filter(None, (r.strip() for r in regions.split(","))):
-        contig, _, span = item.rpartition(":") if ":" in item else (item, "", "")
-        inside = F.col("chrom") == contig
-        if span:
-            first, dash, last = span.partition("-")
-            try:
-                low = int(first)
-                high = int(last) if last else None
-            except ValueError as exc:
-                raise ValueError(f"Invalid region: {item!r}") from exc
-            inside = inside & (F.col("pos") >= low)
-            if high is not None or not dash:
-                inside = inside & (F.col("pos") <= (low if high is None else high))
-        condition = inside if condition is None else condition | inside
-    if condition is None:
+        contig, colon, span = item.rpartition(":")
+        if item in contigs or not colon:
+            found.append((item, 0, ENDLESS))
+            continue
+        first, dash, last = span.partition("-")
+        try:
+            low = int(first)
+            high = int(last) if last else ENDLESS if dash else low
+        except ValueError as exc:
+            raise ValueError(f"Invalid region: {item!r}") from exc
+        found.append((contig, low - 1, high))
+    if not found:
         raise ValueError(f"Invalid region list: {regions!r}")
-    return variants.where(condition)
+    return found
+
+
+def region_filter(variants: DataFrame, regions: str | DataFrame, contigs: Sequence[str] = ()) -> DataFrame:
+    """Records that overlap a region with any base of their REF, each once.
+
+    ``regions`` is a comma-separated list of ``chr``, ``chr:pos``, ``chr:from-`` or ``chr:from-to`` (1-based, both
+    ends belong to the region), or a table of ``contig``, ``start``, ``end`` (0-based, half-open) of any size,
+    which goes through the binned overlap join. An item that is one of ``contigs`` is a whole contig, so
+    that names may hold colons.
+    """
+    start = F.col("pos") - 1
+    end = start + F.greatest(F.length("ref"), F.lit(1))
+    if isinstance(regions, str):
+        spans = _parsed_regions(regions, contigs)
+        inside = [(F.col("chrom") == c) & (start < F.lit(high)) & (end > F.lit(low)) for c, low, high in spans]
+        return variants.where(reduce(Column.__or__, inside))
+    # the join works on distinct spans; a record that meets several regions is kept once
+    spans = variants.select(F.col("chrom").alias("contig"), start.alias("start"), end.alias("end")).distinct()
+    hit = overlap_join(spans, regions.select("contig", "start", "end").where("start < end").distinct())
+    hit = hit.select(F.col("contig").alias("_contig"), F.col("start").alias("_start"), F.col("end").alias("_end")).distinct()
+    same = (F.col("chrom") == F.col("_contig")) & (start == F.col("_start")) & (end == F.col("_end"))
+    return variants.join(hit, same, "left_semi")
 
 
 def sample_filter(variants: DataFrame, wanted: str | Sequence[str], sample_names: Column) -> DataFrame:
@@ -79,11 +101,13 @@ def variant_stats(
     by: Sequence[str] = ("file",),
     include_snps: bool = True,
     include_indels: bool = True,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """Records, SNPs, indels, MNPs, others, transitions, transversions, singletons per input.
 
     A record counts for a class when any of its ALTs has it; ts and tv count SNP alleles and
     singletons alleles carried once. All within the row, so the one shuffle is of partial sums.
+    ``files`` adds zero counts for inputs without a record.
     """
     rows = with_allele_counts(variants)
     classes = F.transform("alts", lambda a: fn.variant_class(F.col("ref"), a))
@@ -109,6 +133,7 @@ def variant_stats(
         F.sum("tv").cast("bigint").alias("tv"),
         F.sum("once").cast("bigint").alias("singletons"),
     )
+    out = with_inputs(out, by, files, ["total_records", "snps", "indels", "mnps", "others", "ts", "tv"])
     out = out.withColumn("ts_tv_ratio", ts_tv_ratio(F.col("ts"), F.col("tv")))
     if not include_snps:
         out = out.withColumns({c: F.lit(None).cast(out.schema[c].dataType) for c in ("snps", "ts", "tv", "ts_tv_ratio")})

@@ -231,12 +231,12 @@ def alignment_summary(
     include_error_profile: bool = False,
     alignment_options: dict | None = None,
     coverage_options: dict | None = None,
-    stage: bool = True,
+    stage: bool = False,
 ) -> DataFrame:
     """``(*by, alignment, coverage, errors)`` as structs; a part not asked for is null and not computed.
 
-    The parts pass over the alignments several times, so their columns are staged first unless
-    ``stage`` is off (for input that is a narrow Parquet table already).
+    The parts pass over the alignments several times. For text input, ``stage`` writes the columns they
+    need to the shared folder first; a narrow Parquet table needs no such copy.
     """
     if stage:
         aln = stage_alignments(aln, by, with_seq=include_error_profile)

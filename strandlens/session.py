@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,19 +25,50 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     )
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and tasks are one process on this machine."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local runs, tests) a folder of this machine is used.
+    Only in local mode may that setting be absent: then a folder of this machine is used, and removed at
+    the end. On a cluster each executor would write to its own disk, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir() or base
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
+        base = spark.sparkContext.getCheckpointDir() or own
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession, *more: str) -> None:
+    """Sends this package, and packages or modules at the paths ``more``, to the executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "strandlens-package.zip")
+    atexit.register(shutil.rmtree, os.path.dirname(target), ignore_errors=True)
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for top in (os.path.dirname(os.path.abspath(__file__)), *more):
+            above = os.path.dirname(top)
+            files = [top] if os.path.isfile(top) else [os.path.join(d, f) for d, _, names in os.walk(top) for f in names]
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    archive.write(f, os.path.relpath(f, above))
+    context.addPyFile(target)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; counts no further than one row beyond."""
     return df.limit(max_rows + 1).count() <= max_rows

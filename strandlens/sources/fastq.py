@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlens.session import BROADCAST_MAX_ROWS
 from strandlens.sources.lines import Paths, read_lines
 
 FASTQ_NAMES = (".fastq", ".fq", ".fastq.gz", ".fq.gz")
@@ -25,13 +26,21 @@ def read_fastq(spark: SparkSession, paths: Paths, check_names: bool = True, task
     spreads the reads before any work on them.
     """
     chunks = read_lines(spark, paths, "\n@", FASTQ_NAMES if check_names else ())
+    # only the first piece of a file still has its own @
+    first = chunks.where("block = 0").groupBy(F.col("file").alias("of_file")).agg(F.min("id").alias("first_id"))
+    if len(chunks.inputFiles()) <= BROADCAST_MAX_ROWS:  # one row per file
+        first = F.broadcast(first)
     line = F.split("value", "\n")
-    lines = chunks.select("file", "block", F.col("id").alias("rec"), line.alias("l"))
+    lines = chunks.join(first, F.col("file") == F.col("of_file"), "left").select(
+        "file", "block", F.col("id").alias("rec"), line.alias("l"), (F.col("id") == F.col("first_id")).alias("begins")
+    )
     at = {i: F.rtrim(F.get("l", F.lit(i)), F.lit("\r")) for i in range(4)}
     has_head = F.coalesce(F.startswith(at[2], F.lit("+")), F.lit(False))
     whole = has_head & (F.size("l") >= 4)
-    # only the first piece of a file still has its own @
-    header = F.when(F.col("block") == 0, F.regexp_replace(at[0], "^@", "")).otherwise(at[0])
+    # nothing but blank lines may follow a record, as at the end of a file
+    rest = F.exists(F.slice("l", F.when(has_head, 5).otherwise(2), F.size("l")), lambda x: F.rtrim(x, F.lit("\r")) != "")
+    leftover = F.raise_error(F.concat(F.lit("Lines after a FASTQ record in "), F.col("file")))
+    header = F.when(rest, leftover.cast("string")).when(F.col("begins"), F.regexp_replace(at[0], "^@", "")).otherwise(at[0])
 
     complete = lines.where(whole).select("file", "rec", header.alias("read_id"), at[1].alias("seq"), at[3].alias("qual"))
 
@@ -40,7 +49,7 @@ def read_fastq(spark: SparkSession, paths: Paths, check_names: bool = True, task
         "block",
         (F.col("rec") - F.when(has_head, 0).otherwise(1)).alias("rec"),
         F.when(has_head, F.struct(header.alias("read_id"), at[1].alias("seq"))).alias("head"),
-        F.when(~has_head, F.concat(F.lit("@"), at[0])).alias("tail"),
+        F.when(~has_head, F.when(rest, leftover.cast("string")).otherwise(F.concat(F.lit("@"), at[0]))).alias("tail"),
     )
     met = pieces.groupBy("file", "block", "rec").agg(F.max("head").alias("head"), F.max("tail").alias("tail"))
     both = F.col("head").isNotNull() & F.col("tail").isNotNull()

@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlens.functions.text import angle_map, columns_of, strip, tag_map
 from strandlens.sources.lines import Paths, read_heads
 
-VCF_HEADER_MAX_LINES = 2000
-
 # Known tags by record type and the field each one fills.
 HD_TAGS = {"VN": "version", "SO": "sort_order", "GO": "group_order"}
 SQ_TAGS = {"SN": "name", "LN": "length", "AS": "assembly", "UR": "uri", "M5": "md5"}
@@ -41,9 +39,16 @@ def sam_header_lines(spark: SparkSession, paths: Paths) -> DataFrame:
     return read_heads(spark, paths, prefix="@")
 
 
-def vcf_header_lines(spark: SparkSession, paths: Paths, max_lines: int | None = VCF_HEADER_MAX_LINES) -> DataFrame:
-    """Header lines up to ``#CHROM``, the first line of data or ``max_lines``."""
-    return read_heads(spark, paths, prefix="#", max_lines=max_lines, stop="#CHROM")
+def vcf_header_lines(spark: SparkSession, paths: Paths, max_lines: int | None = None) -> DataFrame:
+    """Header lines up to ``#CHROM`` or the first line of data.
+
+    With ``max_lines`` a longer header is cut there, and the column ``cut`` says so on each of its lines.
+    """
+    if max_lines is None:
+        return read_heads(spark, paths, prefix="#", stop="#CHROM")
+    lines = read_heads(spark, paths, prefix="#", max_lines=max_lines + 1, stop="#CHROM")
+    longest = F.max("line_no").over(Window.partitionBy("file"))
+    return lines.withColumn("cut", longest > max_lines).where(F.col("line_no") <= max_lines)
 
 
 def require_header(lines: DataFrame, paths: Paths) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlens.session import BROADCAST_MAX_ROWS
+from strandlens.session import BROADCAST_MAX_ROWS, is_local
 
 Paths = str | Sequence[str]
 
@@ -74,14 +74,10 @@ def _head(name: str, prefix: str, max_lines: int | None, stop: str | None):
     """Leading lines of one file that start with ``prefix``; closes the file right after them."""
     import gzip
     import io
+    from urllib.parse import unquote
 
-    from pyarrow import fs
-
-    if "://" in name or name.startswith("file:"):
-        system, path = fs.FileSystem.from_uri(name)
-    else:
-        system, path = fs.LocalFileSystem(), name
-    with system.open_input_file(path) as raw:
+    path = unquote(re.sub("^file:/+", "/", name))
+    with open(path, "rb") as raw:
         data = gzip.GzipFile(fileobj=raw) if path.lower().endswith(".gz") else raw
         for number, line in enumerate(io.TextIOWrapper(data, encoding="utf-8", errors="replace", newline="\n"), start=1):
             if (max_lines is not None and number > max_lines) or not line.startswith(prefix):
@@ -91,16 +87,36 @@ def _head(name: str, prefix: str, max_lines: int | None, stop: str | None):
                 return
 
 
+def _heads_by_spark(
+    spark: SparkSession, paths: Paths, n_files: int, prefix: str, max_lines: int | None, stop: str | None
+) -> DataFrame:
+    """The same from the first split of each file, in which the place of a line is its number."""
+    begins = read_lines(spark, paths).where("block = 0")
+    ends = F.when(~F.startswith("value", F.lit(prefix)), F.col("id"))
+    stops = F.when(F.startswith("value", F.lit(stop)), F.col("id") + 1) if stop is not None else F.lit(None).cast("bigint")
+    per_file = begins.groupBy("file").agg(F.min("id").alias("first_id"), F.min(F.least(ends, stops)).alias("end_id"))
+    if n_files <= BROADCAST_MAX_ROWS:  # one row per file
+        per_file = F.broadcast(per_file)
+    place = F.col("id") - F.col("first_id") + 1
+    kept = begins.join(per_file, "file").where(F.col("end_id").isNull() | (F.col("id") < F.col("end_id")))
+    if max_lines is not None:
+        kept = kept.where(place <= max_lines)
+    return kept.select("file", place.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
 def read_heads(
     spark: SparkSession, paths: Paths, prefix: str = "", max_lines: int | None = None, stop: str | None = None
 ) -> DataFrame:
     """``(file, line_no, value)`` of the first lines of each file, up to the first without ``prefix``.
 
-    A header is at the start of its file, so files are opened in tasks and left after it; the
-    rest of a large file is never read. Files spread over tasks.
+    Where the driver and all tasks are on this machine, files are opened in tasks and left after the
+    header, so the rest of a large file is never read. On a cluster, and for any other store, the lines come
+    through Spark's own reader, with its credentials; headers are expected to end in the first split.
     """
     files = spark.read.text(path_list(paths)).inputFiles()
     check_names(files)
+    if not is_local(spark) or not all(f.startswith("file:") for f in files):
+        return _heads_by_spark(spark, paths, len(files), prefix, max_lines, stop)
     names = spark.createDataFrame([(f,) for f in files], "file string")
     tasks = min(-(-len(files) // HEADS_PER_TASK), 4096)
     names = names.repartition(tasks, "file") if tasks > 1 else names.coalesce(1)

@@ -12,7 +12,10 @@ SAM_NAMES = (".sam", ".sam.gz")
 
 
 def read_sam(spark: SparkSession, paths: Paths, check_names: bool = True) -> DataFrame:
-    """One row per record, ``pos`` and ``pnext`` 0-based; tags as text by name, without their type."""
+    """One row per record, ``pos`` and ``pnext`` 0-based; tags as text by name, without their type.
+
+    An absent sequence or quality (``*``) is null.
+    """
     lines = read_lines(spark, paths, allowed=SAM_NAMES if check_names else ())
     f = F.split("value", "\t")
     tags = F.transform(
@@ -30,7 +33,7 @@ def read_sam(spark: SparkSession, paths: Paths, check_names: bool = True) -> Dat
         F.get(f, F.lit(6)).alias("rnext"),
         (F.get(f, F.lit(7)).try_cast("bigint") - 1).alias("pnext"),
         F.get(f, F.lit(8)).try_cast("bigint").alias("tlen"),
-        F.get(f, F.lit(9)).alias("seq"),
-        F.get(f, F.lit(10)).alias("qual"),
+        F.nullif(F.get(f, F.lit(9)), F.lit("*")).alias("seq"),
+        F.nullif(F.get(f, F.lit(10)), F.lit("*")).alias("qual"),
         map_last_wins(tags).alias("tags"),
     )

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def write_fastq(reads: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
-    """Reads as four-line records; parts of the folder are written in parallel."""
-    record = F.concat_ws("\n", F.concat(F.lit("@"), F.col("read_id")), "seq", F.lit("+"), "qual")
+    """Reads as four-line records, absent sequences and qualities as empty lines; parts are written in parallel."""
+    text = [F.coalesce(c, F.lit("")) for c in (F.concat(F.lit("@"), F.col("read_id")), F.col("seq"), F.lit("+"), F.col("qual"))]
+    record = F.concat_ws("\n", *text)
     reads.select(record.alias("value")).write.mode(mode).text(path, compression=compression)
 
 
