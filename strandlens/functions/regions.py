@@ -27,9 +27,9 @@ def parse_location(location: Column) -> Column:
         return (
             F.when(
                 ~F.coalesce(shaped, F.lit(False)),
-                F.raise_error(F.concat(F.lit("Invalid location format: "), location, F.lit(". Expected 'chr:start-end'"))),
+                F.raise_error(F.concat(F.lit("A location is written contig:start-end, not "), location)),
             )
-            .when(number.isNull(), F.raise_error(F.concat(F.lit("Invalid coordinates in location: "), location)))
+            .when(number.isNull(), F.raise_error(F.concat(F.lit("Start and end must be whole numbers in location "), location)))
             .otherwise(number)
         ).cast("bigint")
 

@@ -41,7 +41,7 @@ def run_headers(spark: SparkSession, paths: Paths) -> DataFrame:
     heads = read_heads(spark, paths, max_lines=1).where(strip(F.col("value")) != "")
     columns = columns_of(F.col("value"))
     places = {name: resolve_column(columns, *names) for name, names in RUN_COLUMNS.items()}
-    missing = F.raise_error(F.concat(F.lit("Required column 'sequence_length_template' not found in "), F.col("file")))
+    missing = F.raise_error(F.concat(F.lit("No column of read lengths (sequence_length_template) in "), F.col("file")))
     places["length"] = F.coalesce(places["length"], missing.cast("int"))
     return heads.select("file", *[c.alias(name) for name, c in places.items()])
 

@@ -40,9 +40,9 @@ SELECT file, line_no AS line_number,
        CASE kind WHEN 'few' THEN 'chr1' || chr(9) || size WHEN 'start' THEN 'chr1' || chr(9) || 'abc' || chr(9) || size || chr(9) || 'x'
          WHEN 'end' THEN 'chr2' || chr(9) || size || chr(9) || '7.5'
          ELSE 'chr3' || chr(9) || size || chr(9) || '20' || chr(9) || name END AS line_content,
-       CASE kind WHEN 'few' THEN 'Line has fewer than 3 columns (chrom, start, end required)'
-         WHEN 'start' THEN 'Start coordinate ''abc'' is not an integer' WHEN 'end' THEN 'End coordinate ''7.5'' is not an integer'
-         ELSE 'Start coordinate (' || size || ') >= end coordinate (20)' END AS issue
+       CASE kind WHEN 'few' THEN 'needs contig, start and end'
+         WHEN 'start' THEN 'start is no whole number: abc' WHEN 'end' THEN 'end is no whole number: 7.5'
+         ELSE 'start ' || size || ' is not below end 20' END AS issue
 FROM bed WHERE kind NOT IN ('ok', 'ok20')"""
 )
 def bed_issues(spark, sf):
@@ -144,7 +144,8 @@ def variant_classes(spark, sf):
 
 @query(
     f"""WITH {VARIANTS} SELECT file, chrom, pos, ref FROM variants
-WHERE (chrom = 'Brand#3' AND pos BETWEEN 100 AND 1500) OR chrom = 'Brand#7' OR (chrom = 'Brand#9' AND pos >= 700)"""
+WHERE (chrom = 'Brand#3' AND pos <= 1500 AND pos + greatest(length(ref), 1) - 1 >= 100) OR chrom = 'Brand#7'
+  OR (chrom = 'Brand#9' AND pos + greatest(length(ref), 1) - 1 >= 700)"""
 )
 def region_filter(spark, sf):
     out = vr.region_filter(views.variants(spark, sf), "Brand#3:100-1500,Brand#7,Brand#9:700-")
