@@ -71,6 +71,18 @@ def qscore_distribution(
     return join_on(out, means, by, "left")
 
 
+def alignment_read_lengths(aln: DataFrame, by: Sequence[str] = ("file",), bin_width: float = ds.LENGTH_BIN) -> DataFrame:
+    """``read_length_distribution`` of the reads behind alignments: each once, as sequenced."""
+    return read_length_distribution(al.reads_from_alignments(aln), by, bin_width)
+
+
+def alignment_read_qscores(
+    aln: DataFrame, by: Sequence[str] = ("file",), bin_width: float = ds.QSCORE_BIN, per_position: bool = False
+) -> DataFrame:
+    """``qscore_distribution`` of the reads behind alignments: each once, as sequenced."""
+    return qscore_distribution(al.reads_from_alignments(aln), by, bin_width, per_position)
+
+
 def run_report(runs: DataFrame, by: Sequence[str] = ("file",), files: DataFrame | None = None) -> DataFrame:
     """Run statistics with yield per hour; the list is empty when times are missing or all equal."""
     windows = _list(rn.yield_per_hour(runs, by), by, "yield_per_hour", "window_start_hours", "yield_bp", "read_count")

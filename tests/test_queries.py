@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+import workload
 from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -14,10 +15,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(workload.QUERIES) == set(workload.ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(workload.QUERIES))
 def test_query(spark, con, name):
     # at this size a filter may leave nothing, which is no fault by itself
     problems = [p for p in compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) if p != "no rows"]
