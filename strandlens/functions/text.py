@@ -38,7 +38,9 @@ def map_last_wins(entries: Column) -> Column:
             lambda later: later["key"] == e["key"],
         ),
     )
-    return F.map_from_entries(kept)
+    # keys are hardly ever repeated, and looking for a later one of each takes quadratic time
+    distinct = F.size(F.array_distinct(F.transform(entries, lambda e: e["key"]))) == F.size(entries)
+    return F.map_from_entries(F.when(distinct, entries).otherwise(kept))
 
 
 def pair(item: Column, sep: str) -> Column:

@@ -55,7 +55,8 @@ def region_filter(variants: DataFrame, regions: str | DataFrame, contigs: Sequen
     if isinstance(regions, str):
         spans = _parsed_regions(regions, contigs)
         inside = [(F.col("chrom") == c) & (start < F.lit(high)) & (end > F.lit(low)) for c, low, high in spans]
-        return variants.where(reduce(Column.__or__, inside))
+        # the list of contigs by itself, which is pushed to the scan
+        return variants.where(F.col("chrom").isin(*{c for c, _, _ in spans}) & reduce(Column.__or__, inside))
     # the join works on distinct spans; a record that meets several regions is kept once
     spans = variants.select(F.col("chrom").alias("contig"), start.alias("start"), end.alias("end")).distinct()
     hit = overlap_join(spans, regions.select("contig", "start", "end").where("start < end").distinct())

@@ -10,11 +10,15 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BROADCAST_MAX_ROWS = 200_000
 """Row bound under which a table of a few narrow columns may be broadcast (about 10 MB)."""
 
 
+BROADCAST_MAX_BYTES = 64 << 20
+
+
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings the library is tuned for; none of them changes a result."""
     return (
@@ -69,6 +73,18 @@ def ship_package(spark: SparkSession, *more: str) -> None:
     context.addPyFile(target)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; counts no further than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes; counts no further than one row beyond.
+
+    Strings count their bytes, nested columns those of their JSON, all others 8 bytes.
+    """
+    width = F.lit(0)
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        kind = field.dataType.typeName()
+        if kind in ("array", "map", "struct"):
+            column, kind = F.to_json(F.struct(column)), "string"
+        size = F.coalesce(F.octet_length(column), F.lit(0)) if kind in ("string", "binary") else F.lit(8)
+        width = width + size
+    rows, size = df.limit(max_rows + 1).select(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes

@@ -12,13 +12,13 @@ from strandlens.sources.lines import Paths, file_label, path_list
 # Formats by file name ending.
 FORMATS = {
     "fastq": (".fastq", ".fq", ".fastq.gz", ".fq.gz", ".fastq.bgz", ".fq.bgz"),
-    "sam": (".sam",),
+    "sam": (".sam", ".sam.gz"),
     "bam": (".bam",),
     "cram": (".cram",),
     "vcf": (".vcf", ".vcf.gz", ".vcf.bgz"),
     "bcf": (".bcf",),
-    "bed": (".bed",),
-    "gff3": (".gff", ".gff3"),
+    "bed": (".bed", ".bed.gz"),
+    "gff3": (".gff", ".gff3", ".gff.gz", ".gff3.gz"),
 }
 
 
@@ -39,8 +39,9 @@ def file_manifest(
     if allowed:
         status = status.when(~_ends(name, allowed), "bad_extension")
     listed = path_list(paths)
-    present = [p for p in listed if _exists(spark, p)]
-    gone = spark.createDataFrame([(p, "missing") for p in listed if p not in present], "file string, status string")
+    there = {p: _exists(spark, p) for p in dict.fromkeys(listed)}
+    present = [p for p, found in there.items() if found]
+    gone = spark.createDataFrame([(p, "missing") for p, found in there.items() if not found], "file string, status string")
     if not present:
         return gone.selectExpr(
             "file", "cast(null as bigint) length", "cast(null as timestamp) modified", "cast(null as string) format", "status"
@@ -54,7 +55,7 @@ def file_manifest(
         .withColumn("length", F.coalesce("length", F.lit(0)))
         .select("file", "length", "modified", fmt.alias("format"), status.otherwise("ok").alias("status"))
     )
-    return out.unionByName(gone, allowMissingColumns=True) if len(present) < len(listed) else out
+    return out.unionByName(gone, allowMissingColumns=True) if len(present) < len(there) else out
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
