@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; ``n_chars`` follows the text."""
     found = secrets.scan_secrets(docs, redact=SECRET_MARK, keep_row=True)
-    changed = ~F.col("redacted").eqNullSafe(F.col("row.text"))
+    changed = F.col("spans") != ""
     new = {"text": F.col("redacted"), "n_chars": F.when(changed, F.length("redacted").cast("bigint")).otherwise(F.col("row.n_chars"))}
     return found.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 

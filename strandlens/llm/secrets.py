@@ -129,11 +129,13 @@ def scan_secrets(
     Returns ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``n_novel``, ``base_spans`` and ``spans``
     (``kind:start:end`` by start, then kind, joined by commas; code points, end exclusive), ``redacted``
     (the text with spans replaced by ``redact``; the text itself if that is None), and with ``keep_row``
-    the struct ``row`` of the input. Null and empty texts have no spans; a null text stays null.
+    the struct ``row`` of the other columns. Null and empty texts have no spans; a null text stays null.
     Repeated rows stay; an empty table gives no rows; other columns are not read, whatever their names.
     """
     chosen = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.struct("*").alias("row")] if keep_row else [])
+        F.col(doc_id).alias("doc_id"),
+        F.col(text).alias("text"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")] if keep_row else []),
     )
     schema = chosen.drop("text").schema
     for name, kind in (

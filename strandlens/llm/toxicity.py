@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,19 +137,25 @@ def fit_toxicity(
                     [part.column("part"), part.column("label"), part.column("doc_id"), lists], ["part", "label", "doc_id", "places"]
                 )
 
-    def to_weights(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id", kind="stable")
-        rows = [np.asarray(p, np.int64) for p in group["places"]]
-        weights, bias = train(rows, group["label"].to_numpy(float), rate, epochs)
+    def to_weights(group: pa.Table) -> pa.Table:
+        # views of the sample's buckets, chunk by chunk, in the order of ids
+        rows: list[np.ndarray] = []
+        for chunk in group.column("places").chunks:
+            flat, at = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+            rows += [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+        order = pc.sort_indices(group.select(["doc_id", "label"]), [("doc_id", "ascending"), ("label", "ascending")]).to_pylist()
+        labels_of = group.column("label").to_numpy().astype(float)[order]
+        weights, bias = train([rows[i] for i in order], labels_of, rate, epochs)
         at = np.flatnonzero(weights)
-        return pd.DataFrame({"place": np.append(at, BUCKETS), "weight": np.append(weights[at], bias)})
+        places, values = np.append(at, BUCKETS).astype(np.int32), np.append(weights[at], bias)
+        return pa.table([pa.array(places), pa.array(values)], names=["place", "weight"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     fitted = (
         chosen.select("text", "label", "doc_id", F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(parts)).cast("int").alias("part"))
         .mapInArrow(to_features, f"part int, label int, doc_id {kind}, places array<int>")
         .groupBy("part")
-        .applyInPandas(to_weights, "place int, weight double")
+        .applyInArrow(to_weights, "place int, weight double")
         .groupBy("place")
         .agg((F.sum("weight") / parts).alias("weight"))
         .orderBy("place")
@@ -179,14 +185,15 @@ def score_toxicity(
     gives no rows; other columns are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.struct("*").alias("row")] if keep_row else [])
-    )
+    # the text goes to Python once, by itself or in its row
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.struct("*").alias("row") if keep_row else F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value.dense(), shared.value.bias
         for batch in batches:
-            scores = [score_texts(part.column("text"), weights, bias) for part in slices(batch)]
+            texts = pc.struct_field(batch.column("row"), [text]) if keep_row else batch.column("text")
+            parts = slices(pa.RecordBatch.from_arrays([texts], ["text"]))
+            scores = [score_texts(part.column("text"), weights, bias) for part in parts]
             score = np.concatenate(scores) if scores else np.zeros(0)
             names = [f for f in batch.schema.names if f != "text"]
             yield pa.RecordBatch.from_arrays(
