@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 400_000
-CHUNK_CHARS = 1 << 20
+CACHE_PIECES = 100_000
+CHUNK_CHARS = 1 << 18
 _BLOCK = 256
 
 # Classes of code points.
