@@ -28,12 +28,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its counted bytes stay below ``max_bytes``, else without.
 
-    Counts all rows and the bytes of all string columns; other columns count 8 bytes. Without the
+    Counts all rows and the bytes of all string and binary columns; other columns count 8 bytes. Without the
     hint the join is a shuffled one, whose skewed partitions adaptive execution splits.
     """
     width = F.lit(0)
     for name, kind in df.dtypes:
-        width = width + (F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) if kind == "string" else F.lit(8))
+        width = width + (F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) if kind in ("string", "binary") else F.lit(8))
     size = df.agg(F.sum(width)).first()[0] or 0
     return F.broadcast(df) if size <= max_bytes else df
 

@@ -29,10 +29,12 @@ from strandlens.llm.words import chained, hashed_words, mixed, slices
 
 WORDS = 5
 PERCENT = 80
-SIGNATURE_WORDS = 8
+SIGNATURE_WORDS = 16
+WIDE_WORDS = 64
 PIVOTS = 3
 FIRST_SHINGLES = 3
 BLOCK = 512
+PAIRS_PER_BATCH = 256
 # Sets of up to this size show all shingles; the judged ones are so small that their partners do, too.
 SHOWN_WHOLE = 160
 JUDGED_WHOLE = 128
@@ -69,12 +71,12 @@ def set_keys(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return mixed(sums[begins[1:]] - sums[begins[:-1]] + np.diff(begins).astype(np.uint64))
 
 
-def signatures(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """A bitmap of 512 bits for each set, one bit per shingle."""
-    out = np.zeros((len(begins) - 1) * SIGNATURE_WORDS, np.uint64)
+def signatures(hashes: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of ``size`` 64-bit words for each set, one bit per shingle."""
+    out = np.zeros((len(begins) - 1) * size, np.uint64)
     owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    bit = hashes & np.uint64(64 * SIGNATURE_WORDS - 1)
-    np.bitwise_or.at(out, owner * SIGNATURE_WORDS + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    bit = hashes & np.uint64(64 * size - 1)
+    np.bitwise_or.at(out, owner * size + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
     return out.view(np.int64)
 
 
@@ -121,25 +123,24 @@ def _spare(n: Column) -> Column:
     return F.floor(n * (100 - PERCENT) / 100)
 
 
-def _as_shown(h: Column, n: Column) -> Column:
-    """Whether a shingle counts when its set is judged: a sampled hash, or any of a small set."""
-    # unsigned order of the hashes: non-negative ones come first
-    return ((h >= 0) & (h < F.lit(int(_SAMPLE)))) | (n <= JUDGED_WHOLE)
+def _sampled(h: Column) -> Column:
+    """Whether a hash is among the smallest three tenths in unsigned order, where non-negative ones come first."""
+    return (h >= 0) & (h < F.lit(int(_SAMPLE)))
 
 
 def _classes_with_partners(sized: DataFrame) -> DataFrame:
     """Classes of which enough shingles occur in others: ``key``, ``doc_id`` (the smallest) and ``n``."""
     classes = sized.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    shown = sized.where(F.size("shown") > 0).select("key", F.col("n_shingles").alias("n"), F.explode("shown").alias("h"))
+    shown = sized.where(F.size("shown") > 0).select("key", F.explode("shown").alias("h"))
     alone = (
         shown.groupBy("h")
-        .agg(F.min("key").alias("key"), F.max("key").alias("last"), F.min("n").alias("n"))
+        .agg(F.min("key").alias("key"), F.max("key").alias("last"))
         .where("key = last")
-        .where(_as_shown(F.col("h"), F.col("n")))
         .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("alone"))
+        .agg(F.count_if(_sampled(F.col("h"))).alias("alone_sampled"), F.count(F.lit(1)).alias("alone"))
     )
-    return classes.join(alone, "key", "left").where(F.coalesce("alone", F.lit(0)) <= _spare(F.col("n"))).drop("alone")
+    judged = F.coalesce(F.when(F.col("n") <= JUDGED_WHOLE, F.col("alone")).otherwise(F.col("alone_sampled")), F.lit(0))
+    return classes.join(alone, "key", "left").where(judged <= _spare(F.col("n"))).drop("alone", "alone_sampled")
 
 
 def _sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
@@ -156,24 +157,21 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
                         pa.array(set_keys(hashes, begins).view(np.int64)),
                         pa.array(np.diff(begins).astype(np.int64)),
                         _lists(hashes.view(np.int64), begins),
-                        _lists(signatures(hashes, begins), np.arange(len(begins)) * SIGNATURE_WORDS),
+                        _lists(signatures(hashes, begins, SIGNATURE_WORDS), np.arange(len(begins)) * SIGNATURE_WORDS),
+                        pa.array([w.tobytes() for w in signatures(hashes, begins, WIDE_WORDS).reshape(-1, WIDE_WORDS)], pa.binary()),
                     ],
-                    ["key", "n", "shingles", "signature"],
+                    ["key", "n", "shingles", "signature", "wide"],
                 )
 
-    sets = texts.mapInArrow(run, "key bigint, n bigint, shingles array<bigint>, signature array<bigint>").where("n > 0")
+    schema = "key bigint, n bigint, shingles array<bigint>, signature array<bigint>, wide binary"
+    sets = texts.mapInArrow(run, schema).where("n > 0")
     return sets.join(chosen.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
-def _tiles(sets: DataFrame, prefix: Column, *columns: str) -> DataFrame:
-    """One row per set and shingle of its prefix, in its own size band and the next.
-
-    Sizes of linked sets differ by a quarter at most, so their bands are equal or neighbours.
-    """
+def _in_bands(rows: DataFrame) -> DataFrame:
+    """Each row in its own size band and the next: sizes of linked sets differ by a quarter at most."""
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT)) + 1e-9)
-    return sets.select(
-        "key", "n", "signature", *columns, F.explode(F.slice("shingles", F.lit(1), prefix.cast("int"))).alias("h"), band.alias("own")
-    ).select("*", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
+    return rows.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
 
 
 def _may_link(n: Column, signature: Column, other_n: Column, other_signature: Column) -> Column:
@@ -197,14 +195,39 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
+def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs that signatures of 4096 bits leave, written: few unlinked ones need their arrays."""
+    wide = sets.select("key", "n", "wide")
+    other = wide.select(F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("wide").alias("other_wide"))
+    both = pairs.join(broadcast_if_small(wide), "key").join(broadcast_if_small(other), "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS) for c in ("wide", "other_wide")
+            )
+            n, m = batch.column("n").to_numpy(), batch.column("other_n").to_numpy()
+            mine = n - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
+            theirs = m - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
+            good = (100 + PERCENT) * np.minimum(mine, theirs) >= PERCENT * (n + m)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("other")], ["key", "other"]).filter(pa.array(good))
+
+    chosen = both.select("key", "other", "n", "other_n", "wide", "other_wide")
+    return written(chosen.mapInArrow(run, "key bigint, other bigint"), "ngram-bounded")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (``key``, ``other``) whose exact overlap is enough."""
+    """Those of the pairs (``key``, ``other``) whose exact overlap is enough, written.
+
+    Rows hold two whole arrays, so Arrow batches are kept to ``PAIRS_PER_BATCH`` rows.
+    """
+    pairs = _bounded(pairs, sets)
     left = pairs.join(sets.select("key", "shingles"), "key")
     right = sets.join(pairs.select(F.col("other").alias("key")).distinct(), "key", "left_semi")
     right = right.select(F.col("key").alias("other"), F.col("shingles").alias("others"))
     # arrays of 8 bytes an element: counted before any broadcast
     bytes_right = right.agg(F.sum(F.size("others") * 8)).first()[0] or 0
-    both = left.join(F.broadcast(right) if bytes_right <= 32 << 20 else right, "other")
+    both = left.join(F.broadcast(right) if bytes_right <= 16 << 20 else right, "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +241,14 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good[i] = 100 * common >= PERCENT * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("other")], ["key", "other"]).filter(pa.array(good))
 
-    return both.select("key", "other", "shingles", "others").mapInArrow(run, "key bigint, other bigint")
+    conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, PAIRS_PER_BATCH)
+    try:
+        found = both.select("key", "other", "shingles", "others").mapInArrow(run, "key bigint, other bigint")
+        return written(found, "ngram-links")
+    finally:
+        conf.set(name, before)
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -244,7 +274,7 @@ def components(links: DataFrame, label: str) -> DataFrame:
 
 def _pivot_pairs(sets: DataFrame) -> DataFrame:
     """Each set with a few pivots of its tiles, where size and signature leave a chance."""
-    tiles = _tiles(sets, F.lit(FIRST_SHINGLES))
+    tiles = _in_bands(sets.select("key", "n", "signature", F.explode(F.slice("shingles", 1, FIRST_SHINGLES)).alias("h")))
     pivots = tiles.groupBy("h", "band").agg(
         F.count(F.lit(1)).alias("sets"),
         F.array(
@@ -263,40 +293,129 @@ def _pivot_pairs(sets: DataFrame) -> DataFrame:
 def _across(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Sets that may link to a set of another component, with their ``root``."""
     rooted = sets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    shown = rooted.select("key", "n", "root", F.explode("shingles").alias("h")).where(
-        _as_shown(F.col("h"), F.lit(SHOWN_WHOLE)) | (F.col("n") <= SHOWN_WHOLE)
-    )
+    shown = rooted.select("key", "n", "root", F.explode("shingles").alias("h")).where(_sampled(F.col("h")) | (F.col("n") <= SHOWN_WHOLE))
     foreign = shown.groupBy("h").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first < last").select("h")
-    judged = shown.where(_as_shown(F.col("h"), F.col("n")))
+    judged = shown.where(_sampled(F.col("h")) | (F.col("n") <= JUDGED_WHOLE))
     met = judged.join(foreign, "h").groupBy("key").agg(F.count(F.lit(1)).alias("met"))
     counted = judged.groupBy("key").agg(F.count(F.lit(1)).alias("judged"), F.first("n").alias("n"))
     passed = counted.join(met, "key").where(F.col("judged") - F.col("met") <= _spare(F.col("n"))).select("key")
     return rooted.join(passed, "key", "left_semi")
 
 
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """``key``, ``n``, ``root``, ``prefix``: shingles of which a set shares one with any set of another component it links to.
+
+    Shingles of one component alone cannot be shared with another; the rarest of the others come
+    first. If only as many are left out as a link may miss, each link has one of the first in common.
+    """
+    shown = sets.select("key", "n", "root", F.explode("shingles").alias("h"))
+    foreign = (
+        shown.groupBy("h")
+        .agg(F.count(F.lit(1)).alias("sets"), F.min("root").alias("first"), F.max("root").alias("last"))
+        .where("first < last")
+        .select("h", "sets")
+    )
+    # as long as a set
+    rarest = shown.join(foreign, "h").groupBy("key").agg(
+        F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("sets", "h"))).alias("rarest")
+    )
+    wanted = _spare(F.col("n")) + 1 - (F.col("n") - F.size("rarest"))
+    first = F.transform(F.slice("rarest", F.lit(1), wanted.cast("int")), lambda r: r["h"])
+    return rarest.where(wanted > 0).select("key", "n", "root", first.alias("prefix"))
+
+
 def _all_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of different components that share a tile and pass the bound; large tiles go in blocks."""
-    tiles = _tiles(sets, _spare(F.col("n")) + 1, "root").drop("own")
+    """Pairs of different components that share a tile and pass the bound; large tiles go in blocks.
+
+    A pair comes out once: in the tile of its first common shingle and of the larger band.
+    """
+    prefixes = written(_prefixes(sets).join(sets.select("key", "signature"), "key"), "ngram-prefixes")
+    tiles = _in_bands(prefixes.select("key", "n", "root", F.explode("prefix").alias("h")))
     sizes = tiles.groupBy("h", "band").agg(F.count(F.lit(1)).alias("sets"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
     blocks = tiles.join(sizes.select("h", "band", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")), ["h", "band"]).withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     )
     # a block meets itself and every other one: each set is sent once per pair of blocks
-    sent = written(
-        blocks.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "key", "n", "signature", "root", "h", "band", "block", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high")
-        ),
-        "ngram-tiles",
-    )
     at = ["h", "band", "low", "high"]
-    left = sent.where("block = low")
-    right = sent.where("block = high").select(*at, *(F.col(c).alias(f"other_{c}") for c in ("key", "n", "signature", "root")))
-    met = left.join(right, at).where(
-        (F.col("root") != F.col("other_root")) & ((F.col("low") < F.col("high")) | (F.col("key") < F.col("other_key")))
+    sent = (
+        blocks.join(prefixes.select("key", "signature", "prefix"), "key")
+        .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"low": F.least("block", "to"), "high": F.greatest("block", "to")})
+        .select(*at, "key", "n", "root", "own", "block", "signature", "prefix")
+    )
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sent.repartition(tasks, *at).sortWithinPartitions(*at)
+    return written(dealt.mapInArrow(_pairs_of_tiles, "key bigint, other bigint"), "ngram-pairs")
+
+
+def _pairs_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within each tile, which are rows in a row; a tile cut by the end of a batch is carried over."""
+    carried: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = [batch.column(c).to_numpy() for c in ("h", "band", "low", "high")]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in at], axis=0)) + 1
+        first = tuple(c[0] for c in at)
+        if carried and first != last:
+            yield _pairs(carried)
+            carried = []
+        begin = change[-1] if len(change) else 0
+        if begin:
+            yield _pairs([*carried, batch.slice(0, begin)])
+            carried = []
+        carried.append(batch.slice(begin))
+        last = tuple(c[-1] for c in at)
+    if carried:
+        yield _pairs(carried)
+
+
+def _pairs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Pairs of different components in whole tiles: each where its first common shingle and larger band are."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    h, band, low, high, key, n, root, own, block = (
+        rows.column(c).to_numpy() for c in ("h", "band", "low", "high", "key", "n", "root", "own", "block")
     )
-    bound = _may_link(F.col("n"), F.col("signature"), F.col("other_n"), F.col("other_signature"))
-    pair = F.least("key", "other_key").alias("key"), F.greatest("key", "other_key").alias("other")
-    return written(met.where(bound).select(*pair).distinct(), "ngram-pairs")
+    bits = rows.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE_WORDS)
+    lists = rows.column("prefix").combine_chunks()
+    flat, cuts = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+    prefix: dict[int, list[int]] = {}
+
+    def first_of(i: int) -> list[int]:
+        if i not in prefix:
+            prefix[i] = flat[cuts[i] : cuts[i + 1]].tolist()
+        return prefix[i]
+
+    change = np.any([c[1:] != c[:-1] for c in (h, band, low, high)], axis=0)
+    begins = np.flatnonzero(np.append(True, change))
+    found: list[tuple[int, int]] = []
+    for begin, end in zip(begins, np.append(begins[1:], len(h)), strict=True):
+        if end - begin < 2:
+            continue
+        prefix.clear()
+        tile = np.arange(begin, end)
+        lower, upper = tile[block[tile] == low[begin]], tile[block[tile] == high[begin]]
+        same = low[begin] == high[begin]
+        for i in lower:
+            others = upper[(root[upper] != root[i]) & (np.maximum(own[upper], own[i]) == band[begin])]
+            if same:
+                others = others[key[others] > key[i]]
+            if not len(others):
+                continue
+            mine = n[i] - np.bitwise_count(bits[i] & ~bits[others]).sum(axis=1, dtype=np.int64)
+            theirs = n[others] - np.bitwise_count(bits[others] & ~bits[i]).sum(axis=1, dtype=np.int64)
+            others = others[(100 + PERCENT) * np.minimum(mine, theirs) >= PERCENT * (n[i] + n[others])]
+            if not len(others):
+                continue
+            here, before = h[begin], set()
+            for x in first_of(i):
+                if x == here:
+                    break
+                before.add(x)
+            found += [(min(key[i], key[j]), max(key[i], key[j])) for j in others.tolist() if before.isdisjoint(first_of(j))]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "other"])
 
 
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -313,11 +432,11 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sized = written(_sized(docs, words), "ngram-sized")
     chosen = written(_classes_with_partners(sized), "ngram-classes")
     sets = written(_sets_of(docs, chosen, words), "ngram-sets")
-    links = written(_linked(_pivot_pairs(sets), sets), "ngram-links")
+    links = _linked(_pivot_pairs(sets), sets)
     roots = components(links, "ngram")
     across = written(_across(sets, roots), "ngram-across")
     if not across.isEmpty():
-        more = written(_linked(_all_pairs(across), sets), "ngram-links")
+        more = _linked(_all_pairs(across), sets)
         if not more.isEmpty():
             roots = components(links.union(more), "ngram")
     smallest = sized.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("own"))

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
-MAX_BYTES = 4 << 20
+MAX_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,7 +44,7 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
         powers = np.full(size, base, np.uint64)
         powers[0] = 1
         tables.append(np.cumprod(powers, dtype=np.uint64))
-    if size <= 2 * MAX_BYTES:
+    if size <= 4 * MAX_BYTES:
         _powers[:] = tables
     return tables[0], tables[1]
 

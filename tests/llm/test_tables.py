@@ -306,3 +306,8 @@ def test_neighbour_search_recall(spark):
     assert ann.search_neighbours(table.limit(0), 20, table["vec_id"] % 20 == 0).count() == 0
     few = vectors(spark, x[:4])
     assert ann.search_neighbours(few, 20, few["vec_id"] == 0).count() == 3
+
+
+def test_sharding_runs_no_python(spark):
+    plan = sharding.shard_documents(awkward(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "MapIn"))
