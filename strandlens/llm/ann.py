@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlens.llm.common import written
+from strandlens.llm.common import BROADCAST_MAX_BYTES, broadcast_if_small, written
 from strandlens.llm.vectors import matrix, usable
 
 NEIGHBOURS = 32
@@ -23,11 +25,16 @@ BACKWARD = 32
 """How many nodes that list a node are walked from it, the nearest first."""
 PARTITIONINGS = 6
 LEAF = 1024
+"""Leaves of a partitioning are split until none has more than twice as many nodes."""
+SPLITS = 6
+"""Levels by which a leaf is split in one pass over the table."""
+SPLIT_SAMPLE = 4096
+"""About how many nodes of a leaf its medians are taken from."""
 SAMPLED = 14
 """How many of a node's nearest, and of those that list it, are compared in a round."""
-DESCENTS = 2
+CHANGED_LIMIT = 0.002
+"""Rounds of NN-descent end once a round changes at most this share of all list entries."""
 BEAM = 192
-WALKS = 3
 NODES_PER_TASK = 4096
 _LIST = "node bigint, ids array<bigint>, sims array<float>"
 
@@ -107,31 +114,81 @@ def _merged(lists: DataFrame, size: int, tasks: int) -> DataFrame:
     return _by_task(lists, "node", tasks, run, _LIST)
 
 
-def _first_lists(coded: DataFrame, n: int, width: int, size: int, tasks: int) -> DataFrame:
-    """Lists from a few random partitionings: the nearest among the nodes on the same side of random planes."""
-    sides = max(0, math.ceil(math.log2(max(n / LEAF, 1))))
-    planes = np.random.default_rng(11).standard_normal((PARTITIONINGS, width, max(sides, 1)))
+def _projected(node: np.ndarray, codes: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Places of nodes along the normals of planes; equal codes are spread a little by id, so that any leaf can be halved."""
+    with np.errstate(over="ignore"):
+        mixed = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    spread = ((mixed >> np.uint64(11)).astype(np.float64) / 2.0**53 - 0.5)[:, None]
+    along = codes.astype(np.float64) @ planes
+    return along + (np.abs(along) * 1e-7 + 1e-30) * spread
+
+
+def _halved(full: DataFrame, width: int, turn: int, depth: int) -> DataFrame:
+    """Every leaf of ``full`` halved ``depth`` times at medians of a sample of it, along the directions of this turn."""
+    planes = np.random.default_rng((11, turn)).standard_normal((PARTITIONINGS, width, depth))
+    n_cuts = (1 << depth) - 1
+
+    def medians(rows: pa.Table) -> pa.Table:
+        along = _projected(rows.column("node").to_numpy(), _codes(rows.column("code"), width), planes[rows.column("part")[0].as_py()])
+        cuts, inside = np.zeros(n_cuts), np.zeros(len(along), np.int64)
+        for level in range(depth):
+            for i in range((1 << level) - 1, (2 << level) - 1):
+                own = along[inside == i, level]
+                cuts[i] = np.median(own) if len(own) else 0.0
+            inside = 2 * inside + 1 + (along[:, level] > cuts[inside])
+        return pa.table({"leaf": rows.column("leaf")[:1], "cuts": pa.array([cuts.tolist()], pa.list_(pa.float64()))})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            part, node = batch.column("part").to_numpy(), batch.column("node").to_numpy()
             codes = _codes(batch.column("code"), width)
-            bits = 1 << np.arange(max(sides, 1))
-            leaves = [p * (1 << 40) + (((codes @ planes[p]) > 0) @ bits if sides else np.zeros(len(codes), np.int64)) for p in range(PARTITIONINGS)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.tile(batch.column("node").to_numpy(), PARTITIONINGS)),
-                    pa.concat_arrays([batch.column("code")] * PARTITIONINGS),
-                    pa.array(np.concatenate(leaves).astype(np.int64)),
-                ],
-                ["node", "code", "leaf"],
-            )
-
-    placed = coded.select("node", "code").mapInArrow(place, "node bigint, code binary, leaf bigint")
-    # a leaf that gets more nodes than it should is dealt to several groups
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * LEAF)).cast("int").alias("groups"))
-    # at most 2 n / LEAF leaves in each partitioning, but unevenly filled: rows of two numbers
-    dealt = placed.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("node", "leaf"), F.col("groups")).cast("int"))
+            known = batch.column("cuts").is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.zeros((len(node), n_cuts))
+            cuts[known] = batch.column("cuts").drop_null().flatten().to_numpy().reshape(-1, n_cuts)
+            inside = np.zeros(len(node), np.int64)
+            for p in np.unique(part):
+                own = np.flatnonzero(part == p)
+                along = _projected(node[own], codes[own], planes[p])
+                for level in range(depth):
+                    inside[own] = 2 * inside[own] + 1 + (along[:, level] > cuts[own, inside[own]])
+            # a leaf of which nothing was drawn stays as it is until the next turn
+            names = [f"{a}.{b}" if k else a for a, b, k in zip(batch.column("leaf").to_pylist(), inside.tolist(), known.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("code"), batch.column("part"), pa.array(names)], ["node", "code", "part", "leaf"])
+
+    share = F.lit(float(SPLIT_SAMPLE)) / F.col("nodes")
+    drawn = full.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) < share * (1 << 30)).select("leaf", "part", "node", "code")
+    cuts = written(drawn.groupBy("leaf").applyInArrow(medians, "leaf string, cuts array<double>"), "ann-cuts")
+    if cuts.count() * 8 * (n_cuts + 8) <= BROADCAST_MAX_BYTES:
+        cuts = F.broadcast(cuts)
+    halved = full.join(cuts, "leaf", "left").select("node", "code", "part", "leaf", "cuts")
+    return written(halved.mapInArrow(place, "node bigint, code binary, part int, leaf string"), "ann-leaves")
+
+
+def _leaves(coded: DataFrame, n: int, width: int) -> DataFrame:
+    """``node``, ``code`` and ``leaf`` for each partitioning; no leaf has more than ``2 LEAF`` nodes.
+
+    Every leaf with more is halved at the medians of its own nodes along fresh random directions, ``SPLITS``
+    times in a turn. The directions of a turn are shared, the medians are a leaf's own, so dense regions
+    are split as far as any other.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTITIONINGS - 1)))
+    full = coded.select("node", "code").withColumn("part", every).withColumn("leaf", F.col("part").cast("string"))
+    full, most, done = full.withColumn("nodes", F.lit(n).cast("bigint")), n, []
+    for turn in count():
+        done.append(full.where(F.col("nodes") <= 2 * LEAF).select("leaf", "node", "code"))
+        if most <= 2 * LEAF:
+            return reduce(DataFrame.union, done)
+        depth = min(SPLITS, math.ceil(math.log2(most / (2 * LEAF))))
+        halved = _halved(full.where(F.col("nodes") > 2 * LEAF), width, turn, depth)
+        sizes = written(halved.groupBy("leaf").agg(F.count(F.lit(1)).alias("nodes")), "ann-leaf-sizes")
+        most = sizes.agg(F.max("nodes")).first()[0] or 0
+        full = halved.join(broadcast_if_small(sizes), "leaf")
+
 
+def _first_lists(coded: DataFrame, n: int, width: int, size: int, tasks: int) -> DataFrame:
+    """Lists from a few random partitionings: the nearest among the nodes of the same leaf."""
+    placed = _leaves(coded, n, width)
     def nearest(rows: pa.Table) -> pa.Table:
         node, codes = rows.column("node").to_numpy(), _codes(rows.column("code"), width)
         top = min(size, len(node) - 1)
@@ -145,7 +202,7 @@ def _first_lists(coded: DataFrame, n: int, width: int, size: int, tasks: int) ->
             ids[at : at + 256], sims[at : at + 256] = node[found], np.take_along_axis(s, found, 1)
         return pa.Table.from_batches([_lists(node, ids.ravel(), sims.ravel(), np.arange(len(node) + 1) * top)])
 
-    return _merged(dealt.select("leaf", "part", "node", "code").groupBy("leaf", "part").applyInArrow(nearest, _LIST), size, tasks)
+    return _merged(placed.groupBy("leaf").applyInArrow(nearest, _LIST), size, tasks)
 
 
 def _edges(graph: DataFrame, forward: int, backward: int) -> DataFrame:
@@ -185,13 +242,26 @@ def _descended(graph: DataFrame, coded: DataFrame, width: int, size: int, tasks:
     return _merged(graph.union(found), size, tasks)
 
 
-def build_graph(coded: DataFrame, n: int, width: int, size: int = NEIGHBOURS, descents: int = DESCENTS) -> DataFrame:
-    """The neighbour graph over all nodes: ``node``, ``ids`` and ``sims`` (products of codes), nearest first."""
+def _changed(before: DataFrame, after: DataFrame) -> float:
+    """The share of list entries that ``before`` did not have."""
+    old = before.select("node", F.col("ids").alias("old"))
+    fresh = F.size(F.array_except("ids", F.coalesce("old", F.array().cast("array<bigint>"))))
+    changed, entries = after.join(old, "node", "left").agg(F.sum(fresh), F.sum(F.size("ids"))).first()
+    return (changed or 0) / (entries or 1)
+
+
+def build_graph(coded: DataFrame, n: int, width: int, size: int = NEIGHBOURS, changed_limit: float = CHANGED_LIMIT) -> DataFrame:
+    """The neighbour graph over all nodes: ``node``, ``ids`` and ``sims`` (products of codes), nearest first.
+
+    Rounds are repeated until one changes at most ``changed_limit`` of all entries. Lists only get better,
+    so the rounds end.
+    """
     tasks = max(1, -(-n // NODES_PER_TASK))
     graph = written(_first_lists(coded, n, width, size, tasks), "ann-graph")
-    for _ in range(descents):
-        graph = written(_descended(graph, coded, width, size, tasks), "ann-graph")
-    return graph
+    while True:
+        before, graph = graph, written(_descended(graph, coded, width, size, tasks), "ann-graph")
+        if _changed(before, graph) <= changed_limit:
+            return graph
 
 
 def _adjacency(graph: DataFrame, coded: DataFrame, size: int, tasks: int) -> DataFrame:
@@ -263,12 +333,12 @@ def _walked(beams: DataFrame, adjacency: DataFrame, width: int, beam: int, tasks
 
 
 def search_neighbours(
-    embeddings: DataFrame, k: int, asked: Column, vec_id: str = "vec_id", vector: str = "embedding", beam: int = BEAM, walks: int = WALKS
+    embeddings: DataFrame, k: int, asked: Column, vec_id: str = "vec_id", vector: str = "embedding", beam: int = BEAM
 ) -> DataFrame:
     """The ``k`` rows of largest inner product found for every row that ``asked`` chooses, itself left out.
 
-    All rows are indexed. Walks begin at the query's own list in the graph and follow, ``walks`` times,
-    all entries of the beam not followed before. Copies of a vector are one node; the ``k + 1`` smallest
+    All rows are indexed. Walks begin at the query's own list in the graph and follow
+    all entries of the beam not followed before, until there are none. Copies of a vector are one node; the ``k + 1`` smallest
     ids of a node are enough for any result. Found nodes are scored in double precision from the
     original vectors, ties go to the smaller id.
 
@@ -306,7 +376,7 @@ def search_neighbours(
         ),
         "ann-beams",
     )
-    for _ in range(walks):
+    while beams.where(F.exists("walked", lambda w: ~w)).limit(1).count():
         beams = written(_walked(beams, adjacency, width, beam, tasks), "ann-beams")
 
     # a few more than k by code, then exact; the node itself counts for its other copies

@@ -311,3 +311,39 @@ def test_neighbour_search_recall(spark):
 def test_sharding_runs_no_python(spark):
     plan = sharding.shard_documents(awkward(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "MapIn"))
+
+
+def dense_tables():
+    """A third of all vectors in one tight cluster; all vectors about one mean direction."""
+    rng = np.random.default_rng(8)
+    cluster = rng.standard_normal((6000, 16)).astype(np.float32)
+    cluster[:2000] = 3 * rng.standard_normal(16) + 0.05 * rng.standard_normal((2000, 16))
+    return {"cluster": cluster, "mean": (8 + rng.standard_normal((6000, 16))).astype(np.float32)}
+
+
+def recall(spark, x, k=10, step=60):
+    table = vectors(spark, x)
+    got = defaultdict(set)
+    for r in ann.search_neighbours(table, k, table["vec_id"] % step == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), step):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        hit += len(got[q] & set([i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:k]))
+    return hit / (k * len(range(0, len(x), step)))
+
+
+def test_dense_leaves_are_split_by_place(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 64)
+    monkeypatch.setattr(ann, "SPLITS", 3)
+    x = dense_tables()["mean"]
+    nodes = ann.written(ann._nodes(vectors(spark, x).selectExpr("vec_id id", "transform(embedding, x -> cast(x as double)) v"), 2), "t")
+    coded = ann.written(ann._coded(nodes, 16), "t")
+    leaves = defaultdict(list)
+    for r in ann._leaves(coded, len(x), 16).select("node", "leaf").collect():
+        leaves[r.leaf].append(r.node)
+    assert sorted(i for v in leaves.values() for i in v) == sorted(list(range(len(x))) * ann.PARTITIONINGS)
+    assert max(map(len, leaves.values())) <= 128
+    # nodes of a leaf are nearer to each other than any two rows are
+    spread = np.mean([x[v].std(axis=0).mean() for v in leaves.values()])
+    assert spread < 0.9 * x.std(axis=0).mean()
