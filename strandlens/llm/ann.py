@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: NN-descent builds a graph, greedy search walks it.
 
-Vectors are compared as 8-bit codes while the graph is built and walked; results are scored in double
+Vectors are compared as 8-bit codes, each on its own scale, while the graph is built and walked; results are scored in double
 precision. A node is a distinct vector, so that copies do not fill each other's lists.
 """
 
@@ -32,7 +32,7 @@ SPLIT_SAMPLE = 4096
 """About how many nodes of a leaf its medians are taken from."""
 SAMPLED = 14
 """How many of a node's nearest, and of those that list it, are compared in a round."""
-CHANGED_LIMIT = 0.002
+CHANGED_LIMIT = 0.02
 """Rounds of NN-descent end once a round changes at most this share of all list entries."""
 BEAM = 192
 NODES_PER_TASK = 4096
@@ -47,22 +47,37 @@ def _nodes(vectors: DataFrame, copies: int) -> DataFrame:
 
 
 def _coded(nodes: DataFrame, width: int) -> DataFrame:
-    """Adds ``code``: components as signed bytes, on one scale for all rows."""
+    """Adds ``code``: components as signed bytes on the row's own scale, after that scale as a 32-bit float.
+
+    Scales are relative to the largest component of the table, which keeps products finite.
+    """
     largest = nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
-    factor = 127 / largest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.rint(matrix(batch.column("v"), np.float64, width) * factor).astype(np.int8)
-            binary = pa.array([c.tobytes() for c in codes], pa.binary())
+            x = matrix(batch.column("v"), np.float64, width)
+            own = np.abs(x).max(axis=1, keepdims=True)
+            codes = np.rint(x / own * 127).astype(np.int8)
+            scales = (own / largest).astype(np.float32)
+            binary = pa.array([f.tobytes() + c.tobytes() for f, c in zip(scales, codes, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("v"), batch.column("members"), binary], ["node", "v", "members", "code"])
 
     return nodes.select("node", "v", "members").mapInArrow(run, "node bigint, v array<double>, members array<bigint>, code binary")
 
 
-def _codes(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, np.int8).reshape(-1, width).astype(np.float32)
+def _parts(joined: bytes | pa.Buffer, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components of codes as floats, and their scales."""
+    rows = np.frombuffer(joined, np.dtype([("scale", "<f4"), ("code", np.int8, (width,))]))
+    return rows["code"].astype(np.float32), rows["scale"]
+
+
+def _codes(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return _parts(b"".join(column.to_pylist()), width)
+
+
+def _products(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """All products of two sets of coded rows; the same for a pair in either order."""
+    return (a[0] @ b[0].T) * np.multiply.outer(a[1], b[1])
 
 
 def _lists(node: np.ndarray, ids: np.ndarray, sims: np.ndarray, begins: np.ndarray) -> pa.RecordBatch:
@@ -114,13 +129,13 @@ def _merged(lists: DataFrame, size: int, tasks: int) -> DataFrame:
     return _by_task(lists, "node", tasks, run, _LIST)
 
 
-def _projected(node: np.ndarray, codes: np.ndarray, planes: np.ndarray) -> np.ndarray:
+def _projected(node: np.ndarray, codes: np.ndarray, scales: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """Places of nodes along the normals of planes; equal codes are spread a little by id, so that any leaf can be halved."""
     with np.errstate(over="ignore"):
         mixed = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     spread = ((mixed >> np.uint64(11)).astype(np.float64) / 2.0**53 - 0.5)[:, None]
-    along = codes.astype(np.float64) @ planes
+    along = (codes.astype(np.float64) * scales[:, None]) @ planes
     return along + (np.abs(along) * 1e-7 + 1e-30) * spread
 
 
@@ -130,7 +145,7 @@ def _halved(full: DataFrame, width: int, turn: int, depth: int) -> DataFrame:
     n_cuts = (1 << depth) - 1
 
     def medians(rows: pa.Table) -> pa.Table:
-        along = _projected(rows.column("node").to_numpy(), _codes(rows.column("code"), width), planes[rows.column("part")[0].as_py()])
+        along = _projected(rows.column("node").to_numpy(), *_codes(rows.column("code"), width), planes[rows.column("part")[0].as_py()])
         cuts, inside = np.zeros(n_cuts), np.zeros(len(along), np.int64)
         for level in range(depth):
             for i in range((1 << level) - 1, (2 << level) - 1):
@@ -142,14 +157,14 @@ def _halved(full: DataFrame, width: int, turn: int, depth: int) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part, node = batch.column("part").to_numpy(), batch.column("node").to_numpy()
-            codes = _codes(batch.column("code"), width)
+            codes, scales = _codes(batch.column("code"), width)
             known = batch.column("cuts").is_valid().to_numpy(zero_copy_only=False)
             cuts = np.zeros((len(node), n_cuts))
             cuts[known] = batch.column("cuts").drop_null().flatten().to_numpy().reshape(-1, n_cuts)
             inside = np.zeros(len(node), np.int64)
             for p in np.unique(part):
                 own = np.flatnonzero(part == p)
-                along = _projected(node[own], codes[own], planes[p])
+                along = _projected(node[own], codes[own], scales[own], planes[p])
                 for level in range(depth):
                     inside[own] = 2 * inside[own] + 1 + (along[:, level] > cuts[own, inside[own]])
             # a leaf of which nothing was drawn stays as it is until the next turn
@@ -190,13 +205,13 @@ def _first_lists(coded: DataFrame, n: int, width: int, size: int, tasks: int) ->
     """Lists from a few random partitionings: the nearest among the nodes of the same leaf."""
     placed = _leaves(coded, n, width)
     def nearest(rows: pa.Table) -> pa.Table:
-        node, codes = rows.column("node").to_numpy(), _codes(rows.column("code"), width)
+        node, (codes, scales) = rows.column("node").to_numpy(), _codes(rows.column("code"), width)
         top = min(size, len(node) - 1)
         if top < 1:
             return pa.Table.from_batches([_lists(node[:0], node[:0], np.zeros(0), np.zeros(1))])
         ids, sims = np.empty((len(node), top), np.int64), np.empty((len(node), top), np.float32)
         for at in range(0, len(node), 256):
-            s = codes[at : at + 256] @ codes.T
+            s = _products((codes[at : at + 256], scales[at : at + 256]), (codes, scales))
             s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
             found = np.argpartition(-s, top - 1, axis=1)[:, :top]
             ids[at : at + 256], sims[at : at + 256] = node[found], np.take_along_axis(s, found, 1)
@@ -226,11 +241,11 @@ def _descended(graph: DataFrame, coded: DataFrame, width: int, size: int, tasks:
         worst_of = rows.column("worst").fill_null(float("-inf")).to_numpy()
         order = np.argsort(owner, kind="stable")
         begins = np.flatnonzero(np.append(True, np.diff(owner[order]) != 0))
-        codes = _codes(rows.column("code"), width)
+        codes, scales = _codes(rows.column("code"), width)
         us, ws, ss = [], [], []
         for at, end in zip(begins, np.append(begins[1:], len(order)), strict=True):
             i = order[at:end]
-            s = codes[i] @ codes[i].T
+            s = _products((codes[i], scales[i]), (codes[i], scales[i]))
             a, b = np.nonzero(s > worst_of[i][:, None])
             apart = a != b
             us.append(member[i][a[apart]])
@@ -294,11 +309,11 @@ def _walked(beams: DataFrame, adjacency: DataFrame, width: int, beam: int, tasks
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            queries, codes = batch.column("query").to_numpy(), _codes(batch.column("code"), width)
+            queries, (codes, scales) = batch.column("query").to_numpy(), _codes(batch.column("code"), width)
             floors = batch.column("floor").to_numpy()
             ids, sims, sizes = [], [], []
             for i, (a, b) in enumerate(zip(batch.column("near_ids"), batch.column("near_codes"), strict=True)):
-                s = np.frombuffer(b.as_buffer(), np.int8).reshape(-1, width).astype(np.float32) @ codes[i]
+                s = _products(_parts(b.as_buffer(), width), (codes[i : i + 1], scales[i : i + 1]))[:, 0]
                 good = s > floors[i]
                 ids.append(np.frombuffer(a.as_buffer(), np.int64)[good])
                 sims.append(s[good])

@@ -347,3 +347,12 @@ def test_dense_leaves_are_split_by_place(spark, monkeypatch):
     # nodes of a leaf are nearer to each other than any two rows are
     spread = np.mean([x[v].std(axis=0).mean() for v in leaves.values()])
     assert spread < 0.9 * x.std(axis=0).mean()
+
+
+def test_neighbours_beside_a_very_large_row(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 16))
+    x = (0.5 * x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float32)
+    x[11] = 0
+    x[11, 0] = 100
+    assert recall(spark, x) >= 0.9
