@@ -90,15 +90,24 @@ def _head(name: str, prefix: str, max_lines: int | None, stop: str | None):
 def _heads_by_spark(
     spark: SparkSession, paths: Paths, n_files: int, prefix: str, max_lines: int | None, stop: str | None
 ) -> DataFrame:
-    """The same from the first split of each file, in which the place of a line is its number."""
-    begins = read_lines(spark, paths).where("block = 0")
+    """The same over all splits: a header ends in the first split that has a line beyond it."""
+    lines = read_lines(spark, paths)
     ends = F.when(~F.startswith("value", F.lit(prefix)), F.col("id"))
     stops = F.when(F.startswith("value", F.lit(stop)), F.col("id") + 1) if stop is not None else F.lit(None).cast("bigint")
-    per_file = begins.groupBy("file").agg(F.min("id").alias("first_id"), F.min(F.least(ends, stops)).alias("end_id"))
-    if n_files <= BROADCAST_MAX_ROWS:  # one row per file
-        per_file = F.broadcast(per_file)
-    place = F.col("id") - F.col("first_id") + 1
-    kept = begins.join(per_file, "file").where(F.col("end_id").isNull() | (F.col("id") < F.col("end_id")))
+    splits = lines.groupBy("file", "block").agg(
+        F.min("id").alias("first_id"), F.count("*").alias("n"), F.min(F.least(ends, stops)).alias("end_id")
+    )
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .withColumn("ended", F.count("end_id").over(earlier) > 0)
+        .where("NOT ended")
+    )
+    # a task reads at most one full split and the ends of files, which bounds the splits
+    if lines.rdd.getNumPartitions() + n_files <= BROADCAST_MAX_ROWS:
+        splits = F.broadcast(splits)
+    place = F.col("before") + F.col("id") - F.col("first_id") + 1
+    kept = lines.join(splits, ["file", "block"]).where(F.col("end_id").isNull() | (F.col("id") < F.col("end_id")))
     if max_lines is not None:
         kept = kept.where(place <= max_lines)
     return kept.select("file", place.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
@@ -111,7 +120,7 @@ def read_heads(
 
     Where the driver and all tasks are on this machine, files are opened in tasks and left after the
     header, so the rest of a large file is never read. On a cluster, and for any other store, the lines come
-    through Spark's own reader, with its credentials; headers are expected to end in the first split.
+    through Spark's own reader, with its credentials, from as many splits as the header spans.
     """
     files = spark.read.text(path_list(paths)).inputFiles()
     check_names(files)
