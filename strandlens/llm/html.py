@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # Element names with a meaning of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
-    """nav aside footer form button select option optgroup datalist textarea input label fieldset legend iframe noscript
+    """nav aside footer button select option optgroup datalist textarea input label fieldset legend iframe noscript
     noframes template svg canvas math object applet embed audio video map dialog menu head title script style""".split()
 )
 BLOCKS = frozenset(
@@ -33,6 +33,8 @@ OUTSIDE = frozenset(
     subscribe subscription signup login pagination pager toolbar skip tags""".split()
 )
 OUTSIDE_UNLESS_TEXT = frozenset("header masthead banner notice notices notification alert widget widgets teaser toc hidden".split())
+# Lists of links whose texts are shorter than this on average are menus.
+MENU_LINK_CHARS = 16
 TEXT_WORDS = frozenset("article content main body post entry story text page column".split())
 # Which open elements an opening tag ends, and at which element the search for them stops.
 _ENDS = {
@@ -63,30 +65,35 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _COMMA = re.compile("[,،、，]")
 
 
-def _outside(tag: str, raw: str, in_article: bool) -> bool:
-    """Whether an element is no part of an article, by name, role, visibility, class and id."""
+SHUT, DOUBTFUL = 1, 2
+
+
+def _outside(tag: str, raw: str, in_article: bool) -> int:
+    """Whether an element is no part of an article: ``SHUT`` by name, role or visibility, ``DOUBTFUL`` by class, id or as a form."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+        return SHUT
+    doubt = DOUBTFUL if tag == "form" else 0
     if not raw or raw.isspace() or tag in ("html", "body", "main"):
-        return False
+        return doubt
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
-    if values.get("role", "").strip().lower() in SHUT_ROLES or "hidden" in values:
-        return True
+    role = values.get("role", "").strip().lower()
+    if role in SHUT_ROLES and (tag, role) != ("form", "form") or "hidden" in values:
+        return SHUT
     if values.get("aria-hidden", "").strip().lower() == "true":
-        return True
+        return SHUT
     if "display:none" in re.sub(r"\s", "", values.get("style", "")).lower():
-        return True
+        return SHUT
     words = set(_WORD.findall(_CAMEL.sub(" ", f"{values.get('class', '')} {values.get('id', '')}").lower()))
-    if words & OUTSIDE:
-        return True
-    return bool(words & OUTSIDE_UNLESS_TEXT) and not words & TEXT_WORDS
+    if words & OUTSIDE or (words & OUTSIDE_UNLESS_TEXT and not words & TEXT_WORDS):
+        return DOUBTFUL
+    return doubt
 
 
 class Tree:
-    """Elements in page order: name, parent, end (first element after it), and whether it is left out."""
+    """Elements in page order: name, parent, end (first element after it), whether it is shut out, and whether that is in doubt."""
 
     def __init__(self, page: str):
-        self.names, self.parents, self.ends, self.out = ["#"], [-1], [0], [False]
+        self.names, self.parents, self.ends, self.out, self.doubt = ["#"], [-1], [0], [False], [False]
         self.texts: list[tuple[int, str]] = []
         """Pieces of text with the element they stand in; ``None`` elements never occur."""
         self._read(page)
@@ -137,7 +144,9 @@ class Tree:
             names.append(name)
             parents.append(parent)
             in_article = bool(counts.get("article") or counts.get("main"))
-            out.append(out[parent] or _outside(name, token[4] or token[7] or "", in_article))
+            outside = _outside(name, token[4] or token[7] or "", in_article)
+            out.append(out[parent] or outside == SHUT)
+            self.doubt.append(outside == DOUBTFUL)
             ends.append(node + 1)
             if name in VOID or (token[4] or token[7] or "").endswith("/") and name not in BLOCKS:
                 texts.append((node, " " if name in ("br", "hr") else ""))
@@ -150,12 +159,54 @@ class Tree:
         ends[0] = len(names)
 
 
+def _left_out(tree: Tree) -> list[bool]:
+    """Which elements are left out: those that are shut, and those in doubt that do not hold the article.
+
+    The article is the ``article`` or ``main`` with most text outside links, if that is more than all text
+    outside elements in doubt; on pages without one, whatever holds more than half of the text is spared.
+    """
+    names, parents, out, doubt = tree.names, tree.parents, tree.out, tree.doubt
+    n = len(names)
+    if not any(doubt):
+        return out
+    in_link, in_doubt, size = [False] * n, [False] * n, [0] * n
+    for i in range(1, n):
+        in_link[i] = names[i] == "a" or in_link[parents[i]]
+        in_doubt[i] = doubt[i] or in_doubt[parents[i]]
+    clear = 0
+    for i, t in tree.texts:
+        if not out[i] and not in_link[i] and (chars := len(t.strip())):
+            size[i] += chars
+            clear += 0 if in_doubt[i] else chars
+    for i in range(n - 1, 0, -1):
+        size[parents[i]] += size[i]
+    marked = [i for i in range(1, n) if names[i] in ("article", "main") and not out[i]]
+    spared = [False] * n
+    held = max(marked, key=lambda i: (size[i], -i), default=0)
+    if held and size[held] > (0 if not in_doubt[held] else clear):
+        while held > 0:
+            spared[held] = True
+            held = parents[held]
+    elif not any(not in_doubt[i] for i in marked):
+        spared = [2 * s > size[0] for s in size]
+    left = out[:]
+    for i in range(1, n):
+        left[i] = left[parents[i]] or out[i] or (doubt[i] and not spared[i])
+    return left
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: white space single, blocks joined by one space."""
     if not page:
         return ""
     tree = Tree(page)
-    names, parents, ends, out = tree.names, tree.parents, tree.ends, tree.out
+    text = _article(tree, _left_out(tree))
+    # nothing left: again with all that was left out by class or id
+    return text if text or not any(tree.doubt) else _article(tree, tree.out)
+
+
+def _article(tree: Tree, out: list[bool]) -> str:
+    names, parents, ends = tree.names, tree.parents, tree.ends
     n = len(names)
     pieces = [(i, unescape(t) if "&" in t else t) for i, t in tree.texts if t and not out[i]]
     own, commas, link = [0] * n, [0] * n, [0] * n
@@ -207,7 +258,7 @@ def main_text(page: str | None) -> str:
     kept = [False] * n
     if best:
         chosen = [best]
-        floor = max(10.0, best_score * 0.2)
+        floor = best_score * 0.2
         for i in _children(best and parents[best], ends):
             if i == best or out[i] or not total[i]:
                 continue
@@ -222,9 +273,9 @@ def main_text(page: str | None) -> str:
         for i in range(c, ends[c]):
             kept[i] = True
     for i in range(1, n):
-        # lists of links inside the article
-        menu = names[i] in ("ul", "ol", "div", "section", "table", "p") and i not in chosen
-        if kept[i] and (not kept[parents[i]] and i not in chosen or menu and links[i] >= 3 and density[i] > 0.5):
+        # lists of nothing but short links inside the article are menus
+        menu = names[i] in ("ul", "ol") and i not in chosen and links[i] >= 3 and density[i] > 0.95
+        if kept[i] and (not kept[parents[i]] and i not in chosen or menu and total_link[i] < MENU_LINK_CHARS * links[i]):
             for j in range(i, ends[i]):
                 kept[j] = False
 
@@ -256,7 +307,8 @@ def _children(parent: int, ends: list[int]) -> Iterator[int]:
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """The main text of every page.
 
-    Elements that are never an article (by name, role, class, id) are left out. Each paragraph passes
+    Elements that are never an article (by name, role, visibility) are left out, and those that class or id
+    puts in doubt unless they hold the article or nothing would be left. Each paragraph passes
     points for its length and commas to the elements above it, less its share of link text; the
     container with most points after the same discount is kept, with siblings that have a fifth of
     its points or are paragraphs of text.

@@ -356,3 +356,22 @@ def test_neighbours_beside_a_very_large_row(spark):
     x[11] = 0
     x[11, 0] = 100
     assert recall(spark, x) >= 0.9
+
+
+def test_main_text_keeps_articles_in_doubtful_elements():
+    p = "<p>Text of some length, here, for all to read, with commas.</p>"
+    plain = "Text of some length, here, for all to read, with commas."
+    for shell in (
+        "<div class='layout has-sidebar'>%s</div>",
+        "<article class='post comments-open'>%s</article>",
+        "<div id='page' class='nav-fixed'><div>%s</div></div>",
+        "<form action=x>%s</form>",
+    ):
+        assert html.main_text(PAGE % (shell % (p * 3))) == " ".join([plain] * 3), shell
+    beside = f"<div>{p * 3}</div><div class=sidebar><p>Other things.</p></div><form>Log in</form>"
+    assert html.main_text(PAGE % beside) == " ".join([plain] * 3)
+    names = "<p>" + ", ".join(f"<a href=y>Name {i}</a>" for i in range(5)) + "</p>"
+    sources = "<ul>" + "".join(f"<li><a href=y>A source with a long title, {i}</a></li>" for i in range(3)) + "</ul>"
+    got = html.main_text(PAGE % f"<article>{p * 3}{names}{sources}</article>")
+    assert "Name 4" in got and "long title, 2" in got
+    assert "Short part" in html.main_text(PAGE % f"<div>{p}</div><div>Short part, of the text, here.</div>")
