@@ -18,15 +18,17 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CONTEXT = re.compile(
-    r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer"
-    r"|authorization|auth[_-]?key|client[_-]?id|signature|session[_-]?id)",
+    r"(?i:password|passwd|pwd|passphrase|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|credential|bearer"
+    r"|authorization|auth[\x20_-]?key|client[\x20_-]?id|signature|session[\x20_-]?id)",
     re.ASCII,
 )
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
+# the last line of a key in text form, which may be short
+_LAST_LINE = re.compile(r"\s{1,8}([A-Za-z0-9+/=]{1,15})(?=\s{1,8}-----END)")
 
 # One of these, in lower case, is in every match of the two patterns above.
 _ASSIGN_STEMS = ("passw", "secret", "token", "apikey", "api_key")
-_STEMS = (*_ASSIGN_STEMS, "pwd", "passphrase", "api-key", "access", "private", "credential", "bearer", "auth", "client", "signature", "session")
+_STEMS = (*_ASSIGN_STEMS, "pwd", "passphrase", "api-key", "api key", "access", "private", "credential", "bearer", "auth", "client", "signature", "session")
 
 CONTEXT_CHARS = 48
 AROUND_CHARS = 256
@@ -74,25 +76,45 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[str, int, int]], min_novelty: float = MIN_NOVELTY) -> list[tuple[str, int, int]]:
-    """Strings shortly after a sensitive word that overlap no base span and do not compress."""
+    """Strings near a sensitive word that overlap no base span and do not compress.
+
+    Near is within ``CONTEXT_CHARS`` after the word or before it, or after the last string found after it, so that
+    values of several parts or lines are found as a whole.
+    """
     found, last = [], 0
     low = text.lower()
     if not any(stem in low for stem in _STEMS):
         return found
+
+    def secret(begin: int, end: int) -> bool:
+        if any(b < end and begin < e for _, b, e in base):
+            return False
+        around = text[max(0, begin - AROUND_CHARS) : begin], text[end : end + AROUND_CHARS]
+        return novelty(around[0], text[begin:end], around[1]) >= min_novelty
+
     for word in _CONTEXT.finditer(text):
+        # a string that ends at the word itself is the word's own name
+        for m in _CANDIDATE.finditer(text, last, word.start()) if last < word.start() else ():
+            last = m.end() if m.end() < word.start() - CONTEXT_CHARS else last
+            if word.start() - CONTEXT_CHARS <= m.end() < word.start():
+                last = m.end()
+                if secret(*m.span()):
+                    found.append(("novel", *m.span()))
         reach = word.end() + CONTEXT_CHARS
         # a string that begins within reach is taken to its end
         at = max(word.end(), last)
         while (m := _CANDIDATE.search(text, at)) and m.start() <= reach:
             at = last = m.end()
             value = m[0]
-            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-                continue
-            if any(b < m.end() and m.start() < e for _, b, e in base):
+            # letters that go on from the word are its name: accessTokenProviderFactory
+            if m.start() == word.end() and value[0].isalpha() and not any(c.isdigit() for c in value):
                 continue
-            begin = max(0, m.start() - AROUND_CHARS)
-            if novelty(text[begin : m.start()], value, text[m.end() : m.end() + AROUND_CHARS]) >= min_novelty:
+            if secret(*m.span()):
                 found.append(("novel", *m.span()))
+                reach = max(reach, at + CONTEXT_CHARS)
+                if tail := _LAST_LINE.match(text, at):
+                    at = last = tail.end(1)
+                    found.append(("novel", *tail.span(1)))
     return found
 
 
@@ -121,8 +143,8 @@ def scan_secrets(
     """Finds secrets in every whole text.
 
     Three fixed patterns give the base: assignments to a secret's name, access keys, long hexadecimal
-    strings. Besides, every string of 16 or more key characters with letters and digits that begins
-    within 48 characters of a sensitive word is compressed after the text around it by zstandard,
+    strings. Besides, every string of 16 or more key characters within 48 characters of a
+    sensitive word, on either side, or of the last one found after it, is compressed after the text around it by zstandard,
     primed with words of code; it is reported as ``novel`` if it adds at least ``min_novelty`` compressed
     bytes per character.
 

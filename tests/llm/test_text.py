@@ -140,3 +140,23 @@ def test_toxicity_without_labels(spark):
     model = toxicity.fit_toxicity(awkward(spark), nothing)
     assert {r.score for r in toxicity.score_toxicity(awkward(spark), model).collect()} == {0.5}
     assert toxicity.score_toxicity(empty(spark), model).count() == 0
+
+
+def test_novel_secrets_of_several_parts_and_on_both_sides():
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+    def key(n, chars=letters + "0123456789"):
+        return "".join(rng.choice(chars) for _ in range(n))
+
+    def strings(text):
+        return [text[b:e] for _, b, e in secrets.novel_spans(text, secrets.base_spans(text))]
+
+    parts = [key(36), key(120), key(43)]
+    assert strings(f"Authorization: Bearer {'.'.join(parts)} sent") == parts
+    lines = [key(64) for _ in range(5)] + [key(9)]
+    assert strings("-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----") == lines
+    before, plain = key(24), key(32, letters)
+    assert strings(f"use {before} as the api key") == [before]
+    assert strings(f"credential {plain} here") == [plain]
+    assert strings("the accessTokenProviderFactoryBuilder of a long_client_secret_name") == []
