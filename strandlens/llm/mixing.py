@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandlens.llm.common import broadcast_if_small, word_count, written
 
 BLOCK_WORDS = 32
+MIN_TARGET_BLOCKS = 64
 SHARD_WORDS = 50_000
 MAX_SHARDS = 4096
 
@@ -92,7 +93,8 @@ def mix_sources(
 
     The documents of a source are dealt to shards by a seeded hash (about ``shard_words`` words each,
     at most 4096 shards, so that a hot source is spread) and lie in seeded order in their shard, cut
-    into blocks of ``block_words`` words. Sainte-Laguë gives each source its number of blocks, then
+    into blocks of ``block_words`` words, or of fewer if the smallest target is below ``MIN_TARGET_BLOCKS`` times
+    that. Sainte-Laguë gives each source its number of blocks, then
     each shard of a source its quota. Full rounds of a quota take every block; what is left takes the
     first blocks in an order that begins at a seeded block, so most documents stay whole.
 
@@ -114,15 +116,19 @@ def mix_sources(
 
     def to_sources(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("source", na_position="last").reset_index(drop=True)
-        blocks = np.ceil(rows["source_size"].to_numpy() / block_words).astype(np.int64)
-        seats = round(rows["source_size"].sum() / block_words)
-        rows["blocks"] = sainte_lague(rows["target"].to_numpy(), seats, blocks * max_epochs)
+        targets = rows["target"].to_numpy()
+        # small enough for the smallest target to be met, down to one word
+        block = int(np.clip(targets[targets > 0].min(initial=np.inf) / MIN_TARGET_BLOCKS, 1, block_words))
+        blocks = np.ceil(rows["source_size"].to_numpy() / block).astype(np.int64)
+        seats = round(rows["source_size"].sum() / block)
+        rows["block"] = block
+        rows["blocks"] = sainte_lague(targets, seats, blocks * max_epochs)
         return rows
 
     targets = written(
         source_targets(sizes, "source", max_epochs)
         .groupBy()
-        .applyInPandas(to_sources, "source string, source_size bigint, target double, blocks bigint")
+        .applyInPandas(to_sources, "source string, source_size bigint, target double, block bigint, blocks bigint")
         .withColumn(
             "n_shards", F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / shard_words)))
         ),
@@ -136,17 +142,17 @@ def mix_sources(
     def to_shards(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard").reset_index(drop=True)
         words = rows["words"].to_numpy(np.int64)
-        rows["shard_blocks"] = -(-words // block_words)
+        rows["shard_blocks"] = -(-words // rows["block"])
         rows["quota"] = sainte_lague(words, int(rows["blocks"].iloc[0]), rows["shard_blocks"].to_numpy() * max_epochs)
         return rows
 
     # at most 4096 rows per source
     quotas = written(
         placed.groupBy("source", "shard")
-        .agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
+        .agg(F.sum("size").alias("words"), F.first("block").alias("block"), F.first("blocks").alias("blocks"))
         .groupBy("source")
         .applyInPandas(
-            to_shards, "source string, shard int, words bigint, blocks bigint, shard_blocks bigint, quota bigint"
+            to_shards, "source string, shard int, words bigint, block bigint, blocks bigint, shard_blocks bigint, quota bigint"
         )
         .select("source", "shard", "words", "shard_blocks", "quota"),
         "mix-quotas",
@@ -167,8 +173,8 @@ def mix_sources(
     over = F.greatest(F.lit(0), first + rest - blocks)
     taken = (
         F.floor(F.col("quota") / blocks) * F.col("size")
-        + inside(first * block_words, F.least((first + rest) * block_words, F.col("words")))
-        + inside(F.lit(0), over * block_words)
+        + inside(first * F.col("block"), F.least((first + rest) * F.col("block"), F.col("words")))
+        + inside(F.lit(0), over * F.col("block"))
     ).cast("bigint")
     return joined.select(
         "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *(["row"] if keep_row else [])

@@ -375,3 +375,14 @@ def test_main_text_keeps_articles_in_doubtful_elements():
     got = html.main_text(PAGE % f"<article>{p * 3}{names}{sources}</article>")
     assert "Name 4" in got and "long title, 2" in got
     assert "Short part" in html.main_text(PAGE % f"<div>{p}</div><div>Short part, of the text, here.</div>")
+
+
+def test_mix_meets_targets_of_tiny_sources(spark):
+    sources = [f"t{i:02}" for i in range(20)] + ["z"] * 30
+    texts = ["w " * (4 + i % 7) for i in range(20)] + ["w " * 50] * 30
+    taken, want = defaultdict(int), {}
+    for r in mixing.mix_sources(documents(spark, texts, sources)).collect():
+        taken[r.source] += r.taken
+        want[r.source] = r.target
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= 1, s
