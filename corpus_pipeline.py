@@ -38,10 +38,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes of its words, to the nearest whole number."""
-    mixed = mixing.mix_sources(docs, keep_row=True)
-    copies = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
+    """Whole copies of each document for the words that the mix takes of it; what rounding leaves goes on within the source."""
+    mixed = mixing.with_copies(mixing.mix_sources(docs, keep_row=True))
+    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def mix_sources(
 
     Returns one row per row of ``docs``: ``doc_id``, ``source``, ``size`` (words), ``source_size``,
     ``target`` and ``source_taken`` are its source's, ``taken`` its own (0 to ``max_epochs`` times
-    ``size``), and with ``keep_row`` the struct ``row`` of all input columns. Null and empty texts have
+    ``size``), and with ``keep_row`` the struct ``row`` of all input columns and the row's place, ``shard`` and ``begin``. Null and empty texts have
     size 0 and are never taken; the null source is a source; equal rows take equal places in any
     order; an empty table gives no rows; other columns are not read, whatever their names.
     """
@@ -177,5 +177,45 @@ def mix_sources(
         + inside(F.lit(0), over * F.col("block"))
     ).cast("bigint")
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *(["row"] if keep_row else [])
+        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *(["shard", "begin", "row"] if keep_row else [])
     )
+
+
+def whole_copies(parts: list[tuple[int, int, int, int]], others: bool) -> list[tuple[int, int, int]]:
+    """``(shard, begin, copies)`` of the documents of a source of which the mix takes no whole number of copies.
+
+    ``parts`` has their ``(shard, begin, size, taken)``. Each gets the number of copies below or above its own,
+    whichever leaves less of the words carried on from larger documents. If all get none and the source has no
+    ``others``, the smallest gets one, so that no source with words taken is lost.
+    """
+    carry, out = 0, []
+    for shard, begin, size, taken in sorted(parts, key=lambda p: (-p[2], p[0], p[1])):
+        copies = taken // size
+        left = carry + taken - copies * size
+        if abs(left - size) < abs(left):
+            copies, left = copies + 1, left - size
+        carry = left
+        out.append((shard, begin, copies))
+    if out and not others and not any(c for _, _, c in out):
+        out[-1] = (*out[-1][:2], 1)
+    return out
+
+
+def with_copies(mixed: DataFrame) -> DataFrame:
+    """Adds ``copies`` to a mix with rows: whole numbers whose words add up to the words taken of each source.
+
+    At most a few documents of each shard are taken in part; just their places are gathered by source.
+    """
+    size, taken = F.greatest("size", F.lit(1)), F.col("taken")
+    broken = taken % size != 0
+    place = F.struct("shard", "begin", "size", "taken")
+    rounded = F.udf(whole_copies, "array<struct<shard: int, begin: bigint, copies: bigint>>")
+    gathered = (
+        mixed.groupBy("source")
+        .agg(F.collect_list(F.when(broken, place)).alias("parts"), F.max(~broken & (taken > 0)).alias("others"))
+        .select(F.col("source").alias("of"), F.inline(rounded("parts", "others")))
+        .select("of", F.col("shard").alias("at"), F.col("begin").alias("from"), "copies")
+    )
+    known = broadcast_if_small(written(gathered, "mix-copies"))
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("at")) & (F.col("begin") == F.col("from")) & broken
+    return mixed.join(known, same, "left").withColumn("copies", F.coalesce("copies", F.floor(taken / size)).cast("int")).drop("of", "at", "from")

@@ -386,3 +386,21 @@ def test_mix_meets_targets_of_tiny_sources(spark):
         want[r.source] = r.target
     for s, t in want.items():
         assert abs(taken[s] - t) <= 1, s
+
+
+def test_pipeline_mix_emits_the_words_of_long_documents(spark):
+    import corpus_pipeline
+
+    # documents longer than a shard in a source that gets less than half of its words; a source of one document
+    sources = ["a"] * 11 + ["b"] * 300 + ["c"] * 300 + [None]
+    texts = ["w " * (60_000 + 10 * i) for i in range(11)] + ["w " * (1000 + i % 60) for i in range(600)] + ["w " * 700]
+    docs = documents(spark, texts, sources)
+    want = {r.source: r.target for r in mixing.mix_sources(docs).collect()}
+    assert want["a"] < 0.5 * sum(len(t) // 2 for t in texts[:11])
+    got = defaultdict(int)
+    for r in corpus_pipeline.mix(spark, docs, "").select("source", "text").collect():
+        got[r.source] += len(r.text.split())
+    assert set(got) == set(want)
+    for s, t in want.items():
+        assert abs(got[s] - t) <= {"a": 30_100}.get(s, 1060), s
+    assert mixing.whole_copies([(0, 0, 10, 3)], False) == [(0, 0, 1)]
