@@ -128,6 +128,17 @@ def region_filter_table(spark, sf):
     return vr.region_filter(views.variants(spark, sf), spans).select("file", "chrom", "pos", "ref")
 
 
+@query(
+    f"""WITH {VARIANTS}, spans AS (SELECT p_brand AS contig, p_partkey - p_size AS s, p_partkey + p_size % 3 AS e FROM part)
+SELECT file, chrom, pos, ref FROM variants v WHERE EXISTS (
+  SELECT 1 FROM spans WHERE contig = chrom AND pos - 1 < e AND pos - 1 + length(ref) > s)"""
+)
+def region_filter_all_parts(spark, sf):
+    """A region from every part."""
+    spans = views.table(spark, sf, "part").selectExpr("p_brand contig", "p_partkey - p_size start", "p_partkey + p_size % 3 end")
+    return vr.region_filter(views.variants(spark, sf), spans).select("file", "chrom", "pos", "ref")
+
+
 @query(
     f"""WITH {BLOCKS}, {REGIONS}, c AS (SELECT contig, s, e, count(*) AS copies FROM blocks GROUP BY ALL)
 SELECT r.line_no, CAST(sum(copies) AS BIGINT) AS blocks, CAST(sum(copies * (least(c.e, r.e) - greatest(c.s, r.s))) AS BIGINT) AS bases
