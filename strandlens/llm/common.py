@@ -22,7 +22,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, f"llm-{label}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+HOT_KEYS = 4096
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``key`` with ``table``: one row a key, ``count`` says how many of ``rows`` have it.
+
+    Keys with more than one of 4096 parts of all rows, of which there are fewer than 4096 at any size, are broadcast;
+    the rows of all others are shuffled. Reads ``rows`` twice, so give a table that was written. Null keys
+    match nothing. ``how`` is ``inner`` or ``left``; ``count`` is not in the result.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = table.where(F.col(count) * HOT_KEYS > total).drop(count)
+    few = table.where(F.col(count) * HOT_KEYS <= total).drop(count)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(few, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
