@@ -62,13 +62,10 @@ def tag_map(items: Column) -> Column:
 def angle_map(value: Column) -> Column:
     """``<k=v,k="a,b">`` to a map; commas inside quotes do not cut, outer quotes are dropped."""
     body = F.regexp_replace(value, r"^<(.*)>$", "$1")
-    items = F.filter(
-        F.transform(
-            F.regexp_extract_all(body, F.lit(r'((?:\\"|"(?:\\"|[^"])*"|[^,"])+)'), 1),
-            lambda x: F.trim(x),
-        ),
-        lambda x: x != "",
-    )
+    quoted = F.regexp_extract_all(body, F.lit(r'((?:\\"|"(?:\\"|[^"])*"|[^,"])+)'), 1)
+    # without a quote, as in most lines on contigs, every comma cuts
+    cut = F.when(F.contains(body, F.lit('"')), quoted).otherwise(F.split(body, ","))
+    items = F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
     return map_last_wins(
         F.transform(
             items,

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from strandlens.sources import headers as src
 
@@ -15,19 +16,24 @@ SHOWN_CONTIGS, SHOWN_SAMPLES, SHOWN_PROGRAMS = 3, 3, 2
 MORE = ", …"
 
 
-def _in_order(df: DataFrame, order: str, name: str, *fields: str, value: Column | None = None) -> DataFrame:
-    """Array of ``value`` (or of all ``fields``) per file, in header order."""
-    value = F.struct(*fields) if value is None else value
-    # by comparator, as records with a map inside have no order of their own
-    items = F.array_sort(
-        F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))),
-        lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0),
-    )
-    return df.groupBy("file").agg(F.transform(items, lambda x: x["v"]).alias(name))
+def _items(df: DataFrame, name: str, order: str, value: Column) -> DataFrame:
+    """One row per record: ``file`` and the column ``name`` with its place and ``value``."""
+    return df.select("file", F.struct(F.col(order).alias("o"), value.alias("v")).alias(name))
+
 
+def _records(df: DataFrame, order: str, name: str, *fields: str) -> DataFrame:
+    # entries of a map have an order, a map has none
+    listed = [F.map_entries("other").alias("other") if f == "other" else F.col(f) for f in fields]
+    return _items(df, name, order, F.struct(*listed))
 
-def _kv(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(name))
+
+def _in_order(name: str, kind: DataType) -> Column:
+    """Array of the values in header order, with maps for listed entries."""
+    sorted_ = F.sort_array(F.collect_list(name))
+    value = kind["v"].dataType
+    if isinstance(value, StructType) and "other" in value.names:
+        return F.transform(sorted_, lambda x: x["v"].withField("other", F.map_from_entries(x["v"]["other"])))
+    return F.transform(sorted_, lambda x: x["v"])
 
 
 _REF = ("name", "length", "assembly", "uri", "md5", "other")
@@ -38,12 +44,12 @@ def alignment_header_catalog(lines: DataFrame, fmt: str = "sam") -> DataFrame:
     """References, samples, programs, metadata, comments, raw text and summary per SAM file."""
     meta = src.sam_metadata(lines)
     parts = [
-        _in_order(src.sam_references(lines), "line_no", "references", *_REF),
-        _in_order(src.sam_samples(lines), "line_no", "samples", *src.RG_TAGS.values(), "other"),
-        _in_order(src.sam_programs(lines), "line_no", "programs", *src.PG_TAGS.values(), "other"),
-        _kv(meta.where("known"), "metadata"),
-        _kv(meta.where("not known"), "header_other"),
-        _in_order(src.sam_comments(lines), "line_no", "comments", value=F.col("comment")),
+        _records(src.sam_references(lines), "line_no", "references", *_REF),
+        _records(src.sam_samples(lines), "line_no", "samples", *src.RG_TAGS.values(), "other"),
+        _records(src.sam_programs(lines), "line_no", "programs", *src.PG_TAGS.values(), "other"),
+        _items(meta.where("known"), "metadata", "key", F.col("value")),
+        _items(meta.where("not known"), "header_other", "key", F.col("value")),
+        _items(src.sam_comments(lines), "comments", "line_no", F.col("comment")),
     ]
     return _catalog(lines, parts, fmt)
 
@@ -52,32 +58,35 @@ def vcf_header_catalog(lines: DataFrame) -> DataFrame:
     """As for SAM, with INFO, FORMAT and FILTER fields."""
     fields = src.vcf_fields(lines)
     parts = [
-        _in_order(src.vcf_references(lines), "line_no", "references", *_REF),
-        _in_order(src.vcf_samples(lines), "position", "samples", "name"),
+        _records(src.vcf_references(lines), "line_no", "references", *_REF),
+        _records(src.vcf_samples(lines), "position", "samples", "name"),
         *[
-            _in_order(fields.where(F.col("category") == c), "line_no", f"{c.lower()}_fields", *_FIELD)
+            _records(fields.where(F.col("category") == c), "line_no", f"{c.lower()}_fields", *_FIELD)
             for c in src.FIELD_CATEGORIES
         ],
-        _kv(src.vcf_metadata(lines), "metadata"),
-        _in_order(src.vcf_comments(lines), "line_no", "comments", value=F.col("comment")),
+        _items(src.vcf_metadata(lines), "metadata", "key", F.col("value")),
+        _items(src.vcf_comments(lines), "comments", "line_no", F.col("comment")),
     ]
     return _catalog(lines, parts, "vcf")
 
 
 def _catalog(lines: DataFrame, parts: list[DataFrame], fmt: str) -> DataFrame:
-    out = _in_order(lines, "line_no", "raw", value=F.col("value")).select("file", F.array_join("raw", "\n").alias("raw_header"))
+    """All records of all kinds grouped by file once; a line is parsed for its own kind alone."""
+    rows = _items(lines, "raw", "line_no", F.col("value"))
     for part in parts:
-        out = out.join(part, "file", "left")
-    filled = []
-    for field in out.schema.fields[1:]:
-        kind = field.dataType.typeName()
-        if kind == "array":
-            filled.append(F.coalesce(field.name, F.array().cast(field.dataType)).alias(field.name))
-        elif kind == "map":
-            filled.append(F.coalesce(field.name, F.create_map().cast(field.dataType)).alias(field.name))
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    columns = []
+    for field in rows.schema.fields[1:]:
+        name = field.name
+        if name in ("metadata", "header_other"):
+            pairs = F.transform(F.collect_list(name), lambda x: F.struct(x["o"], x["v"]))
+            columns.append(F.map_from_entries(pairs).alias(name))
         else:
-            filled.append(F.col(field.name))
-    out = out.select("file", F.lit(fmt.lower()).alias("format"), *filled)
+            columns.append(_in_order(name, field.dataType).alias(name))
+    out = rows.groupBy("file").agg(*columns)
+    out = out.select(
+        "file", F.lit(fmt.lower()).alias("format"), F.array_join("raw", "\n").alias("raw_header"), *[c for c in out.columns[1:] if c != "raw"]
+    )
     return out.withColumn("summary", header_summary(out.columns))
 
 

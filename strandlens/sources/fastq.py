@@ -13,29 +13,40 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlens.session import BROADCAST_MAX_ROWS
-from strandlens.sources.lines import Paths, read_lines
+from strandlens.sources.lines import Paths, read_kinds
 
-FASTQ_NAMES = (".fastq", ".fq", ".fastq.gz", ".fq.gz")
+FASTQ_NAMES = (".fastq", ".fq", ".fastq.gz", ".fq.gz", ".fastq.bgz", ".fq.bgz")
 
 
-def read_fastq(spark: SparkSession, paths: Paths, check_names: bool = True, tasks: int | None = None) -> DataFrame:
+def _chunks(spark: SparkSession, paths: Paths, allowed: tuple[str, ...], blocks: bool | None) -> DataFrame:
+    """Pieces between separators, ``begins`` for the one that is first in its file and still has its own ``@``."""
+    plain, packed = read_kinds(spark, paths, "\n@", allowed, blocks)
+    found = []
+    if plain is not None:
+        first = plain.where("block = 0").groupBy(F.col("file").alias("of_file")).agg(F.min("id").alias("first_id"))
+        if len(plain.inputFiles()) <= BROADCAST_MAX_ROWS:  # one row per file
+            first = F.broadcast(first)
+        begins = (F.col("id") == F.col("first_id")).alias("begins")
+        found.append(plain.join(first, F.col("file") == F.col("of_file"), "left").select("file", "block", "id", "value", begins))
+    if packed is not None:
+        found.append(packed.withColumn("begins", (F.col("block") == 0) & (F.col("id") == 0)))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def read_fastq(
+    spark: SparkSession, paths: Paths, check_names: bool = True, tasks: int | None = None, blocks: bool | None = None
+) -> DataFrame:
     """``(file, rec, read_id, seq, qual)``; ``rec`` rises in file order within a split.
 
     ``read_id`` is the header line without ``@``. Wrong records raise an error when their
     sequence or quality is used. A ``.gz`` file is one split; for a few large ones ``tasks``
-    spreads the reads before any work on them.
+    spreads the reads before any work on them. A block-gzip file (``.bgz``, or any with ``blocks``) is many splits.
     """
-    chunks = read_lines(spark, paths, "\n@", FASTQ_NAMES if check_names else ())
-    # only the first piece of a file still has its own @
-    first = chunks.where("block = 0").groupBy(F.col("file").alias("of_file")).agg(F.min("id").alias("first_id"))
-    if len(chunks.inputFiles()) <= BROADCAST_MAX_ROWS:  # one row per file
-        first = F.broadcast(first)
-    line = F.split("value", "\n")
-    lines = chunks.join(first, F.col("file") == F.col("of_file"), "left").select(
-        "file", "block", F.col("id").alias("rec"), line.alias("l"), (F.col("id") == F.col("first_id")).alias("begins")
-    )
+    chunks = _chunks(spark, paths, FASTQ_NAMES if check_names else (), blocks)
+    lines = chunks.select("file", "block", F.col("id").alias("rec"), F.split("value", "\n").alias("l"), "begins")
     at = {i: F.rtrim(F.get("l", F.lit(i)), F.lit("\r")) for i in range(4)}
     has_head = F.coalesce(F.startswith(at[2], F.lit("+")), F.lit(False))
+    broken = F.raise_error(F.concat(F.lit("Broken FASTQ record in "), F.col("file")))
     whole = has_head & (F.size("l") >= 4)
     # nothing but blank lines may follow a record, as at the end of a file
     rest = F.exists(F.slice("l", F.when(has_head, 5).otherwise(2), F.size("l")), lambda x: F.rtrim(x, F.lit("\r")) != "")
@@ -49,7 +60,8 @@ def read_fastq(spark: SparkSession, paths: Paths, check_names: bool = True, task
         "block",
         (F.col("rec") - F.when(has_head, 0).otherwise(1)).alias("rec"),
         F.when(has_head, F.struct(header.alias("read_id"), at[1].alias("seq"))).alias("head"),
-        F.when(~has_head, F.when(rest, leftover.cast("string")).otherwise(F.concat(F.lit("@"), at[0]))).alias("tail"),
+        # a tail is one line: more lines, none of them that of the +, are a record that just stops
+        F.when(~has_head, F.when(rest, broken.cast("string")).otherwise(F.concat(F.lit("@"), at[0]))).alias("tail"),
     )
     met = pieces.groupBy("file", "block", "rec").agg(F.max("head").alias("head"), F.max("tail").alias("tail"))
     both = F.col("head").isNotNull() & F.col("tail").isNotNull()
@@ -57,7 +69,6 @@ def read_fastq(spark: SparkSession, paths: Paths, check_names: bool = True, task
     parted = met.where(~both).select(
         "file", "rec", "head", "tail", F.lead("tail").over(order).alias("next"), F.lag("head").over(order).alias("previous")
     )
-    broken = F.raise_error(F.concat(F.lit("Broken FASTQ record in "), F.col("file")))
     is_head = F.col("head").isNotNull()
     lost = (is_head & F.col("next").isNull()) | (~is_head & F.col("previous").isNull())
     rejoined = parted.where(F.when(lost, broken.cast("boolean")).otherwise(is_head)).select(

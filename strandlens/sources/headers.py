@@ -1,6 +1,6 @@
 """SAM and VCF headers as tables, many files at once.
 
-Only leading lines are read (see ``read_heads``). The functions taking ``lines`` work on
+Only leading lines are read, once (see ``read_heads``). The functions taking ``lines`` work on
 ``(file, line_no, value)`` from any other place as well.
 """
 
@@ -35,18 +35,18 @@ FIELD_KEYS = {"ID": "id", "Number": "number", "Type": "type", "Description": "de
 FIELD_CATEGORIES = ("INFO", "FORMAT", "FILTER")
 
 
-def sam_header_lines(spark: SparkSession, paths: Paths) -> DataFrame:
-    return read_heads(spark, paths, prefix="@")
+def sam_header_lines(spark: SparkSession, paths: Paths, blocks: bool | None = None) -> DataFrame:
+    return read_heads(spark, paths, prefix="@", blocks=blocks)
 
 
-def vcf_header_lines(spark: SparkSession, paths: Paths, max_lines: int | None = None) -> DataFrame:
+def vcf_header_lines(spark: SparkSession, paths: Paths, max_lines: int | None = None, blocks: bool | None = None) -> DataFrame:
     """Header lines up to ``#CHROM`` or the first line of data.
 
     With ``max_lines`` a longer header is cut there, and the column ``cut`` says so on each of its lines.
     """
     if max_lines is None:
-        return read_heads(spark, paths, prefix="#", stop="#CHROM")
-    lines = read_heads(spark, paths, prefix="#", max_lines=max_lines + 1, stop="#CHROM")
+        return read_heads(spark, paths, prefix="#", stop="#CHROM", blocks=blocks)
+    lines = read_heads(spark, paths, prefix="#", max_lines=max_lines + 1, stop="#CHROM", blocks=blocks)
     longest = F.max("line_no").over(Window.partitionBy("file"))
     return lines.withColumn("cut", longest > max_lines).where(F.col("line_no") <= max_lines)
 

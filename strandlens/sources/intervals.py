@@ -9,8 +9,8 @@ from strandlens.functions.text import columns_of, gff_attrs, safe_int, strip
 from strandlens.operators.intervals import check_bed_lines
 from strandlens.sources.lines import Paths, read_numbered_lines
 
-BED_NAMES = (".bed", ".bed.gz")
-GFF_NAMES = (".gff", ".gff3", ".gff.gz", ".gff3.gz")
+BED_NAMES = (".bed", ".bed.gz", ".bed.bgz")
+GFF_NAMES = (".gff", ".gff3", ".gff.gz", ".gff3.gz", ".gff.bgz", ".gff3.bgz")
 
 
 def read_bed_lines(spark: SparkSession, paths: Paths, check_names: bool = True) -> DataFrame:

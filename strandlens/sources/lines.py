@@ -4,34 +4,80 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlens.session import BROADCAST_MAX_ROWS, is_local
+from strandlens.session import BROADCAST_MAX_ROWS, scratch_dir
+from strandlens.sources import blockgzip
 
 Paths = str | Sequence[str]
 
-HEADS_PER_TASK = 64
+SMALL_FILE = 4 << 20
+"""Files of which the header reader reads all bytes."""
+
+FIRST_LINES = 4096
+FILES_PER_JOB = 32
 
 LINE_SCHEMA = "file string, line_no bigint, value string"
 
+# splits as large as files, and few blocks unpacked ahead of a header's end
+WHOLE_FILES = {
+    "spark.sql.files.maxPartitionBytes": str(1 << 60),
+    "spark.sql.files.openCostInBytes": str(1 << 59),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+}
+
 
 def path_list(paths: Paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def read_lines(spark: SparkSession, paths: Paths, line_sep: str | None = None, allowed: Iterable[str] = ()) -> DataFrame:
-    """``(file, block, id, value)``: ``block`` is the offset of the split, ``id`` rises along it."""
+def read_kinds(
+    spark: SparkSession,
+    paths: Paths,
+    line_sep: str | None = None,
+    allowed: Iterable[str] = (),
+    blocks: bool | None = None,
+    whole_files: bool = False,
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """The lines of plain and of block-gzip files, None where there are none; see ``read_lines``.
+
+    ``whole_files``: no file is split in this session, so there are no borders to mend.
+    """
     reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
     text = reader.text(path_list(paths))
-    check_names(text.inputFiles(), allowed)
-    return text.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
-        "value",
-    )
+    names = text.inputFiles()
+    check_names(names, allowed)
+    packed = {n: n.lower().endswith(blockgzip.NAMES) for n in names} if blocks is None else dict.fromkeys(names, blocks)
+    file = F.col("_metadata.file_path")
+    some_plain, some_packed = not all(packed.values()), any(packed.values())
+    plain = members = None
+    if some_plain or not names:
+        # files of the other kind are left out of the listing, not read
+        chosen = text.where(~blockgzip.is_block_gzip(file)) if some_packed else text
+        plain = chosen.select(
+            file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value"
+        )
+    if some_packed:
+        chunks = blockgzip.read_packed(spark, path_list(paths))
+        chosen = chunks.where(blockgzip.is_block_gzip(F.col("file"))) if some_plain else chunks
+        members = blockgzip.packed_lines(chosen, line_sep, whole_files)
+    return plain, members
+
+
+def read_lines(
+    spark: SparkSession, paths: Paths, line_sep: str | None = None, allowed: Iterable[str] = (), blocks: bool | None = None
+) -> DataFrame:
+    """``(file, block, id, value)``: ``block`` is the offset of the split, ``id`` rises along it.
+
+    Files named ``.bgz`` or ``.bgzf`` are unpacked by many tasks; ``blocks`` says so (or not) of files of any name. Any
+    other suffix is Spark's to unpack.
+    """
+    plain, members = read_kinds(spark, paths, line_sep, allowed, blocks)
+    return plain.unionByName(members) if plain is not None and members is not None else plain if members is None else members
 
 
 def file_label(name: str) -> str:
@@ -40,11 +86,9 @@ def file_label(name: str) -> str:
 
 
 def check_names(files: Sequence[str], allowed: Iterable[str] = ()) -> None:
-    """Refuses names that Spark would read wrongly, or that are not of the expected kind."""
+    """Refuses names that are not of the expected kind."""
     allowed = tuple(allowed)
     for name in files:
-        if name.lower().endswith((".bgz", ".bgzf")):
-            raise ValueError(f"{name}: Spark does not unpack this suffix; rename the file to end in .gz (same format)")
         if allowed and not name.lower().endswith(allowed):
             raise ValueError(f"{name}: expected one of {', '.join(allowed)}")
 
@@ -66,36 +110,33 @@ def number_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_numbered_lines(spark: SparkSession, paths: Paths, allowed: Iterable[str] = ()) -> DataFrame:
-    return number_lines(read_lines(spark, paths, allowed=allowed))
+def read_numbered_lines(spark: SparkSession, paths: Paths, allowed: Iterable[str] = (), blocks: bool | None = None) -> DataFrame:
+    return number_lines(read_lines(spark, paths, allowed=allowed, blocks=blocks))
 
 
-def _head(name: str, prefix: str, max_lines: int | None, stop: str | None):
-    """Leading lines of one file that start with ``prefix``; closes the file right after them."""
-    import gzip
-    import io
-    from urllib.parse import unquote
+def _own_session(spark: SparkSession) -> tuple[SparkSession, bool]:
+    """A session of the same application with the same settings, but one split for each whole file; and whether that holds."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        # settings of a store have no entry of their own
+        if spark.conf.isModifiable(key) or not key.startswith("spark."):
+            own.conf.set(key, value)
+    for key, value in WHOLE_FILES.items():
+        own.conf.set(key, value)
+    return own, all(own.conf.get(key) == value for key, value in WHOLE_FILES.items())
 
-    path = unquote(re.sub("^file:/+", "/", name))
-    with open(path, "rb") as raw:
-        data = gzip.GzipFile(fileobj=raw) if path.lower().endswith(".gz") else raw
-        for number, line in enumerate(io.TextIOWrapper(data, encoding="utf-8", errors="replace", newline="\n"), start=1):
-            if (max_lines is not None and number > max_lines) or not line.startswith(prefix):
-                return
-            yield number, line.rstrip("\r\n")
-            if stop is not None and line.startswith(stop):
-                return
 
+def _end(prefix: str, stop: str | None) -> Column:
+    """For a line that ends a header the first ``id`` that is not in it, else null."""
+    beyond = F.when(~F.startswith("value", F.lit(prefix)), F.col("id"))
+    last = F.when(F.startswith("value", F.lit(stop)), F.col("id") + 1) if stop is not None else F.lit(None).cast("bigint")
+    return F.least(beyond, last)
 
-def _heads_by_spark(
-    spark: SparkSession, paths: Paths, n_files: int, prefix: str, max_lines: int | None, stop: str | None
-) -> DataFrame:
-    """The same over all splits: a header ends in the first split that has a line beyond it."""
-    lines = read_lines(spark, paths)
-    ends = F.when(~F.startswith("value", F.lit(prefix)), F.col("id"))
-    stops = F.when(F.startswith("value", F.lit(stop)), F.col("id") + 1) if stop is not None else F.lit(None).cast("bigint")
+
+def _heads_of_splits(lines: DataFrame, n_files: int, prefix: str, stop: str | None) -> DataFrame:
+    """Headers among all lines of files: one ends in the first split that has a line beyond it."""
     splits = lines.groupBy("file", "block").agg(
-        F.min("id").alias("first_id"), F.count("*").alias("n"), F.min(F.least(ends, stops)).alias("end_id")
+        F.min("id").alias("first_id"), F.count("*").alias("n"), F.min(_end(prefix, stop)).alias("end_id")
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
@@ -108,36 +149,73 @@ def _heads_by_spark(
         splits = F.broadcast(splits)
     place = F.col("before") + F.col("id") - F.col("first_id") + 1
     kept = lines.join(splits, ["file", "block"]).where(F.col("end_id").isNull() | (F.col("id") < F.col("end_id")))
-    if max_lines is not None:
-        kept = kept.where(place <= max_lines)
-    return kept.select("file", place.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+    return kept.select("file", place.alias("line_no"), "value")
+
+
+def _escaped(name: str) -> str:
+    """A listed file name as a path that matches only this file."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(name))
+
+
+def _first_lines(own: SparkSession, name: str, n: int, blocks: bool | None) -> DataFrame:
+    """The first ``n`` lines of a file that is one split: its task stops there."""
+    plain, packed = read_kinds(own, _escaped(name), blocks=blocks, whole_files=True)
+    return (packed if plain is None else plain).select("file", "id", "value").limit(n)
+
+
+def _heads_of_large(
+    spark: SparkSession, own: SparkSession, names: list[str], prefix: str, max_lines: int | None, stop: str | None, blocks: bool | None
+) -> list[DataFrame]:
+    """Headers of files that are not read to their end; some are read once more, further, until the header ends."""
+    found, todo, n = [], names, FIRST_LINES
+    while todo:
+        n = n if max_lines is None else min(n, max_lines + 1)
+        again = []
+        for at in range(0, len(todo), FILES_PER_JOB):
+            some = todo[at : at + FILES_PER_JOB]
+            path = scratch_dir(spark, "first-lines")
+            lines = reduce(DataFrame.unionByName, [_first_lines(own, f, n, blocks) for f in some])
+            lines.write.parquet(path)
+            back = spark.read.schema("file string, id bigint, value string").parquet(path)
+            ends = back.groupBy("file").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.min(_end(prefix, stop)).alias("end_id"))
+            on = {r.file for r in ends.where("end_id IS NULL").where(F.col("n") == n).collect() if max_lines is None or n <= max_lines}
+            again += [f for f in some if file_label(f) in on]
+            # one row a file
+            kept = back.join(F.broadcast(ends.where(~F.col("file").isin(*on)) if on else ends), "file")
+            inside = kept.where(F.col("end_id").isNull() | (F.col("id") < F.col("end_id")))
+            found.append(inside.select("file", (F.col("id") - F.col("first_id") + 1).alias("line_no"), "value"))
+        todo, n = again, n * 16
+    return found
 
 
 def read_heads(
-    spark: SparkSession, paths: Paths, prefix: str = "", max_lines: int | None = None, stop: str | None = None
+    spark: SparkSession, paths: Paths, prefix: str = "", max_lines: int | None = None, stop: str | None = None, blocks: bool | None = None
 ) -> DataFrame:
     """``(file, line_no, value)`` of the first lines of each file, up to the first without ``prefix``.
 
-    Where the driver and all tasks are on this machine, files are opened in tasks and left after the
-    header, so the rest of a large file is never read. On a cluster, and for any other store, the lines come
-    through Spark's own reader, with its credentials, from as many splits as the header spans.
+    The lines come through Spark's own reader, from any store and with its credentials. Small files are read whole, in one job. Of a
+    large one the first lines are asked for, by a task that stops there, and more only if the header goes on; no other byte is read.
+    The headers are read when this is called, and written to the scratch folder in parts of equal size: a long one is
+    parsed by many tasks, and not read again, however often it is used.
     """
-    files = spark.read.text(path_list(paths)).inputFiles()
-    check_names(files)
-    if not is_local(spark) or not all(f.startswith("file:") for f in files):
-        return _heads_by_spark(spark, paths, len(files), prefix, max_lines, stop)
-    names = spark.createDataFrame([(f,) for f in files], "file string")
-    tasks = min(-(-len(files) // HEADS_PER_TASK), 4096)
-    names = names.repartition(tasks, "file") if tasks > 1 else names.coalesce(1)
-
-    def heads(batches):
-        import pandas as pd
-
-        for batch in batches:
-            for name in batch["file"]:
-                rows = list(_head(name, prefix, max_lines, stop))
-                if rows:
-                    label = [file_label(name)] * len(rows)
-                    yield pd.DataFrame({"file": label, "line_no": [r[0] for r in rows], "value": [r[1] for r in rows]})
-
-    return names.mapInPandas(heads, LINE_SCHEMA)
+    own, alone = _own_session(spark)
+    listed = own.read.format("binaryFile").load(path_list(paths))
+    check_names(listed.inputFiles())
+    if not alone:  # where splits cannot be chosen, those of the session
+        heads = _heads_of_splits(read_lines(spark, paths, blocks=blocks), len(listed.inputFiles()), prefix, stop)
+    else:
+        sizes = dict(listed.select(F.col("_metadata.file_path"), "length").collect())
+        names = [f for f in listed.inputFiles() if sizes.get(file_label(f))]
+        small = [f for f in names if sizes[file_label(f)] <= SMALL_FILE]
+        parts = []
+        if small:
+            text = read_lines(spark, [_escaped(f) for f in small], blocks=blocks)
+            parts.append(_heads_of_splits(text, len(small), prefix, stop))
+        parts += _heads_of_large(spark, own, [f for f in names if sizes[file_label(f)] > SMALL_FILE], prefix, max_lines, stop, blocks)
+        heads = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LINE_SCHEMA)
+    if max_lines is not None:
+        heads = heads.where(F.col("line_no") <= max_lines)
+    path = scratch_dir(spark, "heads")
+    heads = heads.select("file", "line_no", F.regexp_replace("value", "\r$", "").alias("value"))
+    heads.repartition("file", "line_no").write.parquet(path)
+    return spark.read.schema(LINE_SCHEMA).parquet(path)

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from strandlens.functions.text import map_last_wins
 from strandlens.sources.lines import Paths, read_lines
 
-SAM_NAMES = (".sam", ".sam.gz")
+SAM_NAMES = (".sam", ".sam.gz", ".sam.bgz")
 
 
-def read_sam(spark: SparkSession, paths: Paths, check_names: bool = True) -> DataFrame:
+def read_sam(spark: SparkSession, paths: Paths, check_names: bool = True, blocks: bool | None = None) -> DataFrame:
     """One row per record, ``pos`` and ``pnext`` 0-based; tags as text by name, without their type.
 
     An absent sequence or quality (``*``) is null.
     """
-    lines = read_lines(spark, paths, allowed=SAM_NAMES if check_names else ())
+    lines = read_lines(spark, paths, allowed=SAM_NAMES if check_names else (), blocks=blocks)
     f = F.split("value", "\t")
     tags = F.transform(
         F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))),

@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlens.sources.blockgzip import write_packed
+
+
+def write_text(lines: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
+    """``value`` as lines; ``compression`` is one of Spark's, or ``bgz`` for block-gzip, read with ``blocks=True``."""
+    if compression in ("bgz", "bgzf"):
+        write_packed(lines, path, mode)
+    else:
+        lines.write.mode(mode).text(path, compression=compression)
+
 
 def write_fastq(reads: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
     """Reads as four-line records, absent sequences and qualities as empty lines; parts are written in parallel."""
     text = [F.coalesce(c, F.lit("")) for c in (F.concat(F.lit("@"), F.col("read_id")), F.col("seq"), F.lit("+"), F.col("qual"))]
     record = F.concat_ws("\n", *text)
-    reads.select(record.alias("value")).write.mode(mode).text(path, compression=compression)
+    write_text(reads.select(record.alias("value")), path, mode, compression)
 
 
 def write_bed(intervals: DataFrame, path: str, mode: str = "errorifexists") -> None:

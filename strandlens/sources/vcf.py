@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from strandlens.functions.text import map_last_wins
 from strandlens.sources.lines import Paths, read_lines
 
-VCF_NAMES = (".vcf", ".vcf.gz")
+VCF_NAMES = (".vcf", ".vcf.gz", ".vcf.bgz")
 
 
-def read_vcf(spark: SparkSession, paths: Paths, check_names: bool = True) -> DataFrame:
+def read_vcf(spark: SparkSession, paths: Paths, check_names: bool = True, blocks: bool | None = None) -> DataFrame:
     """One row per record; ``info`` as a map (null value for a bare flag), samples as raw calls."""
-    lines = read_lines(spark, paths, allowed=VCF_NAMES if check_names else ())
+    lines = read_lines(spark, paths, allowed=VCF_NAMES if check_names else (), blocks=blocks)
     f = F.split("value", "\t")
     info = F.transform(
         F.filter(F.split(F.get(f, F.lit(7)), ";"), lambda x: (x != ".") & (x != "")),

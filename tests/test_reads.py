@@ -63,11 +63,6 @@ def test_broken_fastq(spark, write, text):
         read_fastq(spark, write("b.fastq", text)).collect()
 
 
-def test_bgz_is_refused(spark, write):
-    with pytest.raises(ValueError, match="bgz"):
-        read_fastq(spark, write("a.fq.bgz", "@a\nA\n+\nI\n"))
-
-
 def test_write_fastq(spark, tmp_path):
     rows = make_reads(30)
     df = spark.createDataFrame([(f"f{i % 3}", *r) for i, r in enumerate(rows)], "file string, read_id string, seq string, qual string")
@@ -129,7 +124,8 @@ def test_histograms(spark):
     bins = ds.histogram(df, "v", 2).orderBy("start").collect()
     assert [(b.start, b.end, b["count"]) for b in bins] == [(0, 2, 1), (2, 4, 2), (4, 6, 2)]
     assert ds.length_percentiles(df.withColumn("length", F.col("v"))).collect()[0].p50 == 3.0
-    assert ds.length_percentiles(df.withColumn("length", F.col("v")), strict=True, exact_max_reads=4).collect()[0].p50 is None
+    many = spark.range(200_001).select(F.lit("f").alias("file"), F.col("id").alias("length"))
+    assert ds.length_percentiles(many).collect()[0].p50 == 100_000
     q = spark.createDataFrame([("f", v) for v in (0.0, 0.1, 1.9, 2.0, float("nan"), float("inf"), None)], "file string, qscore double")
     assert [b["count"] for b in ds.qscore_histogram(q).orderBy("start").collect()] == [2, 1, 1]
     gap = spark.createDataFrame([("f", 9.0), ("f", -1.0)], "file string, v double")

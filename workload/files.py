@@ -59,6 +59,16 @@ def fastq_round_trip(spark, sf):
     return fastq.read_fastq(spark, path, check_names=False).select("read_id", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
 
 
+@query(f"WITH {READS} SELECT file || '|' || read_id AS read_id, md5(seq) AS seq, md5(qual) AS qual FROM reads")
+def bgz_fastq_round_trip(spark, sf):
+    """Block-gzip files, each read by as many tasks as it has splits."""
+    path = scratch_dir(spark, "fastq")
+    reads = views.reads(spark, sf)
+    sinks.write_fastq(reads.withColumn("read_id", F.concat_ws("|", "file", "read_id")), path, compression="bgz")
+    back = fastq.read_fastq(spark, path, check_names=False, blocks=True)
+    return back.select("read_id", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
+
+
 @query(
     f"""WITH {READS} SELECT file AS src, 'ok' AS status,
   CAST(sum(length(read_id) + 2 * length(seq) + 6) AS BIGINT) AS length FROM reads GROUP BY file"""
@@ -92,19 +102,27 @@ def sam_round_trip(spark, sf):
     )
 
 
+_VCF_LINE = """chrom, pos, id, ref, array_join(alts, ','), qual, filter, concat('DP=', info['DP'], ';DB'),
+  array_join(format, ':'), array_join(samples, '\\t')"""
+
+
 @query(f"WITH {VARIANTS}, {_ALLELES} {_stats_sql('classed', 'carried')}")
 def vcf_round_trip(spark, sf):
-    body = views.variants(spark, sf).select(
-        F.col("file").alias("src"),
-        lines(
-            """chrom, pos, id, ref, array_join(alts, ','), qual, filter, concat('DP=', info['DP'], ';DB'),
-               array_join(format, ':'), array_join(samples, '\\t')"""
-        ),
-    )
+    body = views.variants(spark, sf).select(F.col("file").alias("src"), lines(_VCF_LINE))
     variants = vcf.read_vcf(spark, write_lines(body, "vcf", "src"), check_names=False)
     return _rounded(vr.variant_stats(variants.withColumn("file", src())))
 
 
+@query(f"WITH {VARIANTS}, {_ALLELES} {_stats_sql('classed', 'carried')}")
+def bgz_vcf_round_trip(spark, sf):
+    """The same from block-gzip files; the input is the INFO field ``SRC``."""
+    path = scratch_dir(spark, "vcf")
+    named = views.variants(spark, sf).withColumn("info", F.map_concat("info", F.create_map(F.lit("SRC"), F.col("file"))))
+    sinks.write_text(named.select(lines(_VCF_LINE.replace(";DB", ";DB;SRC=', info['SRC'], '"))), path, compression="bgz")
+    variants = vcf.read_vcf(spark, path, check_names=False, blocks=True)
+    return _rounded(vr.variant_stats(variants.withColumn("file", F.col("info")["SRC"])))
+
+
 @query(
     f"""WITH {BED}
 SELECT file, count(*) AS total_intervals, count(*) FILTER (kind IN ('ok', 'ok20')) AS valid_intervals,
