@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlens.functions.regions import region_name
@@ -14,9 +15,50 @@ from strandlens.session import BROADCAST_MAX_ROWS, is_small
 
 BIN = 1 << 14
 ROWS_PER_SALT = 10_000
+INPUTS_PER_BLOCK = 10_000
+LEVEL_BITS, LEVELS = 3, 21
 THRESHOLDS = (1, 10, 20)
 
 
+def _first_bin(start: Column, bin_size: int) -> Column:
+    """Number of the smallest bin at a position; what lies below 0 counts as 0."""
+    return F.floor(F.greatest(start, F.lit(0)) / bin_size).cast("bigint")
+
+
+def bin_level(start: Column, end: Column, bin_size: int) -> Column:
+    """Level of the smallest bin that holds a whole interval: bins of the next level are 8 times as wide."""
+    apart = _first_bin(start, bin_size).bitwiseXOR(_first_bin(end - 1, bin_size))
+    return reduce(lambda a, b: a + b, [(F.shiftright(apart, LEVEL_BITS * i) != 0).cast("int") for i in range(LEVELS)])
+
+
+def _bin_at(start: Column, level: Column, bin_size: int) -> Column:
+    return F.call_function("shiftright", _first_bin(start, bin_size), level * LEVEL_BITS)
+
+
+def _filed(right: DataFrame, bin_size: int, up_to: int) -> DataFrame:
+    """Right intervals in the bins that hold them (``_of`` 0), and in those around it up to level ``up_to`` (1)."""
+    level = bin_level(F.col("r_start"), F.col("r_end"), bin_size)
+    places = F.array(F.struct(F.lit(0).alias("_of"), F.col("_own").alias("_level")))
+    if up_to > 0:
+        above = F.when(F.col("_own") < up_to, F.sequence(F.col("_own") + 1, F.lit(up_to)))
+        above = F.coalesce(above, F.array().cast("array<int>"))
+        places = F.concat(places, F.transform(above, lambda n: F.struct(F.lit(1).alias("_of"), n.alias("_level"))))
+    rows = right.withColumn("_own", level).withColumn("_at", F.explode(places)).select("*", "_at._of", "_at._level").drop("_at", "_own")
+    return rows.withColumn("_bin", _bin_at(F.col("r_start"), F.col("_level"), bin_size))
+
+
+def _probes(left: DataFrame, bin_size: int, levels: list[int], up_to: int) -> DataFrame:
+    """Left intervals in their own bin and those around it where right ones are filed (``_of`` 0), and in their own for smaller right ones (1)."""
+    level = bin_level(F.col("start"), F.col("end"), bin_size)
+    looked = F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: n >= F.col("_own"))
+    places = F.transform(looked, lambda n: F.struct(F.lit(0).alias("_of"), n.alias("_level")))
+    if up_to > 0:
+        own = F.array(F.struct(F.lit(1).alias("_of"), F.col("_own").alias("_level")))
+        places = F.when(F.col("_own") > 0, F.concat(places, own)).otherwise(places)
+    rows = left.withColumn("_own", level).withColumn("_at", F.explode(places)).select("*", "_at._of", "_at._level").drop("_at", "_own")
+    return rows.withColumn("_bin", _bin_at(F.col("start"), F.col("_level"), bin_size))
+
+
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
@@ -24,48 +66,60 @@ def overlap_join(
     bin_size: int = BIN,
     broadcast_rows: int = BROADCAST_MAX_ROWS,
     left_salts: int = 1,
+    left_level: int | None = None,
+    count_left: bool = False,
 ) -> DataFrame:
-    """All pairs of half-open intervals that overlap, as an equi-join over fixed bins.
+    """All pairs of half-open intervals that overlap, as an equi-join over nested bins.
+
+    Both sides have ``on``, ``start`` and ``end``; the right one's come out as ``r_start`` and ``r_end``. Each interval is filed in
+    the smallest bin that holds it, however long it is: bins are ``bin_size`` wide on the first level, 8 times as wide on each
+    further one. Of two that overlap one lies in a bin around that of the other, so either the left one finds the right one's bin
+    among those around its own, or the other way round: each pair comes out once. Levels in which nothing is filed
+    are not looked at.
 
-    Both sides have ``on``, ``start`` and ``end``; the right one's come out as ``r_start`` and
-    ``r_end``. A pair that shares several bins is kept in the first one. ``right`` is broadcast
-    only if it was counted to be small; otherwise both sides are shuffled, and bins with many
-    right rows are split over several tasks. ``left_salts`` splits the left side of every bin
-    too, for left rows that pile up and cannot be counted together before.
+    ``right`` is broadcast only if it was counted to be small; otherwise both sides are shuffled, and bins with many right
+    rows are split over several tasks. ``count_left`` counts the left rows of each bin as well and splits full ones; ``left_salts``
+    splits the left side of every bin by a fixed number. ``left_level`` is the highest level of a left interval where that is
+    known; else one pass over the left side finds it.
     """
     on = list(on)
-    keyed = right.withColumnsRenamed({"start": "r_start", "end": "r_end"}).withColumn(
-        "_bin", F.explode(tiles_of(F.col("r_start"), F.col("r_end"), bin_size))
-    )
-    probe = left.withColumn("_bin", F.explode(tiles_of(F.col("start"), F.col("end"), bin_size)))
-    keys = [*on, "_bin"]
+    named = right.withColumnsRenamed({"start": "r_start", "end": "r_end"})
+    used = named.agg(F.collect_set(bin_level(F.col("r_start"), F.col("r_end"), bin_size))).first()[0]
+    if left_level is None:
+        left_level = left.agg(F.max(bin_level(F.col("start"), F.col("end"), bin_size))).first()[0] or 0
+    keyed, probe = _filed(named, bin_size, left_level), _probes(left, bin_size, sorted(used), left_level)
+    keys = [*on, "_of", "_level", "_bin"]
     if is_small(keyed, broadcast_rows):
         keyed = F.broadcast(keyed)
     else:
         # the bins in use prune the left side, and tell over how many salts a full bin is split;
         # few enough, as for most genomes, they are broadcast, so that no full bin is shuffled unsplit
         bins = keyed.groupBy(*keys).agg(F.ceil(F.count("*") / ROWS_PER_SALT).cast("int").alias("_salts"))
+        if count_left:
+            piled = probe.groupBy(*keys).agg(F.ceil(F.count("*") / ROWS_PER_SALT).cast("int").alias("_lefts"))
+            bins = bins.join(piled, keys)
+        else:
+            bins = bins.withColumn("_lefts", F.lit(left_salts))
         if is_small(bins, broadcast_rows):
             bins = F.broadcast(bins)
-        every_left = F.explode(F.sequence(F.lit(0), F.lit(left_salts - 1)))
+        which = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]) if count_left else F.spark_partition_id()
         keyed = (
             keyed.join(bins, keys)
             .withColumn("_salt", F.pmod(F.xxhash64("r_start", "r_end"), F.col("_salts")).cast("int"))
-            .withColumn("_left", every_left)
-            .drop("_salts")
+            .withColumn("_left", F.explode(F.sequence(F.lit(0), F.col("_lefts") - 1)))
+            .drop("_salts", "_lefts")
         )
         probe = (
-            probe.withColumn("_left", F.pmod(F.spark_partition_id(), F.lit(left_salts)))
-            .join(bins, keys)
+            probe.join(bins, keys)
+            .withColumn("_left", F.pmod(which, F.col("_lefts")).cast("int"))
             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-            .drop("_salts")
+            .drop("_salts", "_lefts")
         )
         keys = [*keys, "_salt", "_left"]
     return (
         probe.join(keyed, keys)
         .where((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")))
-        .where(F.floor(F.greatest("start", "r_start") / bin_size) == F.col("_bin"))
-        .drop("_bin", "_salt", "_left")
+        .drop("_of", "_level", "_bin", "_salt", "_left")
     )
 
 
@@ -101,17 +155,22 @@ def _region_runs(
     spans = regions.select("contig", "start", "end").distinct()
     wide = spans.where(F.col("start") < F.col("end"))
     depth = base_depth(blocks, by, tile, only_tiles=region_tiles(wide, tile), merge=False)
-    pairs = overlap_join(depth, wide, ("contig",), bin_size, broadcast_rows)
+    # runs end at tile borders, so a level whose bins are whole tiles holds them all
+    level = next((i for i in range(LEVELS) if (bin_size << LEVEL_BITS * i) % tile == 0), None)
+    pairs = overlap_join(depth, wide, ("contig",), bin_size, broadcast_rows, left_level=level)
     inside = pairs.withColumn("bases", F.least("end", "r_end") - F.greatest("start", "r_start"))
     return spans, inside.select(*by, "contig", "r_start", "r_end", "bases", "depth")
 
 
 def _per_input(spans: DataFrame, inputs: DataFrame | None, by: Sequence[str]) -> DataFrame:
-    """Every region for every input. The list of inputs is one row, as long as the list of files."""
+    """Every region for every input: inputs in blocks, and each region sent to each block."""
     if not by:
         return spans
-    listed = inputs.agg(F.array_distinct(F.collect_set(F.struct(*by))).alias("inputs")).scalar()
-    return spans.withColumn("_input", F.explode(listed)).select(*[F.col("_input")[b].alias(b) for b in by], *spans.columns)
+    listed = inputs.select(*by).distinct()
+    blocks = -(-listed.count() // INPUTS_PER_BLOCK) or 1
+    dealt = listed.withColumn("_block", F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int"))
+    sent = spans.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return sent.join(F.broadcast(dealt) if is_small(dealt) else dealt, "_block").select(*by, *spans.columns)
 
 
 def _region_sums(

@@ -47,7 +47,7 @@ def region_filter(variants: DataFrame, regions: str | DataFrame, contigs: Sequen
 
     ``regions`` is a comma-separated list of ``chr``, ``chr:pos``, ``chr:from-`` or ``chr:from-to`` (1-based, both
     ends belong to the region), or a table of ``contig``, ``start``, ``end`` (0-based, half-open) of any size,
-    which goes through the binned overlap join. An item that is one of ``contigs`` is a whole contig, so
+    which goes through the overlap join; bins full of variants or of regions are split. An item that is one of ``contigs`` is a whole contig, so
     that names may hold colons.
     """
     start = F.col("pos") - 1
@@ -59,7 +59,7 @@ def region_filter(variants: DataFrame, regions: str | DataFrame, contigs: Sequen
         return variants.where(F.col("chrom").isin(*{c for c, _, _ in spans}) & reduce(Column.__or__, inside))
     # the join works on distinct spans; a record that meets several regions is kept once
     spans = variants.select(F.col("chrom").alias("contig"), start.alias("start"), end.alias("end")).distinct()
-    hit = overlap_join(spans, regions.select("contig", "start", "end").where("start < end").distinct())
+    hit = overlap_join(spans, regions.select("contig", "start", "end").where("start < end").distinct(), count_left=True)
     hit = hit.select(F.col("contig").alias("_contig"), F.col("start").alias("_start"), F.col("end").alias("_end")).distinct()
     same = (F.col("chrom") == F.col("_contig")) & (start == F.col("_start")) & (end == F.col("_end"))
     return variants.join(hit, same, "left_semi")

@@ -184,7 +184,7 @@ def _heads_of_large(
             kept = back.join(F.broadcast(ends.where(~F.col("file").isin(*on)) if on else ends), "file")
             inside = kept.where(F.col("end_id").isNull() | (F.col("id") < F.col("end_id")))
             found.append(inside.select("file", (F.col("id") - F.col("first_id") + 1).alias("line_no"), "value"))
-        todo, n = again, n * 16
+        todo, n = again, n * 64
     return found
 
 

@@ -188,6 +188,44 @@ def test_full_bins_are_split(spark, monkeypatch):
         assert pairs.count() == want
 
 
+def random_intervals(rng, n, longest):
+    """Most of them short, some as long as a contig, some below 0."""
+    spans = []
+    for i in range(n):
+        s = rng.randint(-20, 5000)
+        spans.append((rng.choice(["c1", "c2"]), s, s + (rng.randint(1, longest) if i % 9 else rng.randint(1, 100_000)), i))
+    return spans
+
+
+@pytest.mark.parametrize("rows,salts,count", [(0, 1, False), (0, 3, False), (0, 1, True), (10**6, 1, False)])
+def test_overlaps_of_any_length(spark, monkeypatch, rows, salts, count):
+    monkeypatch.setattr(ov, "ROWS_PER_SALT", 20)
+    rng = random.Random(rows + salts)
+    a, b = random_intervals(rng, 150, 40), random_intervals(rng, 120, 600)
+    left = spark.createDataFrame(a, "contig string, start bigint, end bigint, i bigint").repartition(3)
+    right = spark.createDataFrame(b, "contig string, start bigint, end bigint, j bigint")
+    want = sorted((i, j) for c, s, e, i in a for c2, s2, e2, j in b if c == c2 and s < e2 and s2 < e)
+    pairs = ov.overlap_join(left, right, bin_size=16, broadcast_rows=rows, left_salts=salts, count_left=count)
+    assert sorted((r.i, r.j) for r in pairs.collect()) == want
+    assert ov.overlap_join(left, right.limit(0), bin_size=16).isEmpty() and ov.overlap_join(left.limit(0), right, bin_size=16).isEmpty()
+
+
+def test_a_long_region_is_one_row(spark):
+    """A region of 250 million bases is filed once; an interval looks at the levels in use only."""
+    right = spark.createDataFrame([("c1", 0, 250_000_000), ("c1", 70, 90)], "contig string, r_start bigint, r_end bigint")
+    assert sorted(r._level for r in ov._filed(right, 1 << 14, 0).collect()) == [0, 5]
+    left = spark.createDataFrame([("c1", 100, 200), ("c1", 0, 10**9)], "contig string, start bigint, end bigint")
+    assert sorted((r.start, r._of, r._level) for r in ov._probes(left, 1 << 14, [0, 5], 6).collect()) == [(0, 1, 6), (100, 0, 0), (100, 0, 5)]
+
+
+def test_regions_for_many_inputs(spark, monkeypatch):
+    monkeypatch.setattr(ov, "INPUTS_PER_BLOCK", 4)
+    inputs = spark.createDataFrame([(f"f{i}",) for i in range(21)] * 2, "file string")
+    spans = spark.createDataFrame([("c1", i) for i in range(9)], "contig string, start bigint")
+    every = ov._per_input(spans, inputs, ["file"])
+    assert every.columns == ["file", "contig", "start"] and every.count() == every.distinct().count() == 21 * 9
+
+
 def test_pooled_inputs(spark):
     rows, truth = random_alignments(50, 4, span=100)
     blocks = dp.aligned_blocks(spark.createDataFrame(rows, SCHEMA), by=())

@@ -51,7 +51,7 @@ def test_columns_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*p_brand", plan)
 
 
-@pytest.mark.parametrize("name", ["targeted_coverage", "targeted_coverage_shuffled", "overlap_join", "gene_exons", "coverage_by_contig", "yield_per_hour"])
+@pytest.mark.parametrize("name", ["targeted_coverage", "targeted_coverage_shuffled", "overlap_by_region", "overlap_whole_contigs", "gene_exons", "coverage_by_contig", "yield_per_hour"])
 def test_no_nested_loops(spark, name):
     plan = final_plan(entry.queries()[name](spark, SF))
     assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -314,16 +314,6 @@ def targeted_coverage_report(spark, sf):
     )
 
 
-@query(
-    f"""WITH {BLOCKS}, {REGIONS}, c AS (SELECT file, contig, s, e, count(*) AS copies FROM blocks GROUP BY ALL)
-SELECT c.file, c.contig, c.s AS "start", c.e AS "end", r.s AS r_start, r.e AS r_end, r.line_no, c.copies
-FROM c JOIN regions r ON c.contig = r.contig AND c.s < r.e AND r.s < c.e"""
-)
-def overlap_join(spark, sf):
-    copies = _blocks(spark, sf).groupBy("file", "contig", "start", "end").agg(F.count("*").alias("copies"))
-    return ov.overlap_join(copies, views.regions(spark, sf).drop("name"), bin_size=views.BIN)
-
-
 @query(
     f"""WITH {ALL_BASES}, {_ALIGNED}, {n50_sql('kept', 'len')},
 h AS (SELECT file, max(len) // 2000 + 1 AS length_bins, count(DISTINCT mapq) AS mapqs FROM kept GROUP BY file),

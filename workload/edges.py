@@ -16,7 +16,7 @@ from workload import views
 from workload.alignments import _OPTIONS, _PCT, _TARGETS, _blocks, _rounded
 from workload.annotations import _ALLELES, _stats_sql
 from workload.files import src, write_ordered
-from workload.oracle import ALN, BLOCKS, READS, REGIONS, SCORED, VARIANTS
+from workload.oracle import ALN, BLOCKS, READS, REFS, REGIONS, SCORED, VARIANTS
 from workload.reads import percentiles_sql
 from workload.registry import query
 
@@ -117,17 +117,6 @@ def vcf_header_long(spark, sf):
     return catalog.select(src().alias("src"), *sizes, F.col("samples")[0]["name"].alias("first_sample"))
 
 
-@query(
-    f"""WITH {VARIANTS}, spans AS (SELECT p_brand AS contig, p_partkey - p_size AS s, p_partkey AS e FROM part WHERE p_partkey % 3 = 0)
-SELECT file, chrom, pos, ref FROM variants v WHERE EXISTS (
-  SELECT 1 FROM spans WHERE contig = chrom AND pos - 1 < e AND pos - 1 + length(ref) > s)"""
-)
-def region_filter_table(spark, sf):
-    spans = views.table(spark, sf, "part").where("p_partkey % 3 = 0")
-    spans = spans.selectExpr("p_brand contig", "p_partkey - p_size start", "p_partkey end")
-    return vr.region_filter(views.variants(spark, sf), spans).select("file", "chrom", "pos", "ref")
-
-
 @query(
     f"""WITH {VARIANTS}, spans AS (SELECT p_brand AS contig, p_partkey - p_size AS s, p_partkey + p_size % 3 AS e FROM part)
 SELECT file, chrom, pos, ref FROM variants v WHERE EXISTS (
@@ -152,6 +141,22 @@ def overlap_by_region(spark, sf):
     return pairs.groupBy("line_no").agg(F.sum("copies").alias("blocks"), F.sum(F.col("copies") * inside).alias("bases"))
 
 
+@query(
+    f"""WITH {BLOCKS}, {REGIONS}, {REFS}, c AS (SELECT contig, s, e, count(*) AS copies FROM blocks GROUP BY ALL),
+every AS (SELECT line_no, contig, s, e FROM regions UNION ALL SELECT DISTINCT -length, contig, 0, 250000000 FROM refs)
+SELECT r.line_no, CAST(sum(copies) AS BIGINT) AS blocks, CAST(sum(copies * (least(c.e, r.e) - greatest(c.s, r.s))) AS BIGINT) AS bases
+FROM c JOIN every r ON c.contig = r.contig AND c.s < r.e AND r.s < c.e GROUP BY r.line_no"""
+)
+def overlap_whole_contigs(spark, sf):
+    """The same with regions of 250 million bases beside those of a few: one row each on the side of the regions."""
+    copies = _blocks(spark, sf).groupBy("contig", "start", "end").agg(F.count("*").alias("copies"))
+    whole = views.references(spark, sf).selectExpr("-length line_no", "contig", "0L start", "250000000L end").distinct()
+    regions = views.regions(spark, sf).drop("name").unionByName(whole)
+    pairs = ov.overlap_join(copies, regions, bin_size=views.BIN)
+    inside = F.least("end", "r_end") - F.greatest("start", "r_start")
+    return pairs.groupBy("line_no").agg(F.sum("copies").alias("blocks"), F.sum(F.col("copies") * inside).alias("bases"))
+
+
 @query(
     f"""WITH {READS}, r AS (SELECT file, length(seq) AS len FROM reads)
 SELECT file, {percentiles_sql('len')} FROM r GROUP BY file"""
