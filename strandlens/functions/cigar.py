@@ -119,11 +119,15 @@ def cigar_summary(cigar: Column) -> Column:
     return _summary(cigar)
 
 
-@F.arrow_udf(ArrayType(LongType()))
-def _cycles(cigar: pa.Array, md: pa.Array, reverse: pa.Array) -> pa.Array:
-    n = len(cigar)
-    row, op, length, _, read_at = _walk(cigar)
-    read_len = np.bincount(row, weights=np.where(_ON_READ[op], length, 0), minlength=n).astype(np.int64)
+def _read_lengths(walk, n: int) -> np.ndarray:
+    row, op, length, _, _ = walk
+    return np.bincount(row, weights=np.where(_ON_READ[op], length, 0), minlength=n).astype(np.int64)
+
+
+def _mismatch_places(walk, read_len: np.ndarray, md: pa.Array, reverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and cycle of each mismatch."""
+    n = len(read_len)
+    row, op, length, _, read_at = walk
     m = _ALIGNED[op] & (length > 0)
     m_row, m_len, m_read = row[m], length[m], read_at[m]
     m_begin = np.concatenate([[0], np.cumsum(m_len)])  # aligned bases of the whole batch, in order
@@ -151,9 +155,18 @@ def _cycles(cigar: pa.Array, md: pa.Array, reverse: pa.Array) -> pa.Array:
     spot, hit_row = spot[inside], hit_row[inside]
     block = np.searchsorted(m_begin, spot, "right") - 1
     read_pos = m_read[block] + spot - m_begin[block]
-    back = np.asarray(reverse.fill_null(False).cast(pa.uint8())).astype(bool)[hit_row]
-    cycle = np.where(back, read_len[hit_row] - read_pos, read_pos + 1)
-    return _lists(hit_row, n, pa.array(cycle))
+    return hit_row, np.where(reverse[hit_row], read_len[hit_row] - read_pos, read_pos + 1)
+
+
+def _flags(values: pa.Array) -> np.ndarray:
+    return np.asarray(values.fill_null(False).cast(pa.uint8())).astype(bool)
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _cycles(cigar: pa.Array, md: pa.Array, reverse: pa.Array) -> pa.Array:
+    walk = _walk(cigar)
+    rows, cycle = _mismatch_places(walk, _read_lengths(walk, len(cigar)), md, _flags(reverse))
+    return _lists(rows, len(cigar), pa.array(cycle))
 
 
 def mismatch_cycles(cigar: Column, md: Column, reverse: Column) -> Column:
@@ -161,12 +174,9 @@ def mismatch_cycles(cigar: Column, md: Column, reverse: Column) -> Column:
     return _cycles(cigar, md, reverse)
 
 
-@F.arrow_udf(ArrayType(LongType()))
-def _gap_cycles(cigar: pa.Array, reverse: pa.Array) -> pa.Array:
-    n = len(cigar)
-    row, op, length, _, read_at = _walk(cigar)
-    read_len = np.bincount(row, weights=np.where(_ON_READ[op], length, 0), minlength=n).astype(np.int64)
-    back = np.asarray(reverse.fill_null(False).cast(pa.uint8())).astype(bool)
+def _gap_places(walk, read_len: np.ndarray, reverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and cycle of each inserted base and each deletion."""
+    row, op, length, _, read_at = walk
     gap = ((op == ord("I")) | (op == ord("D"))) & (length > 0)
     row, op, at = row[gap], op[gap], read_at[gap]
     inserted = op == ord("I")
@@ -175,7 +185,48 @@ def _gap_cycles(cigar: pa.Array, reverse: pa.Array) -> pa.Array:
     row, at, inserted = np.repeat(row, count), np.repeat(at, count), np.repeat(inserted, count)
     at = at + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
     forward = np.where(inserted, at + 1, at)
-    return _lists(row, n, pa.array(np.where(back[row], read_len[row] - at, forward)))
+    return row, np.where(reverse[row], read_len[row] - at, forward)
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _gap_cycles(cigar: pa.Array, reverse: pa.Array) -> pa.Array:
+    walk = _walk(cigar)
+    rows, cycle = _gap_places(walk, _read_lengths(walk, len(cigar)), _flags(reverse))
+    return _lists(rows, len(cigar), pa.array(cycle))
+
+
+ERROR_KINDS = ("mismatch", "gap", "end", "bases", "inserted", "deleted", "edits")
+
+
+def count_errors(groups: np.ndarray, cigar: pa.Array, md: pa.Array, nm: pa.Array, reverse: pa.Array) -> tuple[np.ndarray, ...]:
+    """Partial counts of a batch from one walk over its cigars: (group, kind, cycle, count), kinds as numbers.
+
+    Mismatches, gaps and read ends are counted by cycle over the records with an MD tag; aligned and inserted bases, inserted and deleted
+    ones and edits are summed (cycle 0) over those with NM.
+    """
+    n = len(cigar)
+    walk = _walk(cigar)
+    row, op, length, _, _ = walk
+    read_len, back = _read_lengths(walk, n), _flags(reverse)
+    has_md = ~np.asarray(md.is_null())
+    found = []
+    for kind, (rows, cycles) in enumerate((_mismatch_places(walk, read_len, md, back), _gap_places(walk, read_len, back), (np.arange(n), read_len))):
+        keep = has_md[rows] & (cycles > 0)
+        found.append((groups[rows[keep]], np.full(keep.sum(), kind), cycles[keep], np.ones(keep.sum(), np.int64)))
+    has_nm = np.flatnonzero(~np.asarray(nm.is_null()))
+
+    def total(letters: str) -> np.ndarray:
+        chosen = _members(letters)[op]
+        return np.bincount(row[chosen], weights=length[chosen], minlength=n).astype(np.int64)
+
+    for kind, values in enumerate((total("M=XI"), total("I"), total("D"), np.asarray(nm.fill_null(0))), 3):
+        found.append((groups[has_nm], np.full(len(has_nm), kind), np.zeros(len(has_nm), np.int64), values[has_nm]))
+    group, kind, cycle, count = (np.concatenate([f[i] for f in found]) for i in range(4))
+    order = np.lexsort((cycle, kind, group))
+    group, kind, cycle, count = group[order], kind[order], cycle[order], count[order]
+    first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (kind[1:] != kind[:-1]) | (cycle[1:] != cycle[:-1]))[: len(group)])
+    sums = np.add.reduceat(count, first) if len(first) else count
+    return group[first], kind[first], cycle[first], sums
 
 
 def gap_cycles(cigar: Column, reverse: Column) -> Column:

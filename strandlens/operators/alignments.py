@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,67 +137,81 @@ def _for_errors(aln: DataFrame) -> DataFrame:
     return aln.where(~sam.has_any(F.col("flag"), sam.UNMAPPED | sam.SECONDARY | sam.SUPPLEMENTARY))
 
 
-def error_rates(aln: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
-    """``(*by, mismatch_rate, insertion_rate, deletion_rate, error_rate)`` of primary records with NM.
+def error_tally(aln: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
+    """``(*by, kind, cycle, n)`` of primary records: all that error rates and cycles are made of, from one pass over cigar and MD.
 
-    All are sums over the bases mapped by the cigar (M, =, X and I); mismatches are NM less
-    inserted and deleted bases.
+    Each Arrow batch is counted by numpy, so a row of the shuffle stands for a cycle of a batch. ``kind`` is one of ``ERROR_KINDS``.
     """
-    sums = (
-        _for_errors(aln)
-        .select(*by, cg.cigar_summary(F.col("cigar")).alias("c"), tag("NM").try_cast("bigint").alias("nm"))
-        .where(F.col("nm").isNotNull())
-        .groupBy(*by)
-        .agg(
-            F.sum(F.col("c")["aligned"] + F.col("c")["ins_bases"]).alias("bases"),
-            F.sum(F.col("c")["ins_bases"]).alias("ins"),
-            F.sum(F.col("c")["del_bases"]).alias("del"),
-            F.sum("nm").alias("nm"),
-        )
+    by = list(by)
+    back = sam.has_any(F.col("flag"), sam.REVERSE)
+    narrow = _for_errors(aln).select(
+        *by, F.col("cigar").alias("_cigar"), tag("MD").alias("_md"), tag("NM").try_cast("bigint").alias("_nm"), back.alias("_back")
+    )
+    zero = F.lit(0).cast("bigint")
+    schema = narrow.select(*by, F.lit("").alias("kind"), zero.alias("cycle"), zero.alias("n")).schema
+
+    def run(batches):
+        kinds = pa.array(cg.ERROR_KINDS)
+        for batch in batches:
+            seen: dict[tuple, int] = {}
+            rows = zip(*(batch.column(b).to_pylist() for b in by), strict=True) if by else ((),) * batch.num_rows
+            groups = np.fromiter((seen.setdefault(r, len(seen)) for r in rows), np.int64, batch.num_rows)
+            group, kind, cycle, n = cg.count_errors(groups, *(batch.column(c) for c in ("_cigar", "_md", "_nm", "_back")))
+            labels = list(zip(*seen, strict=True)) if seen else [()] * len(by)
+            columns = [pa.array(labels[i], batch.schema.field(b).type).take(pa.array(group)) for i, b in enumerate(by)]
+            columns += [kinds.take(pa.array(kind)), pa.array(cycle), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, [*by, "kind", "cycle", "n"])
+
+    return narrow.mapInArrow(run, schema).groupBy(*by, "kind", "cycle").agg(F.sum("n").alias("n"))
+
+
+def _of_kind(*kinds: str) -> Column:
+    # without filters, so that all uses of a tally share its shuffle
+    return F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
+
+
+def error_rates_of_tally(counts: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
+    sums = counts.groupBy(*by).agg(
+        F.count_if(F.col("kind") == "edits").alias("known"), *[_of_kind(k).alias(k) for k in ("bases", "inserted", "deleted", "edits")]
     )
     bases = F.nullif(F.col("bases"), F.lit(0))
-    return sums.select(
+    return sums.where("known > 0").select(
         *by,
-        ((F.col("nm") - F.col("ins") - F.col("del")) / bases).alias("mismatch_rate"),
-        (F.col("ins") / bases).alias("insertion_rate"),
-        (F.col("del") / bases).alias("deletion_rate"),
-        (F.col("nm") / bases).alias("error_rate"),
+        ((F.col("edits") - F.col("inserted") - F.col("deleted")) / bases).alias("mismatch_rate"),
+        (F.col("inserted") / bases).alias("insertion_rate"),
+        (F.col("deleted") / bases).alias("deletion_rate"),
+        (F.col("edits") / bases).alias("error_rate"),
     )
 
 
+def error_rates(aln: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
+    """``(*by, mismatch_rate, insertion_rate, deletion_rate, error_rate)`` of primary records with NM.
+
+    All are sums over the bases mapped by the cigar (M, =, X and I); mismatches are NM less
+    inserted and deleted bases.
+    """
+    return error_rates_of_tally(error_tally(aln, by), by)
+
+
 def mismatch_by_cycle(aln: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
     """``(*by, cycle, mismatches, reads, rate)`` for each cycle any read with MD reaches."""
-    return _by_cycle(aln, by, False).withColumnRenamed("events", "mismatches")
+    return cycles_of_tally(error_tally(aln, by), by).withColumnRenamed("events", "mismatches")
 
 
 def errors_by_cycle(aln: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
     """``(*by, cycle, errors, reads, rate)``: mismatches, inserted bases and deletions together."""
-    return _by_cycle(aln, by, True).withColumnRenamed("events", "errors")
+    return cycles_of_tally(error_tally(aln, by), by, with_gaps=True).withColumnRenamed("events", "errors")
 
 
-def _by_cycle(aln: DataFrame, by: Sequence[str], with_gaps: bool) -> DataFrame:
-    """Only the cycles of events are exploded; the reads at a cycle come from the read lengths."""
-    back = sam.has_any(F.col("flag"), sam.REVERSE)
-    cycles = cg.mismatch_cycles(F.col("cigar"), tag("MD"), back)
-    if with_gaps:
-        cycles = F.concat(cycles, cg.gap_cycles(F.col("cigar"), back))
-    rows = (
-        _for_errors(aln)
-        .where(tag("MD").isNotNull())
-        .select(*by, cg.cigar_summary(F.col("cigar")).alias("c"), cycles.alias("cycles"))
-        .withColumn("size", cg.read_length_of_cigar(F.col("c")) + F.col("c")["soft_clip"])
-    )
+def cycles_of_tally(counts: DataFrame, by: Sequence[str] = ("file",), with_gaps: bool = False) -> DataFrame:
+    """``(*by, cycle, events, reads, rate)``; the reads at a cycle come from the read ends."""
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    # one read gives its events (cycle, 1, 0) and its own end (length, 0, 1)
-    marks = F.concat(
-        F.transform("cycles", lambda c: F.struct(c.alias("cycle"), one.alias("events"), zero.alias("ends"))),
-        F.array(F.struct(F.col("size").alias("cycle"), zero.alias("events"), one.alias("ends"))),
-    )
-    seen = rows.select(*by, F.inline(marks)).where(F.col("cycle") > 0)
-    sums = (F.sum("events").alias("events"), F.sum("ends").alias("ends"))
-    per_cycle = seen.groupBy(*by, "cycle").agg(*sums)
+    events = _of_kind("mismatch", "gap") if with_gaps else _of_kind("mismatch")
+    summed = counts.groupBy(*by, "cycle").agg(events.alias("events"), _of_kind("end").alias("ends"), _of_kind("mismatch", "gap", "end").alias("any"))
+    per_cycle = summed.where(F.col("any") > 0).drop("any")
     last = per_cycle.groupBy(*by).agg(F.max("cycle").alias("last"))
     every = last.select(*by, F.explode(F.sequence(one, "last")).alias("cycle"), zero.alias("events"), zero.alias("ends"))
+    sums = (F.sum("events").alias("events"), F.sum("ends").alias("ends"))
     full = per_cycle.unionByName(every).groupBy(*by, "cycle").agg(*sums)
     # rows here are cycles, at most the length of the longest read per input
     longest_first = Window.partitionBy(*by).orderBy(F.desc("cycle")).rowsBetween(Window.unboundedPreceding, 0)

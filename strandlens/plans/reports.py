@@ -218,11 +218,15 @@ def coverage_tables(
 
 
 def error_report(aln: DataFrame, refs: DataFrame, by: Sequence[str] = ("file",), tile: int = dp.TILE) -> DataFrame:
-    """Error rates with depth, GC, mismatch and insert size distributions; empty ones are null."""
+    """Error rates with depth, GC, mismatch and insert size distributions; empty ones are null.
+
+    Rates and cycles come from one tally: cigars and MD tags are walked once.
+    """
     depth = dp.depth_histogram(dp.base_depth(dp.aligned_blocks(aln, by), by, tile, merge=False), by)
-    out = al.error_rates(aln, by)
-    for name, rates in (("mismatch_by_cycle", al.mismatch_by_cycle(aln, by)), ("error_by_position", al.errors_by_cycle(aln, by))):
-        cycles = _list(rates, by, "c", "cycle", "rate")
+    counts = al.error_tally(aln, by)
+    out = al.error_rates_of_tally(counts, by)
+    for name, with_gaps in (("mismatch_by_cycle", False), ("error_by_position", True)):
+        cycles = _list(al.cycles_of_tally(counts, by, with_gaps), by, "c", "cycle", "rate")
         out = join_on(out, cycles.select(*by, F.transform("c", lambda x: x["rate"]).alias(name)), by, "left")
     bins = {
         "coverage_histogram": (depth, "depth", "bases"),

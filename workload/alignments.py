@@ -314,6 +314,15 @@ def targeted_coverage_report(spark, sf):
     )
 
 
+def _rates_sql(name: str, places: str, column: str) -> str:
+    """Rates per ten thousand of each cycle in order, as text."""
+    return f"""{name}_m AS ({places}),
+{name}_hits AS (SELECT file, CASE WHEN flag & 16 <> 0 THEN back ELSE fwd END AS cycle, count(*) AS n FROM {name}_m GROUP BY ALL),
+{name}_total AS (SELECT file, cycle, count(*) AS reads FROM (SELECT file, unnest(range(1, size + 1)) AS cycle FROM p) GROUP BY ALL),
+{name} AS (SELECT file, string_agg(CAST(floor(coalesce(n, 0) / reads * 10000 + 1e-6) AS BIGINT), ',' ORDER BY cycle) AS {column}
+  FROM {name}_total LEFT JOIN {name}_hits USING (file, cycle) GROUP BY file)"""
+
+
 @query(
     f"""WITH {ALL_BASES}, {_ALIGNED}, {n50_sql('kept', 'len')},
 h AS (SELECT file, max(len) // 2000 + 1 AS length_bins, count(DISTINCT mapq) AS mapqs FROM kept GROUP BY file),
@@ -321,10 +330,21 @@ c AS (SELECT file, avg(depth) AS d, median(depth) AS m, count(DISTINCT depth) AS
 l AS (SELECT file, count(*) FILTER (d < 5) AS low_contigs, max(m) AS best FROM (
         SELECT file, contig, avg(depth) AS d, median(depth) AS m FROM allbase GROUP BY ALL) GROUP BY file),
 e AS (SELECT file, (sum(nm) - sum(ins) - sum(del)) / sum(len) AS mismatch, max(size) AS cycles FROM aln WHERE flag & 2308 = 0 GROUP BY file),
-x AS (SELECT file, {_CLASSES} FROM aln GROUP BY file)
+x AS (SELECT file, {_CLASSES} FROM aln GROUP BY file),
+lh AS (SELECT file, string_agg(b || ':' || n, ',' ORDER BY b) AS lengths FROM (
+        SELECT file, len // 2000 * 2000 AS b, count(*) AS n FROM kept GROUP BY ALL) GROUP BY file),
+mh AS (SELECT file, string_agg(b || ':' || n, ',' ORDER BY b) AS mapq_counts FROM (
+        SELECT file, mapq AS b, count(*) AS n FROM kept GROUP BY ALL) GROUP BY file),
+ch AS (SELECT file, string_agg(b || ':' || n, ',' ORDER BY b) AS depth_bases FROM (
+        SELECT file, depth AS b, count(*) AS n FROM perbase GROUP BY ALL) GROUP BY file),
+ih AS (SELECT file, string_agg(b || ':' || n, ',' ORDER BY b) AS insert_sizes FROM (
+        SELECT file, abs(tlen) AS b, count(*) AS n FROM aln WHERE flag & 2308 = 0 AND flag & 67 = 67 AND tlen <> 0 GROUP BY ALL) GROUP BY file),
+p AS (SELECT * FROM aln WHERE flag & 2308 = 0), {_rates_sql('mm', _MISMATCHES, 'mismatch_rates')},
+{_rates_sql('ee', _MISMATCHES + ' ' + _GAPS, 'error_rates')}
 SELECT file, total_reads, mapped, n50, length_bins, mapqs, round(d, 6) AS mean_depth, m AS median_depth, depths, low_contigs,
-       best, round(mismatch, 9) AS mismatch_rate, cycles
-FROM x JOIN n50 USING (file) JOIN h USING (file) JOIN c USING (file) JOIN l USING (file) JOIN e USING (file)"""
+       best, round(mismatch, 9) AS mismatch_rate, cycles, lengths, mapq_counts, depth_bases, insert_sizes, mismatch_rates, error_rates
+FROM x JOIN n50 USING (file) JOIN h USING (file) JOIN c USING (file) JOIN l USING (file) JOIN e USING (file)
+  JOIN lh USING (file) JOIN mh USING (file) JOIN ch USING (file) JOIN ih USING (file) JOIN mm USING (file) JOIN ee USING (file)"""
 )
 def alignment_summary(spark, sf):
     out = reports.alignment_summary(
@@ -337,8 +357,21 @@ def alignment_summary(spark, sf):
     def size(path):
         return F.size(path).cast("bigint")
 
+    def bins(path):
+        filled = F.filter(path, lambda b: b["count"] > 0)
+        return F.array_join(F.transform(filled, lambda b: F.concat_ws(":", b["start"].cast("bigint"), b["count"])), ",")
+
+    def rates(path):
+        return F.array_join(F.transform(path, lambda r: F.floor(r * 10000 + 1e-6)), ",")
+
     return out.select(
         "file",
+        bins("alignment.length_histogram").alias("lengths"),
+        bins("alignment.mapq_histogram").alias("mapq_counts"),
+        bins("errors.coverage_histogram").alias("depth_bases"),
+        bins("errors.insert_size_histogram").alias("insert_sizes"),
+        rates("errors.mismatch_by_cycle").alias("mismatch_rates"),
+        rates("errors.error_by_position").alias("error_rates"),
         "alignment.total_reads",
         "alignment.mapped",
         "alignment.n50",

@@ -69,6 +69,27 @@ def bgz_fastq_round_trip(spark, sf):
     return back.select("read_id", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
 
 
+@query(
+    f"""WITH {READS}, every AS (
+  SELECT file, count(*) AS input_reads, count(*) FILTER (length(seq) >= 230) AS output_reads, count(*) FILTER (length(seq) < 230) AS filtered_reads,
+         CAST(coalesce(sum(length(seq) - 30) FILTER (length(seq) >= 230), 0) AS BIGINT) AS output_bases FROM reads GROUP BY file)
+SELECT *, output_reads AS written_reads, output_bases AS written_bases FROM every"""
+)
+def filter_to_fastq(spark, sf):
+    """Counts of the pass that wrote the reads, beside those of the files."""
+    reads = views.reads(spark, sf)
+    names = [r.file for r in reads.select("file").distinct().orderBy("file").collect()]
+    path = scratch_dir(spark, "filtered")
+    labelled = reads.withColumn("read_id", F.concat_ws("|", "file", "read_id"))
+    counts = sinks.filter_to_fastq(labelled, path, names, compression="bgz", headcrop=10, tailcrop=20, minlength=200)
+    back = fastq.read_fastq(spark, path, check_names=False, blocks=True)
+    found = back.groupBy(F.substring_index("read_id", "|", 1).alias("file")).agg(
+        F.count("*").alias("written_reads"), F.sum(F.length("seq")).cast("bigint").alias("written_bases")
+    )
+    both = counts.where("file IS NOT NULL").join(found, "file", "left")
+    return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("written_reads", "written_bases")})
+
+
 @query(
     f"""WITH {READS} SELECT file AS src, 'ok' AS status,
   CAST(sum(length(read_id) + 2 * length(seq) + 6) AS BIGINT) AS length FROM reads GROUP BY file"""
