@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlens.session import scratch_dir
+
+MAX_DEPTH = 64
+
 # Feature types, in lower case.
 GENE, TRANSCRIPTS, EXON = "gene", ("mrna", "transcript"), "exon"
 
@@ -76,3 +80,43 @@ def gene_exons(features: DataFrame, gene: DataFrame | str, by: Sequence[str] = (
         .join(transcripts, [*by, "parent"])
         .select(*by, "gene", "contig", "start", "end")
     )
+
+
+def gene_descendants(
+    features: DataFrame, gene: DataFrame | str, by: Sequence[str] = ("file",), types: Sequence[str] | None = None, max_depth: int = MAX_DEPTH
+) -> DataFrame:
+    """``(*by, gene, line_no, type, contig, start, end, depth)`` of all features below a gene, however deep.
+
+    A feature may have several parents, parted by commas; it comes out once per gene, with the least number of
+    steps to it. ``types`` (in any case) chooses what comes out, not what is followed. Each round joins the features met last
+    with those that name them as parent. A round beyond ``max_depth`` means that features are their own ancestors: an error.
+    """
+    by = list(by)
+    spark = features.sparkSession
+    parents = F.explode(F.filter(F.transform(F.split(attr("parent"), ","), lambda p: F.trim(p)), lambda p: p != ""))
+    path = scratch_dir(spark, "features")
+    links = features.select(*by, "line_no", attr("id").alias("id"), "type", "seqid", "start", "end", parents.alias("parent"))
+    links.write.parquet(path)
+    links = spark.read.schema(links.schema).parquet(path)
+    met = find_gene(features, gene, by).where(F.col("gene_id") != "").select(*by, "gene", F.lower("gene_id").alias("parent"))
+    levels = []
+    for depth in range(1, max_depth + 2):
+        below = links.join(met, [*by, "parent"]).drop("parent").distinct().withColumn("depth", F.lit(depth))
+        path = scratch_dir(spark, "features-below")
+        below.write.parquet(path)
+        below = spark.read.schema(below.schema).parquet(path)
+        if below.isEmpty():
+            break
+        if depth > max_depth:
+            raise ValueError(f"Features are nested more than {max_depth} deep, or are their own ancestors")
+        levels.append(below)
+        met = below.where(F.col("id") != "").select(*by, "gene", F.col("id").alias("parent")).distinct()
+    else:
+        raise ValueError(f"Features are nested more than {max_depth} deep, or are their own ancestors")
+    found = below
+    for level in levels:
+        found = found.unionByName(level)
+    if types is not None:
+        found = found.where(F.lower("type").isin(*[t.lower() for t in types]))
+    keys = [*by, "gene", "line_no", "type", F.col("seqid").alias("contig"), "start", "end"]
+    return found.groupBy(*keys).agg(F.min("depth").alias("depth"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlens.sources.lines import Paths, file_label, path_list
 
+LOOKUPS = 32
+
 # Formats by file name ending.
 FORMATS = {
     "fastq": (".fastq", ".fq", ".fastq.gz", ".fq.gz", ".fastq.bgz", ".fq.bgz"),
@@ -27,7 +30,9 @@ def file_manifest(
 ) -> DataFrame:
     """``(file, length, modified, format, status)`` without reading any content.
 
-    ``status`` is ok, empty, too_large, bad_extension or missing.
+    ``status`` is ok, empty, too_large, bad_extension, not_a_file (a folder, given by its own path) or missing. Files are
+    listed by Spark, in parallel where there are many; given paths are looked up ``LOOKUPS`` at a time. A pattern that matches folders
+    stands for the files in them.
     """
     name = F.lower("file")
     fmt = F.lit(None).cast("string")
@@ -38,10 +43,11 @@ def file_manifest(
         status = status.when(F.col("length") > max_bytes, "too_large")
     if allowed:
         status = status.when(~_ends(name, allowed), "bad_extension")
-    listed = path_list(paths)
-    there = {p: _exists(spark, p) for p in dict.fromkeys(listed)}
-    present = [p for p, found in there.items() if found]
-    gone = spark.createDataFrame([(p, "missing") for p, found in there.items() if not found], "file string, status string")
+    listed = list(dict.fromkeys(path_list(paths)))
+    kinds = _kinds(spark, listed)
+    present = [p for p in listed if kinds[p] == "file"]
+    rows = [(p, kinds[p]) for p in listed if kinds[p] != "file"]
+    gone = spark.createDataFrame(rows, "file string, status string")
     if not present:
         return gone.selectExpr(
             "file", "cast(null as bigint) length", "cast(null as timestamp) modified", "cast(null as string) format", "status"
@@ -55,13 +61,23 @@ def file_manifest(
         .withColumn("length", F.coalesce("length", F.lit(0)))
         .select("file", "length", "modified", fmt.alias("format"), status.otherwise("ok").alias("status"))
     )
-    return out.unionByName(gone, allowMissingColumns=True) if len(present) < len(there) else out
+    return out.unionByName(gone, allowMissingColumns=True) if rows else out
+
+
+def _kinds(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """``file`` (also a pattern that matches any), ``not_a_file`` or ``missing`` for each path, by some lookups at a time."""
+    conf, places = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
 
+    def kind(path: str) -> str:
+        place = places(path)
+        found = place.getFileSystem(conf).globStatus(place)
+        if found is None or not len(found):
+            return "missing"
+        plain = not set("*?[{") & set(path)
+        return "not_a_file" if plain and found[0].isDirectory() else "file"
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
-    return found is not None and len(found) > 0
+    with ThreadPoolExecutor(LOOKUPS) as pool:
+        return dict(zip(paths, pool.map(kind, paths), strict=True))
 
 
 def _ends(name, endings):

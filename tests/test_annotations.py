@@ -209,3 +209,29 @@ def test_text_fields(spark):
     assert angle == {"ID": "DP", "Description": "Depth, all", "Source": "a=b", "Flag": ""}
     tags = one.select(tx.tag_map(F.array(*[F.lit(x) for x in ("CL:a:b", "none", "ID:1", "ID:2")]))).collect()[0][0]
     assert tags == {"CL": "a:b", "ID": "2"}
+
+
+def test_features_at_any_depth(spark):
+    """Several parents, a shared feature, a gene below another's part; cycles and too deep nests are errors."""
+    rows = [
+        ("gene", "G1", ""), ("gene", "G2", ""), ("mRNA", "T1", "g1"), ("mRNA", "T2", "G1, G2"), ("part", "P1", "T1,T2"),
+        ("exon", "E1", "P1"), ("exon", "", "T2,P1"), ("exon", "E3", "other"), ("exon", "E4", "E1"), ("note", None, None),
+    ]
+
+    def features(rows):
+        data = [("f", i, "c", kind, i * 10, i * 10 + 5, {k: v for k, v in (("id", name), ("parent", parent)) if v is not None}) for i, (kind, name, parent) in enumerate(rows)]
+        return spark.createDataFrame(data, "file string, line_no bigint, seqid string, type string, start bigint, end bigint, attrs map<string,string>")
+
+    names = spark.createDataFrame([("G1",), ("g2",), ("none",)], "gene string")
+    got = {(r.gene, r.line_no): r.depth for r in genes.gene_descendants(features(rows), names).collect()}
+    assert got == {
+        ("G1", 2): 1, ("G1", 3): 1, ("G1", 4): 2, ("G1", 5): 3, ("G1", 6): 2, ("G1", 8): 4,
+        ("g2", 3): 1, ("g2", 4): 2, ("g2", 5): 3, ("g2", 6): 2, ("g2", 8): 4,
+    }
+    exons = genes.gene_descendants(features(rows), "G2", types=("EXON",)).collect()
+    assert {r.line_no for r in exons} == {5, 6, 8}
+    assert genes.gene_descendants(features(rows), "none").isEmpty()
+    with pytest.raises(ValueError, match="own ancestors"):
+        genes.gene_descendants(features([*rows, ("part", "T1", "E4")]), "G1", max_depth=8)
+    with pytest.raises(ValueError, match="deep"):
+        genes.gene_descendants(features(rows), "G1", max_depth=3)
