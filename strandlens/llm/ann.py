@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: NN-descent builds a graph, greedy search walks it.
 
-Vectors are compared as 8-bit codes, each on its own scale, while the graph is built and walked; results are scored in double
-precision. A node is a distinct vector, so that copies do not fill each other's lists.
+Vectors are compared as 16-bit codes, each on its own scale, while the graph is built and walked: fine enough to tell members of
+a tight cluster far from the origin apart. All that a walk holds at its end is scored in double precision. A node is a distinct vector, so that copies do not fill each other's lists.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ SAMPLED = 14
 CHANGED_LIMIT = 0.02
 """Rounds of NN-descent end once a round changes at most this share of all list entries."""
 BEAM = 192
+CODE_MAX = 32767
+LEAST_LARGEST, MOST_LARGEST = 1e-150, 1e150
+"""Where the largest component must lie. Any 32-bit floats do."""
+
 NODES_PER_TASK = 4096
 _LIST = "node bigint, ids array<bigint>, sims array<float>"
 
@@ -47,17 +51,19 @@ def _nodes(vectors: DataFrame, copies: int) -> DataFrame:
 
 
 def _coded(nodes: DataFrame, width: int) -> DataFrame:
-    """Adds ``code``: components as signed bytes on the row's own scale, after that scale as a 32-bit float.
+    """Adds ``code``: components as signed 16-bit numbers on the row's own scale, after that scale as a 32-bit float.
 
     Scales are relative to the largest component of the table, which keeps products finite.
     """
     largest = nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    if not LEAST_LARGEST <= largest <= MOST_LARGEST:
+        raise ValueError(f"the largest component is {largest}: products of such vectors leave the range of doubles; scale them")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("v"), np.float64, width)
             own = np.abs(x).max(axis=1, keepdims=True)
-            codes = np.rint(x / own * 127).astype(np.int8)
+            codes = np.rint(x / own * CODE_MAX).astype("<i2")
             scales = (own / largest).astype(np.float32)
             binary = pa.array([f.tobytes() + c.tobytes() for f, c in zip(scales, codes, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("v"), batch.column("members"), binary], ["node", "v", "members", "code"])
@@ -67,8 +73,8 @@ def _coded(nodes: DataFrame, width: int) -> DataFrame:
 
 def _parts(joined: bytes | pa.Buffer, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Components of codes as floats, and their scales."""
-    rows = np.frombuffer(joined, np.dtype([("scale", "<f4"), ("code", np.int8, (width,))]))
-    return rows["code"].astype(np.float32), rows["scale"]
+    rows = np.frombuffer(joined, np.dtype([("scale", "<f4"), ("code", "<i2", (width,))]))
+    return rows["code"].astype(np.float32) / np.float32(CODE_MAX), rows["scale"]
 
 
 def _codes(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +365,8 @@ def search_neighbours(
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``. Vectors that are null, empty, zero or hold null
     or non-finite components take no part, nor do null ids; shorter vectors count as filled with
-    zeros; fewer candidates than ``k`` give fewer results; an empty table gives none. Other columns are
+    zeros; fewer candidates than ``k`` give fewer results; an empty table gives none. A largest component beyond 1e150 or below
+    1e-150, as only 64-bit vectors can have, is an error. Other columns are
     not read, whatever their names.
     """
     v = F.col(vector)
@@ -394,8 +401,8 @@ def search_neighbours(
     while beams.where(F.exists("walked", lambda w: ~w)).limit(1).count():
         beams = written(_walked(beams, adjacency, width, beam, tasks), "ann-beams")
 
-    # a few more than k by code, then exact; the node itself counts for its other copies
-    near = beams.select("node", F.explode(F.concat(F.array("node"), F.slice("ids", 1, 2 * k + 8))).alias("other"))
+    # the whole beam is scored exactly; the node itself counts for its other copies
+    near = beams.select("node", F.explode(F.concat(F.array("node"), F.col("ids"))).alias("other"))
     product = F.aggregate(F.zip_with("q", "v", lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
     scored = (
         near.join(nodes.select(F.col("node").alias("other"), "v", "members"), "other")

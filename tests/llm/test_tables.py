@@ -349,6 +349,33 @@ def test_dense_leaves_are_split_by_place(spark, monkeypatch):
     assert spread < 0.9 * x.std(axis=0).mean()
 
 
+def test_neighbours_in_a_tight_cluster(spark):
+    """Queries of the cluster alone, which an average over all would hide: a third of 12,000 rows, k of 20."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((12_000, 32)).astype(np.float32)
+    x[:4000] = 3 * rng.standard_normal(32) + 0.05 * rng.standard_normal((4000, 32))
+    table = vectors(spark, x)
+    got = defaultdict(set)
+    for r in ann.search_neighbours(table, 20, table["vec_id"] % 200 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    shares = {}
+    for part, queries in (("cluster", range(0, 4000, 200)), ("others", range(4000, 12_000, 200))):
+        hit = 0
+        for q in queries:
+            s = x.astype(np.float64) @ x[q].astype(np.float64)
+            hit += len(got[q] & set([i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]))
+        shares[part] = hit / (20 * len(queries))
+    print(shares)
+    assert min(shares.values()) >= 0.9
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-320])
+def test_products_beyond_doubles_are_refused(spark, size):
+    table = spark.createDataFrame([(i, [size, size]) for i in range(30)], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="range of doubles"):
+        ann.search_neighbours(table, 3, table["vec_id"] % 10 == 0)
+
+
 def test_neighbours_beside_a_very_large_row(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 16))
