@@ -11,7 +11,7 @@ documents:
    held against a few pivots of its tile: bit counts of the signatures bound the overlap, then the
    arrays decide. Links give components.
 4. A link that is still missing joins two components, and again needs 80 % of shingles that occur in
-   other components. The few sets that pass are held against all sets of other components in the
+   other components. The sets of which that holds are held against all sets of other components in the
    tiles of their whole prefix, in blocks.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlens.llm.common import broadcast_if_small, written
+from strandlens.llm.common import HOT_KEYS, broadcast_if_small, written
 from strandlens.llm.words import chained, hashed_words, mixed, slices
 
 WORDS = 5
@@ -35,6 +35,10 @@ PIVOTS = 3
 FIRST_SHINGLES = 3
 BLOCK = 512
 PAIRS_PER_BATCH = 256
+CARRIED = 100_000
+HOT_SAMPLE = 16
+"""One of so many sets is looked at for very common shingles; which they are changes the work, not the links."""
+
 # Sets of up to this size show all shingles; the judged ones are so small that their partners do, too.
 SHOWN_WHOLE = 160
 JUDGED_WHOLE = 128
@@ -222,8 +226,8 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Rows hold two whole arrays, so Arrow batches are kept to ``PAIRS_PER_BATCH`` rows.
     """
     pairs = _bounded(pairs, sets)
-    left = pairs.join(sets.select("key", "shingles"), "key")
-    right = sets.join(pairs.select(F.col("other").alias("key")).distinct(), "key", "left_semi")
+    left = sets.select("key", "shingles").join(broadcast_if_small(pairs), "key")
+    right = sets.join(broadcast_if_small(pairs.select(F.col("other").alias("key")).distinct()), "key", "left_semi")
     right = right.select(F.col("key").alias("other"), F.col("shingles").alias("others"))
     # arrays of 8 bytes an element: counted before any broadcast
     bytes_right = right.agg(F.sum(F.size("others") * 8)).first()[0] or 0
@@ -290,47 +294,83 @@ def _pivot_pairs(sets: DataFrame) -> DataFrame:
     return written(met.where(fits).select("key", F.col("p.key").alias("other")).distinct(), "ngram-pairs")
 
 
-def _across(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Sets that may link to a set of another component, with their ``root``."""
-    rooted = sets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    shown = rooted.select("key", "n", "root", F.explode("shingles").alias("h")).where(_sampled(F.col("h")) | (F.col("n") <= SHOWN_WHOLE))
-    foreign = shown.groupBy("h").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first < last").select("h")
-    judged = shown.where(_sampled(F.col("h")) | (F.col("n") <= JUDGED_WHOLE))
-    met = judged.join(foreign, "h").groupBy("key").agg(F.count(F.lit(1)).alias("met"))
-    counted = judged.groupBy("key").agg(F.count(F.lit(1)).alias("judged"), F.first("n").alias("n"))
-    passed = counted.join(met, "key").where(F.col("judged") - F.col("met") <= _spare(F.col("n"))).select("key")
-    return rooted.join(passed, "key", "left_semi")
+def _foreign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (``h``, ``key``, ``root``, sorted by ``h``) of shingles of more than one component, with the number of sets.
+
+    The last shingle of a batch is carried on. One of more than ``CARRIED`` rows counts as that many, of several components:
+    every one of its rows says so.
+    """
+    carried = [np.zeros(0, np.int64)] * 3
+    going = None
+
+    def out(h: np.ndarray, key: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(sets.astype(np.int32))], ["key", "h", "sets"])
 
+    def closed(h: np.ndarray, key: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        begins = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        sizes = np.diff(np.append(begins, len(h)))
+        apart = np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)
+        keep = np.repeat(apart, sizes)
+        return out(h[keep], key[keep], np.repeat(np.minimum(sizes, CARRIED), sizes)[keep])
 
-def _prefixes(sets: DataFrame) -> DataFrame:
+    for batch in batches:
+        rows = [batch.column(c).to_numpy() for c in ("h", "key", "root")]
+        if going is not None:
+            same = rows[0] == going
+            if same.any():
+                yield out(rows[0][same], rows[1][same], np.full(same.sum(), CARRIED))
+            if same.all():
+                continue
+            rows, going = [r[~same] for r in rows], None
+        h, key, root = (np.concatenate([c, r]) for c, r in zip(carried, rows, strict=True))
+        if not len(h):
+            continue
+        last = int(np.searchsorted(h != h[-1], False)) if h[0] == h[-1] else len(h) - int(np.argmax(h[::-1] != h[-1]))
+        if last:
+            yield closed(h[:last], key[:last], root[:last])
+        carried = [h[last:], key[last:], root[last:]]
+        if len(carried[0]) > CARRIED:
+            going = h[-1]
+            yield out(carried[0], carried[1], np.full(len(carried[0]), CARRIED))
+            carried = [c[:0] for c in carried]
+    if len(carried[0]):
+        yield closed(*carried)
+
+
+def _prefixes(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """``key``, ``n``, ``root``, ``prefix``: shingles of which a set shares one with any set of another component it links to.
 
-    Shingles of one component alone cannot be shared with another; the rarest of the others come
-    first. If only as many are left out as a link may miss, each link has one of the first in common.
+    Shingles of one component alone cannot be shared with another; the rarest of the others come first, in one order for
+    all sets. If only as many are left out as a link may miss, each link has one of the first in common.
+    Sets of which more are alone are left out. Each shingle goes to the task of its hash once, but for those
+    that are very common in a sample of the sets: these, fewer than ``HOT_KEYS``, count as shared and come last.
     """
-    shown = sets.select("key", "n", "root", F.explode("shingles").alias("h"))
-    foreign = (
-        shown.groupBy("h")
-        .agg(F.count(F.lit(1)).alias("sets"), F.min("root").alias("first"), F.max("root").alias("last"))
-        .where("first < last")
-        .select("h", "sets")
-    )
+    rooted = sets.join(broadcast_if_small(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    shown = rooted.select("key", "root", F.explode("shingles").alias("h"))
+    drawn = shown.where(F.pmod(F.xxhash64("key"), F.lit(HOT_SAMPLE)) == 0).groupBy("h").agg(F.count(F.lit(1)).alias("rows"))
+    drawn = written(drawn, "ngram-drawn")
+    total = drawn.agg(F.sum("rows")).first()[0] or 0
+    common = F.broadcast(drawn.where((F.col("rows") * HOT_KEYS > total) & (F.col("rows") > 1)).select("h"))
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shown.join(common, "h", "left_anti").select("h", "key", "root").repartition(tasks, "h").sortWithinPartitions("h")
+    foreign = dealt.mapInArrow(_foreign, "key bigint, h bigint, sets int")
+    last = shown.join(common, "h").select("key", "h", F.lit((1 << 31) - 1).alias("sets"))
     # as long as a set
-    rarest = shown.join(foreign, "h").groupBy("key").agg(
-        F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("sets", "h"))).alias("rarest")
-    )
+    rarest = foreign.union(last).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("sets", "h"))).alias("rarest"))
     wanted = _spare(F.col("n")) + 1 - (F.col("n") - F.size("rarest"))
     first = F.transform(F.slice("rarest", F.lit(1), wanted.cast("int")), lambda r: r["h"])
-    return rarest.where(wanted > 0).select("key", "n", "root", first.alias("prefix"))
+    of_set = rooted.select("key", "n", "root", "signature")
+    return rarest.join(of_set, "key").where(wanted > 0).select("key", "n", "root", "signature", first.alias("prefix"))
 
 
-def _all_pairs(sets: DataFrame) -> DataFrame:
+def _all_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of different components that share a tile and pass the bound; large tiles go in blocks.
 
-    A pair comes out once: in the tile of its first common shingle and of the larger band.
+    A pair comes out once: in the tile of its first common shingle and of the larger band. A row of a tile has
+    the shingles before the tile's own, for that.
     """
-    prefixes = written(_prefixes(sets).join(sets.select("key", "signature"), "key"), "ngram-prefixes")
-    tiles = _in_bands(prefixes.select("key", "n", "root", F.explode("prefix").alias("h")))
+    prefixes = written(_prefixes(sets, roots), "ngram-prefixes")
+    tiles = _in_bands(prefixes.select("key", "n", "root", F.posexplode("prefix").alias("place", "h")))
     sizes = tiles.groupBy("h", "band").agg(F.count(F.lit(1)).alias("sets"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
     blocks = tiles.join(sizes.select("h", "band", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")), ["h", "band"]).withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
@@ -341,7 +381,7 @@ def _all_pairs(sets: DataFrame) -> DataFrame:
         blocks.join(prefixes.select("key", "signature", "prefix"), "key")
         .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"low": F.least("block", "to"), "high": F.greatest("block", "to")})
-        .select(*at, "key", "n", "root", "own", "block", "signature", "prefix")
+        .select(*at, "key", "n", "root", "own", "block", "signature", F.slice("prefix", F.lit(1), F.col("place")).alias("before"))
     )
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = sent.repartition(tasks, *at).sortWithinPartitions(*at)
@@ -378,14 +418,14 @@ def _pairs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows.column(c).to_numpy() for c in ("h", "band", "low", "high", "key", "n", "root", "own", "block")
     )
     bits = rows.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE_WORDS)
-    lists = rows.column("prefix").combine_chunks()
+    lists = rows.column("before").combine_chunks()
     flat, cuts = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
-    prefix: dict[int, list[int]] = {}
+    earlier: dict[int, set[int]] = {}
 
-    def first_of(i: int) -> list[int]:
-        if i not in prefix:
-            prefix[i] = flat[cuts[i] : cuts[i + 1]].tolist()
-        return prefix[i]
+    def before(i: int) -> set[int]:
+        if i not in earlier:
+            earlier[i] = set(flat[cuts[i] : cuts[i + 1]].tolist())
+        return earlier[i]
 
     change = np.any([c[1:] != c[:-1] for c in (h, band, low, high)], axis=0)
     begins = np.flatnonzero(np.append(True, change))
@@ -393,7 +433,7 @@ def _pairs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     for begin, end in zip(begins, np.append(begins[1:], len(h)), strict=True):
         if end - begin < 2:
             continue
-        prefix.clear()
+        earlier.clear()
         tile = np.arange(begin, end)
         lower, upper = tile[block[tile] == low[begin]], tile[block[tile] == high[begin]]
         same = low[begin] == high[begin]
@@ -408,12 +448,9 @@ def _pairs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
             others = others[(100 + PERCENT) * np.minimum(mine, theirs) >= PERCENT * (n[i] + n[others])]
             if not len(others):
                 continue
-            here, before = h[begin], set()
-            for x in first_of(i):
-                if x == here:
-                    break
-                before.add(x)
-            found += [(min(key[i], key[j]), max(key[i], key[j])) for j in others.tolist() if before.isdisjoint(first_of(j))]
+            # a shingle that both have before this one is the place of the pair
+            mine = before(i)
+            found += [(min(key[i], key[j]), max(key[i], key[j])) for j in others.tolist() if mine.isdisjoint(before(j))]
     pairs = np.array(found, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "other"])
 
@@ -434,11 +471,9 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sets = written(_sets_of(docs, chosen, words), "ngram-sets")
     links = _linked(_pivot_pairs(sets), sets)
     roots = components(links, "ngram")
-    across = written(_across(sets, roots), "ngram-across")
-    if not across.isEmpty():
-        more = _linked(_all_pairs(across), sets)
-        if not more.isEmpty():
-            roots = components(links.union(more), "ngram")
+    more = _linked(_all_pairs(sets, roots), sets)
+    if not more.isEmpty():
+        roots = components(links.union(more), "ngram")
     smallest = sized.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("own"))
     joined = smallest.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     of_root = joined.groupBy("root").agg(F.min("own").alias("component_id"))

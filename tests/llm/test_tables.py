@@ -6,6 +6,7 @@ from collections import defaultdict
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandlens.llm import ann, exact_topk, html, mixing, ngram_join, sharding, urls
@@ -233,8 +234,32 @@ def near_copies(seed, groups=12, copies=8):
     return texts + [None, "", " \t", "a b", "A  B", "a b c d e", "a b c d e a b c d e"]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_are_exact(spark, seed, monkeypatch):
+@pytest.mark.parametrize("batch,most", [(3, 1000), (5, 4), (50, 2), (1, 3)])
+def test_shingles_of_several_components(monkeypatch, batch, most):
+    """Groups over many batches; those of too many rows count as shared as a whole."""
+    monkeypatch.setattr(ngram_join, "CARRIED", most)
+    rng = random.Random(batch)
+    rows = sorted((h, key, rng.choice([7, key])) for h in range(40) for key in rng.sample(range(100), rng.choice([1, 1, 2, 5, 9])))
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+    parts = [pa.RecordBatch.from_arrays([c[i : i + batch] for c in columns], ["h", "key", "root"]) for i in range(0, len(rows), batch)]
+    got = sorted(zip(*(sum((b.column(c).to_pylist() for b in out), []) for c in ("h", "key", "sets")), strict=True)) if (out := list(ngram_join._foreign(iter(parts)))) else []
+    groups = defaultdict(list)
+    for h, key, root in rows:
+        groups[h].append((key, root))
+    for h, members in groups.items():
+        own = [(k, n) for g, k, n in got if g == h]
+        assert sorted(k for k, _ in own) == (sorted(k for k, _ in members) if own else [])
+        shared = len({r for _, r in members}) > 1
+        if len(members) <= most:
+            assert bool(own) == shared and all(n == len(members) for _, n in own)
+        else:
+            assert len({n for _, n in own}) <= 1 and (own or not shared)
+
+
+@pytest.mark.parametrize("seed,common", [(1, 4096), (2, 4096), (3, 30)])
+def test_components_are_exact(spark, seed, common, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_KEYS", common)
+    monkeypatch.setattr(ngram_join, "HOT_SAMPLE", 16 if common == 4096 else 1)
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     monkeypatch.setattr(ngram_join, "PIVOTS", 1)
     monkeypatch.setattr(ngram_join, "FIRST_SHINGLES", 1)
