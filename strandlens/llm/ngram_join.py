@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlens.llm.common import HOT_KEYS, broadcast_if_small, written
+from strandlens.llm.graph import connected
 from strandlens.llm.words import chained, hashed_words, mixed, slices
 
 WORDS = 5
 PERCENT = 80
 SIGNATURE_WORDS = 16
 WIDE_WORDS = 64
-PIVOTS = 3
+PIVOTS = 2
 FIRST_SHINGLES = 3
 BLOCK = 512
 PAIRS_PER_BATCH = 256
@@ -168,8 +169,10 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
                 )
 
     schema = "key bigint, n bigint, shingles array<bigint>, signature array<bigint>, wide binary"
-    sets = texts.mapInArrow(run, schema).where("n > 0")
-    return sets.join(chosen.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    sets = texts.mapInArrow(run, schema).where("n > 0").join(broadcast_if_small(chosen.select("key")), "key", "left_semi")
+    found = written(sets, "ngram-sets")
+    # ids that occur once, as ids do, give each class once: then no array is moved
+    return found if found.count() == chosen.count() else written(found.dropDuplicates(["key"]), "ngram-sets")
 
 
 def _in_bands(rows: DataFrame) -> DataFrame:
@@ -255,25 +258,21 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
-def components(links: DataFrame, label: str) -> DataFrame:
-    """``key`` and ``root``, the smallest key reachable, for every key with a link.
+def _components(links: DataFrame) -> DataFrame:
+    """``key`` and ``root``, the smallest key reachable, for every key with a link."""
+    return connected(links.select(F.col("key").alias("a"), F.col("other").alias("b")), "ngram").toDF("key", "root")
 
-    Each round takes the smallest root among neighbours and then the root of that root, so paths halve;
-    every round is written to the shared folder.
-    """
-    edges = written(links.union(links.select("other", "key")).distinct(), f"{label}-edges")
-    roots = written(edges.groupBy("key").agg(F.least(F.min("other"), F.col("key")).alias("root")), f"{label}-roots")
-    while True:
-        near = edges.join(roots.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("root").alias("near"))
-        stepped = roots.join(near, "key").select("key", "root", F.least("root", "near").alias("next"))
-        ahead = roots.select(F.col("key").alias("next"), F.col("root").alias("ahead"))
-        moved = written(
-            stepped.join(ahead, "next").select("key", F.least("next", "ahead").alias("root"), (F.least("next", "ahead") < F.col("root")).alias("moved")),
-            f"{label}-roots",
-        )
-        roots = moved.select("key", "root")
-        if moved.where("moved").isEmpty():
-            return roots
+
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` after further links, which join whole components: only these are gone through again."""
+    known = broadcast_if_small(roots)
+    ends = more.join(known, "key", "left").withColumn("a", F.coalesce("root", "key")).drop("root", "key")
+    ends = ends.withColumnRenamed("other", "key").join(known, "key", "left").withColumn("b", F.coalesce("root", "key"))
+    over = connected(written(ends.select("a", "b").where("a <> b").distinct(), "ngram-merges"), "ngram-merged").toDF("root", "top")
+    # a component of one set has no row of its own yet
+    every = roots.union(over.select(F.col("root").alias("key"), "root").join(known.select("key"), "key", "left_anti"))
+    joined = every.join(broadcast_if_small(over), "root", "left")
+    return written(joined.select("key", F.coalesce("top", "root").alias("root")), "ngram-merged")
 
 
 def _pivot_pairs(sets: DataFrame) -> DataFrame:
@@ -294,8 +293,17 @@ def _pivot_pairs(sets: DataFrame) -> DataFrame:
     return written(met.where(fits).select("key", F.col("p.key").alias("other")).distinct(), "ngram-pairs")
 
 
+def _ranked(h: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """Shingles as numbers that put the rarer first: the power of two of their sets, then 58 bits of the hash.
+
+    Two hashes that agree in these bits make a candidate more, none less.
+    """
+    power = np.frexp(sets.astype(np.float64))[1].astype(np.uint64)
+    return ((power << np.uint64(58)) | (h.view(np.uint64) >> np.uint64(6))).view(np.int64)
+
+
 def _foreign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (``h``, ``key``, ``root``, sorted by ``h``) of shingles of more than one component, with the number of sets.
+    """Of rows (``h``, ``key``, ``root``, sorted by ``h``) the shingles of more than one component, ranked.
 
     The last shingle of a batch is carried on. One of more than ``CARRIED`` rows counts as that many, of several components:
     every one of its rows says so.
@@ -304,7 +312,7 @@ def _foreign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     going = None
 
     def out(h: np.ndarray, key: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(sets.astype(np.int32))], ["key", "h", "sets"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(_ranked(h, sets))], ["key", "ranked"])
 
     def closed(h: np.ndarray, key: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
         begins = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -353,12 +361,12 @@ def _prefixes(sets: DataFrame, roots: DataFrame) -> DataFrame:
     common = F.broadcast(drawn.where((F.col("rows") * HOT_KEYS > total) & (F.col("rows") > 1)).select("h"))
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = shown.join(common, "h", "left_anti").select("h", "key", "root").repartition(tasks, "h").sortWithinPartitions("h")
-    foreign = dealt.mapInArrow(_foreign, "key bigint, h bigint, sets int")
-    last = shown.join(common, "h").select("key", "h", F.lit((1 << 31) - 1).alias("sets"))
+    foreign = dealt.mapInArrow(_foreign, "key bigint, ranked bigint")
+    last = shown.join(common, "h").select("key", (F.lit(31 << 58).bitwiseOR(F.shiftrightunsigned("h", 6))).alias("ranked"))
     # as long as a set
-    rarest = foreign.union(last).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("sets", "h"))).alias("rarest"))
+    rarest = foreign.union(last).groupBy("key").agg(F.sort_array(F.collect_list("ranked")).alias("rarest"))
     wanted = _spare(F.col("n")) + 1 - (F.col("n") - F.size("rarest"))
-    first = F.transform(F.slice("rarest", F.lit(1), wanted.cast("int")), lambda r: r["h"])
+    first = F.slice("rarest", F.lit(1), wanted.cast("int"))
     of_set = rooted.select("key", "n", "root", "signature")
     return rarest.join(of_set, "key").where(wanted > 0).select("key", "n", "root", "signature", first.alias("prefix"))
 
@@ -468,12 +476,12 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     sized = written(_sized(docs, words), "ngram-sized")
     chosen = written(_classes_with_partners(sized), "ngram-classes")
-    sets = written(_sets_of(docs, chosen, words), "ngram-sets")
+    sets = _sets_of(docs, chosen, words)
     links = _linked(_pivot_pairs(sets), sets)
-    roots = components(links, "ngram")
+    roots = _components(links)
     more = _linked(_all_pairs(sets, roots), sets)
     if not more.isEmpty():
-        roots = components(links.union(more), "ngram")
+        roots = _merged(roots, more)
     smallest = sized.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("own"))
     joined = smallest.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     of_root = joined.groupBy("root").agg(F.min("own").alias("component_id"))

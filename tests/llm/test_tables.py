@@ -240,20 +240,19 @@ def test_shingles_of_several_components(monkeypatch, batch, most):
     monkeypatch.setattr(ngram_join, "CARRIED", most)
     rng = random.Random(batch)
     rows = sorted((h, key, rng.choice([7, key])) for h in range(40) for key in rng.sample(range(100), rng.choice([1, 1, 2, 5, 9])))
-    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+    columns = [pa.array([x << 6 for x in c] if i == 0 else c, pa.int64()) for i, c in enumerate(zip(*rows, strict=True))]
     parts = [pa.RecordBatch.from_arrays([c[i : i + batch] for c in columns], ["h", "key", "root"]) for i in range(0, len(rows), batch)]
-    got = sorted(zip(*(sum((b.column(c).to_pylist() for b in out), []) for c in ("h", "key", "sets")), strict=True)) if (out := list(ngram_join._foreign(iter(parts)))) else []
+    got = sorted(zip(*(sum((b.column(c).to_pylist() for b in out), []) for c in ("ranked", "key")), strict=True)) if (out := list(ngram_join._foreign(iter(parts)))) else []
     groups = defaultdict(list)
     for h, key, root in rows:
         groups[h].append((key, root))
     for h, members in groups.items():
-        own = [(k, n) for g, k, n in got if g == h]
-        assert sorted(k for k, _ in own) == (sorted(k for k, _ in members) if own else [])
+        own = [(ranked >> 58, k) for ranked, k in got if ranked & (1 << 58) - 1 == h]
+        assert sorted(k for _, k in own) == (sorted(k for k, _ in members) if own else [])
         shared = len({r for _, r in members}) > 1
+        assert len({power for power, _ in own}) <= 1 and (own or not shared)
         if len(members) <= most:
-            assert bool(own) == shared and all(n == len(members) for _, n in own)
-        else:
-            assert len({n for _, n in own}) <= 1 and (own or not shared)
+            assert bool(own) == shared and all(power == len(members).bit_length() for power, _ in own)
 
 
 @pytest.mark.parametrize("seed,common", [(1, 4096), (2, 4096), (3, 30)])
