@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlens.llm.common import HOT_KEYS, broadcast_if_small, written
+from strandlens.llm.common import BROADCAST_MAX_BYTES, HOT_KEYS, broadcast_if_small, written
 from strandlens.llm.graph import connected
 from strandlens.llm.words import chained, hashed_words, mixed, slices
 
@@ -234,7 +234,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = right.select(F.col("key").alias("other"), F.col("shingles").alias("others"))
     # arrays of 8 bytes an element: counted before any broadcast
     bytes_right = right.agg(F.sum(F.size("others") * 8)).first()[0] or 0
-    both = left.join(F.broadcast(right) if bytes_right <= 16 << 20 else right, "other")
+    both = left.join(F.broadcast(right) if bytes_right <= BROADCAST_MAX_BYTES else right, "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
