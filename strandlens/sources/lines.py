@@ -18,7 +18,7 @@ Paths = str | Sequence[str]
 SMALL_FILE = 4 << 20
 """Files of which the header reader reads all bytes."""
 
-FIRST_LINES = 4096
+FIRST_LINES = 8192
 FILES_PER_JOB = 32
 
 LINE_SCHEMA = "file string, line_no bigint, value string"
