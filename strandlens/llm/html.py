@@ -36,6 +36,13 @@ OUTSIDE_UNLESS_TEXT = frozenset("header masthead banner notice notices notificat
 # Lists of links whose texts are shorter than this on average are menus.
 MENU_LINK_CHARS = 16
 TEXT_WORDS = frozenset("article content main body post entry story text page column".split())
+# Words that stand beside those above in names of page parts.
+FURNITURE = frozenset(
+    """area bar bars block bottom box btn button buttons card cards container form inline inner item items js left link links
+    list module panel right row section slot space target thread title top unit wrap wrapper wp""".split()
+)
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 summary legend".split())
 # Which open elements an opening tag ends, and at which element the search for them stops.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -63,13 +70,31 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|
 _WORD = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _COMMA = re.compile("[,،、，]")
+_SENTENCE = re.compile(r"[.!?…。！？](?!\w)")
+_LEGAL = re.compile(r"©|\(c\)\s|copyright|all rights reserved", re.I)
+_DATE = re.compile(
+    r"""\b\d{4}-\d\d?-\d\d?\b | \b\d\d?[./]\d\d?[./]\d{2,4}\b | \b\d+\s(?:second|minute|hour|day|week|month|year)s?\sago\b
+      | \b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}\.?\s\d\d?\b
+      | \b\d\d?\.?\s(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec) | \b(?:today|yesterday)\sat\b""",
+    re.I | re.X,
+)
+_COMMENTS_HEADING = re.compile(
+    r"""\W*(?: \d+\s+(?:reader\s+)?(?:comments?|repl(?:y|ies)|responses?|thoughts?\b.*)
+      | (?:reader\s+)?(?:comments|replies)(?:\W*\d+)? | (?:discussion|responses)\W*\d+
+      | (?:leave|post|add|write)\s+a\s+(?:comment|reply) | join\s+the\s+(?:discussion|conversation) )\W*""",
+    re.I | re.X,
+)
 
 
-SHUT, DOUBTFUL = 1, 2
+SHUT, DOUBTFUL, WEAK = 1, 2, 3
 
 
 def _outside(tag: str, raw: str, in_article: bool) -> int:
-    """Whether an element is no part of an article: ``SHUT`` by name, role or visibility, ``DOUBTFUL`` by class, id or as a form."""
+    """Whether an element is no part of an article.
+
+    ``SHUT`` by name, role or visibility, ``DOUBTFUL`` by class, id or as a form. Paragraphs, and all that stands in an
+    article, are ``DOUBTFUL`` only by a name that says nothing else (``ad-slot``, not ``ad-hoc``), and otherwise ``WEAK``.
+    """
     if tag in DROPPED or (tag == "header" and not in_article):
         return SHUT
     doubt = DOUBTFUL if tag == "form" else 0
@@ -83,17 +108,23 @@ def _outside(tag: str, raw: str, in_article: bool) -> int:
         return SHUT
     if "display:none" in re.sub(r"\s", "", values.get("style", "")).lower():
         return SHUT
-    words = set(_WORD.findall(_CAMEL.sub(" ", f"{values.get('class', '')} {values.get('id', '')}").lower()))
+    given = [set(_WORD.findall(_CAMEL.sub(" ", name).lower())) for name in f"{values.get('class', '')} {values.get('id', '')}".split()]
+    words = set().union(*given)
     if words & OUTSIDE or (words & OUTSIDE_UNLESS_TEXT and not words & TEXT_WORDS):
-        return DOUBTFUL
+        paragraph = tag in PARAGRAPHS and tag not in ("li", "td")
+        if not (paragraph or in_article) or words & READERS and not paragraph:
+            return DOUBTFUL
+        parts = OUTSIDE | OUTSIDE_UNLESS_TEXT
+        alone = any(name & parts and all(w in parts or w in FURNITURE or w.isdigit() for w in name) for name in given)
+        return DOUBTFUL if alone else doubt or WEAK
     return doubt
 
 
 class Tree:
-    """Elements in page order: name, parent, end (first element after it), whether it is shut out, and whether that is in doubt."""
+    """Elements in page order: name, parent, end (first element after it), whether it is shut out, and the kind of doubt."""
 
     def __init__(self, page: str):
-        self.names, self.parents, self.ends, self.out, self.doubt = ["#"], [-1], [0], [False], [False]
+        self.names, self.parents, self.ends, self.out, self.doubt = ["#"], [-1], [0], [False], [0]
         self.texts: list[tuple[int, str]] = []
         """Pieces of text with the element they stand in; ``None`` elements never occur."""
         self._read(page)
@@ -146,7 +177,7 @@ class Tree:
             in_article = bool(counts.get("article") or counts.get("main"))
             outside = _outside(name, token[4] or token[7] or "", in_article)
             out.append(out[parent] or outside == SHUT)
-            self.doubt.append(outside == DOUBTFUL)
+            self.doubt.append(outside if outside in (DOUBTFUL, WEAK) else 0)
             ends.append(node + 1)
             if name in VOID or (token[4] or token[7] or "").endswith("/") and name not in BLOCKS:
                 texts.append((node, " " if name in ("br", "hr") else ""))
@@ -164,11 +195,27 @@ def _left_out(tree: Tree) -> list[bool]:
 
     The article is the ``article`` or ``main`` with most text outside links, if that is more than all text
     outside elements in doubt; on pages without one, whatever holds more than half of the text is spared.
+    Elements in weak doubt go if a third of their text is links or none of it ends a sentence.
     """
-    names, parents, out, doubt = tree.names, tree.parents, tree.out, tree.doubt
+    names, parents, out = tree.names, tree.parents, tree.out
     n = len(names)
-    if not any(doubt):
+    if not any(tree.doubt):
         return out
+    doubt = [d == DOUBTFUL for d in tree.doubt]
+    if WEAK in tree.doubt:
+        linked, chars, said, below = [0] * n, [0] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            below[i] = names[i] == "a" or below[parents[i]]
+        for i, t in tree.texts:
+            if size := 0 if out[i] else len(t.strip()):
+                chars[i] += size
+                linked[i] += size if below[i] else 0
+                said[i] = said[i] or bool(_SENTENCE.search(t))
+        for i in range(n - 1, 0, -1):
+            up = parents[i]
+            chars[up], linked[up], said[up] = chars[up] + chars[i], linked[up] + linked[i], said[up] or said[i]
+        for i in range(1, n):
+            doubt[i] = doubt[i] or tree.doubt[i] == WEAK and (3 * linked[i] >= chars[i] or not said[i])
     in_link, in_doubt, size = [False] * n, [False] * n, [0] * n
     for i in range(1, n):
         in_link[i] = names[i] == "a" or in_link[parents[i]]
@@ -195,12 +242,83 @@ def _left_out(tree: Tree) -> list[bool]:
     return left
 
 
+def _without_comments(tree: Tree, out: list[bool]) -> list[bool]:
+    """``out`` and the comments of readers, found by what they look like; what holds half of the text is never taken for them.
+
+    They are the part under a heading that counts or asks for comments, and two or more like elements in a row that each begin
+    with a short name and a date.
+    """
+    names, parents, ends = tree.names, tree.parents, tree.ends
+    n = len(names)
+    pieces = [(i, t) for i, raw in tree.texts if not out[i] and (t := unescape(raw).strip())]
+    total, first, last = [0] * n, [len(pieces)] * n, [-1] * n
+    for place, (i, t) in enumerate(pieces):
+        total[i] += len(t)
+        first[i], last[i] = min(first[i], place), place
+    for i in range(n - 1, 0, -1):
+        up = parents[i]
+        total[up] += total[i]
+        first[up], last[up] = min(first[up], first[i]), max(last[up], last[i])
+    shut: list[tuple[int, int]] = []
+
+    before = [0]
+    for _, t in pieces:
+        before.append(before[-1] + len(t))
+
+    def signed(i: int) -> bool:
+        """Whether an element begins with a name and a date, and has text after them."""
+        begin = [t for _, t in pieces[first[i] : min(first[i] + 4, last[i] + 1)]]
+        for at, t in enumerate(begin[:3]):
+            if len(t) > 60 or not (dated := _DATE.search(t)):
+                continue
+            rest = t[: dated.start()] + t[dated.end() :]
+            others = [o for o in begin[: at + 2] if o is not t and len(o) <= 40 and len(o.split()) <= 4 and not _SENTENCE.search(o)]
+            named = any(c.isalpha() for c in rest) and not _SENTENCE.search(rest) or bool(others)
+            return named and last[i] - first[i] >= (1 if not others else 2)
+        return False
+
+    for i in range(1, n):
+        if out[i] or not total[i]:
+            continue
+        if names[i] in HEADINGS and total[i] <= 60 and _COMMENTS_HEADING.fullmatch(" ".join(t for _, t in pieces[first[i] : last[i] + 1])):
+            top = i
+            while parents[top] > 0 and total[parents[top]] == total[top]:
+                top = parents[top]
+            part = parents[top]
+            if part > 0 and first[part] == first[top] and 2 * total[part] < total[0]:
+                shut.append((part, ends[part]))
+            elif 2 * (before[last[part] + 1] - before[first[top]]) < total[0]:
+                shut.append((top, ends[part]))
+    seen = [False] * n
+    for i in range(1, n):
+        if seen[i] or out[i] or names[i] not in ("li", "div", "article", "section", "dd", "tr", "blockquote") or not total[i]:
+            continue
+        # like elements in a row, with this one as the first
+        row, j = [i], ends[i]
+        while j < ends[parents[i]]:
+            if total[j] and not out[j]:
+                if names[j] != names[i]:
+                    break
+                row.append(j)
+            j = ends[j]
+        for j in row:
+            seen[j] = True
+        comments = [j for j in row if signed(j)] if len(row) > 1 else []
+        if len(comments) > 1 and 2 * sum(total[j] for j in comments) < total[0]:
+            shut += [(j, ends[j]) for j in comments]
+    if shut:
+        out = out[:]
+        for begin, end in shut:
+            out[begin:end] = [True] * (end - begin)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: white space single, blocks joined by one space."""
     if not page:
         return ""
     tree = Tree(page)
-    text = _article(tree, _left_out(tree))
+    text = _article(tree, _without_comments(tree, _left_out(tree)))
     # nothing left: again with all that was left out by class or id
     return text if text or not any(tree.doubt) else _article(tree, tree.out)
 
@@ -257,21 +375,12 @@ def _article(tree: Tree, out: list[bool]) -> str:
 
     kept = [False] * n
     if best:
-        chosen = [best]
-        floor = best_score * 0.2
-        for i in _children(best and parents[best], ends):
-            if i == best or out[i] or not total[i]:
-                continue
-            good = score[i] >= floor if names[i] in CONTAINERS else False
-            if names[i] in PARAGRAPHS and names[i] not in ("li", "td"):
-                good = density[i] < 0.25 and (total[i] > 80 or not total_link[i])
-            if good:
-                chosen.append(i)
+        chosen = _beside(tree, out, pieces, best, score, total, density, total_link)
     else:
         chosen = [0]
+    chosen = set(chosen)
     for c in chosen:
-        for i in range(c, ends[c]):
-            kept[i] = True
+        kept[c : ends[c]] = [True] * (ends[c] - c)
     for i in range(1, n):
         # lists of nothing but short links inside the article are menus
         menu = names[i] in ("ul", "ol") and i not in chosen and links[i] >= 3 and density[i] > 0.95
@@ -297,6 +406,44 @@ def _article(tree: Tree, out: list[bool]) -> str:
     return " ".join(" ".join(words).split())
 
 
+def _beside(tree, out, pieces, best, score, total, density, total_link) -> list[int]:
+    """The best container, or what holds nothing else, and the parts of the article beside it.
+
+    Beside an ``article`` or ``main``: containers with a fifth of its points. Otherwise also every container with sentences and
+    few links, and on the levels above, up to the body, containers with a fifth of the points again. Paragraphs of text anywhere.
+    """
+    names, parents, ends = tree.names, tree.parents, tree.ends
+    n = len(names)
+    said, legal = [False] * n, [False] * n
+    for i, t in pieces:
+        said[i] = said[i] or bool(_SENTENCE.search(t))
+        legal[i] = legal[i] or bool(_LEGAL.search(t))
+    for i in range(n - 1, 0, -1):
+        said[parents[i]] = said[parents[i]] or said[i]
+        legal[parents[i]] = legal[parents[i]] or legal[i]
+    inner = {"article", "main", "body", "html", "#"}
+    floor = score[best] * 0.2
+    chosen, top, marked, level = [], best, names[best] in ("article", "main"), 0
+    while True:
+        while not marked and names[parents[top]] not in inner and total[parents[top]] == total[top]:
+            top = parents[top]
+        if not level:
+            chosen.append(top)
+        for i in _children(parents[top], ends):
+            if i == top or out[i] or not total[i]:
+                continue
+            good = score[i] >= floor if names[i] in CONTAINERS else False
+            if names[i] in CONTAINERS and not marked and not level:
+                good = good or density[i] < 0.25 and said[i] and not (legal[i] and total[i] < 300)
+            if names[i] in PARAGRAPHS and names[i] not in ("li", "td"):
+                good = density[i] < 0.25 and (total[i] > 80 or not total_link[i])
+            if good:
+                chosen.append(i)
+        if marked or names[parents[top]] in inner:
+            return chosen
+        top, level = parents[top], level + 1
+
+
 def _children(parent: int, ends: list[int]) -> Iterator[int]:
     i = parent + 1
     while i < ends[parent]:
@@ -308,10 +455,12 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     """The main text of every page.
 
     Elements that are never an article (by name, role, visibility) are left out, and those that class or id
-    puts in doubt unless they hold the article or nothing would be left. Each paragraph passes
-    points for its length and commas to the elements above it, less its share of link text; the
-    container with most points after the same discount is kept, with siblings that have a fifth of
-    its points or are paragraphs of text.
+    puts in doubt unless they hold the article or nothing would be left; inside an article a name leaves
+    out only what it names outright, or what is a third links or no sentences. Comments are also known by
+    their heading or by repeated names and dates. Each paragraph passes points for its length and commas
+    to the elements above it, less its share of link text; the container with most points after the same
+    discount is kept, with siblings that have a fifth of its points, have sentences and few links (unless
+    the best is an ``article`` or ``main``), or are paragraphs of text.
 
     Returns ``page_id``, ``url``, ``text`` (empty if there is none) and ``n_chars`` (code points), one row
     per row. Null and empty pages have an empty text; pages cut off anywhere are read as far as they

@@ -455,3 +455,54 @@ def test_pipeline_mix_emits_the_words_of_long_documents(spark):
     for s, t in want.items():
         assert abs(got[s] - t) <= {"a": 30_100}.get(s, 1060), s
     assert mixing.whole_copies([(0, 0, 10, 3)], False) == [(0, 0, 1)]
+
+
+LONG = "<p>Text of some length, here, for all to read, with commas.</p>"
+PLAIN = "Text of some length, here, for all to read, with commas."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><section>{LONG * 4}</section><section><p>Short end.</p></section></div>", f"{' '.join([PLAIN] * 4)} Short end."),
+        (f"<div id=all><div>{LONG * 4}</div><div>Closing line.</div></div>", f"{' '.join([PLAIN] * 4)} Closing line."),
+        (f"<div><div><div>{LONG * 4}</div></div><div><div><p>Second one.</p></div></div></div>", f"{' '.join([PLAIN] * 4)} Second one."),
+        (f"<div><div><div>{LONG * 4}</div><div>A line.</div></div><div>{LONG * 2}</div></div>", f"{' '.join([PLAIN] * 4)} A line. {PLAIN} {PLAIN}"),
+        (f"<div><div>{LONG * 4}</div><div><a href=x>Go on.</a></div><div>No more</div></div>", " ".join([PLAIN] * 4)),
+    ],
+)
+def test_main_text_keeps_short_parts(page, text):
+    assert html.main_text(PAGE % page) == text
+
+
+def test_main_text_keeps_paragraphs_named_like_page_parts():
+    inside = "<p class=tags-explained>What tags are.</p><div class=social-history><p>How people met.</p></div>"
+    assert html.main_text(PAGE % f"<article>{LONG * 3}{inside}</article>") == f"{' '.join([PLAIN] * 3)} What tags are. How people met."
+    parts = "<div class=ad-slot>Buy this.</div><p class=ad>Buy that.</p><div class='social-links-2'><a href=x>Like it.</a></div><div class=share>Tell all</div>"
+    parts += "<section class=post-comments-x><p>Nice, thanks.</p></section>"
+    assert html.main_text(PAGE % f"<article>{LONG * 3}{parts}</article>") == " ".join([PLAIN] * 3)
+
+
+@pytest.mark.parametrize(
+    "comments",
+    [
+        "<section id=discussion><h3>3 replies</h3><div>Well said, I think.</div><div>No, not at all.</div></section>",
+        "<h3>Comments (2)</h3><div>Well said, I think.</div><div>No, not at all.</div>",
+        "<div><div><b>Ann</b> <time>2 hours ago</time><p>Well said, I think.</p></div><div><b>Bob</b> <i>May 3, 2021</i><p>No.</p></div></div>",
+        "<ul><li><span>Ann, 2021-04-05</span><p>Well said.</p></li><li><span>Bob, 2021-04-06</span><p>Not at all.</p></li></ul>",
+    ],
+)
+@pytest.mark.parametrize("shell", ["<article>%s</article>", "<div>%s</div>"])
+def test_main_text_without_comments(comments, shell):
+    assert html.main_text(PAGE % (shell % (LONG * 4 + comments))) == " ".join([PLAIN] * 4)
+
+
+def test_main_text_of_dates_and_discussions():
+    dated = "<h2>Discussion</h2><ul><li>On May 3, 2021 the first results came in.</li><li>On May 4, 2021 all was repeated.</li></ul>"
+    got = html.main_text(PAGE % f"<article>{LONG * 3}{dated}</article>")
+    assert got.endswith("Discussion On May 3, 2021 the first results came in. On May 4, 2021 all was repeated.")
+
+
+def test_main_text_of_very_long_pages():
+    assert html.main_text(PAGE % f"<article>{LONG * 20_000}</article>") == " ".join([PLAIN] * 20_000)
+    assert html.main_text("<div><h3>2 replies</h3>" * 5000 + LONG * 5000).endswith(PLAIN)
