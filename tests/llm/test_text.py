@@ -160,3 +160,97 @@ def test_novel_secrets_of_several_parts_and_on_both_sides():
     assert strings(f"use {before} as the api key") == [before]
     assert strings(f"credential {plain} here") == [plain]
     assert strings("the accessTokenProviderFactoryBuilder of a long_client_secret_name") == []
+
+
+def found_in(text):
+    return [text[b:e] for _, b, e in sorted(secrets.novel_spans(text, secrets.base_spans(text)), key=lambda s: s[1])]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("db credential: Zx9!kQ2#mN7$pL4@vB1^ is set.", ["Zx9!kQ2#mN7$pL4@vB1^"]),
+        ("the secret key is kJ8s7Dh2kLs9QpX.", ["kJ8s7Dh2kLs9QpX"]),
+        ("postgres://user:Qm7Zp4Rt9Kw2@host/db", ["Qm7Zp4Rt9Kw2"]),
+        ("password=abcdef!Zx9#kQ2mN7$", ["abcdef!Zx9#kQ2mN7$"]),
+        ("the signature of internationalisation_of_documentation_pages", []),
+        ("https://user:password@host and https://host:8080/a@b", []),
+        ("the password is something else; a credential: see https://Example.com/Page1", []),
+        ("session id: 2024-01-05, token is Monday1 and secret is Section-4", []),
+    ],
+)
+def test_novel_secrets_of_any_form(text, found):
+    assert found_in(text) == found
+
+
+def test_ordinary_names_are_no_secrets():
+    rng = random.Random(8)
+    parts = "account balance calculation default document element frequency generation history identifier language management".split()
+    parts += "notification observer parameter quantity recognition schedule temperature update verification warning expression".split()
+    names = [s.join(rng.sample(parts, rng.randint(2, 4))) for s in "_-" for _ in range(200)]
+    names += ["".join(w.capitalize() for w in rng.sample(parts, 3)) for _ in range(200)]
+    page = " ".join(f"The signature of {n} needs a token for {m} here." for n, m in zip(names, names[1:], strict=False))
+    assert found_in(page) == []
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(rng.randint(16, 60))) for _ in range(200)]
+    assert sum(found_in(f"use the bearer {k} for it") == [k] for k in keys) >= 198
+
+
+def plain_base(text):
+    """The fixed patterns, scanned by hand from every place."""
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, chars):
+        while at < len(text) and text[at] in chars:
+            at += 1
+        return at
+
+    def assign(at):
+        ends = []
+        for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if text[at : at + len(name)].translate(LOWER) == name:
+                i = at + len(name)
+                i += text[i : i + 1] in ("'", '"')
+                i = run(i, " ")
+                if text[i : i + 1] in (":", "="):
+                    i = run(i + 1, " ")
+                    i += text[i : i + 1] in ("'", '"')
+                    if run(i, key) > i:
+                        ends.append((run(i, key), run(i, key) - i))
+        return ends[0] if ends else None
+
+    def access(at):
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        return (end, end - at - 14) if text.startswith("AKIA", at) and end > at + 4 else None
+
+    def hexes(at):
+        end = run(at, set("0123456789abcdef"))
+        return (end, end - at - 18) if end > at else None
+
+    found = []
+    for place, (kind, match) in enumerate((("assign", assign), ("access", access), ("hex", hexes))):
+        at = 0
+        while at < len(text):
+            if (hit := match(at)) is None:
+                at += 1
+                continue
+            if hit[1] >= 6:
+                found.append((at, place, kind, hit[0]))
+            at = hit[0]
+    return [(kind, b, e) for b, _, kind, e in sorted(found)]
+
+
+def test_secret_base_spans_are_as_by_hand():
+    rng = random.Random(11)
+    pieces = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "API", "_key", '"', "'", " ", "  ", ":", "=", "AKIA", "AKIA" + "Z9" * 8]
+    pieces += ["0123456789abcdef", "deadbeef", "x/y+z_1", "é", "\n", "ſecret", "toKen", "abcdef", "A1", "."]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        assert secrets.base_spans(text) == plain_base(text), text
+
+
+def test_secrets_in_very_long_texts():
+    key = "kJ8s7Dh2kLs9QpXz4Vb1"
+    for filler in ("plain words of a text ", "a", "://", "token ", "0123456789abcdef" * 4 + " "):
+        text = filler * (400_000 // len(filler)) + f" the bearer {key}"
+        assert found_in(text)[-1:] == [key]
