@@ -75,19 +75,29 @@ def _against(file: DataFrame, query_blocks: DataFrame, blocks: int, bytes_querie
     return sent.join(F.broadcast(query_blocks) if bytes_queries <= 32 << 20 else query_blocks, "block")
 
 
-def _bounds(batch: pa.RecordBatch, i: int, low: np.ndarray, step: np.ndarray, width: int):
+def _slack(low: np.ndarray, high: np.ndarray, query_low: np.ndarray, query_high: np.ndarray) -> float:
+    """What bounds in double precision may be off: nothing while all sums stay below 2^53. Products that a long may not hold are refused."""
+    rows = [max(-int(a), int(b)) for a, b in zip(low, high, strict=True)]
+    asked = [max(-int(a), int(b)) for a, b in zip(query_low, query_high, strict=True)]
+    largest = sum(r * q for r, q in zip(rows, asked, strict=True))
+    if largest >= 1 << 62 or max(rows) >= 1 << 61:
+        raise ValueError("Components are too large: a whole-number product may reach 2^62")
+    return 0.0 if largest < 1 << 53 else float(largest) * (len(rows) + 8) * 2.0**-51 + 1
+
+
+def _bounds(batch: pa.RecordBatch, i: int, low: np.ndarray, step: np.ndarray, width: int, slack: float):
     """Ids, and lower and upper bounds of all products of a row block with a query block."""
     ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
     cells = np.frombuffer(batch.column("cells")[i].as_py(), np.uint8).reshape(-1, width).astype(np.float64)
     query_ids = np.frombuffer(batch.column("query_ids")[i].as_py(), np.int64)
     q = np.frombuffer(batch.column("query_vectors")[i].as_py(), np.int64).reshape(-1, width).astype(np.float64)
-    # whole numbers below 2^53, so sums are exact in double precision
+    # whole numbers; where sums may pass 2^53, the bounds are widened by what double precision can lose
     bottom = cells * step + low
     positive, negative = np.maximum(q, 0), np.minimum(q, 0)
     base = q @ bottom.T
     spread = (step - 1).astype(np.float64)
-    least = base + (negative @ spread)[:, None]
-    most = base + (positive @ spread)[:, None]
+    least = base + (negative @ spread)[:, None] - slack
+    most = base + (positive @ spread)[:, None] + slack
     itself = query_ids[:, None] == ids[None, :]
     return ids, query_ids, np.where(itself, -np.inf, least), np.where(itself, -np.inf, most)
 
@@ -102,8 +112,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     read in the order of the bounds until no unread bound can reach the k-th result.
 
     Returns ``query_id``, ``rank`` (from 1; ties by smaller id), ``vec_id`` and ``score``. Fewer rows than ``k``
-    give fewer results; empty inputs give none; shorter vectors count as filled with zeros. Products
-    must stay below 2^53.
+    give fewer results; empty inputs give none; shorter vectors count as filled with zeros. Where sums can
+    pass 2^53 the bounds are widened, so results stay exact; tables whose products may reach 2^62 are refused.
     """
     spark = vectors.sparkSession
     same = Window.partitionBy("v").orderBy("id")
@@ -118,6 +128,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return empty
     width = max(width, most_wide)
     low, high = _ranges(rows, width)
+    slack = _slack(low, high, *_ranges(asked, width))
     step = np.maximum((high - low) // (1 << CELL_BITS) + 1, 1)
     file = written(_approximations(rows, low, step, width), "va-file")
     blocks = -(-n_queries // QUERY_BLOCK)
@@ -126,7 +137,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def best_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, query_ids, least, _ = _bounds(batch, i, low, step, width)
+                ids, query_ids, least, _ = _bounds(batch, i, low, step, width, slack)
                 top = min(k, len(ids))
                 best = -np.partition(-least, top - 1, axis=1)[:, :top]
                 keep = np.isfinite(best)
@@ -146,7 +157,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, query_ids, _, most = _bounds(batch, i, low, step, width)
+                ids, query_ids, _, most = _bounds(batch, i, low, step, width, slack)
                 floor = np.frombuffer(batch.column("floor")[i].as_py(), np.int64)
                 q, r = np.nonzero(np.isfinite(most) & (most >= floor[:, None]))
                 yield pa.RecordBatch.from_arrays(

@@ -307,6 +307,28 @@ def test_exact_top_k(spark, monkeypatch):
     assert exact_topk.search_scaled(few, 5, few["vec_id"] == 0).count() == 2
 
 
+def test_exact_top_k_beyond_doubles(spark):
+    rng = np.random.default_rng(5)
+    # large components that differ in the last places only, so that products in double precision would tie
+    x = (1_000_000 + rng.integers(-3, 4, (300, 8)) / 256).astype(np.float64) * rng.choice([-1, 1], (1, 8))
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in exact_topk.search_scaled(table, 5, table["vec_id"] % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = [[int(v) for v in r] for r in np.floor(256 * x)]
+    assert sorted(got) == list(range(0, 300, 50))
+    for q, found in got.items():
+        scores = sorted((-sum(a * b for a, b in zip(r, whole[q], strict=True)), i) for i, r in enumerate(whole) if i != q)
+        assert found == [(i, -s) for s, i in scores[:5]]
+
+
+@pytest.mark.parametrize("large", [1e30, 1e7])
+def test_exact_top_k_refuses_products_beyond_longs(spark, large):
+    table = spark.createDataFrame([(i, [float(i), large if i == 7 else 1.0]) for i in range(30)], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="too large"):
+        exact_topk.search_scaled(table, 3, table["vec_id"] % 7 == 0).collect()
+
+
 def test_neighbour_search_recall(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((30, 8))
