@@ -43,7 +43,9 @@ HOT_SAMPLE = 16
 # Sets of up to this size show all shingles; the judged ones are so small that their partners do, too.
 SHOWN_WHOLE = 160
 JUDGED_WHOLE = 128
-_SAMPLE = np.uint64(int(0.3 * 2**64))
+SHORT_BITS = 48
+"""Where shingles are only counted, this much of a hash goes through the shuffle: two that agree count as shared, which loses no link."""
+_SAMPLE = int(0.3 * 2**SHORT_BITS)
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -90,37 +92,51 @@ def _lists(values: np.ndarray, begins: np.ndarray) -> pa.Array:
 
 
 def _sized(docs: DataFrame, words: int) -> DataFrame:
-    """For each document its class, its number of shingles, and what the class shows of them.
-
-    ``shown`` is null where the task has met the class before, so that copies do not repeat it.
-    """
+    """For each document its class and its number of shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
         for batch in batches:
             for part in slices(batch):
                 hashes, begins = shingle_sets(part.column("text"), words)
                 keys, sizes = set_keys(hashes, begins).view(np.int64), np.diff(begins)
-                first = np.zeros(len(keys), bool)
-                for i, k in enumerate(keys.tolist()):
-                    if sizes[i] and k not in met:
-                        met.add(k)
-                        first[i] = True
-                show = np.repeat(first, sizes) & ((hashes < _SAMPLE) | np.repeat(sizes <= SHOWN_WHOLE, sizes))
-                at = np.concatenate(([0], np.cumsum(show)))[begins]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         part.column("text_hash"),
                         pa.array(keys, mask=sizes == 0),
                         pa.array(sizes.astype(np.int64)),
-                        _lists(hashes[show].view(np.int64), at),
                     ],
-                    ["doc_id", "text_hash", "key", "n_shingles", "shown"],
+                    ["doc_id", "text_hash", "key", "n_shingles"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash bigint, key bigint, n_shingles bigint, shown array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash bigint, key bigint, n_shingles bigint")
+
+
+def _shown(docs: DataFrame, words: int) -> DataFrame:
+    """``key`` and the shortened hashes ``shown`` of each class, which a task gives once for all copies that it meets.
+
+    Texts are hashed a second time for this, so that these hashes, most of what is shuffled, are not also written.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            for part in slices(batch):
+                hashes, begins = shingle_sets(part.column("text"), words)
+                keys, sizes = set_keys(hashes, begins).view(np.int64), np.diff(begins)
+                first = np.zeros(len(keys), bool)
+                for i, k in enumerate(keys.tolist()):
+                    if sizes[i] and k not in met:
+                        met.add(k)
+                        first[i] = True
+                short = hashes >> np.uint64(64 - SHORT_BITS)
+                show = np.repeat(first, sizes) & ((short < _SAMPLE) | np.repeat(sizes <= SHOWN_WHOLE, sizes))
+                at = np.concatenate(([0], np.cumsum(show)))[begins]
+                rows = [pa.array(keys), _lists(short[show].view(np.int64), at)]
+                yield pa.RecordBatch.from_arrays(rows, ["key", "shown"]).filter(pa.array(first))
+
+    return docs.select("text").mapInArrow(run, "key bigint, shown array<bigint>")
 
 
 def _spare(n: Column) -> Column:
@@ -128,21 +144,16 @@ def _spare(n: Column) -> Column:
     return F.floor(n * (100 - PERCENT) / 100)
 
 
-def _sampled(h: Column) -> Column:
-    """Whether a hash is among the smallest three tenths in unsigned order, where non-negative ones come first."""
-    return (h >= 0) & (h < F.lit(int(_SAMPLE)))
-
-
-def _classes_with_partners(sized: DataFrame) -> DataFrame:
+def _classes_with_partners(sized: DataFrame, shown: DataFrame) -> DataFrame:
     """Classes of which enough shingles occur in others: ``key``, ``doc_id`` (the smallest) and ``n``."""
     classes = sized.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    shown = sized.where(F.size("shown") > 0).select("key", F.explode("shown").alias("h"))
     alone = (
-        shown.groupBy("h")
+        shown.select("key", F.explode("shown").alias("h"))
+        .groupBy("h")
         .agg(F.min("key").alias("key"), F.max("key").alias("last"))
         .where("key = last")
         .groupBy("key")
-        .agg(F.count_if(_sampled(F.col("h"))).alias("alone_sampled"), F.count(F.lit(1)).alias("alone"))
+        .agg(F.count_if(F.col("h") < _SAMPLE).alias("alone_sampled"), F.count(F.lit(1)).alias("alone"))
     )
     judged = F.coalesce(F.when(F.col("n") <= JUDGED_WHOLE, F.col("alone")).otherwise(F.col("alone_sampled")), F.lit(0))
     return classes.join(alone, "key", "left").where(judged <= _spare(F.col("n"))).drop("alone", "alone_sampled")
@@ -355,6 +366,7 @@ def _prefixes(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """
     rooted = sets.join(broadcast_if_small(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
     shown = rooted.select("key", "root", F.explode("shingles").alias("h"))
+    shown = shown.withColumn("h", F.col("h").bitwiseAND(F.lit(-1 << 64 - SHORT_BITS)))
     drawn = shown.where(F.pmod(F.xxhash64("key"), F.lit(HOT_SAMPLE)) == 0).groupBy("h").agg(F.count(F.lit(1)).alias("rows"))
     drawn = written(drawn, "ngram-drawn")
     total = drawn.agg(F.sum("rows")).first()[0] or 0
@@ -379,7 +391,9 @@ def _all_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """
     prefixes = written(_prefixes(sets, roots), "ngram-prefixes")
     tiles = _in_bands(prefixes.select("key", "n", "root", F.posexplode("prefix").alias("place", "h")))
-    sizes = tiles.groupBy("h", "band").agg(F.count(F.lit(1)).alias("sets"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    # a tile without a set of its own band holds only pairs that come out in the tile of their band
+    seen = F.count(F.lit(1)).alias("sets"), F.min("root").alias("a"), F.max("root").alias("b"), F.max("own").alias("top")
+    sizes = tiles.groupBy("h", "band").agg(*seen).where("a < b AND top = band")
     blocks = tiles.join(sizes.select("h", "band", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")), ["h", "band"]).withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     )
@@ -475,7 +489,7 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     sized = written(_sized(docs, words), "ngram-sized")
-    chosen = written(_classes_with_partners(sized), "ngram-classes")
+    chosen = written(_classes_with_partners(sized, _shown(docs, words)), "ngram-classes")
     sets = _sets_of(docs, chosen, words)
     links = _linked(_pivot_pairs(sets), sets)
     roots = _components(links)
