@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlens.functions.regions import region_name
@@ -123,6 +123,113 @@ def overlap_join(
     )
 
 
+def _running_totals(left: DataFrame, points: DataFrame, on: list[str], tile: int) -> DataFrame:
+    """``(*on, pos, started, ended, bases)`` at each point: intervals that start before it, that end at or before it, and their bases before it.
+
+    Borders are summed per position first. Running totals are then taken inside tiles, and over the sums of tiles, of which there
+    is one row for every ``tile`` bases at most, however many intervals there are.
+    """
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    backwards = F.raise_error(F.lit("an interval ends before it starts")).cast("bigint")
+    end = F.when(F.col("end") >= F.col("start"), F.col("end").cast("bigint")).otherwise(backwards)
+    borders = left.where(F.col("start").isNotNull() & F.col("end").isNotNull()).select(
+        *on,
+        F.inline(
+            F.array(
+                F.struct(F.col("start").cast("bigint").alias("pos"), one.alias("up"), zero.alias("down")),
+                F.struct(end.alias("pos"), zero.alias("up"), one.alias("down")),
+            )
+        ),
+        F.lit(False).alias("_asked"),
+    )
+    asked = points.select(*on, "pos", zero.alias("up"), zero.alias("down"), F.lit(True).alias("_asked"))
+    rows = (
+        borders.unionByName(asked)
+        .groupBy(*on, "pos")
+        .agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.max("_asked").alias("_asked"))
+        .withColumn("_tile", F.floor(F.col("pos") / tile).cast("bigint"))
+        .withColumn("_off", F.col("pos") - F.col("_tile") * tile)
+    )
+
+    def sum_over(window, value) -> Column:
+        return F.coalesce(F.sum(value).over(window), zero)
+
+    earlier = (Window.unboundedPreceding, -1)
+    tiles = rows.groupBy(*on, "_tile").agg(
+        F.sum("up").alias("t_up"), F.sum("down").alias("t_down"), F.sum((F.col("up") - F.col("down")) * F.col("_off")).alias("t_off")
+    )
+    along = Window.partitionBy(*on).orderBy("_tile")
+    tiles = tiles.select(
+        *on,
+        "_tile",
+        "t_up",
+        "t_down",
+        "t_off",
+        sum_over(along.rowsBetween(*earlier), "t_up").alias("up_before"),
+        sum_over(along.rowsBetween(*earlier), "t_down").alias("down_before"),
+        ((F.lead("_tile").over(along) - F.col("_tile")) * tile).alias("_gap"),
+    )
+    # bases between the first position of this tile and that of the next one in use
+    open_after = F.col("up_before") + F.col("t_up") - F.col("down_before") - F.col("t_down")
+    tiles = tiles.withColumn("_step", open_after * F.col("_gap") - F.col("t_off")).select(
+        *on, "_tile", "up_before", "down_before", sum_over(along.rowsBetween(*earlier), "_step").alias("bases_before")
+    )
+    inside = Window.partitionBy(*on, "_tile").orderBy("pos")
+    until = inside.rowsBetween(Window.unboundedPreceding, 0)
+    offs = (F.col("up") - F.col("down")) * F.col("_off")
+    rows = rows.select(
+        *on,
+        "_tile",
+        "pos",
+        "_asked",
+        "_off",
+        sum_over(inside.rowsBetween(*earlier), "up").alias("_up"),
+        sum_over(until, "down").alias("_down"),
+        sum_over(until, F.col("up") - F.col("down")).alias("_open"),
+        sum_over(until, offs).alias("_offs"),
+    )
+    open_here = F.col("up_before") - F.col("down_before") + F.col("_open")
+    return rows.where("_asked").join(tiles, [*on, "_tile"]).select(
+        *on,
+        "pos",
+        (F.col("up_before") + F.col("_up")).alias("started"),
+        (F.col("down_before") + F.col("_down")).alias("ended"),
+        (F.col("bases_before") + open_here * F.col("_off") - F.col("_offs")).alias("bases"),
+    )
+
+
+def overlap_sums(left: DataFrame, right: DataFrame, on: Sequence[str] = ("contig",), tile: int = TILE, bin_size: int = BIN) -> DataFrame:
+    """The right intervals that any left one overlaps, with ``overlaps``, their number, and ``bases``, the sum of overlapped bases.
+
+    As ``overlap_join`` and a sum over its pairs would give, but no pair is formed: both numbers are differences of running totals at the
+    ends of a right interval, so the work grows with the intervals of both sides, however many overlap each other. No left interval
+    may end before it starts. Right ones that hold no base are taken through ``overlap_join``.
+    """
+    on = list(on)
+    named = right.withColumnsRenamed({"start": "r_start", "end": "r_end"})
+    for c in ("r_start", "r_end"):
+        named = named.withColumn(c, F.col(c).cast("bigint"))
+    wide = named.where(F.col("r_start") < F.col("r_end"))
+    totals = _running_totals(left, wide.select(*on, F.explode(F.array("r_start", "r_end")).alias("pos")).distinct(), on, tile)
+    first = totals.select(*on, F.col("pos").alias("r_start"), "ended", F.col("bases").alias("_bases"))
+    last = totals.select(*on, F.col("pos").alias("r_end"), "started", "bases")
+    sums = (
+        wide.join(first, [*on, "r_start"])
+        .join(last, [*on, "r_end"])
+        .select(*named.columns, (F.col("started") - F.col("ended")).alias("overlaps"), (F.col("bases") - F.col("_bases")).alias("bases"))
+        .where(F.col("overlaps") > 0)
+    )
+    bare = named.where(F.col("r_start") >= F.col("r_end"))
+    if not bare.isEmpty():
+        copies = left.groupBy(*on, "start", "end").agg(F.count("*").alias("_n"))
+        spans = bare.select(*on, F.col("r_start").alias("start"), F.col("r_end").alias("end")).distinct()
+        shared = F.least("end", "r_end") - F.greatest("start", "r_start")
+        keys = [*on, "r_start", "r_end"]
+        found = overlap_join(copies, spans, on, bin_size).groupBy(*keys).agg(F.sum("_n").alias("overlaps"), F.sum(F.col("_n") * shared).alias("bases"))
+        sums = sums.unionByName(bare.join(found, keys))
+    return sums.withColumnsRenamed({"r_start": "start", "r_end": "end"})
+
+
 def region_tiles(regions: DataFrame, tile: int = TILE) -> DataFrame | None:
     """``(contig, tile)`` touched by any region, to prune a sweep by broadcast.
 

@@ -209,6 +209,35 @@ def test_overlaps_of_any_length(spark, monkeypatch, rows, salts, count):
     assert sorted((r.i, r.j) for r in pairs.collect()) == want
     assert ov.overlap_join(left, right.limit(0), bin_size=16).isEmpty() and ov.overlap_join(left.limit(0), right, bin_size=16).isEmpty()
 
+@pytest.mark.parametrize("tile", [4, 64, 1 << 16])
+def test_overlap_sums_are_those_of_all_pairs(spark, tile):
+    rng = random.Random(tile)
+    a = [(c, s, max(s, e)) for c, s, e, _ in random_intervals(rng, 300, 60)] + [("c1", 5, 5), ("c1", 9, 9), (None, 1, 9), ("c2", None, 4)]
+    b = random_intervals(rng, 200, 400) + [("c1", 5, 5, -1), ("c1", 9, 2, -2), ("c1", 9, 2, -3), (None, 0, 99, -4), ("c2", 0, None, -5)]
+    left = spark.createDataFrame(a * 3, "contig string, start bigint, end bigint").repartition(3)
+    right = spark.createDataFrame(b, "contig string, start bigint, end bigint, j bigint")
+    whole = [(*x, *y) for x in a * 3 for y in b if None not in (*x, *y) and x[0] == y[0]]
+    want = {}
+    for _, s, e, _, s2, e2, j in whole:
+        if s < e2 and s2 < e:
+            n, bases = want.get(j, (0, 0))
+            want[j] = n + 1, bases + min(e, e2) - max(s, s2)
+    got = {r.j: (r.overlaps, r.bases) for r in ov.overlap_sums(left, right, tile=tile, bin_size=16).collect()}
+    assert got == want
+    with pytest.raises(Exception, match="ends before it starts"):
+        ov.overlap_sums(spark.createDataFrame([("c1", 9, 2)], left.schema), right).collect()
+
+
+def test_sums_by_region_form_no_pairs(spark, monkeypatch):
+    """Blocks and regions pile up on the same few bases as tables grow, so their pairs grow with the product."""
+    from workload.edges import _sums_by_line
+
+    monkeypatch.setattr(ov, "overlap_join", None)
+    blocks = spark.range(20_000).selectExpr("'c1' contig", "id % 7 start", "id % 7 + 50 end")
+    regions = spark.range(20_000).selectExpr("'c1' contig", "id line_no", "id % 5 + 10 start", "id % 5 + 20 end")
+    sums = _sums_by_line(blocks, regions).agg(F.count("*"), F.sum("blocks"), F.sum("bases")).first()
+    assert tuple(sums) == (20_000, 20_000**2, 10 * 20_000**2)
+
 
 def test_a_long_region_is_one_row(spark):
     """A region of 250 million bases is filed once; an interval looks at the levels in use only."""
