@@ -235,3 +235,14 @@ def test_features_at_any_depth(spark):
         genes.gene_descendants(features([*rows, ("part", "T1", "E4")]), "G1", max_depth=8)
     with pytest.raises(ValueError, match="deep"):
         genes.gene_descendants(features(rows), "G1", max_depth=3)
+
+
+def test_equal_depth_rows_of_several_files_count_once(spark, tmp_path):
+    """Two lines give the same region and depth from 327,600 lines apart on, and then mostly come from different files."""
+    from workload.files import region_depth_ingest
+
+    rows = [(1 + 327_600 * i, f"n{i}", 7) for i in range(4)] + [(2, "other", 9)]
+    parts = spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_size int").repartition(5, "p_name")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted((r.line_no, r.region_name) for r in region_depth_ingest(spark, str(tmp_path)).collect())
+    assert got == [(1, "n3"), (2, "other"), *((1 + 327_600 * i, "n3") for i in (1, 2, 3))]

@@ -481,7 +481,8 @@ def region_depth_ingest(spark, sf):
     regions = views.regions(spark, sf)
     text = regions.select(lines("contig, start, end, CASE WHEN line_no % 2 = 0 THEN concat('r', line_no) END, line_no % 91"))
     back = reports.ingest_region_depth(spark, write_lines(text, "regiondepth"))
-    named = attach_region_names(back, regions)
+    # equal rows may lie in several files
+    named = attach_region_names(back.drop("file"), regions)
     lines_of = regions.select("contig", "start", "end", "line_no", (F.col("line_no") % 91).cast("double").alias("mean_depth"))
     return named.distinct().join(lines_of, ["contig", "start", "end", "mean_depth"]).select(
         "contig", "start", "end", "mean_depth", "region_name", "line_no"
