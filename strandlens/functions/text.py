@@ -59,16 +59,26 @@ def tag_map(items: Column) -> Column:
     )
 
 
-def angle_map(value: Column) -> Column:
-    """``<k=v,k="a,b">`` to a map; commas inside quotes do not cut, outer quotes are dropped."""
+def _angle_items(value: Column) -> Column:
     body = F.regexp_replace(value, r"^<(.*)>$", "$1")
     quoted = F.regexp_extract_all(body, F.lit(r'((?:\\"|"(?:\\"|[^"])*"|[^,"])+)'), 1)
     # without a quote, as in most lines on contigs, every comma cuts
     cut = F.when(F.contains(body, F.lit('"')), quoted).otherwise(F.split(body, ","))
-    items = F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def has_angle_value(value: Column, key: str) -> Column:
+    """Whether ``angle_map`` would give ``key`` a value that is not empty, without building the map."""
+    named = F.filter(_angle_items(value), lambda x: (x == key) | F.startswith(x, F.lit(f"{key}=")))
+    last = F.try_element_at(named, F.lit(-1))
+    return F.coalesce(F.regexp_replace(F.substring(last, len(key) + 2, 1 << 30), r'^"+|"+$', "") != "", F.lit(False))
+
+
+def angle_map(value: Column) -> Column:
+    """``<k=v,k="a,b">`` to a map; commas inside quotes do not cut, outer quotes are dropped."""
     return map_last_wins(
         F.transform(
-            items,
+            _angle_items(value),
             lambda x: F.when(
                 F.contains(x, F.lit("=")),
                 F.struct(

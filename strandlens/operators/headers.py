@@ -70,6 +70,23 @@ def vcf_header_catalog(lines: DataFrame) -> DataFrame:
     return _catalog(lines, parts, "vcf")
 
 
+def vcf_header_sizes(lines: DataFrame) -> DataFrame:
+    """``(file, references, samples, first_sample)``: how long the lists of ``vcf_header_catalog`` would be, without collecting them.
+
+    For headers too long to be one row: counts are added up by all tasks, and records are not taken apart.
+    """
+    zero = F.lit(0).cast("bigint")
+    references = src.vcf_references(lines).select("file", F.lit(1).cast("bigint").alias("reference"))
+    samples = src.vcf_samples(lines).select("file", F.struct("position", "name").alias("sample"))
+    # a file whose header has neither is still one row
+    rows = lines.select("file").unionByName(references, allowMissingColumns=True).unionByName(samples, allowMissingColumns=True)
+    return rows.groupBy("file").agg(
+        F.coalesce(F.sum("reference"), zero).alias("references"),
+        F.count("sample").cast("int").alias("samples"),
+        F.min("sample")["name"].alias("first_sample"),
+    )
+
+
 def _catalog(lines: DataFrame, parts: list[DataFrame], fmt: str) -> DataFrame:
     """All records of all kinds grouped by file once; a line is parsed for its own kind alone."""
     rows = _items(lines, "raw", "line_no", F.col("value"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlens.functions.text import angle_map, columns_of, strip, tag_map
+from strandlens.functions.text import angle_map, columns_of, has_angle_value, strip, tag_map
 from strandlens.sources.lines import Paths, read_heads
 
 # Known tags by record type and the field each one fills.
@@ -146,8 +146,9 @@ def vcf_references(lines: DataFrame) -> DataFrame:
     def either(*keys: str) -> Column:
         return F.coalesce(*[_filled(a[k]) for k in keys])
 
-    items = _vcf_items(lines).where(F.upper("key") == "CONTIG").select("file", "line_no", angle_map(F.col("v")).alias("a"))
-    return items.where(F.coalesce(a["ID"], F.lit("")) != "").select(
+    named = _vcf_items(lines).where((F.upper("key") == "CONTIG") & has_angle_value(F.col("v"), "ID"))
+    items = named.select("file", "line_no", angle_map(F.col("v")).alias("a"))
+    return items.select(
         "file",
         "line_no",
         a["ID"].alias("name"),

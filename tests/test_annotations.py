@@ -5,6 +5,7 @@ from strandlens.functions import regions as rg
 from strandlens.functions import text as tx
 from strandlens.functions import variants as vf
 from strandlens.operators import genes
+from strandlens.operators import headers as hd
 from strandlens.operators import intervals as iv
 from strandlens.operators import variants as vr
 from strandlens.plans.reports import target_regions, variant_report
@@ -246,3 +247,29 @@ def test_equal_depth_rows_of_several_files_count_once(spark, tmp_path):
     parts.write.parquet(str(tmp_path / "part.parquet"))
     got = sorted((r.line_no, r.region_name) for r in region_depth_ingest(spark, str(tmp_path)).collect())
     assert got == [(1, "n3"), (2, "other"), *((1 + 327_600 * i, "n3") for i in (1, 2, 3))]
+
+
+ODD_CONTIGS = [
+    "<ID=c1,length=5>", "<ID=,length=5>", "<ID=a,ID=>", "<ID=,ID=b>", '<ID="c,d",length=1>', '<ID="">', "<ID>", "<length=3>", "< ID=c2 >",
+    "<ID =c3>", "ID=c4", "<IDX=c5>", '<note="ID=c6">', '<note="x,ID=c7",ID=c8>', "<>", "<ID=c9=2>", "<id=c10>",
+]
+
+
+def test_sizes_of_a_header_are_those_of_its_catalog(spark):
+    rows = [("f", i, f"##{'contig' if i % 2 else 'CONTIG'}={v}") for i, v in enumerate(ODD_CONTIGS, 1)]
+    rows += [("f", 99, "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts9\ts1"), ("bare", 1, "##fileformat=VCFv4.3")]
+    lines = spark.createDataFrame(rows, "file string, line_no bigint, value string")
+    whole = {r.file: (len(r.references), len(r.samples), r.samples[0].name if r.samples else None) for r in hd.vcf_header_catalog(lines).collect()}
+    sizes = hd.vcf_header_sizes(lines)
+    assert {r.file: (r.references, r.samples, r.first_sample) for r in sizes.collect()} == whole
+    assert whole["f"][0] > 5 and whole["f"][1:] == (2, "s9") and whole["bare"] == (0, 0, None)
+    named = spark.createDataFrame([(v,) for v in ODD_CONTIGS], "v string")
+    got = named.select(tx.has_angle_value(F.col("v"), "ID"), F.coalesce(tx.angle_map(F.col("v"))["ID"] != "", F.lit(False))).collect()
+    assert [a for a, _ in got] == [b for _, b in got]
+
+
+def test_a_long_header_is_counted_without_one_row_of_it(spark, capsys):
+    from workload.edges import vcf_header_long
+
+    vcf_header_long(spark, "/root/testdata/sf0.001").explain()
+    assert "collect_list" not in capsys.readouterr().out
