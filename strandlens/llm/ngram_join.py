@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlens.llm.common import BROADCAST_MAX_BYTES, HOT_KEYS, broadcast_if_small, written
+from strandlens.llm.common import BROADCAST_MAX_BYTES, HOT_KEYS, batches_of, broadcast_if_small, written
 from strandlens.llm.graph import connected
 from strandlens.llm.words import chained, hashed_words, mixed, slices
 
@@ -36,6 +36,8 @@ PIVOTS = 2
 FIRST_SHINGLES = 3
 BLOCK = 512
 PAIRS_PER_BATCH = 256
+ROWS_PER_BATCH = 2000
+"""Rows that go to Python at once: whole texts, or signatures with prefixes as long as a fifth of a set."""
 CARRIED = 100_000
 HOT_SAMPLE = 16
 """One of so many sets is looked at for very common shingles; which they are changes the work, not the links."""
@@ -166,7 +168,7 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2 << 20):
+            for part in slices(batch):
                 hashes, begins = shingle_sets(part.column("text"), words)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -259,14 +261,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good[i] = 100 * common >= PERCENT * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("other")], ["key", "other"]).filter(pa.array(good))
 
-    conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, PAIRS_PER_BATCH)
-    try:
+    with batches_of(pairs.sparkSession, PAIRS_PER_BATCH):
         found = both.select("key", "other", "shingles", "others").mapInArrow(run, "key bigint, other bigint")
         return written(found, "ngram-links")
-    finally:
-        conf.set(name, before)
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -477,6 +474,17 @@ def _pairs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "other"])
 
 
+def _sized_and_rooted(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """``_sized`` and the components of its classes, written: nothing that reads them goes to Python."""
+    sized = written(_sized(docs, words), "ngram-sized")
+    chosen = written(_classes_with_partners(sized, _shown(docs, words)), "ngram-classes")
+    sets = _sets_of(docs, chosen, words)
+    links = _linked(_pivot_pairs(sets), sets)
+    roots = _components(links)
+    more = _linked(_all_pairs(sets, roots), sets)
+    return sized, roots if more.isEmpty() else _merged(roots, more)
+
+
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of word n-grams of 0.8 or more.
 
@@ -488,14 +496,8 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     table gives no rows; other columns are not read, whatever their names.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    sized = written(_sized(docs, words), "ngram-sized")
-    chosen = written(_classes_with_partners(sized, _shown(docs, words)), "ngram-classes")
-    sets = _sets_of(docs, chosen, words)
-    links = _linked(_pivot_pairs(sets), sets)
-    roots = _components(links)
-    more = _linked(_all_pairs(sets, roots), sets)
-    if not more.isEmpty():
-        roots = _merged(roots, more)
+    with batches_of(docs.sparkSession, ROWS_PER_BATCH):
+        sized, roots = _sized_and_rooted(docs, words)
     smallest = sized.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("own"))
     joined = smallest.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     of_root = joined.groupBy("root").agg(F.min("own").alias("component_id"))

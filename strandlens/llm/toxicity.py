@@ -12,11 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlens.llm.common import batches_of
 from strandlens.llm.words import chained, hashed_words, slices
 
 BUCKETS = 1 << 20
 TRAIN_PER_CLASS = 10_000
 TRAIN_PARTS = 1
+ROWS_PER_BATCH = 2000
 MAX_CLASS_WEIGHT = 5.0
 EPOCHS = 3
 GRAMS = ((0,), (0, 1), (0, 2))
@@ -151,7 +153,7 @@ def fit_toxicity(
         return pa.table([pa.array(places), pa.array(values)], names=["place", "weight"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    fitted = (
+    weights_of = (
         chosen.select("text", "label", "doc_id", F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(parts)).cast("int").alias("part"))
         .mapInArrow(to_features, f"part int, label int, doc_id {kind}, places array<int>")
         .groupBy("part")
@@ -159,8 +161,9 @@ def fit_toxicity(
         .groupBy("place")
         .agg((F.sum("weight") / parts).alias("weight"))
         .orderBy("place")
-        .toPandas()
     )
+    with batches_of(docs.sparkSession, ROWS_PER_BATCH):
+        fitted = weights_of.toPandas()
     bias = float(fitted.loc[fitted["place"] == BUCKETS, "weight"].sum()) if len(fitted) else 0.0
     fitted = fitted[fitted["place"] < BUCKETS]
     return Model(fitted["place"].to_numpy(np.int32), fitted["weight"].to_numpy(np.float32), bias)

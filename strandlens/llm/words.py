@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 MAX_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+"""Text that is looked at as one: arrays of eight bytes for each of its bytes stay with the Python process, stage after stage."""
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -111,7 +113,7 @@ def chained(hashes: np.ndarray, steps: tuple[int, ...]) -> np.ndarray:
     return mixed(out + np.uint64(len(steps) * 64 + steps[-1]))
 
 
-def slices(batch: pa.RecordBatch, max_bytes: int = MAX_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``max_bytes``, one row at least."""
     rows = max(1, int(batch.num_rows * max_bytes / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, rows):

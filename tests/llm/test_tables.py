@@ -191,6 +191,16 @@ def test_pages(spark):
     assert html.extract_text(pages.limit(0)).count() == 0
 
 
+def test_whole_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """A batch is held whole by the executor and by Python, next to what earlier stages left there."""
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, written = spark.conf.get(name), ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, label: rows.append(int(spark.conf.get(name))) or written(df, label))
+    found = ngram_join.ngram_components(documents(spark, ["a b c d e f", "a b c d e f", "g"]))
+    assert rows and max(rows) <= ngram_join.ROWS_PER_BATCH and spark.conf.get(name) == before
+    assert sorted(r.component_id for r in found.collect()) == [0, 0, 2]
+
+
 def plain_components(texts):
     sets = []
     for t in texts:
