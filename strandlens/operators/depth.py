@@ -86,19 +86,19 @@ def base_depth(
             )
         ),
     )
-    if refs is not None:
+    # one shuffle of borders, the same with ``refs`` and without, so that two sweeps of a report share it
+    summed = borders.groupBy(*keys, "tile", "pos").agg(F.sum("delta").alias("delta"))
+    if refs is None:
+        summed = summed.where(F.col("delta") != 0)
+    else:
         zero = F.lit(0).cast("bigint")
         ends = cut_at_tiles(
             refs.where(F.col("length") > 0).select(*keys, zero.alias("start"), F.col("length").alias("end")), tile
         )
         if only_tiles is not None:
             ends = ends.join(only_tiles, ["contig", "tile"], "left_semi")
-        borders = borders.unionByName(
-            ends.select(*keys, "tile", F.explode(F.array("start", "end")).alias("pos"), zero.alias("delta"))
-        )
-    summed = borders.groupBy(*keys, "tile", "pos").agg(F.sum("delta").alias("delta"))
-    if refs is None:
-        summed = summed.where(F.col("delta") != 0)
+        ends = ends.select(*keys, "tile", F.explode(F.array("start", "end")).alias("pos"), zero.alias("delta"))
+        summed = summed.unionByName(ends).groupBy(*keys, "tile", "pos").agg(F.sum("delta").alias("delta"))
     sweep = Window.partitionBy(*keys, "tile").orderBy("pos")
     runs = summed.select(
         *keys,
@@ -139,8 +139,18 @@ def coverage_by_contig(
     blocks: DataFrame, refs: DataFrame, by: Sequence[str] = ("file",)
 ) -> DataFrame:
     """``(*by, contig, length, mean_depth)`` for every contig of ``refs``; needs no sweep."""
+    bases = blocks.groupBy(*by, "contig").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
+    return _mean_by_contig(bases, refs, by)
+
+
+def coverage_of_histogram(per_contig: DataFrame, refs: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
+    """The same from the depth histograms of contigs, where a sweep was made anyway."""
+    bases = per_contig.groupBy(*by, "contig").agg(F.sum(F.col("depth") * F.col("bases")).alias("bases"))
+    return _mean_by_contig(bases, refs, by)
+
+
+def _mean_by_contig(bases: DataFrame, refs: DataFrame, by: Sequence[str]) -> DataFrame:
     keys = [*by, "contig"]
-    bases = blocks.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
     return join_on(refs.select(*keys, "length"), bases, keys, "left").select(
         *keys,
         "length",

@@ -167,10 +167,13 @@ def coverage_report(
     """
     by_contig = [*by, "contig"]
     blocks = dp.aligned_blocks(aln, by, fast_mode, min_mapq, exclude_flags)
-    contigs = dp.coverage_by_contig(blocks, refs, by)
-    out = dp.coverage_summary(contigs, by)
     if with_distribution:
         per_contig = dp.depth_histogram(dp.base_depth(blocks, by, tile, refs, merge=False), by, per_contig=True)
+        contigs = dp.coverage_of_histogram(per_contig, refs, by)
+    else:
+        contigs = dp.coverage_by_contig(blocks, refs, by)
+    out = dp.coverage_summary(contigs, by)
+    if with_distribution:
         overall = per_contig.groupBy(*by, "depth").agg(F.sum("bases").alias("bases"))
         contigs = join_on(contigs, dp.depth_statistics(per_contig, by_contig).drop("min_depth", "max_depth"), by_contig, "left")
         out = join_on(out, dp.depth_statistics(overall, by).drop("min_depth", "max_depth"), by, "left")
@@ -259,7 +262,7 @@ def alignment_summary(
     out = _nest(alignment_report(aln, by, **(alignment_options or {})), by, "alignment")
     parts = {
         "coverage": (include_coverage, lambda: coverage_report(aln, refs, by, **(coverage_options or {}))),
-        "errors": (include_error_profile, lambda: error_report(aln, refs, by)),
+        "errors": (include_error_profile, lambda: error_report(aln, refs, by, (coverage_options or {}).get("tile", dp.TILE))),
     }
     for name, (wanted, build) in parts.items():
         if wanted:

@@ -341,3 +341,21 @@ def test_malformed_sam_fields_are_null(spark, write):
     r = read_sam(spark, write("m.sam", text)).collect()[0]
     assert (r.flag, r.mapq, r.pos, r.tags) == (None, None, -1, {"AB": "a:b"})
     assert re.match("file:/", r.file)
+
+
+def test_means_of_contigs_come_from_the_sweep(spark, monkeypatch, capsys):
+    """A coverage report walks the cigars once, and a summary shares that walk between its sweeps."""
+    from workload import views
+
+    aln, refs = views.alignments(spark, "/root/testdata/sf0.001"), views.references(spark, "/root/testdata/sf0.001")
+    fields = "file", F.transform("coverage_by_contig", lambda c: F.struct(c["contig"], c["length"], c["mean_depth"]))
+    plain = sorted(reports.coverage_report(aln, refs, with_distribution=False).select(*fields).collect())
+    monkeypatch.setattr(dp, "coverage_by_contig", None)
+    swept = reports.coverage_report(aln, refs, tile=256)
+    assert sorted(swept.select(*fields).collect()) == plain
+    assert len(plain) == 2
+    blocks = dp.aligned_blocks(aln)
+    hist = dp.depth_histogram(dp.base_depth(blocks, refs=refs, merge=False)).unionByName(dp.depth_histogram(dp.base_depth(blocks, merge=False)))
+    hist.collect()
+    hist.explain()
+    assert "ReusedExchange" in capsys.readouterr().out
