@@ -353,6 +353,27 @@ def _foreign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed(*carried)
 
 
+def _with_common(sets: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``sets`` with ``common`` in place of ``shingles``: those that are among ``hot`` (sorted), ranked last, in order."""
+    if not len(hot):
+        return sets.drop("shingles").withColumn("common", F.array().cast("array<bigint>"))
+    kept = [f for f in sets.schema.fields if f.name != "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles = batch.column("shingles")
+            flat, sizes = shingles.flatten().to_numpy(), shingles.value_lengths().to_numpy()
+            short = flat & np.int64(-1 << 64 - SHORT_BITS)
+            found = hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] == short
+            ranked = np.uint64(31 << 58) | (short[found].view(np.uint64) >> np.uint64(6))
+            begins = np.append(0, np.cumsum(found))[np.append(0, np.cumsum(sizes))]
+            rows = [*(batch.column(f.name) for f in kept), _lists(ranked.view(np.int64), begins)]
+            yield pa.RecordBatch.from_arrays(rows, [*(f.name for f in kept), "common"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return sets.mapInArrow(run, f"{schema}, common array<bigint>")
+
+
 def _prefixes(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """``key``, ``n``, ``root``, ``prefix``: shingles of which a set shares one with any set of another component it links to.
 
@@ -367,17 +388,19 @@ def _prefixes(sets: DataFrame, roots: DataFrame) -> DataFrame:
     drawn = shown.where(F.pmod(F.xxhash64("key"), F.lit(HOT_SAMPLE)) == 0).groupBy("h").agg(F.count(F.lit(1)).alias("rows"))
     drawn = written(drawn, "ngram-drawn")
     total = drawn.agg(F.sum("rows")).first()[0] or 0
-    common = F.broadcast(drawn.where((F.col("rows") * HOT_KEYS > total) & (F.col("rows") > 1)).select("h"))
+    common = drawn.where((F.col("rows") * HOT_KEYS > total) & (F.col("rows") > 1)).select("h")
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = shown.join(common, "h", "left_anti").select("h", "key", "root").repartition(tasks, "h").sortWithinPartitions("h")
+    few = shown.join(F.broadcast(common), "h", "left_anti").select("h", "key", "root")
+    dealt = few.repartition(tasks, "h").sortWithinPartitions("h")
     foreign = dealt.mapInArrow(_foreign, "key bigint, ranked bigint")
-    last = shown.join(common, "h").select("key", (F.lit(31 << 58).bitwiseOR(F.shiftrightunsigned("h", 6))).alias("ranked"))
-    # as long as a set
-    rarest = foreign.union(last).groupBy("key").agg(F.sort_array(F.collect_list("ranked")).alias("rarest"))
-    wanted = _spare(F.col("n")) + 1 - (F.col("n") - F.size("rarest"))
-    first = F.slice("rarest", F.lit(1), wanted.cast("int"))
-    of_set = rooted.select("key", "n", "root", "signature")
-    return rarest.join(of_set, "key").where(wanted > 0).select("key", "n", "root", "signature", first.alias("prefix"))
+    # as long as a set; the common shingles are taken from the set's own array and are never rows
+    rarest = foreign.groupBy("key").agg(F.sort_array(F.collect_list("ranked")).alias("rarest"))
+    hot = np.sort(np.array([r.h for r in common.collect()], np.int64))
+    of_set = _with_common(rooted.select("key", "n", "root", "signature", "shingles"), hot).join(rarest, "key", "left")
+    ordered = F.concat(F.coalesce("rarest", F.array().cast("array<bigint>")), "common")
+    wanted = _spare(F.col("n")) + 1 - (F.col("n") - F.size("ordered"))
+    first = F.slice("ordered", F.lit(1), wanted.cast("int"))
+    return of_set.withColumn("ordered", ordered).where(wanted > 0).select("key", "n", "root", "signature", first.alias("prefix"))
 
 
 def _all_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:

@@ -277,6 +277,38 @@ def test_components_are_exact(spark, seed, common, monkeypatch):
     assert [got[i] for i in range(len(texts))] == plain_components(texts)
 
 
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_common_shingles_are_not_rows(spark, monkeypatch, hot):
+    """A shingle of many sets is found in each set's own array: no join makes a row for each set that has it."""
+    monkeypatch.setattr(ngram_join, "HOT_KEYS", hot)
+    monkeypatch.setattr(ngram_join, "HOT_SAMPLE", 1)
+    rng = random.Random(hot)
+    shift = 64 - ngram_join.SHORT_BITS
+    pool = [rng.randrange(-(1 << 47), 1 << 47) << shift for _ in range(50)]
+    # two of the second set agree in the bits that are looked at
+    made = [sorted(rng.sample(pool, 20), key=lambda h: h % (1 << 64)) for _ in range(40)] + [[pool[0], pool[0] + 1, pool[1]], [5]]
+    made[-2].sort(key=lambda h: h % (1 << 64))
+    sets = spark.createDataFrame([(i, len(h), h, [i]) for i, h in enumerate(made)], "key bigint, n bigint, shingles array<bigint>, signature array<bigint>")
+    roots = spark.createDataFrame([(i, 0) for i in range(10)], "key bigint, root bigint")
+    prefixes = ngram_join._prefixes(sets, roots)
+    plan = prefixes._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join Inner" in line and "(h#" in line]
+
+    root = [0 if i < 10 else i for i in range(len(made))]
+    short = [[h >> shift << shift for h in s] for s in made]
+    rows = [h for s in short for h in s]
+    of = {h: {root[i] for i, s in enumerate(short) if h in s} for h in set(rows)}
+    common = {h for h in of if rows.count(h) * hot > len(rows) and rows.count(h) > 1}
+    assert bool(common) == (hot > 1)
+    want = {}
+    for i, s in enumerate(short):
+        rank = {h: 31 if h in common else rows.count(h).bit_length() for h in s if h in common or len(of[h]) > 1}
+        order = sorted(rank[h] << 58 | h % (1 << 64) >> 6 for h in s if h in rank)
+        if (wanted := len(s) // 5 + 1 - (len(s) - len(order))) > 0:
+            want[i] = (len(s), root[i], [i], order[:wanted])
+    assert {r.key: (r.n, r.root, r.signature, r.prefix) for r in prefixes.collect()} == want
+
+
 def test_components_awkward_rows(spark):
     rows = ngram_join.ngram_components(awkward(spark)).collect()
     assert len(rows) == 10
