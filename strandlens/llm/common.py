@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -51,6 +52,22 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+# Rows of whole texts that the reader and Python hold at once; a text longer than that is a batch of its own.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
+_UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of the session, for tables that run after the function that makes them has returned.
+
+    Unlike ``batches_of`` this stays. Smaller settings are kept; no result changes.
+    """
+    for name, most in SMALL_BATCHES.items():
+        known = re.fullmatch(r"(\d+)([kmg]?)i?b?", spark.conf.get(name).strip().lower())
+        if not known or int(known[1]) * _UNITS[known[2]] > most:
+            spark.conf.set(name, most)
+
+
 HOT_KEYS = 4096
 
 

@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from strandlens.llm import ann, exact_topk, html, mixing, ngram_join, sharding, urls
+from strandlens.llm.common import SMALL_BATCHES
 from strandlens.llm.queries import URL_RULES
 from tests.llm.helpers import LOWER, WORD, awkward, documents, empty
 
@@ -201,6 +203,30 @@ def test_whole_texts_go_to_python_in_small_batches(spark, monkeypatch):
     assert sorted(r.component_id for r in found.collect()) == [0, 0, 2]
 
 
+def test_stages_of_the_pipeline_hold_few_texts_at_once(spark):
+    """Stages give tables that run later, next to what earlier stages left in the same executors and workers."""
+    docs = spark.range(2000).selectExpr("id AS doc_id", "repeat('ab ', 3000) AS text", "'s' AS source", "'en' AS lang", "9000L AS n_chars")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    before = {name: spark.conf.get(name) for name in SMALL_BATCHES}
+    arrow, reader = SMALL_BATCHES
+    stages = dict(corpus_pipeline.STAGES)
+    try:
+        stages["secret_scan"](spark, docs, "")
+        most = docs.coalesce(1).mapInArrow(sizes, "bytes bigint").agg({"bytes": "max"}).first()[0]
+        assert most <= SMALL_BATCHES[arrow] * 1.1 and int(spark.conf.get(reader)) <= SMALL_BATCHES[reader]
+        spark.conf.set(arrow, "1m")
+        spark.conf.set(reader, 100)
+        stages["byte_bpe"](spark, docs, "")
+        assert spark.conf.get(arrow) in ("1m", str(1 << 20), f"{1 << 20}b") and spark.conf.get(reader) == "100"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def plain_components(texts):
     sets = []
     for t in texts:
