@@ -71,7 +71,10 @@ def has_angle_value(value: Column, key: str) -> Column:
     """Whether ``angle_map`` would give ``key`` a value that is not empty, without building the map."""
     named = F.filter(_angle_items(value), lambda x: (x == key) | F.startswith(x, F.lit(f"{key}=")))
     last = F.try_element_at(named, F.lit(-1))
-    return F.coalesce(F.regexp_replace(F.substring(last, len(key) + 2, 1 << 30), r'^"+|"+$', "") != "", F.lit(False))
+    found = F.coalesce(F.regexp_replace(F.substring(last, len(key) + 2, 1 << 30), r'^"+|"+$', "") != "", F.lit(False))
+    # most lines on contigs have no quote and begin with the key, which no later item has
+    first = value.rlike(rf"^<{key}=(?![,\s]).+>\z") & ~F.contains(value, F.lit('"')) & ~value.rlike(rf",\s*{key}\s*[=,>]")
+    return F.when(first, F.lit(True)).otherwise(found)
 
 
 def angle_map(value: Column) -> Column:

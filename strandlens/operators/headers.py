@@ -76,14 +76,14 @@ def vcf_header_sizes(lines: DataFrame) -> DataFrame:
     For headers too long to be one row: counts are added up by all tasks, and records are not taken apart.
     """
     zero = F.lit(0).cast("bigint")
-    references = src.vcf_references(lines).select("file", F.lit(1).cast("bigint").alias("reference"))
-    samples = src.vcf_samples(lines).select("file", F.struct("position", "name").alias("sample"))
-    # a file whose header has neither is still one row
-    rows = lines.select("file").unionByName(references, allowMissingColumns=True).unionByName(samples, allowMissingColumns=True)
+    references = src.vcf_references(lines).groupBy("file").agg(F.count("*").alias("references"))
+    samples = src.vcf_samples(lines).groupBy("file").agg(F.count("*").alias("samples"), F.min(F.struct("position", "name")).alias("first"))
+    # a file whose header has neither is still one row; the least of structs sorts its rows, so only samples go there
+    rows = lines.select("file").distinct().unionByName(references, allowMissingColumns=True).unionByName(samples, allowMissingColumns=True)
     return rows.groupBy("file").agg(
-        F.coalesce(F.sum("reference"), zero).alias("references"),
-        F.count("sample").cast("int").alias("samples"),
-        F.min("sample")["name"].alias("first_sample"),
+        F.coalesce(F.sum("references"), zero).alias("references"),
+        F.coalesce(F.sum("samples"), zero).cast("int").alias("samples"),
+        F.min("first")["name"].alias("first_sample"),
     )
 
 

@@ -21,6 +21,12 @@ SMALL_FILE = 4 << 20
 FIRST_LINES = 8192
 FILES_PER_JOB = 32
 
+MOST_LINES = (1 << 31) - 1
+"""The most that Spark takes as a limit."""
+
+SCAN_TIMES = 512
+"""All tasks scan a file if it has at most so many times the bytes of its header as far as that is known."""
+
 LINE_SCHEMA = "file string, line_no bigint, value string"
 
 # splits as large as files, and few blocks unpacked ahead of a header's end
@@ -164,10 +170,13 @@ def _first_lines(own: SparkSession, name: str, n: int, blocks: bool | None) -> D
 
 
 def _heads_of_large(
-    spark: SparkSession, own: SparkSession, names: list[str], prefix: str, max_lines: int | None, stop: str | None, blocks: bool | None
-) -> list[DataFrame]:
-    """Headers of files that are not read to their end; some are read once more, further, until the header ends."""
-    found, todo, n = [], names, FIRST_LINES
+    spark: SparkSession, own: SparkSession, sizes: dict[str, int], prefix: str, max_lines: int | None, stop: str | None, blocks: bool | None
+) -> tuple[list[DataFrame], list[str]]:
+    """Headers of files that are not read to their end, some read once more, further; and the files of which all splits are to be scanned.
+
+    Those have a header that goes on, and are not much longer than what is known of it, or go on beyond any limit.
+    """
+    found, scanned, todo, n = [], [], list(sizes), FIRST_LINES
     while todo:
         n = n if max_lines is None else min(n, max_lines + 1)
         again = []
@@ -177,15 +186,28 @@ def _heads_of_large(
             lines = reduce(DataFrame.unionByName, [_first_lines(own, f, n, blocks) for f in some])
             lines.write.parquet(path)
             back = spark.read.schema("file string, id bigint, value string").parquet(path)
-            ends = back.groupBy("file").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.min(_end(prefix, stop)).alias("end_id"))
-            on = {r.file for r in ends.where("end_id IS NULL").where(F.col("n") == n).collect() if max_lines is None or n <= max_lines}
-            again += [f for f in some if file_label(f) in on]
+            ends = back.groupBy("file").agg(
+                F.count("*").alias("n"), F.min("id").alias("first_id"), F.min(_end(prefix, stop)).alias("end_id"),
+                F.sum(F.octet_length("value") + 1).alias("bytes"),
+            )
+            goes_on = ends.where("end_id IS NULL").where(F.col("n") == n).collect() if max_lines is None or n <= max_lines else []
+            on = {r.file: r.bytes for r in goes_on}
+            again += [(f, on[file_label(f)]) for f in some if file_label(f) in on]
             # one row a file
             kept = back.join(F.broadcast(ends.where(~F.col("file").isin(*on)) if on else ends), "file")
             inside = kept.where(F.col("end_id").isNull() | (F.col("id") < F.col("end_id")))
             found.append(inside.select("file", (F.col("id") - F.col("first_id") + 1).alias("line_no"), "value"))
-        todo, n = again, n * 64
-    return found
+        n *= 64
+        scanned += [f for f, known in again if n > MOST_LINES or sizes[f] <= known * SCAN_TIMES]
+        todo = [f for f, _ in again if f not in set(scanned)]
+    return found, scanned
+
+
+def _within(heads: DataFrame, max_lines: int | None) -> DataFrame:
+    """The first ``max_lines`` lines of each file, without carriage returns at their ends."""
+    heads = heads if max_lines is None else heads.where(F.col("line_no") <= max_lines)
+    value = F.when(F.endswith("value", F.lit("\r")), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value"))
+    return heads.select("file", "line_no", value.alias("value"))
 
 
 def read_heads(
@@ -195,27 +217,34 @@ def read_heads(
 
     The lines come through Spark's own reader, from any store and with its credentials. Small files are read whole, in one job. Of a
     large one the first lines are asked for, by a task that stops there, and more only if the header goes on; no other byte is read.
+    If the header goes on and is a good part of the file, or has more lines than any limit, all tasks scan the splits of the file.
     The headers are read when this is called, and written to the scratch folder in parts of equal size: a long one is
     parsed by many tasks, and not read again, however often it is used.
     """
     own, alone = _own_session(spark)
+    scanned: list[str] = []
     listed = own.read.format("binaryFile").load(path_list(paths))
     check_names(listed.inputFiles())
     if not alone:  # where splits cannot be chosen, those of the session
         heads = _heads_of_splits(read_lines(spark, paths, blocks=blocks), len(listed.inputFiles()), prefix, stop)
     else:
         sizes = dict(listed.select(F.col("_metadata.file_path"), "length").collect())
-        names = [f for f in listed.inputFiles() if sizes.get(file_label(f))]
-        small = [f for f in names if sizes[file_label(f)] <= SMALL_FILE]
+        sizes = {f: sizes[file_label(f)] for f in listed.inputFiles() if sizes.get(file_label(f))}
+        small = [f for f in sizes if sizes[f] <= SMALL_FILE]
         parts = []
         if small:
             text = read_lines(spark, [_escaped(f) for f in small], blocks=blocks)
             parts.append(_heads_of_splits(text, len(small), prefix, stop))
-        parts += _heads_of_large(spark, own, [f for f in names if sizes[file_label(f)] > SMALL_FILE], prefix, max_lines, stop, blocks)
+        large = {f: size for f, size in sizes.items() if size > SMALL_FILE}
+        found, scanned = _heads_of_large(spark, own, large, prefix, max_lines, stop, blocks)
+        parts += found
         heads = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LINE_SCHEMA)
-    if max_lines is not None:
-        heads = heads.where(F.col("line_no") <= max_lines)
     path = scratch_dir(spark, "heads")
-    heads = heads.select("file", "line_no", F.regexp_replace("value", "\r$", "").alias("value"))
-    heads.repartition("file", "line_no").write.parquet(path)
+    _within(heads, max_lines).repartition("file", "line_no").write.parquet(path)
+    if scanned:
+        text = read_lines(spark, [_escaped(f) for f in scanned], blocks=blocks)
+        rest = _within(_heads_of_splits(text, len(scanned), prefix, stop), max_lines)
+        # as many tasks as splits write parts of equal size without a shuffle
+        few = text.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+        (rest.repartition("file", "line_no") if few else rest).write.mode("append").parquet(path)
     return spark.read.schema(LINE_SCHEMA).parquet(path)
